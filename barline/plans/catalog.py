@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from barline.plans import rows  # noqa: F401
+from barline.plans import aggs, joins, rows, windows  # noqa: F401
 from barline.plans.registry import CHECKS, PLANS  # noqa: F401

@@ -11,6 +11,13 @@ QUOTES = """quotes AS (
   FROM events)"""
 
 
+FAST = (
+    QUOTES
+    + """, fast AS (SELECT * REPLACE ((us - 1704067200000000) // 60 + 1704067200000000 AS us,
+  make_timestamp((us - 1704067200000000) // 60 + 1704067200000000) AS ts) FROM quotes)"""
+)
+
+
 def bars_sql(name: str, seconds: int) -> str:
     return f"""{name} AS (
   SELECT symbol, make_timestamp((us // {seconds * 1000000}) * {seconds * 1000000}) AS ts,

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from barline.operators.bars import ticks_to_bars
 from barline.sources import tables
@@ -14,3 +15,7 @@ def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def four_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ticks_to_bars(tables.quotes(spark, sf_dir), "4h")
+
+
+def rows_as(name: str) -> Column:
+    return F.count(F.lit(1)).alias(name)

@@ -161,3 +161,12 @@ def slot_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
         .withColumn("passed", F.coalesce(F.col("pf") >= 1.1, F.lit(False)) & (F.col("trades") >= 5))
         .withColumn("sign", F.when(F.col("pf").isNull(), 0).when(F.col("pf") >= 1.0, 1).otherwise(-1))
     )
+
+
+FAST_ORIGIN_US = 1_704_067_200_000_000
+
+
+def fast_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quote ticks with the clock run 60 times faster (dense tick series)."""
+    us = F.floor((F.col("us") - FAST_ORIGIN_US) / 60) + FAST_ORIGIN_US
+    return quotes(spark, sf_dir).withColumn("us", us).withColumn("ts", F.timestamp_micros("us"))
