@@ -419,6 +419,9 @@ def _(spark, sf):
     return long.groupBy("axis").agg(F.try_divide(F.var_pop("m"), F.var_pop("ablated")).alias("s1"))
 
 
+_SCEN = "scen AS (SELECT * FROM (VALUES ('base', 4.0, 1.0), ('adverse', 9.5, 1.5)) v(scenario, cost, turn))"
+
+
 @query("D42_costed_metrics", sql(TRADES, _SCEN, body="""SELECT scenario, pair, count(*) AS trades, (cost * turn)::DOUBLE AS total_cost, round(sum(greatest(pnl - cost * turn, 0)) / nullif(sum(greatest(cost * turn - pnl, 0)), 0), 6)::DOUBLE AS net_pf,
  round(avg(pnl - cost * turn), 6)::DOUBLE AS expectancy, (turn * count(*))::DOUBLE AS turnover FROM trades, scen GROUP BY scenario, pair, cost, turn"""))
 def _(spark, sf):

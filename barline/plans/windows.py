@@ -127,7 +127,6 @@ _column("E11_rolling_min", full("min(low) OVER {f}", 15), lambda w: ind.rolling_
 _column("E12_rolling_median", full("median(close) OVER {f}", 21), lambda w: ind.rolling_median(F.col("close"), 21, w))
 _column("E13_rolling_quantile", full("quantile_cont(close, 0.2) OVER {f}", 25), lambda w: ind.rolling_quantile(F.col("close"), 25, 0.2, w))
 
-_DTR = TR.replace("FROM bars", "FROM daily").replace("tr0", "dtr0").replace("tr AS (", "dtr AS (")
 _DTR = """dtr0 AS (SELECT *, lag(close) OVER (PARTITION BY symbol ORDER BY ts) AS pc FROM daily),
 tr AS (SELECT *, greatest(high - low, coalesce(abs(high - pc), high - low), coalesce(abs(low - pc), high - low)) AS tr FROM dtr0)"""
 
