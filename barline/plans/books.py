@@ -212,11 +212,11 @@ def _(spark, sf):
     return j.groupBy("symbol").agg(F.max("own_pf").alias("own_pf"), F.avg("profit_factor").alias("random_mean_pf"), rank.alias("percentile_rank"))
 
 
-@query("I15_plateau_score", sql(_TRIALS, body="""SELECT trial_id, neighbours, CASE WHEN neighbours > 0 THEN round(least(round(pf_sum / neighbours, 4) / pf, 1), 4) ELSE 0 END AS score FROM (SELECT c.trial_id, any_value(c.pf) AS pf, count(t.trial_id) AS neighbours, sum(t.pf) AS pf_sum FROM trials c LEFT JOIN trials t ON t.trial_id <> c.trial_id
+@query("I15_plateau_score", sql(_TRIALS, body="""SELECT trial_id, neighbours, round(CASE WHEN neighbours > 0 THEN least(pf_sum / neighbours / pf, 1) ELSE 0 END, 6) AS score FROM (SELECT c.trial_id, any_value(c.pf) AS pf, count(t.trial_id) AS neighbours, sum(t.pf) AS pf_sum FROM trials c LEFT JOIN trials t ON t.trial_id <> c.trial_id
  AND abs((t.a - c.a) / c.a::DOUBLE) <= 0.2::DOUBLE AND abs((t.b - c.b) / c.b::DOUBLE) <= 0.2::DOUBLE GROUP BY 1)"""))
 def _(spark, sf):
     near = neighbour_sums(trials(spark, sf), ["a", "b"], "pf", 0.2)
-    ratio = F.round(F.least(F.round(F.try_divide("pf_sum", "neighbours"), 4) / F.col("pf"), F.lit(1.0)), 4)
+    ratio = F.least(F.try_divide("pf_sum", "neighbours") / F.col("pf"), F.lit(1.0))
     return near.select("trial_id", "neighbours", F.when(F.col("neighbours") > 0, ratio).otherwise(0.0).alias("score"))
 
 
@@ -388,15 +388,16 @@ def _(spark, sf):
     return e.groupBy("symbol", F.col("bar").cast("bigint").alias("bar")).agg(rows_as("open_trades"), F.sum("bar_pnl").alias("bar_pnl"))
 
 
-_DD = """de AS (SELECT cell_id, ts, sum(pnl) / 3000 AS p FROM trades GROUP BY ALL), dq AS (SELECT *, 1 + sum(p) OVER (PARTITION BY cell_id ORDER BY ts) AS equity FROM de), dp AS (SELECT *, max(equity) OVER (PARTITION BY cell_id ORDER BY ts) AS pk, count(*) FILTER (p > 0) OVER (PARTITION BY cell_id ORDER BY ts) AS isl FROM dq),
+_DD = """de AS (SELECT cell_id, ts, sum(pnl) AS whole, sum(pnl) / 3000 AS p FROM trades GROUP BY ALL), dq AS (SELECT *, (3000 + sum(whole) OVER (PARTITION BY cell_id ORDER BY ts)) / 3000 AS equity FROM de), dp AS (SELECT *, max(equity) OVER (PARTITION BY cell_id ORDER BY ts) AS pk, count(*) FILTER (p > 0) OVER (PARTITION BY cell_id ORDER BY ts) AS isl FROM dq),
 dv AS (SELECT *, greatest(0, (pk - equity) / pk) AS dd_value, greatest(-p, 0) AS dls, count(*) FILTER (p < 0) OVER (PARTITION BY cell_id, isl ORDER BY ts) AS clc FROM dp),
 gate AS (SELECT *, CASE WHEN dd_value >= 0.2 THEN 'gate_closed:hard_cap_20pct' WHEN dls >= 0.03 THEN 'gate_closed:daily_loss_3pct' WHEN clc >= 5 THEN 'gate_closed:step_down_consecutive' ELSE 'ok' END AS dd_state FROM dv)"""
 
 
 def gated(spark, sf):
     """Drawdown gate over the daily equity of each cell."""
-    d = T.trades(spark, sf).groupBy("cell_id", "ts").agg((F.sum("pnl") / 3000).alias("pnl"))
-    d = d.withColumn("equity", 1 + F.sum("pnl").over(by(["cell_id"]).rowsBetween(Window.unboundedPreceding, 0)))
+    d = T.trades(spark, sf).groupBy("cell_id", "ts").agg(F.sum("pnl").alias("whole"))
+    so_far = by(["cell_id"]).rowsBetween(Window.unboundedPreceding, 0)
+    d = d.withColumn("equity", (3000 + F.sum("whole").over(so_far)) / 3000).withColumn("pnl", F.col("whole") / 3000).drop("whole")
     return tr.drawdown_gate(d, ["cell_id"])
 
 
@@ -420,10 +421,10 @@ def overlay(df, keys, cap=1.0):
     return states.overlay_equity(w, keys)
 
 
-_OV = """ov AS (SELECT cell_id, ts, alpha, beta, equity, first_value(equity) OVER k + sum(d * m) OVER k AS equity_on FROM (SELECT *, least(1, exp(-alpha * z_t - beta * p_shift)) AS m, coalesce(equity - lag(equity) OVER (PARTITION BY cell_id, alpha, beta ORDER BY ts), 0) AS d FROM zt, ab) WINDOW k AS (PARTITION BY cell_id, alpha, beta ORDER BY ts))"""
+_OV = """ov AS (SELECT cell_id, ts, alpha, beta, equity, first_value(equity) OVER k + sum(d * m) OVER k AS equity_on FROM (SELECT *, least(1, exp(-alpha * z_t - beta * p_shift)) AS m, coalesce(equity - lag(equity) OVER (PARTITION BY cell_id, alpha, beta ORDER BY ts), 0) AS d FROM zt, abg) WINDOW k AS (PARTITION BY cell_id, alpha, beta ORDER BY ts))"""
 
 
-@query("I32_overlay_grid", sql(TRADES, _DD, _ZT, "ab AS (SELECT * FROM (SELECT unnest([0.25, 0.5, 1.0])::DOUBLE AS alpha), (SELECT unnest([0.5, 1.0, 2.0])::DOUBLE AS beta))", _OV, "om AS (SELECT *, equity_on - lag(equity_on) OVER (PARTITION BY cell_id, alpha, beta ORDER BY ts) AS dlt, max(equity_on) OVER (PARTITION BY cell_id, alpha, beta ORDER BY ts) AS pk FROM ov)",
+@query("I32_overlay_grid", sql(TRADES, _DD, _ZT, "abg AS (SELECT * FROM (SELECT unnest([0.25, 0.5, 1.0])::DOUBLE AS alpha), (SELECT unnest([0.5, 1.0, 2.0])::DOUBLE AS beta))", _OV, "om AS (SELECT *, equity_on - lag(equity_on) OVER (PARTITION BY cell_id, alpha, beta ORDER BY ts) AS dlt, max(equity_on) OVER (PARTITION BY cell_id, alpha, beta ORDER BY ts) AS pk FROM ov)",
  "oc AS (SELECT cell_id, alpha, beta, sum(greatest(dlt, 0)) / nullif(sum(greatest(-dlt, 0)), 0) AS pf, min((equity_on - pk) / pk) AS dd FROM om GROUP BY ALL)", body="SELECT alpha, beta, round(median(pf), 5) AS pf_median, round(median(dd), 5) AS max_dd_median FROM oc GROUP BY ALL"))
 def _(spark, sf):
     d = tr.derisk(gated(spark, sf), ["cell_id"])
@@ -436,7 +437,7 @@ def _(spark, sf):
 _TOP = """top AS (SELECT min(ts) AS s, max(ts) AS e, count(*) AS nb, row_number() OVER (ORDER BY count(*) DESC, min(ts)) - 1 AS cid FROM gp GROUP BY g ORDER BY nb DESC, s LIMIT 3)"""
 
 
-@query("I33_stress_replay", sql(TRADES, _DD, _ZT, "ab AS (SELECT 0.5::DOUBLE AS alpha, 1.0::DOUBLE AS beta)", _OV, _CLUSTERS, _TOP, """sr AS (SELECT cid, cell_id, o.ts, equity, equity_on FROM ov o JOIN top ON o.ts::DATE >= s::DATE AND o.ts::DATE <= e::DATE)""",
+@query("I33_stress_replay", sql(TRADES, _DD, _ZT, "abg AS (SELECT 0.5::DOUBLE AS alpha, 1.0::DOUBLE AS beta)", _OV, _CLUSTERS, _TOP, """sr AS (SELECT cid, cell_id, o.ts, equity, equity_on FROM ov o JOIN top ON o.ts::DATE >= s::DATE AND o.ts::DATE <= e::DATE)""",
  """sd AS (SELECT *, equity - lag(equity) OVER k AS d0, equity_on - lag(equity_on) OVER k AS d1, max(equity) OVER k AS p0, max(equity_on) OVER k AS p1 FROM sr WINDOW k AS (PARTITION BY cid, cell_id ORDER BY ts))""",
  """sc AS (SELECT cid, cell_id, sum(greatest(d0, 0)) / nullif(sum(greatest(-d0, 0)), 0) AS f0, sum(greatest(d1, 0)) / nullif(sum(greatest(-d1, 0)), 0) AS f1, min((equity - p0) / p0) AS m0, min((equity_on - p1) / p1) AS m1 FROM sd GROUP BY ALL)""",
  body="SELECT cid::INTEGER AS cluster_id, round(median(f0), 5) AS pf_off, round(median(f1), 5) AS pf_on, round(median(m0), 5) + 0.0 AS dd_off, round(median(m1), 5) + 0.0 AS dd_on, count(*) AS cells FROM sc GROUP BY 1"))

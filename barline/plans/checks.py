@@ -128,7 +128,10 @@ def normal_cdf_sql(x: str) -> str:
 
     Fixed values: the polynomial coefficients 26.2.17 of Abramowitz and Stegun.
     """
-    t = f"(1.0D / (1.0D + 0.2316419D * abs({x})))".replace("D", "")
-    poly = f"{t} * (0.319381530 + {t} * (-0.356563782 + {t} * (1.781477937 + {t} * (-1.821255978 + {t} * 1.330274429))))"
-    tail = f"(exp(-({x}) * ({x}) / 2.0) / 2.5066282746310002 * ({poly}))"
-    return f"(CASE WHEN {x} >= 0 THEN 1.0 - {tail} ELSE {tail} END)"
+    t = f"(1.0::DOUBLE / (1.0 + 0.2316419::DOUBLE * abs({x})))"
+    coefs = (0.319381530, -0.356563782, 1.781477937, -1.821255978, 1.330274429)
+    poly = "0.0::DOUBLE"
+    for c in reversed(coefs):
+        poly = f"({poly} + {c}::DOUBLE) * {t}"
+    tail = f"(exp(-({x}) * ({x}) / 2) / 2.5066282746310002::DOUBLE * ({poly}))"
+    return f"(CASE WHEN {x} >= 0 THEN 1 - {tail} ELSE {tail} END)"
