@@ -7,7 +7,7 @@ from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, WindowSpec
 from pyspark.sql import functions as F
 
 EULER_GAMMA = 0.5772156649015329
@@ -26,6 +26,15 @@ def normal_cdf(x: Column) -> Column:
     return F.when(x >= 0, 1.0 - tail).otherwise(tail)
 
 
+def correlation(x: Column | str, y: Column | str, over: WindowSpec | None = None) -> Column:
+    """Pearson correlation of rows where both are known; NULL when either is constant."""
+    x, y = (F.col(c) if isinstance(c, str) else c for c in (x, y))
+    a, b = F.when(y.isNotNull(), x).cast("double"), F.when(x.isNotNull(), y).cast("double")
+    parts = [F.covar_pop(a, b), F.stddev_pop(a), F.stddev_pop(b)]
+    cov, sx, sy = parts if over is None else [p.over(over) for p in parts]
+    return F.when((sx > 1e-12) & (sy > 1e-12), F.try_divide(cov, sx * sy))
+
+
 def two_sided_p(z: Column) -> Column:
     return 2.0 * (1.0 - normal_cdf(F.abs(z)))
 

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barline.functions.stats import clopper_pearson, mean_vif
+from barline.functions.stats import clopper_pearson, correlation, mean_vif
 from barline.operators.quantiles import average_ranks
 
 
@@ -59,8 +59,7 @@ def spearman(long: DataFrame, keys: Sequence[str]) -> DataFrame:
         return F.rank().over(w.orderBy(c)) + (F.count(F.lit(1)).over(Window.partitionBy(*keys, c)) - 1) / 2
 
     ranked = long.withColumn("_rx", rank("x")).withColumn("_ry", rank("y"))
-    flat = (F.stddev_pop("_rx") == 0) | (F.stddev_pop("_ry") == 0)
-    return ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.when(~flat, F.corr("_rx", "_ry")).alias("rho"))
+    return ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), correlation("_rx", "_ry").alias("rho"))
 
 
 def vif(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:

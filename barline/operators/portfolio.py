@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from barline.functions.stats import correlation
 from barline.operators.coverage import present_in_all
 from barline.operators.indicators import by
 
@@ -71,11 +72,6 @@ def portfolio_metrics(portfolio: DataFrame, ppy: float) -> DataFrame:
     )
 
 
-def pair_correlation(a: Column, b: Column) -> Column:
-    flat = (F.stddev_pop(a) < TINY) | (F.stddev_pop(b) < TINY)
-    return F.when(~flat, F.corr(a, b))
-
-
 def mean_pairwise_correlation(returns: DataFrame, slots: list[str]) -> DataFrame:
     """Mean Pearson correlation over slot pairs.
 
@@ -83,6 +79,6 @@ def mean_pairwise_correlation(returns: DataFrame, slots: list[str]) -> DataFrame
     """
     wide = returns.groupBy("ts").pivot("slot", slots).agg(F.first("r"))
     pairs = [(a, b) for i, a in enumerate(slots) for b in slots[i + 1 :]]
-    cors = wide.agg(*[pair_correlation(F.col(a), F.col(b)).alias(f"{a}|{b}") for a, b in pairs])
+    cors = wide.agg(*[correlation(a, b).alias(f"{a}|{b}") for a, b in pairs])
     long = cors.select(F.explode(F.array(*[F.col(f"`{a}|{b}`") for a, b in pairs])).alias("c"))
     return long.agg(F.avg("c").alias("mean_correlation"), F.count("c").alias("pairs"))

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from barline.functions.stats import correlation
 from barline.operators.indicators import by
 from barline.operators.series import Run, rolling, running
 
@@ -136,6 +137,6 @@ def adjacent_correlation(df: DataFrame, axis: str, match: Sequence[str], value:
     nxt = df.select(axis).distinct().select(F.col(axis).alias("_a"), F.lead(axis).over(w).alias("_b")).filter("_b IS NOT NULL")
     left = df.select(*match, F.col(axis).alias("_a"), F.col(value).alias("_x")).join(nxt, "_a")
     right = df.select(*match, F.col(axis).alias("_b"), F.col(value).alias("_y"))
-    pairs = left.join(right, [*match, "_b"]).groupBy("_a", "_b").agg(F.corr("_x", "_y").alias("r"), F.count(F.lit(1)).alias("n"))
+    pairs = left.join(right, [*match, "_b"]).groupBy("_a", "_b").agg(correlation("_x", "_y").alias("r"), F.count(F.lit(1)).alias("n"))
     mid = pairs.agg(F.median("r")).scalar()
     return pairs.select(F.col("_a").alias(f"{axis}_a"), F.col("_b").alias(f"{axis}_b"), "r", "n", mid.alias("rho_bar"))

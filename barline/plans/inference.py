@@ -406,7 +406,7 @@ def _(spark, sf):
     j = daily_returns(spark, sf).select("symbol", "ts", "r").join(ref, "ts").withColumn("xlag", F.lag("xr").over(by(K)))
     j = j.join(j.groupBy("symbol").agg(F.median("value").alias("med")), "symbol")
     return j.groupBy("symbol").agg(
-        rows_as("n"), F.corr("r", "xr").alias("same_day"), F.corr("r", "xlag").alias("lag_one"),
+        rows_as("n"), st.correlation("r", "xr").alias("same_day"), st.correlation("r", "xlag").alias("lag_one"),
         F.avg(F.when(F.col("value") > F.col("med"), F.col("r"))).alias("high_mean"), F.avg(F.when(F.col("value") <= F.col("med"), F.col("r"))).alias("low_mean"),
     )
 
@@ -421,7 +421,7 @@ def _(spark, sf):
     w = by(K)
     r = r.withColumns({f"m{n}": F.sum("r").over(w.rowsBetween(-n, -1)) for n in (5, 10, 20)})
     long = r.select("symbol", "r", F.explode(F.array(*[F.struct(F.lit(n).alias("lookback"), F.col(f"m{n}").alias("m")) for n in (5, 10, 20)])).alias("x"))
-    return long.filter("x.m IS NOT NULL").groupBy("symbol", "x.lookback").agg(rows_as("n"), F.corr("x.m", "r").alias("predictive"))
+    return long.filter("x.m IS NOT NULL").groupBy("symbol", "x.lookback").agg(rows_as("n"), st.correlation("x.m", "r").alias("predictive"))
 
 
 _GI = f"""gn AS (SELECT *, row_number() OVER (PARTITION BY cell_id ORDER BY {TORD}) AS i, count(*) OVER (PARTITION BY cell_id) AS nn FROM trades),
@@ -495,13 +495,13 @@ def _(spark, sf):
     return g.withColumn("verdict", F.when(F.col("any_pass"), "ship").otherwise("hold"))
 
 
-@query("J31_regime_matrix", sql(SLOTS, _TL, _SGN, """fl AS (SELECT event, CASE WHEN pair IN ('P0', 'P1') THEN 'major' WHEN pair = 'P2' THEN 'cross' ELSE 'carry' END AS flow, long, short FROM tl)""", """cr AS (SELECT event, abs(corr(p0, p1)) AS c FROM sgw WHERE p0 + p1 + p2 + p3 IS NOT NULL GROUP BY 1)""", body="SELECT flow, event, round(sum(long) / sum(long + short)::DOUBLE, 6) AS agreement, any_value(CASE WHEN flow = 'major' THEN c > 0.7 ELSE false END) AS independence_broken FROM fl JOIN cr USING (event) GROUP BY ALL"))
+@query("J31_regime_matrix", sql(SLOTS, _TL, _SGN, """fl AS (SELECT event, CASE WHEN pair IN ('P0', 'P1') THEN 'major' WHEN pair = 'P2' THEN 'cross' ELSE 'carry' END AS flow, long, short FROM tl)""", """cr AS (SELECT event, CASE WHEN stddev_pop(p0) > 0 AND stddev_pop(p1) > 0 THEN abs(corr(p0, p1)) ELSE 0 END AS c FROM sgw WHERE p0 + p1 + p2 + p3 IS NOT NULL GROUP BY 1)""", body="SELECT flow, event, round(sum(long) / sum(long + short)::DOUBLE, 6) AS agreement, any_value(CASE WHEN flow = 'major' THEN c > 0.7 ELSE false END) AS independence_broken FROM fl JOIN cr USING (event) GROUP BY ALL"))
 def _(spark, sf):
     flow = F.when(F.col("pair").isin("P0", "P1"), "major").when(F.col("pair") == "P2", "cross").otherwise("carry")
     t = tally(T.slot_reports(spark, sf)).withColumn("flow", flow)
     cell = t.groupBy("flow", "event").agg((F.sum("long") / F.sum(F.col("long") + F.col("short"))).alias("agreement"))
     # Only the first row joins several pairs, so only it can lose independence.
-    tie = sign_wide(spark, sf).groupBy("event").agg(F.abs(F.corr("p0", "p1")).alias("c"))
+    tie = sign_wide(spark, sf).groupBy("event").agg(F.coalesce(F.abs(st.correlation("p0", "p1")), F.lit(0.0)).alias("c"))
     broken = F.when(F.col("flow") == "major", F.col("c") > 0.7).otherwise(False)
     return cell.join(tie, "event").select("flow", "event", "agreement", broken.alias("independence_broken"))
 

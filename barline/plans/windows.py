@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from barline.functions import calendar as cal
+from barline.functions.stats import correlation
 from barline.operators import imbalance, states
 from barline.operators import indicators as ind
 from barline.operators.accounting import sticky_position
@@ -174,7 +175,7 @@ def _(spark, sf):
 def _(spark, sf):
     j = T.daily_prices(spark, sf).select("symbol", "ts", "close").join(T.reference_series(spark, sf), "ts")
     f = by(K).rowsBetween(-59, 0)
-    return j.select("symbol", "ts", F.round(F.when(F.count(F.lit(1)).over(f) >= 60, F.corr("close", "value").over(f)), 5).alias("corr60"))
+    return j.select("symbol", "ts", F.round(F.when(F.count(F.lit(1)).over(f) >= 60, correlation("close", "value", f)), 5).alias("corr60"))
 
 
 CF = "PARTITION BY cell_id, fold ORDER BY " + TORD

@@ -18,7 +18,10 @@ def main() -> int:
 
     sf = os.environ.get("SF_DIR", "/root/testdata/sf0.01")
     spark = local_session(8)
-    spark.sparkContext.setLogLevel("ERROR")
+    spark.sparkContext.setLogLevel("OFF")
+    import logging
+
+    logging.disable(logging.CRITICAL)
     con = connect(sf)
     checks = entry.oracle_sql()
     failed = 0
