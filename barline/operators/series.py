@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from barline.session import settle
 
-PART = "_part"
+PART, SEQ = "_part", "_seq"
 
 
 @dataclass(frozen=True)
@@ -55,45 +55,54 @@ def _combine(kind: str, carry: Column, local: Column) -> Column:
     return F.coalesce(carry, local)
 
 
-def partition_series(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
-    """Contiguous stretches of each key's series, tagged with ``_part``."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = df.repartitionByRange(n, *[F.col(k) for k in keys], *order)
-    return settle(spread.withColumn(PART, F.spark_partition_id()))
+def place(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
+    """Rows in key and order sequence, spread over range partitions.
+
+    ``_seq`` is a global row sequence whose upper bits are the partition; its
+    size follows the session's advisory partition size, not the keys.
+    """
+    cols = [F.col(k) for k in keys]
+    spread = df.repartitionByRange(*cols, *order).sortWithinPartitions(*cols, *order)
+    return settle(spread.withColumn(SEQ, F.monotonically_increasing_id()), "series")
 
 
 def running(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[Column | str],
-    runs: dict[str, Run],
+    *stages: dict[str, Run],
 ) -> DataFrame:
     """Running aggregates per key in ``order`` (which must be a total order).
 
     Two levels: running values inside each range partition, plus the totals of
     the partitions before it.  The totals table has at most
-    ``#keys + #partitions`` rows.
+    ``#keys + #partitions`` rows.  Several stages share one placement; a later
+    stage may use the columns of the earlier ones.
     """
-    work = df
-    for name, run in runs.items():
-        work = work.withColumn(f"_in_{name}", run.value)
-    work = partition_series(work, keys, order)
+    placed = place(df, keys, order)
+    for runs in stages:
+        placed = _run(placed, list(keys), runs)
+    return placed.drop(SEQ)
+
+
+def _run(placed: DataFrame, keys: list[str], runs: dict[str, Run]) -> DataFrame:
+    part = F.shiftright(SEQ, 33)
+    columns = placed.columns
+    work = placed.withColumn(PART, part).withColumns({f"_in_{n}": r.value for n, r in runs.items()})
 
-    inside = Window.partitionBy(*keys, PART).orderBy(*order)
+    inside = Window.partitionBy(*keys, PART).orderBy(SEQ)
     up_to = inside.rowsBetween(Window.unboundedPreceding, 0)
     before = inside.rowsBetween(Window.unboundedPreceding, -1)
     local = work.select(
-        *df.columns,
+        *columns,
         PART,
-        *[f"_in_{n}" for n in runs],
-        F.row_number().over(inside).alias("_seq"),
         *[
             _aggregate(r.kind, F.col(f"_in_{n}")).over(up_to if r.inclusive else before).alias(f"_loc_{n}")
             for n, r in runs.items()
         ],
     )
 
-    totals = local.groupBy(*keys, PART).agg(
+    totals = work.groupBy(*keys, PART).agg(
         *[_partition_total(r.kind, F.col(f"_in_{n}")).alias(f"_tot_{n}") for n, r in runs.items()]
     )
     earlier = Window.partitionBy(*keys).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
@@ -105,7 +114,7 @@ def running(
     on = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)] + [F.col(PART) == F.col("_kp")]
     joined = local.join(carries, on, "left")
     return joined.select(
-        *df.columns,
+        *columns,
         *[_combine(r.kind, F.col(f"_car_{n}"), F.col(f"_loc_{n}")).alias(n) for n, r in runs.items()],
     )
 
@@ -114,7 +123,7 @@ def _partition_total(kind: str, value: Column) -> Column:
     """The aggregate over one (key, partition); first/last follow the order."""
     if kind not in ("first", "last"):
         return _aggregate(kind, value)
-    rank = F.when(value.isNotNull(), F.col("_seq"))
+    rank = F.when(value.isNotNull(), F.col(SEQ))
     return (F.max_by if kind == "last" else F.min_by)(value, rank)
 
 

@@ -61,9 +61,9 @@ def loss_streak(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Dat
     so a long island of losses is never one task.
     """
     pnl = F.col("pnl")
-    work = running(df, keys, order, {"_lost": Run("count", F.when(pnl < 0, 1))})
-    at_win = Run("last", F.when(pnl > 0, F.col("_lost")))
-    done = running(work, keys, order, {"_base": at_win})
+    losses = {"_lost": Run("count", F.when(pnl < 0, 1))}
+    at_win = {"_base": Run("last", F.when(pnl > 0, F.col("_lost")))}
+    done = running(df, keys, order, losses, at_win)
     return done.withColumn("streak", F.col("_lost") - F.coalesce("_base", F.lit(0))).drop("_lost", "_base")
 
 

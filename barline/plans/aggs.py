@@ -17,6 +17,7 @@ from barline.plans.joins import _WIDE, grid_anchors
 from barline.plans.registry import query
 from barline.plans.rows import _CELLS, _VOL, cells, vol_labels
 from barline.plans.shapes import four_hourly, hourly, rows_as
+from barline.session import settle
 from barline.sources import tables as T
 
 _ROUND_BARS = "SELECT symbol, ts, round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, round(close, 6) AS close, volume FROM "
@@ -104,7 +105,8 @@ cellp AS (SELECT *, gross_profit / nullif(gross_loss, 0) AS profit_factor, gross
 
 
 def study_scores(spark, sf):
-    return imbalance.features(imbalance.bucket_totals(T.fast_quotes(spark, sf)))
+    # The bucket table is read by the thresholds and by the events.
+    return imbalance.features(settle(imbalance.bucket_totals(T.fast_quotes(spark, sf)), "buckets"))
 
 
 def study_events(spark, sf):

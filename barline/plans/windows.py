@@ -197,15 +197,14 @@ def _(spark, sf):
 
 @query("E25_drawdown", sql(TRADES, f"c AS (SELECT *, product(1 + pnl / 100000) OVER ({CF}) AS e FROM trades)", f"d AS (SELECT *, max(e) OVER ({CF}) AS p FROM c)", body="SELECT cell_id, fold, round(min((e - p) / p), 6) + 0.0 AS max_drawdown, round(avg((e - p) / p), 6) + 0.0 AS mean_drawdown FROM d GROUP BY ALL"))
 def _(spark, sf):
-    eq = running(T.trades(spark, sf), KEYS, ORD, {"e": Run("product", 1 + F.col("pnl") / 100_000)})
-    dd = running(eq, KEYS, ORD, {"p": Run("max", F.col("e"))}).withColumn("dd", (F.col("e") - F.col("p")) / F.col("p"))
+    growth, peak = {"e": Run("product", 1 + F.col("pnl") / 100_000)}, {"p": Run("max", F.col("e"))}
+    dd = running(T.trades(spark, sf), KEYS, ORD, growth, peak).withColumn("dd", (F.col("e") - F.col("p")) / F.col("p"))
     return dd.groupBy(*KEYS).agg(F.min("dd").alias("max_drawdown"), F.avg("dd").alias("mean_drawdown"))
 
 
 @query("E26_drawdown_bps", sql(TRADES, f"c AS (SELECT *, sum(pnl) OVER ({CF}) AS e FROM trades)", f"d AS (SELECT *, greatest(max(e) OVER ({CF}), 0) AS p FROM c)", body="SELECT cell_id, fold, min(e - p) AS max_drawdown FROM d GROUP BY ALL"))
 def _(spark, sf):
-    eq = running(T.trades(spark, sf), KEYS, ORD, {"e": Run("sum", F.col("pnl"))})
-    dd = running(eq, KEYS, ORD, {"p": Run("max", F.col("e"))})
+    dd = running(T.trades(spark, sf), KEYS, ORD, {"e": Run("sum", F.col("pnl"))}, {"p": Run("max", F.col("e"))})
     return dd.groupBy(*KEYS).agg(F.min(F.col("e") - F.greatest(F.col("p"), F.lit(0.0))).alias("max_drawdown"))
 
 

@@ -52,11 +52,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/barline-{name}-{uuid.uuid4().hex}"
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Write the rows to reliable storage and cut the lineage there.
+def settle(df: DataFrame, name: str = "settled") -> DataFrame:
+    """Write the rows as a table in the shared folder and go on from there.
 
-    Needed where later steps rely on how rows were placed (range partition
-    numbers): a re-run task must not see another placement.
+    Needed where later steps rely on how rows were placed (row sequence numbers
+    of a range partitioning), which a re-run task must not see differently, and
+    where an intermediate result is read several times.  Parquet keeps later
+    reads prunable; a lost executor costs nothing but re-reading files.
     """
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
