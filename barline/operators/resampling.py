@@ -63,38 +63,38 @@ def block_bootstrap_means(df: DataFrame, keys: Sequence[str], order: Sequence[st
     the key's row count.
     """
     base = df.select(*keys, *order, value.alias("_x"))
-    prefix = running(base, keys, order, {"i": Run("count", F.lit(1)), "s": Run("sum", F.col("_x"))})
-    prefix = prefix.select(*keys, "i", "s")
-    size = prefix.groupBy(*keys).agg(F.max("i").alias("n"), F.max_by("s", "i").alias("total"))
+    prefix = running(base, keys, order, {"_i": Run("count", F.lit(1)), "_s": Run("sum", F.col("_x"))})
+    prefix = prefix.select(*keys, "_i", "_s")
+    size = prefix.groupBy(*keys).agg(F.max("_i").alias("_n"), F.max_by("_s", "_i").alias("_total"))
 
     # Enough blocks that their lengths exceed n; the last one takes what is left.
-    mean_len = F.greatest(F.sqrt("n"), F.lit(1.0))
+    mean_len = F.greatest(F.sqrt("_n"), F.lit(1.0))
     p = F.least(F.greatest(1.0 / mean_len, F.lit(1e-6)), F.lit(1 - 1e-6))
-    count = (F.ceil(F.col("n") / mean_len) * 2 + 50).cast("int")
-    blocks = replicates(size, n).withColumn("k", F.explode(F.sequence(F.lit(1), count)))
-    draw = lambda salt: uniform(F.col("k"), F.col("rep"), seed + salt)
+    count = (F.ceil(F.col("_n") / mean_len) * 2 + 50).cast("int")
+    blocks = replicates(size, n).withColumn("_k", F.explode(F.sequence(F.lit(1), count)))
+    draw = lambda salt: uniform(F.col("_k"), F.col("rep"), seed + salt)
     u = F.greatest(draw(0), F.lit(1e-12))
-    blocks = blocks.withColumn("len", F.floor(F.log(1.0 - u) / F.log(1.0 - p)) + 1)
-    blocks = blocks.withColumn("start", F.floor(draw(1) * F.col("n")))
-    w = Window.partitionBy(*keys, "rep").orderBy("k")
-    done = F.coalesce(F.sum("len").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    blocks = blocks.withColumn("done", done).filter("done < n")
-    last = F.row_number().over(Window.partitionBy(*keys, "rep").orderBy(F.desc("k"))) == 1
-    left = F.col("n") - F.col("done")
-    blocks = blocks.withColumn("len", F.when(last, left).otherwise(F.least(F.col("len"), left)))
+    blocks = blocks.withColumn("_len", F.floor(F.log(1.0 - u) / F.log(1.0 - p)) + 1)
+    blocks = blocks.withColumn("_start", F.floor(draw(1) * F.col("_n")))
+    w = Window.partitionBy(*keys, "rep").orderBy("_k")
+    done = F.coalesce(F.sum("_len").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = blocks.withColumn("_done", done).filter("_done < _n")
+    last = F.row_number().over(Window.partitionBy(*keys, "rep").orderBy(F.desc("_k"))) == 1
+    left = F.col("_n") - F.col("_done")
+    blocks = blocks.withColumn("_len", F.when(last, left).otherwise(F.least(F.col("_len"), left)))
 
     # Sum of a block = prefix at its end minus prefix at its start, plus the wrap.
-    end = F.col("start") + F.col("len")
-    wraps = end > F.col("n")
+    end = F.col("_start") + F.col("_len")
+    wraps = end > F.col("_n")
     asks = F.array(
-        F.struct(F.when(wraps, end - F.col("n")).otherwise(end).alias("i"), F.lit(1).alias("sign")),
-        F.struct(F.col("start").alias("i"), F.lit(-1).alias("sign")),
+        F.struct(F.when(wraps, end - F.col("_n")).otherwise(end).alias("_i"), F.lit(1).alias("_sign")),
+        F.struct(F.col("_start").alias("_i"), F.lit(-1).alias("_sign")),
     )
-    asked = blocks.select(*keys, "rep", "n", F.when(wraps, F.col("total")).otherwise(0.0).alias("extra"), F.posexplode(asks).alias("which", "a"))
-    asked = asked.select(*keys, "rep", "n", F.when(F.col("which") == 0, F.col("extra")).otherwise(0.0).alias("extra"), "a.*")
-    hit = asked.join(prefix, [*keys, "i"], "left")
-    part = F.col("extra") + F.col("sign") * F.coalesce("s", F.lit(0.0))
-    return hit.groupBy(*keys, "rep").agg((F.sum(part) / F.max("n")).alias("mean"))
+    asked = blocks.select(*keys, "rep", "_n", F.when(wraps, F.col("_total")).otherwise(0.0).alias("_extra"), F.posexplode(asks).alias("_which", "_a"))
+    asked = asked.select(*keys, "rep", "_n", F.when(F.col("_which") == 0, F.col("_extra")).otherwise(0.0).alias("_extra"), "_a.*")
+    hit = asked.join(prefix, [*keys, "_i"], "left")
+    part = F.col("_extra") + F.col("_sign") * F.coalesce("_s", F.lit(0.0))
+    return hit.groupBy(*keys, "rep").agg((F.sum(part) / F.max("_n")).alias("mean"))
 
 
 def interval(means: DataFrame, keys: Sequence[str], n: int, level: float = 0.95) -> DataFrame:

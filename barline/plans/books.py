@@ -276,7 +276,7 @@ def _(spark, sf):
     return portfolio.combined_equity(portfolio.combined_returns(r, portfolio.weights(r), "inverse_vol"))
 
 
-@query("I20_portfolio_metrics", sql(*QB, *_SLOTEQ, "pk AS (SELECT *, greatest(max(equity) OVER (ORDER BY ts), 1) AS peak FROM pe)", body="""SELECT bars, round(sharpe, 5) AS sharpe, round(max_drawdown, 6) AS max_drawdown, round(last_equity, 6) AS last_equity, round(pow(last_equity, 8760.0 / (bars + 1)) - 1, 5) AS cagr, round((pow(last_equity, 8760.0 / (bars + 1)) - 1) / abs(max_drawdown), 4) AS calmar FROM (
+@query("I20_portfolio_metrics", sql(*QB, *_SLOTEQ, "pk AS (SELECT *, greatest(max(equity) OVER (ORDER BY ts), 1) AS peak FROM pe)", body="""SELECT bars, round(sharpe, 5) AS sharpe, round(max_drawdown, 6) AS max_drawdown, round(last_equity, 6) AS last_equity, round(pow(last_equity, 8760.0 / (bars + 1)) - 1, 5) AS cagr, CASE WHEN abs(max_drawdown) < 1e-12 THEN 0 ELSE round((pow(last_equity, 8760.0 / (bars + 1)) - 1) / abs(max_drawdown), 4) END AS calmar FROM (
  SELECT count(*) AS bars, avg(r) / stddev_pop(r) * sqrt(8760) AS sharpe, least(min((equity - peak) / peak), 0) AS max_drawdown, arg_max(equity, ts) AS last_equity FROM pk)"""))
 def _(spark, sf):
     r = slot_returns(spark, sf)

@@ -132,14 +132,14 @@ _DTR = """dtr0 AS (SELECT *, lag(close) OVER (PARTITION BY symbol ORDER BY ts) A
 tr AS (SELECT *, greatest(high - low, coalesce(abs(high - pc), high - low), coalesce(abs(low - pc), high - low)) AS tr FROM dtr0)"""
 
 
-@query("E14_pooled_quantiles", sql(DAILY, _DTR, _WILDER, body="""SELECT symbol, ts, round(watr, 5) AS watr, round(lo, 5) AS q33, round(hi, 5) AS q67,
+@query("E14_pooled_quantiles", sql(DAILY, _DTR, _WILDER, body="""SELECT symbol, ts, round(watr, 6) AS watr, round(lo, 6) AS q33, round(hi, 6) AS q67,
  CASE WHEN watr IS NULL THEN 'VOL_NA' WHEN watr < lo THEN 'VOL_LOW' WHEN watr < hi THEN 'VOL_MID' ELSE 'VOL_HIGH' END AS bucket FROM (
  SELECT *, quantile_cont(watr, 0.33) OVER p AS lo, quantile_cont(watr, 0.67) OVER p AS hi FROM w1 WINDOW p AS (ORDER BY ts, symbol ROWS 89 PRECEDING))"""))
 def _(spark, sf):
     vol = ind.with_wilder_atr(T.daily_prices(spark, sf), K)
     pooled = states.pooled_quantiles(vol, "watr", 30 * 3, {"q33": 0.33, "q67": 0.67}, ["ts", "symbol"])
     labelled = pooled.withColumn("bucket", states.vol_bucket(F.col("watr"), F.col("q33"), F.col("q67")))
-    return labelled.select("symbol", "ts", "bucket", *[F.round(c, 5).alias(c) for c in ("watr", "q33", "q67")])
+    return labelled.select("symbol", "ts", "bucket", "watr", "q33", "q67")
 
 
 _RSI = """dl AS (SELECT *, close - lag(close) OVER (PARTITION BY symbol ORDER BY ts) AS d, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS rn FROM bars),
