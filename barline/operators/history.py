@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ from barline.functions.draws import mix_value, uniform
 from barline.operators.accounting import account, performance
 from barline.operators.indicators import by
 from barline.operators.lookup import rows_by_grid
+from barline.operators.rules import ordered_pass, position_to_signal
 
 DAYS_PER_MONTH = 30.44
 
@@ -96,35 +99,28 @@ def aggregate_walks(walks: DataFrame, keys: Sequence[str], ppy: float, gates: di
     return out.withColumn("passed", ok)
 
 
-def cross_signal(short: str, long: str, periods: Sequence[int]) -> Callable[[DataFrame, list[str]], DataFrame]:
-    """Moving-average cross whose periods are columns of the row.
+def sweep(df: DataFrame, keys: Sequence[str], grid: Sequence[tuple[int, int]], fee: float, ppy: float) -> DataFrame:
+    """Moving-average cross metrics per key and parameter pair, all in one job.
 
-    Every distinct period is one window column; the row picks its own.
+    Each distinct period is averaged once per bar, before the rows are repeated
+    per pair.  The repeated rows are spread by (key, pair): with few symbols and
+    many pairs, a partitioning by symbol alone would leave most tasks idle.
     """
+    keys = list(keys)
+    w = by(keys)
 
-    def build(df: DataFrame, keys: list[str]) -> DataFrame:
-        w = by(keys)
-
-        def mean(n: int) -> Column:
-            f = w.rowsBetween(-(n - 1), 0)
-            return F.when(F.count("close").over(f) == n, F.avg("close").over(f))
-
-        means = {n: mean(n) for n in sorted(set(periods))}
-        pick = lambda c: F.coalesce(*[F.when(F.col(c) == n, m) for n, m in means.items()])
-        work = df.withColumn("_s", pick(short)).withColumn("_l", pick(long))
-        work = work.withColumn("position", F.when(F.col("_s") > F.col("_l"), 1).when(F.col("_s") < F.col("_l"), -1).otherwise(0))
-        step = F.col("position") - F.lag("position").over(w)
-        signal = F.coalesce(F.greatest(F.lit(-1), F.least(F.lit(1), step)), F.lit(0)).cast("int")
-        return work.withColumn("signal", signal).drop("_s", "_l")
-
-    return build
+    def mean(n: int) -> Column:
+        f = w.rowsBetween(-(n - 1), 0)
+        return F.when(F.count("close").over(f) == n, F.avg("close").over(f))
 
-
-def sweep(df: DataFrame, keys: Sequence[str], grid: Sequence[tuple[int, int]], fee: float, ppy: float) -> DataFrame:
-    """Metrics per key and parameter pair, all pairs in one job."""
-    wide = rows_by_grid(df, [("short_n", "long_n")], grid)
-    signal = cross_signal("short_n", "long_n", [n for pair in grid for n in pair])
-    return evaluate(wide, [*keys, "param_id", "short_n", "long_n"], signal, fee, ppy)
+    periods = sorted({n for pair in grid for n in pair})
+    averaged = df.select(*keys, "ts", "close", *[mean(n).alias(f"_m{n}") for n in periods])
+    wide = rows_by_grid(averaged, [("short_n", "long_n")], grid)
+    pick = lambda c: F.coalesce(*[F.when(F.col(c) == n, F.col(f"_m{n}")) for n in periods])
+    side = F.when(pick("short_n") > pick("long_n"), 1).when(pick("short_n") < pick("long_n"), -1).otherwise(0)
+    full = [*keys, "param_id", "short_n", "long_n"]
+    work = wide.select(*full, "ts", "close", side.alias("position")).repartition(*[F.col(k) for k in full])
+    return performance(account(position_to_signal(work, full), full, fee), full, ppy)
 
 
 def jittered(base: tuple[int, int], n: int, pct: float, seed: int) -> list[tuple[int, int]]:
@@ -178,11 +174,6 @@ def stopped_accounting(df: DataFrame, keys: Sequence[str], fee: float, mode: int
     same bar; no re-entry on the bar of an exit, nor on the bar after a flatten.
     One ordered pass per key over bars.
     """
-    import numpy as np
-    import pandas as pd
-
-    from barline.operators.rules import ordered_pass
-
     def distance(mult, pct, atr, price):
         if mult is not None and not np.isnan(atr):
             return atr * mult

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barline.operators.asof import asof_forward_grid
+from barline.operators.asof import first_quote_per_slot
 from barline.operators.bars import floor_micros
 from barline.operators.quantiles import exact_percentiles
 from barline.operators.series import Run, running
@@ -57,8 +57,9 @@ def features(
     bucket_seconds: int = BUCKET_SECONDS,
     lookbacks: Sequence[int] = LOOKBACK_SECONDS,
     families: Sequence[str] = FAMILIES,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
-    """Imbalance scores per family and lookback, in long form.
+    """Imbalance scores per family and lookback, in long form, with ``carry``.
 
     A lookback counts observed buckets (ROWS), not elapsed time.  All scores
     come from one pass over the window, then unfold: no union of scans.
@@ -82,8 +83,9 @@ def features(
                     F.when(a + b <= 0, reason).alias("missing_reason"),
                 )
             )
-    wide = totals.select("symbol", "entry_us", F.array(*parts).alias("f"))
-    return wide.select("symbol", "entry_us", F.explode("f").alias("f")).select("symbol", "entry_us", "f.*")
+    base = ["symbol", "entry_us", *carry]
+    wide = totals.select(*base, F.array(*parts).alias("f"))
+    return wide.select(*base, F.explode("f").alias("f")).select(*base, "f.*")
 
 
 def thresholds(scores: DataFrame, in_sample_end_us: int, exact: bool = False) -> DataFrame:
@@ -139,20 +141,51 @@ def pnl_bps(stance_: Column, entry_bid: Column, entry_ask: Column, exit_bid: Col
     return gross - FEE_BPS_ROUNDTRIP - SLIPPAGE_BPS_ROUNDTRIP
 
 
-def priced_events(ev: DataFrame, quotes: DataFrame, step_us: int = 30_000_000) -> DataFrame:
-    """Events with entry and exit quotes; a missing quote leaves pnl NULL."""
-    table = asof_forward_grid(anchors(ev), quotes, ["symbol"], "anchor_us", step_us)
-    ent = table.select("symbol", F.col("anchor_us").alias("entry_us"), F.col("bid").alias("entry_bid"), F.col("ask").alias("entry_ask"))
-    ext = table.select("symbol", F.col("anchor_us").alias("exit_us"), F.col("bid").alias("exit_bid"), F.col("ask").alias("exit_ask"))
-    both = ev.join(ent, ["symbol", "entry_us"], "left").join(ext, ["symbol", "exit_us"], "left")
+def with_quote_paths(
+    totals: DataFrame, quotes: DataFrame, horizons: Sequence[int] = HORIZON_SECONDS, step_us: int = 30_000_000
+) -> DataFrame:
+    """Adds to each bucket its ``entry`` quote and one ``exit_<h>`` per horizon.
+
+    An anchor takes the earliest quote of its own grid step or the next one.
+    Quotes shrink to one row per step first; every such row then offers itself
+    to the buckets it can serve, and one aggregate collects them.  The join runs
+    at bucket size, before scores, thresholds, directions and horizons multiply
+    the rows.
+    """
+    slot = first_quote_per_slot(quotes, ["symbol"], step_us)
+    delays = {"entry": 0, **{f"exit_{h}": h * 1_000_000 for h in horizons}}
+    roles = F.array(
+        *[
+            F.struct((F.col("slot_us") - late - delay).alias("entry_us"), F.lit(role).alias("role"))
+            for role, delay in delays.items()
+            for late in (0, step_us)
+        ]
+    )
+    offers = slot.select("symbol", "q", F.explode(roles).alias("r")).select("symbol", "q", "r.*")
+    paths = offers.groupBy("symbol", "entry_us").agg(
+        *[F.min(F.when(F.col("role") == role, F.col("q"))).alias(role) for role in delays]
+    )
+    return totals.join(paths, ["symbol", "entry_us"], "left")
+
+
+def priced(ev: DataFrame, horizons: Sequence[int] = HORIZON_SECONDS) -> DataFrame:
+    """Events with entry and exit prices; a missing quote leaves pnl NULL."""
+    out = F.coalesce(*[F.when(F.col("horizon_seconds") == h, F.col(f"exit_{h}")) for h in horizons])
+    both = ev.withColumn("_x", out).select(
+        *[c for c in ev.columns if c != "entry" and not c.startswith("exit_") or c == "exit_us"],
+        F.col("entry.bid").alias("entry_bid"),
+        F.col("entry.ask").alias("entry_ask"),
+        F.col("_x.bid").alias("exit_bid"),
+        F.col("_x.ask").alias("exit_ask"),
+    )
     cost = pnl_bps(F.col("stance"), F.col("entry_bid"), F.col("entry_ask"), F.col("exit_bid"), F.col("exit_ask"))
     return both.withColumn("pnl_net", cost)
 
 
-def cell_summary(priced: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
+def cell_summary(trades: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
     """Counts, profit factor and a tail p-value per cell."""
     p = F.col("pnl_net")
-    agg = priced.groupBy(*keys).agg(
+    agg = trades.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("event_count"),
         F.count_if(F.col("entry_bid").isNull()).alias("missing_entry"),
         F.count_if(F.col("exit_bid").isNull()).alias("missing_exit"),

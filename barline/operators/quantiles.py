@@ -9,17 +9,31 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barline.operators.series import Run, running
+from barline.session import settle
+
+# Rows of distinct values that a single task may order.
+WINDOW_ROWS = 2_000_000
 
 
 def value_ranks(df: DataFrame, keys: Sequence[str], value: Column) -> DataFrame:
-    """Distinct values per key with ``n_eq``, ``n_le`` and ``n_lt``."""
+    """Distinct values per key with ``n_eq``, ``n_le``, ``n_lt`` and the size ``n``.
+
+    The counts are written once and their number is checked: a small table is
+    ranked by a plain window, a large one by the two-level running count.
+    """
     keyed = df.select(*keys, value.alias("value")).filter("value IS NOT NULL")
-    counts = keyed.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("n_eq"))
-    ranked = running(counts, keys, ["value"], {"n_le": Run("sum", F.col("n_eq"))})
+    counts = settle(keyed.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("n_eq")), "counts")
+    if counts.count() <= WINDOW_ROWS:
+        group = Window.partitionBy(*keys)
+        so_far = group.orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+        ranked = counts.withColumn("n_le", F.sum("n_eq").over(so_far)).withColumn("n", F.sum("n_eq").over(group))
+    else:
+        ranked = running(counts, keys, ["value"], {"n_le": Run("sum", F.col("n_eq"))})
+        ranked = ranked.join(counts.groupBy(*keys).agg(F.sum("n_eq").alias("n")), list(keys))
     return ranked.withColumn("n_lt", F.col("n_le") - F.col("n_eq"))
 
 
@@ -27,17 +41,14 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: Column, qs: dic
     """Linearly interpolated quantiles per key, plus the row count ``n``."""
     if not keys:
         return exact_percentiles(df.withColumn("_all", F.lit(1)), ["_all"], value, qs).drop("_all")
-    ranked = value_ranks(df, keys, value)
-    sizes = ranked.groupBy(*keys).agg(F.max("n_le").alias("n"))
     picks = []
-    placed = ranked.join(sizes, list(keys))
     for name, q in qs.items():
         pos = F.lit(q) * (F.col("n") - 1)
         lo, hi = F.floor(pos), F.ceil(pos)
         at = lambda p: F.max(F.when((F.col("n_lt") <= p) & (p < F.col("n_le")), F.col("value")))
         frac = F.max(pos - lo)
         picks.append((at(lo) + (at(hi) - at(lo)) * frac).alias(name))
-    return placed.groupBy(*keys).agg(F.max("n").alias("n"), *picks)
+    return value_ranks(df, keys, value).groupBy(*keys).agg(F.max("n").alias("n"), *picks)
 
 
 def average_ranks(df: DataFrame, keys: Sequence[str], value: Column) -> DataFrame:

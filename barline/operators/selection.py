@@ -24,6 +24,17 @@ def _beats(objectives: Sequence[str], winner: str) -> Column:
     return ge & gt
 
 
+def _front_of(points: np.ndarray) -> np.ndarray:
+    """Front of one batch: the point of largest sum is never dominated, and
+    drops all it dominates at once, so the loop runs once per front point."""
+    front = []
+    while len(points):
+        best = points[np.argmax(points.sum(axis=1))]
+        front.append(best)
+        points = points[(points > best).any(axis=1)]
+    return np.asarray(front).reshape(-1, points.shape[1])
+
+
 def pareto_front(df: DataFrame, objectives: Sequence[str]) -> DataFrame:
     """Rows no other row dominates; every objective is maximised.
 
@@ -36,21 +47,10 @@ def pareto_front(df: DataFrame, objectives: Sequence[str]) -> DataFrame:
     vectors = df.select(*objs).na.drop().distinct()
 
     def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept = None
+        kept = np.empty((0, len(objs)))
         for b in batches:
-            v = b.to_numpy(dtype=float)
-            if kept is not None:
-                v = np.vstack([kept, v])
-            v = v[np.lexsort(v.T[::-1])[::-1]]
-            front: list[np.ndarray] = []
-            for row in v:
-                if front:
-                    f = np.asarray(front)
-                    if ((f >= row).all(axis=1) & (f > row).any(axis=1)).any():
-                        continue
-                front.append(row)
-            kept = np.asarray(front)
-        if kept is not None and len(kept):
+            kept = _front_of(np.vstack([kept, b.to_numpy(dtype=float)]))
+        if len(kept):
             yield pd.DataFrame(kept, columns=objs)
 
     schema = ", ".join(f"{o} double" for o in objs)

@@ -114,6 +114,16 @@ def study_events(spark, sf):
     return imbalance.events(scores, imbalance.thresholds(scores, _STUDY_END, exact=True))
 
 
+def study_priced(spark, sf):
+    """Priced events: quotes join at bucket size, before the family unfolds."""
+    q = T.fast_quotes(spark, sf)
+    buckets = settle(imbalance.with_quote_paths(imbalance.bucket_totals(q), q), "buckets")
+    paths = ["entry", *[f"exit_{h}" for h in imbalance.HORIZON_SECONDS]]
+    scores = imbalance.features(buckets, carry=paths)
+    limits = imbalance.thresholds(scores, _STUDY_END, exact=True)
+    return imbalance.priced(imbalance.events(scores, limits))
+
+
 @query("D08_event_counts", sql(FAST, _SLOT30, STUDY_SCORES, body="SELECT symbol, score_family, lookback_seconds, threshold, direction, horizon_seconds, count(*) AS n FROM ev GROUP BY ALL"))
 def _(spark, sf):
     return study_events(spark, sf).groupBy(*imbalance.KEY).agg(rows_as("n"))
@@ -153,7 +163,7 @@ def _(spark, sf):
 @query("D11_cell_pnl_summary", sql(FAST, _SLOT30, STUDY_SCORES, STUDY_PRICED, STUDY_CELLS, body="""SELECT symbol, score_family, lookback_seconds, threshold, direction, horizon_seconds, event_count, missing_entry, missing_exit, num_trades, round(gross_profit, 4) AS gross_profit,
  round(gross_loss, 4) AS gross_loss, round(mean_net, 5) AS mean_net, round(std_net, 5) AS std_net, round(profit_factor, 5) AS profit_factor, pf_infinite, round(p_raw, 5) AS p_raw, min_trades, num_trades < min_trades AS sparse FROM cellp"""))
 def _(spark, sf):
-    out = imbalance.cell_summary(imbalance.priced_events(study_events(spark, sf), T.fast_quotes(spark, sf)))
+    out = imbalance.cell_summary(study_priced(spark, sf))
     places = {"gross_profit": 4, "gross_loss": 4, "mean_net": 5, "std_net": 5, "profit_factor": 5, "p_raw": 5}
     return out.withColumns({c: F.round(c, d) for c, d in places.items()})
 
@@ -170,7 +180,7 @@ def _(spark, sf):
 
 @query("D13_sparse_gate", sql(FAST, _SLOT30, STUDY_SCORES, STUDY_PRICED, STUDY_CELLS, body="""SELECT symbol, horizon_seconds, count(*) FILTER (num_trades < min_trades) AS sparse_cells, count(*) FILTER (num_trades >= min_trades) AS dense_cells, max(min_trades) AS min_trades FROM cellp GROUP BY ALL"""))
 def _(spark, sf):
-    c = imbalance.cell_summary(imbalance.priced_events(study_events(spark, sf), T.fast_quotes(spark, sf)))
+    c = imbalance.cell_summary(study_priced(spark, sf))
     return c.groupBy("symbol", "horizon_seconds").agg(F.count_if("sparse").alias("sparse_cells"), F.count_if(~F.col("sparse")).alias("dense_cells"), F.max("min_trades").alias("min_trades"))
 
 

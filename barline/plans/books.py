@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from barline.functions.draws import uniform_sql
-from barline.operators import folds, history, imbalance, portfolio, selection, states
+from barline.operators import folds, history, portfolio, selection, states
 from barline.operators import trades as tr
 from barline.operators.accounting import LONG_ONLY, account, performance
 from barline.operators.bars import PERIODS_PER_YEAR
@@ -16,7 +16,7 @@ from barline.operators.indicators import by, with_atr
 from barline.operators.lookup import first_overlap, neighbour_sums
 from barline.operators.rules import apply_rule
 from barline.operators.series import fan_out
-from barline.plans.aggs import _SCEN, _SLOT30, STUDY_PRICED, STUDY_SCORES, alpha_cliffs, study_events, _CLIFF
+from barline.plans.aggs import _SCEN, _SLOT30, STUDY_PRICED, STUDY_SCORES, alpha_cliffs, study_priced, _CLIFF
 from barline.plans.checks import (
     BARS, BARS4, DAILY, FAST, QUOTES, SLOTS, SLOT_TRADES, TRADES, account_ctes, performance_select, signal_sql, sql,
 )
@@ -291,7 +291,7 @@ def _(spark, sf):
 
 @query("I22_quote_side_pnl", sql(FAST, _SLOT30, STUDY_SCORES, STUDY_PRICED, body="SELECT symbol, stance, count(pnl_net) AS trades, round(sum(pnl_net), 3) AS total, round(min(pnl_net), 5) AS worst, round(max(pnl_net), 5) AS best FROM priced WHERE threshold = 'p90' GROUP BY ALL"))
 def _(spark, sf):
-    p = imbalance.priced_events(study_events(spark, sf).filter("threshold = 'p90'"), T.fast_quotes(spark, sf))
+    p = study_priced(spark, sf).filter("threshold = 'p90'")
     return p.groupBy("symbol", "stance").agg(F.count("pnl_net").alias("trades"), F.round(F.sum("pnl_net"), 3).alias("total"), F.round(F.min("pnl_net"), 5).alias("worst"), F.round(F.max("pnl_net"), 5).alias("best"))
 
 

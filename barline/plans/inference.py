@@ -19,7 +19,7 @@ from barline.operators.indicators import by, log_return
 from barline.operators.policies import PolicyRule
 from barline.operators.series import Run, fan_out, running
 from barline.plans.aggs import (
-    _GRID216, _SLOT30, _TALLY, STUDY_CELLS, STUDY_PRICED, STUDY_SCORES, family_grid, study_events, tally,
+    _GRID216, _SLOT30, _TALLY, STUDY_CELLS, STUDY_PRICED, STUDY_SCORES, family_grid, study_priced, tally,
 )
 from barline.plans.books import _CP, QB, cell_performance
 from barline.plans.checks import BARS, DAILY, FAST, QUOTES, REFERENCE, SLOTS, TORD, TRADES, normal_cdf_sql, sql
@@ -433,7 +433,7 @@ gi AS (SELECT * FROM gh JOIN gm USING (cell_id))"""
 
 def gate_inputs(spark, sf):
     """Halves by trade order, folds with PF >= 1, the middle fold's interval."""
-    t = running(T.trades(spark, sf), ["cell_id"], ORD, {"i": Run("count", F.lit(1))})
+    t = running(T.trades(spark, sf).select("cell_id", *ORD, "pnl"), ["cell_id"], ORD, {"i": Run("count", F.lit(1))})
     size = t.groupBy("cell_id").agg(F.max("i").alias("nn"))
     p = F.col("pnl")
     first = F.col("i") <= F.floor(F.col("nn") / 2)
@@ -534,7 +534,7 @@ def _(spark, sf):
 @query("flagship_tick_study", sql(FAST, _SLOT30, STUDY_SCORES, STUDY_PRICED, STUDY_CELLS, _GRID216, "fam AS (SELECT g.*, coalesce(num_trades, 0) AS num_trades, profit_factor, coalesce(p_raw, 1)::DOUBLE AS p_raw, coalesce(num_trades >= min_trades, false) AS dense FROM famgrid g LEFT JOIN cellp USING (symbol, score_family, lookback_seconds, threshold, direction, horizon_seconds))",
  body="SELECT symbol, score_family, lookback_seconds, threshold, direction, horizon_seconds, num_trades, round(profit_factor, 5) AS profit_factor, round(p_raw, 5) AS p_raw, round(p_adj, 5) AS p_adj, p_adj < 0.05 AND dense AS pass_fwer FROM " + holm_sql("fam", "symbol", "108", "score_family, lookback_seconds, threshold, direction, horizon_seconds")))
 def _(spark, sf):
-    cells = imbalance.cell_summary(imbalance.priced_events(study_events(spark, sf), T.fast_quotes(spark, sf)))
+    cells = imbalance.cell_summary(study_priced(spark, sf))
     fam = mt.padded_family(family_grid(spark, sf), cells, imbalance.KEY, "p_raw")
     adj = mt.holm(fam, ["symbol"], "p_raw", imbalance.KEY[1:], 108)
     ok = (F.col("p_adj") < 0.05) & ~F.coalesce("sparse", F.lit(True))

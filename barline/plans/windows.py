@@ -183,28 +183,33 @@ KEYS = ["cell_id", "fold"]
 ORD = list(T.TRADE_ORDER)
 
 
+def trade_series(spark, sf):
+    """The columns a scan over trades needs; a scan writes what it is given."""
+    return T.trades(spark, sf).select(*KEYS, *ORD, "pnl")
+
+
 @query("E23_cumulative_equity", sql(TRADES, f"c AS (SELECT *, 1 + sum(pnl / 10000) OVER ({CF}) AS e FROM trades)", body="SELECT cell_id, fold, count(*) AS n, round(min(e), 6) AS low, round(max(e), 6) AS high, round(avg(e), 6) AS mean FROM c GROUP BY ALL"))
 def _(spark, sf):
-    c = running(T.trades(spark, sf), KEYS, ORD, {"cum": Run("sum", F.col("pnl"))}).withColumn("e", 1 + F.col("cum") / 10_000)
+    c = running(trade_series(spark, sf), KEYS, ORD, {"cum": Run("sum", F.col("pnl"))}).withColumn("e", 1 + F.col("cum") / 10_000)
     return c.groupBy(*KEYS).agg(rows_as("n"), F.min("e").alias("low"), F.max("e").alias("high"), F.avg("e").alias("mean"))
 
 
 @query("E24_product_equity", sql(TRADES, f"c AS (SELECT *, product(1 + pnl / 100000) OVER ({CF}) AS e FROM trades)", body="SELECT cell_id, fold, count(*) AS n, round(min(e), 6) AS low, round(max(e), 6) AS high FROM c GROUP BY ALL"))
 def _(spark, sf):
-    c = running(T.trades(spark, sf), KEYS, ORD, {"e": Run("product", 1 + F.col("pnl") / 100_000)})
+    c = running(trade_series(spark, sf), KEYS, ORD, {"e": Run("product", 1 + F.col("pnl") / 100_000)})
     return c.groupBy(*KEYS).agg(rows_as("n"), F.min("e").alias("low"), F.max("e").alias("high"))
 
 
 @query("E25_drawdown", sql(TRADES, f"c AS (SELECT *, product(1 + pnl / 100000) OVER ({CF}) AS e FROM trades)", f"d AS (SELECT *, max(e) OVER ({CF}) AS p FROM c)", body="SELECT cell_id, fold, round(min((e - p) / p), 6) + 0.0 AS max_drawdown, round(avg((e - p) / p), 6) + 0.0 AS mean_drawdown FROM d GROUP BY ALL"))
 def _(spark, sf):
     growth, peak = {"e": Run("product", 1 + F.col("pnl") / 100_000)}, {"p": Run("max", F.col("e"))}
-    dd = running(T.trades(spark, sf), KEYS, ORD, growth, peak).withColumn("dd", (F.col("e") - F.col("p")) / F.col("p"))
+    dd = running(trade_series(spark, sf), KEYS, ORD, growth, peak).withColumn("dd", (F.col("e") - F.col("p")) / F.col("p"))
     return dd.groupBy(*KEYS).agg(F.min("dd").alias("max_drawdown"), F.avg("dd").alias("mean_drawdown"))
 
 
 @query("E26_drawdown_bps", sql(TRADES, f"c AS (SELECT *, sum(pnl) OVER ({CF}) AS e FROM trades)", f"d AS (SELECT *, greatest(max(e) OVER ({CF}), 0) AS p FROM c)", body="SELECT cell_id, fold, min(e - p) AS max_drawdown FROM d GROUP BY ALL"))
 def _(spark, sf):
-    dd = running(T.trades(spark, sf), KEYS, ORD, {"e": Run("sum", F.col("pnl"))}, {"p": Run("max", F.col("e"))})
+    dd = running(trade_series(spark, sf), KEYS, ORD, {"e": Run("sum", F.col("pnl"))}, {"p": Run("max", F.col("e"))})
     return dd.groupBy(*KEYS).agg(F.min(F.col("e") - F.greatest(F.col("p"), F.lit(0.0))).alias("max_drawdown"))
 
 
@@ -227,7 +232,7 @@ def _(spark, sf):
 @query("E29_loss_streak", sql(TRADES, f"i AS (SELECT *, count(*) FILTER (pnl > 0) OVER ({CF}) AS isl FROM trades)", f"s AS (SELECT *, count(*) FILTER (pnl < 0) OVER (PARTITION BY cell_id, fold, isl ORDER BY {TORD}) AS streak FROM i)",
  body="SELECT cell_id, fold, max(streak) AS longest, sum(streak)::BIGINT AS total, count(*) FILTER (streak >= 5) AS closed FROM s GROUP BY ALL"))
 def _(spark, sf):
-    s = states.loss_streak(T.trades(spark, sf), KEYS, ORD)
+    s = states.loss_streak(trade_series(spark, sf), KEYS, ORD)
     return s.groupBy(*KEYS).agg(F.max("streak").alias("longest"), F.sum("streak").alias("total"), F.count_if(F.col("streak") >= 5).alias("closed"))
 
 
@@ -240,7 +245,7 @@ def _(spark, sf):
 
 @query("E30_daily_loss_sum", sql(TRADES, f"l AS (SELECT *, sum(greatest(-pnl, 0)) OVER (PARTITION BY cell_id, ts::DATE ORDER BY {TORD}) AS day_loss FROM trades)", body="SELECT cell_id, max(day_loss) AS worst, count(*) FILTER (day_loss >= 60) AS over_limit FROM l GROUP BY 1"))
 def _(spark, sf):
-    t = T.trades(spark, sf).withColumn("day", F.to_date("ts"))
+    t = trade_series(spark, sf).withColumn("day", F.to_date("ts"))
     losses = Run("sum", F.greatest(-F.col("pnl"), F.lit(0.0)))
     out = running(t, ["cell_id", "day"], ORD, {"day_loss": losses})
     return out.groupBy("cell_id").agg(F.max("day_loss").alias("worst"), F.count_if(F.col("day_loss") >= 60).alias("over_limit"))

@@ -143,7 +143,7 @@ def write_tick_shards(ticks: DataFrame, path: str) -> int:
     work = ticks.withColumn("month", F.date_format("ts", "yyyy-MM"))
     have = existing_shards(spark, path)
     if have is not None:
-        work = work.join(F.broadcast(have), ["symbol", "month"], "left_anti")
+        work = work.join(have, ["symbol", "month"], "left_anti")
     fresh = work.select("symbol", "month").distinct().count()
     if fresh:
         work.repartitionByRange("symbol", "month", "ts").sortWithinPartitions("symbol", "month", "ts").write.partitionBy(
