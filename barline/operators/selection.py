@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from barline.functions.draws import mix
 from barline.operators.quantiles import value_ranks
+from barline.session import settle
 
 BROADCAST_ROWS = 20_000
 
@@ -55,7 +56,7 @@ def pareto_front(df: DataFrame, objectives: Sequence[str]) -> DataFrame:
 
     schema = ", ".join(f"{o} double" for o in objs)
     doubles = vectors.select(*[F.col(o).cast("double").alias(o) for o in objs])
-    candidates = doubles.mapInPandas(local, schema).distinct()
+    candidates = settle(doubles.mapInPandas(local, schema).distinct(), "candidates")
     rivals = candidates.select(*[F.col(o).alias(f"r_{o}") for o in objs])
     n = candidates.count()
     if n <= BROADCAST_ROWS:

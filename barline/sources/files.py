@@ -228,10 +228,13 @@ def read_trade_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(TRADE_LOG).json(path)
 
 
-def scan_gzip_csv(spark: SparkSession, path: str, max_rows: int, ts: str) -> DataFrame:
-    """Row count, time span and columns of at most ``max_rows`` rows."""
+def scan_gzip_csv(spark: SparkSession, path: str, ts: str, max_rows: int | None = None) -> DataFrame:
+    """Row count, time span and columns; of at most ``max_rows`` rows for a probe.
+
+    A gzip file is one task, so large inputs should come as many files.
+    """
     df = spark.read.option("header", True).csv(path)
-    head = df.limit(max_rows)
+    head = df if max_rows is None else df.limit(max_rows)
     return head.agg(
         F.count(F.lit(1)).alias("n"), F.min(ts).alias("min_ts"), F.max(ts).alias("max_ts"), F.lit(",".join(df.columns)).alias("columns")
     )

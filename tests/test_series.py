@@ -116,3 +116,13 @@ def test_open_windows_half_open(spark):
 
 def test_fan_out_keeps_rows(spark):
     assert fan_out(spark.range(5), "v", [1, 2, 3]).count() == 15
+
+
+def test_bars_by_time_alone_agree(spark, sf_dir):
+    from barline.operators.bars import ticks_to_bars
+    from barline.sources.tables import quotes
+
+    q = quotes(spark, sf_dir)
+    assert q.groupBy("symbol", "us").count().filter("count > 1").isEmpty()
+    a, b = ticks_to_bars(q, "1h"), ticks_to_bars(q, "1h", unique_times=True)
+    assert a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
