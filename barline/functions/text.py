@@ -24,17 +24,6 @@ def fixed6(c: Column) -> Column:
     return F.format_string("%.6f", c)
 
 
-def parse_timestamp(c: Column) -> Column:
-    """Several text forms, tried in order; NULL when none fits."""
-    formats = ("yyyy-MM-dd HH:mm:ss.SSSSSS", "yyyy-MM-dd'T'HH:mm:ss'Z'", "yyyy.MM.dd HH:mm:ss", "dd.MM.yyyy HH:mm:ss")
-    epoch_ms = F.when(c.rlike("^[0-9]{12,14}$"), F.timestamp_millis(F.expr(f"try_cast({_name(c)} AS BIGINT)")))
-    return F.coalesce(epoch_ms, *[F.try_to_timestamp(c, F.lit(f)) for f in formats])
-
-
-def _name(c: Column) -> str:
-    return c._jc.toString()
-
-
 def paragraphs(pages: DataFrame, html: str = "html") -> DataFrame:
     """One row per non-blank ``<p>`` block: tags stripped, entities unescaped.
 

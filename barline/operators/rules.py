@@ -367,12 +367,15 @@ def cluster_pair_drift(bars, keys, long_cluster="london_burst", short_cluster="t
 
 
 @rule
-def macro_event_drift(bars, keys, windows=None, window_offset=2, hold_bars=4, tp_pct=None, sl_pct=None, flip=False):
+def macro_event_drift(bars, keys, windows=None, window_offset=2, hold_bars=4, tp_pct=None, sl_pct=None, flip=False, min_offset=1):
     """Enter ``window_offset`` bars after a macro window's end, in its direction.
 
     ``windows`` are ``(end, direction)`` pairs in time order (a calendar of a few
-    dozen).  A window that ends while a position is open is passed over.
+    dozen).  A window that ends while a position is open is passed over.  An
+    offset below ``min_offset`` would look ahead and gives no signal.
     """
+    if window_offset < min_offset:
+        return bars.withColumn("position", F.lit(0)).withColumn("signal", F.lit(0))
     ends = np.array([np.datetime64(e) for e, _ in windows], dtype="datetime64[us]")
     dirs = [(-d if flip else d) for _, d in windows]
     tp, sl = (np.inf if tp_pct is None else tp_pct), (np.inf if sl_pct is None else sl_pct)

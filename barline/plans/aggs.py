@@ -2,21 +2,19 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from barline.functions import calendar as cal
 from barline.operators import audits, folds, imbalance, quality
-from barline.operators.bars import coarsen_bars, floor_micros, ticks_to_bars
+from barline.operators.bars import coarsen_bars, floor_micros
 from barline.operators.quantiles import exact_percentiles
 from barline.operators.series import fan_out
-from barline.plans.checks import BARS, BARS4, DAILY, FAST, QUOTES, SLOTS, SLOT_TRADES, TRADES, sql
-from barline.plans.joins import _WIDE, grid_anchors
+from barline.plans.checks import BARS, BARS4, FAST, QUOTES, SLOTS, SLOT_TRADES, TRADES, sql
+from barline.plans.joins import _WIDE
 from barline.plans.registry import query
 from barline.plans.rows import _CELLS, _VOL, cells, vol_labels
-from barline.plans.shapes import four_hourly, hourly, rows_as
+from barline.plans.shapes import hourly, rows_as
 from barline.session import settle
 from barline.sources import tables as T
 

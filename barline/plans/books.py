@@ -18,7 +18,7 @@ from barline.operators.rules import apply_rule
 from barline.operators.series import fan_out
 from barline.plans.aggs import _SCEN, _SLOT30, STUDY_PRICED, STUDY_SCORES, alpha_cliffs, study_priced, _CLIFF
 from barline.plans.checks import (
-    BARS, BARS4, DAILY, FAST, QUOTES, SLOTS, SLOT_TRADES, TRADES, account_ctes, performance_select, signal_sql, sql,
+    BARS, BARS4, DAILY, FAST, QUOTES, SLOTS, TRADES, account_ctes, performance_select, signal_sql, sql,
 )
 from barline.plans.joins import _TRIALS, trials
 from barline.plans.registry import query

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -13,7 +12,7 @@ from barline.functions import stats as st
 from barline.functions.draws import uniform_sql
 from barline.functions.text import fingerprint, fixed6
 from barline.operators import agreement as ag
-from barline.operators import folds, imbalance, lookup, policies, resampling, states, verdicts
+from barline.operators import imbalance, lookup, policies, resampling, states, verdicts
 from barline.operators import multiple as mt
 from barline.operators.indicators import by, log_return
 from barline.operators.policies import PolicyRule
@@ -22,11 +21,10 @@ from barline.plans.aggs import (
     _GRID216, _SLOT30, _TALLY, STUDY_CELLS, STUDY_PRICED, STUDY_SCORES, family_grid, study_priced, tally,
 )
 from barline.plans.books import _CP, QB, cell_performance
-from barline.plans.checks import BARS, DAILY, FAST, QUOTES, REFERENCE, SLOTS, TORD, TRADES, normal_cdf_sql, sql
-from barline.plans.joins import _WIDE
+from barline.plans.checks import DAILY, FAST, REFERENCE, SLOTS, TORD, TRADES, normal_cdf_sql, sql
 from barline.plans.registry import query
 from barline.plans.rulesets import _H23, reversal_trades
-from barline.plans.shapes import hourly, rows_as
+from barline.plans.shapes import rows_as
 from barline.sources import tables as T
 
 K = ["symbol"]

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from barline.functions import calendar as cal
@@ -10,7 +9,7 @@ from barline.functions import text as tx
 from barline.operators import quality
 from barline.operators.bars import floor_micros
 from barline.operators.indicators import by
-from barline.plans.checks import BARS, DAILY, QUOTES, SLOT_TRADES, SLOTS, TRADES, sql
+from barline.plans.checks import BARS, DAILY, QUOTES, SLOT_TRADES, SLOTS, sql
 from barline.plans.registry import query
 from barline.plans.shapes import hourly
 from barline.sources import tables as T

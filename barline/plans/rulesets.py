@@ -267,12 +267,12 @@ def macro_check(source: str, offset: int, hold: int, tp: float | None = None, sl
     return recursive(*QB, f"win(i, wend, wdir) AS (VALUES {rows})", cb, st, pos, body=f"SELECT symbol, ts, position::INTEGER AS position, {signal_sql()} AS signal FROM pos")
 
 
-_rule("H20_boj_drift", "macro_event_drift", macro_check("boj", 1, 6), windows=macro_windows("boj"), window_offset=1, hold_bars=6)
-_rule("H20_boj_drift_limits", "macro_event_drift", macro_check("boj", 3, 24, 0.004, 0.02), windows=macro_windows("boj"), window_offset=3, hold_bars=24, tp_pct=0.004, sl_pct=0.02)
-_rule("H21_nfp_drift", "macro_event_drift", macro_check("nfp", 2, 8), windows=macro_windows("nfp"), window_offset=2, hold_bars=8)
-_rule("H21_nfp_drift_limits", "macro_event_drift", macro_check("nfp", 2, 40, 0.015, 0.015), windows=macro_windows("nfp"), window_offset=2, hold_bars=40, tp_pct=0.015, sl_pct=0.015)
-_rule("H21_ecb_drift", "macro_event_drift", macro_check("ecb", 2, 8), windows=macro_windows("ecb"), window_offset=2, hold_bars=8)
-_rule("H21_fomc_drift", "macro_event_drift", macro_check("fomc", 2, 8), windows=macro_windows("fomc"), window_offset=2, hold_bars=8)
+_rule("H20_boj_drift", "macro_event_drift", macro_check("boj", 1, 6), windows=macro_windows("boj"), min_offset=MIN_OFFSET["boj"], window_offset=1, hold_bars=6)
+_rule("H20_boj_drift_limits", "macro_event_drift", macro_check("boj", 3, 24, 0.004, 0.02), windows=macro_windows("boj"), min_offset=MIN_OFFSET["boj"], window_offset=3, hold_bars=24, tp_pct=0.004, sl_pct=0.02)
+_rule("H21_nfp_drift", "macro_event_drift", macro_check("nfp", 2, 8), windows=macro_windows("nfp"), min_offset=MIN_OFFSET["nfp"], window_offset=2, hold_bars=8)
+_rule("H21_nfp_drift_limits", "macro_event_drift", macro_check("nfp", 2, 40, 0.015, 0.015), windows=macro_windows("nfp"), min_offset=MIN_OFFSET["nfp"], window_offset=2, hold_bars=40, tp_pct=0.015, sl_pct=0.015)
+_rule("H21_ecb_drift", "macro_event_drift", macro_check("ecb", 2, 8), windows=macro_windows("ecb"), min_offset=MIN_OFFSET["ecb"], window_offset=2, hold_bars=8)
+_rule("H21_fomc_drift", "macro_event_drift", macro_check("fomc", 2, 8), windows=macro_windows("fomc"), min_offset=MIN_OFFSET["fomc"], window_offset=2, hold_bars=8)
 _rule(
     "H22_calendar_anomaly", "calendar_anomaly",
     rule_sql(*QB, src="bars", position="WHEN isodow(ts) = 2 AND day(ts) <= 10 THEN 1 WHEN isodow(ts) = 4 AND day(ts) > 10 AND day(ts) <= 20 THEN -1 WHEN isodow(ts) = 1 AND day(ts) > 20 THEN 1"),
