@@ -46,3 +46,26 @@ def fresh(name: str) -> str:
 def sampled(df: DataFrame, by: Column, rate: Column) -> DataFrame:
     """Rows whose hash falls in the first ``rate`` of the hash range: the same on every run."""
     return df.filter(F.pmod(F.xxhash64(by, F.lit(11)), F.lit(1 << 30)) < rate * float(1 << 30))
+
+
+#: Bits of the filter below; the broadcast table has this many / 64 rows at most, whatever the number of keys.
+FILTER_BITS = 1 << 22
+
+
+def _bit(column: Column) -> Column:
+    return F.pmod(F.xxhash64(column, F.lit(29)), F.lit(FILTER_BITS))
+
+
+def likely_in(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
+    """Rows whose key may be among ``keys``: all that are, and a few others.
+
+    A filter of fixed size goes to every task, so that a join that follows
+    moves little more than the rows it keeps.  With very many keys it lets
+    everything through and is merely of no use.
+    """
+    word, bits = fresh("word"), fresh("bits")
+    at = _bit(F.col(column))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int"))
+    table = keys.groupBy(F.floor(at / 64).alias(word)).agg(F.bit_or(one).alias(bits))
+    hit = F.col(bits).bitwiseAND(one) != 0
+    return df.withColumn(word, F.floor(at / 64)).join(F.broadcast(table), word).filter(hit).drop(word, bits)

@@ -10,9 +10,9 @@ reaches ``THRESHOLD``; the verdict depends on nothing but the tables.
 The base rules: a document fails with fewer than 50 words, or if more than half
 of its words lie in a three-word window found twice or more in it.
 
-Two passes over the texts.  The first counts n-grams inside the tasks and sends
-at most ``BUCKETS`` numbers from each; the sums (a table of fixed size) are
-broadcast to the second.
+N-grams are counted inside the tasks, which send at most ``BUCKETS`` numbers
+each; the sums (a table of fixed size) are broadcast to the pass that judges.
+Only texts of trusted documents are shuffled, to meet their marks.
 
 Defined cases: a null or empty text has no words and fails the base rules; a
 text without n-grams has the ratio 0; with no trusted rows both multinomials
@@ -37,7 +37,7 @@ BUCKETS = 1 << 16
 #: Added to every bucket's count.
 SMOOTHING = 1.0
 #: Lowest mean log ratio of a kept document.
-THRESHOLD = -0.12
+THRESHOLD = -0.15
 MIN_WORDS = 50
 MAX_REPEATED_PERCENT = 50
 
@@ -99,32 +99,30 @@ def base_counts(data: np.ndarray, offsets: np.ndarray, hashes: np.ndarray, rows:
     }
 
 
-def multinomials(docs: DataFrame, trusted: DataFrame) -> np.ndarray:
-    """Log ratio of every bucket.  ``trusted`` has the ids of the trusted documents, each once."""
-    mark = common.fresh("trusted")
-    marked = docs.select("doc_id", "text").join(trusted.select("doc_id", F.lit(True).alias(mark)), "doc_id", "left")
+def bucket_counts(texts: DataFrame, name: str) -> DataFrame:
+    """bucket and the number of its n-grams; every task sends at most ``BUCKETS`` rows."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, BUCKETS), np.int64)
+        total = np.zeros(BUCKETS, np.int64)
         for batch in batches:
-            flags = batch.column(1).is_valid().to_numpy(zero_copy_only=False)
-            for lo, hi, data, offsets in tokens.pieces(batch.column(0)):
+            for _, _, data, offsets in tokens.pieces(batch.column(0)):
                 starts, ends, rows = tokens.word_spans(data, offsets)
-                for bucket, row in buckets(tokens.hash_spans(data, starts, ends), rows):
-                    total[0] += np.bincount(bucket, minlength=BUCKETS)
-                    total[1] += np.bincount(bucket[flags[lo:hi][row]], minlength=BUCKETS)
-        found = np.flatnonzero(total[0])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(found), pa.array(total[0][found]), pa.array(total[1][found])], ["bucket", "n", "n_trusted"]
-        )
-
-    sums = (
-        marked.select("text", mark)
-        .mapInArrow(count, "bucket long, n long, n_trusted long")
-        .groupBy("bucket")
-        .agg(F.sum("n").alias("n"), F.sum("n_trusted").alias("n_trusted"))
-        .toArrow()  # at most BUCKETS rows
-    )
+                for bucket, _ in buckets(tokens.hash_spans(data, starts, ends), rows):
+                    total += np.bincount(bucket, minlength=BUCKETS)
+        found = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], ["bucket", "n"])
+
+    counted = texts.select("text").mapInArrow(count, "bucket long, n long")
+    return counted.groupBy("bucket").agg(F.sum("n").alias(name))
+
+
+def multinomials(docs: DataFrame, trusted: DataFrame) -> np.ndarray:
+    """Log ratio of every bucket.  ``trusted`` has the ids of the trusted documents, each once."""
+    # The filter keeps the texts of other documents out of the shuffle that the exact join needs.
+    likely = common.likely_in(docs.select("doc_id", "text"), "doc_id", trusted)
+    texts = likely.join(trusted.select("doc_id").hint("merge"), "doc_id")
+    sums = bucket_counts(docs, "n").join(bucket_counts(texts, "n_trusted"), "bucket", "left").fillna(0)
+    sums = sums.toArrow()  # at most BUCKETS rows
     total = np.zeros((2, BUCKETS))
     total[0][sums.column("bucket").to_numpy()] = sums.column("n").to_numpy()
     total[1][sums.column("bucket").to_numpy()] = sums.column("n_trusted").to_numpy()
