@@ -1,8 +1,14 @@
 """All registered queries of this folder."""
 
 from barline.llm import (  # noqa: F401
+    decontamination,
+    jaccard_join,
     language,
+    mixing,
     quality_classifier,
     quality_rules,
+    quotations,
+    secrets,
+    sharding,
 )
 from barline.llm.common import CHECKS, PLANS  # noqa: F401
