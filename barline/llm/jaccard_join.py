@@ -1,18 +1,19 @@
 """N-gram Jaccard join by T-occurrence search (DivideSkip).
 
-A document's set holds the hashes of its distinct 3-word shingles.  Two sets of
-n and m shingles link when they share at least T = ceil(9 (n + m) / 19), that is
-100 * intersection >= 90 * union.  Documents with equal sets are one class, and
-everything below runs on classes.
+A document's set holds the hashes of its distinct shingles of ``rule.words``
+words.  Two sets of n and m shingles link when 100 * intersection >= percent *
+union, that is when they share at least T = ceil(percent (n + m) / (100 +
+percent)).  Documents with equal sets are one class, and everything below runs
+on classes.
 
 1. A scan counts, over all documents, how often each hashed shingle occurs (a
    table of ``LOADS`` counters, added up over tasks) and gives every document
    its class.
-2. Inverted lists.  Every class puts its rarest ``n - ceil(0.9 n) + 1`` shingles
-   into the lists; two linked classes share at least one of them, whatever the
-   counters say.  Lists with one class are dropped.  Longer ones are cut by
-   size, as a link needs sizes within 90 %: each class joins the two groups of
-   its size step, so linked classes meet in one of them.
+2. Inverted lists.  Every class puts its rarest ``n - ceil(n percent / 100) + 1``
+   shingles into the lists; two linked classes share at least one of them,
+   whatever the counters say.  Lists with one class are dropped.  Longer ones
+   are cut by size, as a link needs sizes within ``percent`` of each other: each
+   class joins the two groups of its size step, so linked classes meet in one.
 3. Search.  The members of a group are indexed in blocks of bounded size, and a
    query is answered against a block by DivideSkip: of the query's inverted
    lists in the block the L longest are set aside, the rest are merged by a heap
@@ -20,9 +21,9 @@ everything below runs on classes.
    the long lists by binary search until they reach T or cannot.
    First the smallest, then the largest class of every group is the query.
    Groups whose classes are then connected need no more (a group of a thousand
-   near copies costs a thousand comparisons, not half a million).  In the
-   others, every class outside the group's largest connected part is a query
-   against all blocks of the group.
+   near copies costs a thousand comparisons, not half a million).  What is left
+   open falls into regions of classes that share open groups; in each, every
+   class outside the largest connected part is a query against all blocks.
 4. Components over the links, the smallest doc_id of each, back to documents.
 
 No list is held in one task: blocks are cut by the number of shingles, and
@@ -31,7 +32,7 @@ Shingles and classes are 64-bit hashes; among 3e10 documents a few dozen pairs
 of different sets are expected to share a class hash.
 
 Defined cases: null and empty texts have no shingles, link with nothing and are
-their own component; a text of one or two words is one shingle of its own kind;
+their own component; a text of fewer words than a shingle is one shingle of its own kind;
 rows with equal texts share a component even if they repeat a doc_id; a null
 doc_id takes no part in the minimum; an empty table gives no rows.  Extra
 columns do not take part.
@@ -43,6 +44,7 @@ import math
 import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
+from dataclasses import dataclass
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -53,7 +55,6 @@ from pyspark.sql import functions as F
 from barline.llm import common, tokens
 from barline.llm.graph import components
 
-WORDS = 3
 #: Counters of shingle frequency; they only order lists, so links do not depend on their number.  More for a larger corpus.
 LOADS = 1 << 22
 _LOAD_BLOCKS = 256
@@ -63,24 +64,41 @@ FILTER_BITS = 1 << 22
 BLOCK_SHINGLES = 200_000
 #: Weight of a probe against a merge step, as measured by the method's authors.
 PROBE_COST = 0.0085
-#: Smaller sets link with equal sets only.
-LEAST = 9
 
 
-def least_overlap(n: int, m: int) -> int:
-    return -(-9 * (n + m) // 19)
+@dataclass(frozen=True)
+class Rule:
+    """Words of a shingle, and the least similarity in percent."""
 
+    words: int = 5
+    percent: int = 80
 
-def sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def overlap(self, n: int, m: int) -> int:
+        """Shingles that sets of n and m share at least if they link."""
+        return -(-self.percent * (n + m) // (100 + self.percent))
+
+    def rarest(self, n: np.ndarray) -> np.ndarray:
+        """How many of its shingles a set of n lists; sets too small for any unequal partner list none."""
+        return np.where(n * (100 - self.percent) >= self.percent, n + (-n * self.percent) // 100 + 1, 0)
+
+    def step(self, n: Column) -> Column:
+        """Sizes of linked sets are in the same or in neighbouring steps."""
+        return F.floor(F.log(n.cast("double")) / F.lit(-math.log(self.percent / 100)) * (1 - 1e-9)).cast("int")
+
+    def near(self, n: Column, m: Column) -> Column:
+        return 100 * F.least(n, m) >= self.percent * F.greatest(n, m)
+
+
+def sets(data: np.ndarray, offsets: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(shingles, offsets into them, class) of every text; shingles of a text are distinct and ascending."""
     n = len(offsets) - 1
     data = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
     starts, ends, rows = tokens.word_spans(data, offsets)
     hashes = tokens.hash_spans(data, starts, ends)
-    window, first = tokens.windows(hashes, rows, WORDS)
+    window, first = tokens.windows(hashes, rows, n_words)
     row = rows[first]
     words = np.bincount(rows, minlength=n)
-    for few in range(1, WORDS):
+    for few in range(1, n_words):
         short, at = tokens.windows(hashes, rows, few)
         own = words[rows[at]] == few
         window = np.concatenate([window, tokens.mix(short[own] + np.uint64(few))])
@@ -99,7 +117,7 @@ def sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return window, at, cls.view(np.int64)
 
 
-def scan(docs: DataFrame) -> DataFrame:
+def scan(docs: DataFrame, rule: Rule) -> DataFrame:
     """One row per document (doc_id, key, n, cls), and each task's shingle counters as rows of (block, part)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,7 +133,7 @@ def scan(docs: DataFrame) -> DataFrame:
         for batch in batches:
             size, cls = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for _, _, data, offsets in tokens.pieces(batch.column(1)):
-                window, at, c = sets(data, offsets)
+                window, at, c = sets(data, offsets, rule.words)
                 size.append(np.diff(at))
                 cls.append(c)
                 waiting.append(window)
@@ -159,21 +177,20 @@ def load_table(scanned: DataFrame) -> np.ndarray:
     return out.reshape(-1)
 
 
-def postings(docs: DataFrame, loads: np.ndarray) -> DataFrame:
+def postings(docs: DataFrame, loads: np.ndarray, rule: Rule) -> DataFrame:
     """token, n, cls: the rarest shingles of every set, as many as any linked set must share one of."""
     sent = docs.sparkSession.sparkContext.broadcast(loads)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, data, offsets in tokens.pieces(batch.column(0)):
-                window, at, cls = sets(data, offsets)
+                window, at, cls = sets(data, offsets, rule.words)
                 size = np.diff(at)
                 row = np.repeat(np.arange(len(size)), size)
                 load = sent.value[(window % np.uint64(LOADS)).astype(np.int64)]
                 order = np.lexsort((window, load, row))
                 place = np.arange(len(window)) - np.repeat(at[:-1], size)
-                rare = np.where(size >= LEAST, size - (9 * size + 9) // 10 + 1, 0)
-                taken = order[place < rare[row]]
+                taken = order[place < rule.rarest(size)[row]]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(window[taken].view(np.int64)), pa.array(size[row[taken]]), pa.array(cls[row[taken]])],
                     ["token", "n", "cls"],
@@ -182,7 +199,7 @@ def postings(docs: DataFrame, loads: np.ndarray) -> DataFrame:
     return docs.select("text").mapInArrow(run, "token long, n long, cls long")
 
 
-def fetch(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+def fetch(docs: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
     """n, cls, shingles of the wanted classes, once each; the scan knows them by a filter of fixed size."""
     bit = F.pmod("cls", F.lit(FILTER_BITS))
     words = wanted.groupBy(F.floor(bit / 64).alias("word")).agg(
@@ -197,7 +214,7 @@ def fetch(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         seen: set[int] = set()
         for batch in batches:
             for _, _, data, offsets in tokens.pieces(batch.column(0)):
-                window, at, cls = sets(data, offsets)
+                window, at, cls = sets(data, offsets, rule.words)
                 b = cls.view(np.int64) % FILTER_BITS
                 hit = (sent.value[b >> 6] >> (b & 63).astype(np.uint64)) & np.uint64(1)
                 size = np.diff(at)
@@ -256,11 +273,11 @@ class Block:
             groups = np.split(owner, edge[1:]) if len(token) else []
             self.lists = {t: g.tolist() for t, g in zip(token[edge].tolist() if len(token) else [], groups, strict=True)}
 
-    def search(self, query: np.ndarray) -> list[int]:
+    def search(self, query: np.ndarray, rule: Rule) -> list[int]:
         """Members that link with the query."""
         n = len(query)
         lists = [self.lists[t] for t in query.tolist() if t in self.lists]
-        least = (9 * n + 9) // 10
+        least = -(-rule.percent * n // 100)
         if not n or len(lists) < least:
             return []
         lists.sort(key=len, reverse=True)
@@ -268,7 +285,7 @@ class Block:
         long, short = lists[:n_long], lists[n_long:]
         out = []
         for member, count in merge_skip(short, least - n_long):
-            need = least_overlap(n, self.sizes[member])
+            need = rule.overlap(n, self.sizes[member])
             left = n_long
             for ids in long:
                 if count >= need or count + left < need:
@@ -281,7 +298,7 @@ class Block:
         return out
 
 
-def search_blocks(rows: DataFrame) -> DataFrame:
+def search_blocks(rows: DataFrame, rule: Rule) -> DataFrame:
     """Links (a, b) of every task's queries and members; rows are (task columns k1, k2, k3, is_query, cls, shingles)."""
 
     def run(_, table):
@@ -296,14 +313,16 @@ def search_blocks(rows: DataFrame) -> DataFrame:
         block = Block([one[k] for k in members])
         links = []
         for k in np.flatnonzero(query):
-            links += [(cls[k], cls[members[m]]) for m in block.search(one[k]) if cls[members[m]] != cls[k]]
+            links += [(cls[k], cls[members[m]]) for m in block.search(one[k], rule) if cls[members[m]] != cls[k]]
         a, b = zip(*links, strict=True) if links else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return rows.groupBy("k1", "k2", "k3").applyInArrow(run, "a long, b long")
 
 
-def search_plan(index: DataFrame, queries: DataFrame, shingle_sets: DataFrame, key: list[str]) -> DataFrame:
+def search_plan(
+    index: DataFrame, queries: DataFrame, shingle_sets: DataFrame, key: list[str], rule: Rule
+) -> DataFrame:
     """Search each key's queries against its members, both cut into blocks by their number of shingles.
 
     ``index`` and ``queries`` have the key columns, cls and n.
@@ -326,20 +345,15 @@ def search_plan(index: DataFrame, queries: DataFrame, shingle_sets: DataFrame, k
         )
 
     rows = dealt(index, "_blocks", "_queries", False).unionByName(dealt(queries, "_queries", "_blocks", True))
-    return search_blocks(rows.join(shingle_sets.select("cls", "shingles"), "cls"))
-
-
-def size_step(n: Column) -> Column:
-    """Sizes within 90 % of each other are in the same or in neighbouring steps."""
-    return F.floor(F.log(n.cast("double")) / F.lit(-math.log(0.9)) * (1 - 1e-9)).cast("int")
+    return search_blocks(rows.join(shingle_sets.select("cls", "shingles"), "cls"), rule)
 
 
-def link_classes(docs: DataFrame, scanned: DataFrame) -> DataFrame:
+def link_classes(docs: DataFrame, scanned: DataFrame, rule: Rule) -> DataFrame:
     """node, label: the component of every class that links with another class."""
-    rows = common.settle(postings(docs, load_table(scanned)), "postings")
+    rows = common.settle(postings(docs, load_table(scanned), rule), "postings")
     one = F.struct("n", "cls")
     contested = rows.groupBy("token").agg(F.min(one).alias("lo"), F.max(one).alias("hi")).filter("lo <> hi").select("token")
-    step = size_step(F.col("n"))
+    step = rule.step(F.col("n"))
     groups = (
         rows.join(contested, "token")
         .select("token", F.explode(F.array(step, step + 1)).alias("step"), "n", "cls")
@@ -349,7 +363,7 @@ def link_classes(docs: DataFrame, scanned: DataFrame) -> DataFrame:
     ends = groups.groupBy("token", "step").agg(F.min(one).alias("lo"), F.max(one).alias("hi"), F.count("*").alias("classes"))
     ends = common.settle(ends.filter("lo <> hi"), "ends")
     met = common.settle(groups.join(ends, ["token", "step"]), "met")
-    shingle_sets = common.settle(fetch(docs, met.select("cls")), "sets")
+    shingle_sets = common.settle(fetch(docs, met.select("cls"), rule), "sets")
     links = None
     for end in ("lo", "hi"):
         pairs = met.filter(F.col("cls") != F.col(end)["cls"])
@@ -361,31 +375,36 @@ def link_classes(docs: DataFrame, scanned: DataFrame) -> DataFrame:
             ).withColumn(name, F.coalesce(name, c))
             pairs = pairs.withColumn("_end", F.col(end)["cls"])
             pairs = named(named(pairs, "cls", "_own"), "_end", "_far").filter("_own <> _far").filter("classes > 2")
-        near = (10 * F.least("n", F.col(end)["n"])) >= 9 * F.greatest("n", F.col(end)["n"])
         index = common.settle(
-            pairs.filter(near).select(F.col(end)["cls"].alias("leader"), F.col(end)["n"].alias("_n"), "cls", "n").distinct(),
+            pairs.filter(rule.near(F.col("n"), F.col(end)["n"])).select(F.col(end)["cls"].alias("leader"), F.col(end)["n"].alias("_n"), "cls", "n").distinct(),
             "pairs",
         )
         leaders = index.select("leader", F.col("leader").alias("cls"), F.col("_n").alias("n")).distinct()
-        found = search_plan(index.select("leader", "cls", "n"), leaders, shingle_sets, ["leader"])
+        found = search_plan(index.select("leader", "cls", "n"), leaders, shingle_sets, ["leader"], rule)
         links = common.settle(found if links is None else found.unionByName(links), "links")
     label = components(links)
     state = met.filter("classes > 2").join(label.select(F.col("node").alias("cls"), "label"), "cls", "left")
     state = state.withColumn("label", F.coalesce("label", "cls"))
-    parts = state.groupBy("token", "step", "label").agg(F.count("*").alias("c"))
-    open_ = parts.groupBy("token", "step").agg(F.max(F.struct("c", "label"))["label"].alias("main"), F.count("*").alias("parts"))
-    state = common.settle(state.join(open_.filter("parts > 1"), ["token", "step"]), "open")
-    index = state.select("token", "step", "cls", "n")
-    queries = state.filter("label <> main").select("token", "step", "cls", "n")
-    rest = search_plan(index, queries, shingle_sets, ["token", "step"])
+    open_ = state.groupBy("token", "step").agg(F.min("label").alias("_a"), F.max("label").alias("_b")).filter("_a <> _b")
+    state = common.settle(state.join(open_.select("token", "step"), ["token", "step"]), "open")
+    # Classes that share open groups are searched together once, however many groups they share.
+    region = components(state.select(F.col("lo")["cls"].alias("a"), F.col("cls").alias("b")))
+    region = region.select(F.col("node").alias("cls"), F.col("label").alias("region"))
+    state = common.settle(state.select("cls", "n", "label").distinct().join(region, "cls"), "regions")
+    parts = state.groupBy("region", "label").agg(F.count("*").alias("c"))
+    main = parts.groupBy("region").agg(F.max(F.struct("c", "label"))["label"].alias("main"))
+    state = common.settle(state.join(main, "region"), "regions")
+    index = state.select("region", "cls", "n")
+    queries = state.filter("label <> main").select("region", "cls", "n")
+    rest = search_plan(index, queries, shingle_sets, ["region"], rule)
     return components(common.settle(links.unionByName(rest), "links"))
 
 
-def resolved(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def resolved(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
     """(doc_id, key, n, cls of every document) and (cls, label, component_id, members of every class)."""
-    scanned = common.settle(scan(docs), "scan")
+    scanned = common.settle(scan(docs, rule), "scan")
     own = scanned.filter("block is null").select("doc_id", "key", "n", "cls")
-    label = link_classes(docs, scanned).select(F.col("node").alias("cls"), "label")
+    label = link_classes(docs, scanned, rule).select(F.col("node").alias("cls"), "label")
     classes = own.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
     named = common.settle(classes.join(label, "cls", "left").withColumn("label", F.coalesce("label", "cls")), "named")
     groups = named.groupBy("label").agg(F.min("first").alias("component_id"), F.sum("copies").alias("members"))
@@ -393,9 +412,9 @@ def resolved(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return own, common.settle(by_class, "classes")
 
 
-def joined(docs: DataFrame) -> DataFrame:
+def joined(docs: DataFrame, rule: Rule) -> DataFrame:
     """doc_id, n_shingles, component_id, n_members: one row per document."""
-    own, classes = resolved(docs)
+    own, classes = resolved(docs, rule)
     return own.join(classes, "cls", "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),
@@ -404,9 +423,9 @@ def joined(docs: DataFrame) -> DataFrame:
     )
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """One document of each component, that of the smallest id, and every document without words; own columns."""
-    own, classes = resolved(docs)
+    own, classes = resolved(docs, rule)
     first = own.join(classes, "cls").groupBy("label").agg(F.min(F.struct("doc_id", "key"))["key"].alias("_key"))
     key = common.fresh("key")
     keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
@@ -451,4 +470,4 @@ FROM final
 
 @common.query("op6_jaccard_join", SQL)
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return joined(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return joined(common.table(spark, sf_dir, "documents").select("doc_id", "text"), Rule(words=3, percent=90))

@@ -33,6 +33,7 @@ from pyspark.sql.window import Window
 from barline.llm import common
 
 MIN_WORDS = 4
+_BLANKS = " \t\n\x0b\x0c\r"
 _LEAD = r"^[ \t>]*>[ \t]?"
 # Fixed formats: the line that mail programs put before a quote.
 _INTRODUCES = r"(?:[Oo]n .*wrote|[Ll]e .*a écrit|[Aa]m .*schrieb.*|[Ee]l .*escribió) ?:[ \t\r]*$"
@@ -61,7 +62,7 @@ def own_text(text: Column) -> Column:
     lines = F.split(text, "\n", -1)
     quoted_next = lambda i: F.coalesce(F.get(lines, i + 1).rlike(_LEAD), F.lit(False))
     kept = F.filter(lines, lambda x, i: ~x.rlike(_LEAD) & ~(x.rlike(_INTRODUCES) & quoted_next(i)))
-    return F.when(text.contains(">"), F.trim(F.array_join(kept, "\n"))).otherwise(text)
+    return F.when(text.contains(">"), F.btrim(F.array_join(kept, "\n"), F.lit(_BLANKS))).otherwise(text)
 
 
 def passages(messages: DataFrame) -> DataFrame:
@@ -75,7 +76,7 @@ def passages(messages: DataFrame) -> DataFrame:
     )
     message = Window.partitionBy("conv_id", "turn", "_text").orderBy("pos")
     starts = F.coalesce((F.col("level") != F.lag("level").over(message)).cast("int"), F.lit(1))
-    body = F.expr(r"substring(line, length(regexp_extract(line, '^[ \\t>]*>[ \\t]?', 0)) + 1)")
+    body = F.expr(r"substring(line, length(regexp_extract(line, '^[ \t>]*>[ \t]?', 0)) + 1)")
     runs = (
         each.withColumn("_starts", starts)
         .withColumn("_run", F.sum("_starts").over(message))
@@ -163,6 +164,66 @@ def linked(messages: DataFrame) -> DataFrame:
     )
 
 
-@common.query("op7_quotations")
+SQL = r"""
+WITH RECURSIVE split_lines AS (
+  SELECT *, string_split(text, chr(10)) AS lines FROM conversations
+), said AS (
+  SELECT conv_id, turn, role, text AS given, CASE WHEN contains(text, '>') THEN trim(array_to_string([
+      lines[i] for i in range(1, len(lines) + 1) if NOT regexp_matches(lines[i], '^[ \t>]*>')
+      AND NOT (regexp_matches(lines[i], '{introduces}') AND coalesce(regexp_matches(lines[i + 1], '^[ \t>]*>'), false))
+    ], chr(10)), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) ELSE text END AS text
+  FROM split_lines
+), each AS (
+  SELECT conv_id, turn, text, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos
+  FROM (SELECT DISTINCT conv_id, turn, text, lines FROM split_lines
+        WHERE contains(text, '>') AND conv_id IS NOT NULL AND turn IS NOT NULL)
+), leveled AS (
+  SELECT *, length(regexp_replace(regexp_extract(line, '^[ \t>]*>[ \t]?'), '[^>]', '', 'g')) AS level,
+    substring(line, length(regexp_extract(line, '^[ \t>]*>[ \t]?')) + 1) AS body FROM each
+), flagged AS (
+  SELECT *, CASE WHEN level IS DISTINCT FROM lag(level) OVER w THEN 1 ELSE 0 END AS f FROM leveled
+  WINDOW w AS (PARTITION BY conv_id, turn, text ORDER BY pos)
+), runs AS (
+  SELECT *, sum(f) OVER (PARTITION BY conv_id, turn, text ORDER BY pos) AS run FROM flagged
+), bodies AS (
+  SELECT conv_id, turn, level, string_agg(body, ' ' ORDER BY pos) AS body, true AS whole FROM runs WHERE level > 0
+  GROUP BY conv_id, turn, text, run, level
+  UNION ALL SELECT conv_id, turn, level, body, false FROM runs WHERE level > 0
+), quoted AS (
+  SELECT DISTINCT conv_id, turn, level, {normal_body} AS digest FROM bodies
+  WHERE {normal_body} <> '' AND (whole OR len(string_split({normal_body}, ' ')) >= 4)
+), parts AS (
+  SELECT conv_id, turn, text AS body, true AS whole FROM said
+  UNION ALL SELECT conv_id, turn, unnest(regexp_split_to_array(text, '\n[ \t\r]*\n')), true FROM said
+  UNION ALL SELECT conv_id, turn, unnest(string_split(text, chr(10))), false FROM said
+), known AS (
+  SELECT conv_id, {normal_body} AS digest, min(turn) AS origin FROM parts
+  WHERE turn IS NOT NULL AND body IS NOT NULL AND (whole OR len(string_split({normal_body}, ' ')) >= 4) GROUP BY 1, 2
+), met AS (
+  SELECT q.conv_id, q.turn, q.level, CASE WHEN k.origin < q.turn THEN k.origin END AS origin
+  FROM quoted q LEFT JOIN known k USING (conv_id, digest)
+), outer_level AS (
+  SELECT *, min(level) FILTER (WHERE origin IS NOT NULL) OVER (PARTITION BY conv_id, turn) AS best FROM met
+), links AS (
+  SELECT conv_id, turn, max(origin) FILTER (WHERE level = best) AS parent_turn, count(*) AS n_passages, count(origin) AS n_found
+  FROM outer_level GROUP BY conv_id, turn
+), up(conv_id, turn, root_turn, depth) AS (
+  SELECT conv_id, turn, parent_turn, 1 FROM links WHERE parent_turn IS NOT NULL
+  UNION ALL SELECT u.conv_id, u.turn, l.parent_turn, u.depth + 1 FROM up u
+  JOIN links l ON l.conv_id = u.conv_id AND l.turn = u.root_turn AND l.parent_turn IS NOT NULL
+), roots AS (
+  SELECT conv_id, turn, min(root_turn) AS root_turn, max(depth) AS depth FROM up GROUP BY conv_id, turn
+)
+SELECT s.conv_id, s.turn, s.role, s.text, l.parent_turn, coalesce(r.root_turn, s.turn) AS root_turn,
+  CAST(coalesce(r.depth, 0) AS BIGINT) AS depth, coalesce(l.n_passages, 0) AS n_passages, coalesce(l.n_found, 0) AS n_found
+FROM said s LEFT JOIN links l ON s.conv_id = l.conv_id AND s.turn = l.turn
+LEFT JOIN roots r ON s.conv_id = r.conv_id AND s.turn = r.turn
+""".format(
+    introduces=_INTRODUCES,
+    normal_body=r"trim(regexp_replace(translate(body, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g'))",
+)
+
+
+@common.query("op7_quotations", SQL)
 def op7_quotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked(common.table(spark, sf_dir, "conversations"))
