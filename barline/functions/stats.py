@@ -109,6 +109,42 @@ def beta_quantile(q: float, a: float, b: float) -> float:
     return (lo + hi) / 2
 
 
+def gamma_tail(x: float, a: float) -> float:
+    """Upper regularised incomplete gamma function: series below a + 1, continued fraction above."""
+    if x <= 0:
+        return 1.0
+    front = math.exp(a * math.log(x) - x - math.lgamma(a))
+    if x < a + 1:
+        term = total = 1.0 / a
+        k = a
+        while abs(term) > abs(total) * 1e-16:
+            k += 1
+            term *= x / k
+            total += term
+        return 1.0 - front * total
+    b, c = x + 1 - a, 1e300
+    d = h = 1.0 / b
+    for i in range(1, 500):
+        an = -i * (i - a)
+        b += 2
+        d = 1.0 / (an * d + b)
+        c = b + an / c
+        h *= d * c
+        if abs(d * c - 1) < 1e-15:
+            break
+    return front * h
+
+
+def student_p(t: pd.Series, df: pd.Series) -> pd.Series:
+    """Two-sided p of Student's t."""
+    return pd.Series([beta_cdf(n / (n + x * x), n / 2, 0.5) if x == x and n > 0 else None for x, n in zip(t, df)], dtype=float)
+
+
+def chi_square_p(x: pd.Series, df: pd.Series) -> pd.Series:
+    """Upper tail of the chi-square distribution."""
+    return pd.Series([gamma_tail(v / 2, n / 2) if v == v and n > 0 else None for v, n in zip(x, df)], dtype=float)
+
+
 def clopper_pearson(k: pd.Series, n: pd.Series, alpha: float = 0.05) -> pd.DataFrame:
     low = [0.0 if kk == 0 else beta_quantile(alpha / 2, kk, nn - kk + 1) for kk, nn in zip(k, n)]
     high = [1.0 if kk == nn else beta_quantile(1 - alpha / 2, kk + 1, nn - kk) for kk, nn in zip(k, n)]

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barline.functions.stats import clopper_pearson, correlation, mean_vif
+from barline.functions.stats import chi_square_p, clopper_pearson, correlation, mean_vif, student_p, two_sided_p
 from barline.operators.quantiles import average_ranks
 
 
@@ -124,21 +124,32 @@ def rank_sums(df: DataFrame, keys: Sequence[str], group: str, value: str) -> tup
     return sums, ties
 
 
+def _solved(solver, x: Column | str, df: Column) -> Column:
+    """A solver of one number per row, for tables of one row per key."""
+
+    @F.pandas_udf("double")
+    def solve(x_: pd.Series, df_: pd.Series) -> pd.Series:
+        return solver(x_, df_)
+
+    return solve(x, df.cast("double"))
+
+
 def kruskal_wallis(df: DataFrame, keys: Sequence[str], group: str, value: str) -> DataFrame:
-    """H with tie correction per key."""
+    """H with tie correction, and its chi-square p, per key (one row per key reaches the solver)."""
     sums, ties = rank_sums(df, keys, group, value)
     parts = sums.groupBy(*keys).agg(
         F.sum(F.col("rank_sum") * F.col("rank_sum") / F.col("size")).alias("_s"), F.count(F.lit(1)).alias("groups")
     )
     n = F.col("n")
     h = 12 / (n * (n + 1)) * F.col("_s") - 3 * (n + 1)
-    return parts.join(ties, list(keys)).select(
+    out = parts.join(ties, list(keys)).select(
         *keys, "groups", "n", (h / (1 - F.col("ties") / (F.pow(n.cast("double"), F.lit(3.0)) - n))).alias("h")
     )
+    return out.withColumn("p", _solved(chi_square_p, "h", F.col("groups") - 1))
 
 
 def two_sample(df: DataFrame, keys: Sequence[str], flag: str, value: str) -> DataFrame:
-    """Welch t, pooled t and variance ratio of flagged against other rows."""
+    """Welch t, pooled t with its two-sided p, and volatility ratio of flagged against other rows."""
     yes, no = F.col(flag), ~F.col(flag)
     x = F.col(value)
     agg = df.filter(x.isNotNull()).groupBy(*keys).agg(
@@ -150,20 +161,29 @@ def two_sample(df: DataFrame, keys: Sequence[str], flag: str, value: str) -> Dat
     pooled = ((F.col("n1") - 1) * F.col("v1") + (F.col("n2") - 1) * F.col("v2")) / (F.col("n1") + F.col("n2") - 2)
     return agg.withColumn("welch_t", d / F.sqrt(F.col("v1") / F.col("n1") + F.col("v2") / F.col("n2"))).withColumn(
         "t", d / F.sqrt(pooled * (1 / F.col("n1") + 1 / F.col("n2")))
+    ).withColumn("p", _solved(student_p, "t", F.col("n1") + F.col("n2") - 2)).withColumn(
+        "vol_ratio", F.when(F.col("v2") > 0, F.sqrt(F.col("v1") / F.col("v2"))).otherwise(1.0)
     )
 
 
 def mann_whitney(df: DataFrame, keys: Sequence[str], flag: str, value: str) -> DataFrame:
-    """U of the flagged rows per key."""
-    sums, _ = rank_sums(df, keys, flag, value)
-    n = F.col("size")
-    return sums.filter(F.col(flag)).select(*keys, (F.col("rank_sum") - n * (n + 1) / 2).alias("u"))
+    """U of the flagged rows per key and its two-sided p (normal, with tie and continuity corrections)."""
+    sums, ties = rank_sums(df, keys, flag, value)
+    n1, n = F.col("size"), F.col("n")
+    rows = sums.filter(F.col(flag)).join(ties, list(keys)).withColumn("u", F.col("rank_sum") - n1 * (n1 + 1) / 2)
+    both = n1 * (n - n1)
+    spread = F.sqrt(both / 12 * (n + 1 - F.col("ties") / (n * (n - 1))))
+    z = F.greatest(F.abs(F.col("u") - both / 2) - 0.5, F.lit(0.0)) / spread
+    return rows.select(*keys, "u", two_sided_p(z).alias("p"))
 
 
 def levene(df: DataFrame, keys: Sequence[str], group: str, value: str) -> DataFrame:
-    """Levene statistic with group means as centres."""
+    """Levene statistic around group medians, and its p for two groups (F with one degree is the square of t).
+
+    Groups are days of one series, so a plain median is a bounded task.
+    """
     x = df.filter(F.col(value).isNotNull())
-    centres = x.groupBy(*keys, group).agg(F.avg(value).alias("_c"))
+    centres = x.groupBy(*keys, group).agg(F.median(value).alias("_c"))
     dev = x.join(centres, [*keys, group]).withColumn("_z", F.abs(F.col(value) - F.col("_c")))
     per = dev.groupBy(*keys, group).agg(F.count(F.lit(1)).alias("n"), F.avg("_z").alias("zb"), F.sum(F.col("_z") * F.col("_z")).alias("zz"))
     agg = per.groupBy(*keys).agg(
@@ -172,4 +192,6 @@ def levene(df: DataFrame, keys: Sequence[str], group: str, value: str) -> DataFr
     )
     between = F.col("ss") - F.col("s") * F.col("s") / F.col("N")
     within = F.col("zz") - F.col("ss")
-    return agg.select(*keys, ((F.col("N") - F.col("k")) / (F.col("k") - 1) * between / within).alias("levene"))
+    stat = (F.col("N") - F.col("k")) / (F.col("k") - 1) * between / within
+    out = agg.select(*keys, stat.alias("levene"), (F.col("N") - F.col("k")).cast("double").alias("_df"), "k")
+    return out.withColumn("p", F.when(F.col("k") == 2, _solved(student_p, F.sqrt("levene"), F.col("_df")))).drop("_df", "k")

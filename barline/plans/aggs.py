@@ -275,12 +275,13 @@ def _(spark, sf):
     )
 
 
-_CLIFF = """cliff AS (SELECT event, pair, wo, hb, et, min(CASE WHEN pf < 1 THEN fee END) AS alpha_cliff FROM slots GROUP BY ALL)"""
+_CLIFF = """cliff AS (SELECT event, pair, wo, hb, et, min(CASE WHEN coalesce(pf, 0) < 2 THEN fee END) AS alpha_cliff FROM slots GROUP BY ALL)"""
 
 
-def alpha_cliffs(spark, sf, level=1.0):
+def alpha_cliffs(spark, sf, level=2.0):
+    """Smallest fee at which a slot's profit factor is below the level; no trades count as 0."""
     s = T.slot_reports(spark, sf)
-    return s.groupBy("event", "pair", "wo", "hb", "et").agg(F.min(F.when(F.col("pf") < level, F.col("fee"))).alias("alpha_cliff"))
+    return s.groupBy("event", "pair", "wo", "hb", "et").agg(F.min(F.when(F.coalesce("pf", F.lit(0.0)) < level, F.col("fee"))).alias("alpha_cliff"))
 
 
 @query("D25_cliff_histogram", sql(SLOTS, _CLIFF, body="""SELECT label, count(alpha_cliff) AS slots FROM (VALUES ('1', 0.0, 1.0), ('2', 1.0, 2.0), ('3', 2.0, 3.0), ('5', 3.0, 5.0), ('>5', 5.0, 1e300)) b(label, lo, hi)
@@ -502,10 +503,10 @@ def _(spark, sf):
     return audits.book_disorder(rows)
 
 
-@query("D52_realised_today", sql(TRADES, body="""SELECT cell_id, count(*) AS exits, sum(pnl) AS realised FROM trades WHERE ts::DATE = (SELECT max(ts)::DATE - 30 FROM trades) GROUP BY 1"""))
+@query("D52_realised_today", sql(TRADES, body="""SELECT cell_id, count(*) AS exits, sum(pnl) AS realised FROM trades WHERE ts::DATE = (SELECT max(ts)::DATE FROM trades) GROUP BY 1"""))
 def _(spark, sf):
     t = T.trades(spark, sf)
-    day = t.agg(F.date_sub(F.to_date(F.max("ts")), 30)).scalar()
+    day = t.agg(F.to_date(F.max("ts"))).scalar()
     return t.filter(F.to_date("ts") == day).groupBy("cell_id").agg(rows_as("exits"), F.sum("pnl").alias("realised"))
 
 

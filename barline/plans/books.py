@@ -381,10 +381,11 @@ def _(spark, sf):
     return g.groupBy("cell_id").agg(F.min("f").alias("lowest"), F.max("f").alias("highest"), F.bool_and(F.coalesce(F.col("f") >= tr.KELLY_MIN, F.lit(False))).alias("robust"))
 
 
-@query("I29_trade_to_bars", sql(*QB, TR, replay_sql(14), "ex AS (SELECT symbol, unnest(range(least(entry_bar, 600), least(exit_bar, 600) + 1)) AS bar, least(exit_bar, 600) AS xe, pnl FROM rx)",
+@query("I29_trade_to_bars", sql(*QB, TR, replay_sql(14), "lb AS (SELECT symbol, count(*) AS lb FROM tr GROUP BY 1)", "ex AS (SELECT symbol, unnest(range(least(entry_bar, lb), least(exit_bar, lb) + 1)) AS bar, least(exit_bar, lb) AS xe, pnl FROM rx JOIN lb USING (symbol))",
  body="SELECT symbol, bar, count(*) AS open_trades, round(sum(CASE WHEN bar = xe THEN pnl ELSE 0 END), 6) + 0.0 AS bar_pnl FROM ex GROUP BY ALL"))
 def _(spark, sf):
-    e = tr.expand_to_bars(replayed(spark, sf), F.lit(600))
+    last = hourly(spark, sf).groupBy("symbol").agg(F.count(F.lit(1)).alias("last_bar"))
+    e = tr.expand_to_bars(replayed(spark, sf).join(last, "symbol"), F.col("last_bar"))
     return e.groupBy("symbol", F.col("bar").cast("bigint").alias("bar")).agg(rows_as("open_trades"), F.sum("bar_pnl").alias("bar_pnl"))
 
 

@@ -34,7 +34,22 @@ ORD = list(T.TRADE_ORDER)
 # ---- J: statistics ---------------------------------------------------------------
 
 _SR0 = st.expected_max_sharpe(96)
-_DSR = """mo AS (SELECT cell_id, count(*) AS n, avg(pnl) / stddev_samp(pnl) AS sr, skewness(pnl) AS sk, kurtosis(pnl) + 3 AS ku FROM trades GROUP BY 1)"""
+_DSR = """mo AS (SELECT cell_id, count(*) AS n, CASE WHEN stddev_samp(pnl) > 1e-12 THEN avg(pnl) / stddev_samp(pnl) END AS sr, skewness(pnl) AS sk, kurtosis(pnl) + 3 AS ku FROM trades GROUP BY 1)"""
+
+# Tail probabilities of the checks: Simpson's rule over the density.
+_SIMPSON = "list_sum([(CASE WHEN i IN (0, 400) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * ({f}) for i in range(0, 401)]) * ({x}) / 1200"
+
+
+def student_p_sql(t: str, df: str) -> str:
+    x = f"(abs({t}) * i / 400)"
+    f = f"pow(1 + {x} * {x} / ({df}), -(({df}) + 1) / 2.0)"
+    return f"(1 - 2 * exp(lgamma((({df}) + 1) / 2.0) - lgamma(({df}) / 2.0)) / sqrt(({df}) * pi()) * " + _SIMPSON.format(f=f, x=f"abs({t})") + ")"
+
+
+def chi_square_p_sql(h: str, df: str) -> str:
+    x = f"(({h}) * i / 400)"
+    f = f"(CASE WHEN i = 0 THEN (CASE WHEN ({df}) = 2 THEN 1 ELSE 0 END) ELSE pow({x}, ({df}) / 2.0 - 1) * exp(-{x} / 2) END)"
+    return f"(1 - exp(-lgamma(({df}) / 2.0)) / pow(2, ({df}) / 2.0) * " + _SIMPSON.format(f=f, x=h) + ")"
 
 
 def moments(df, keys, value):
@@ -43,19 +58,32 @@ def moments(df, keys, value):
     g1, g2 = F.skewness(value), F.kurtosis(value)
     return df.groupBy(*keys).agg(
         F.count(value).alias("n"),
-        F.try_divide(F.avg(value), F.stddev_samp(value)).alias("sr"),
+        F.when(F.stddev_samp(value) > 1e-12, F.avg(value) / F.stddev_samp(value)).alias("sr"),
         (g1 * F.sqrt(n * (n - 1)) / (n - 2)).alias("sk"),
         (((n + 1) * g2 + 6) * (n - 1) / ((n - 2) * (n - 3)) + 3).alias("ku"),
     )
 
 
-@query("J01_deflated_sharpe", sql(TRADES, _DSR, f"z AS (SELECT *, (sr - {_SR0}::DOUBLE / sqrt(252)) / sqrt((1 - sk * sr + (ku - 1) / 4 * sr * sr) / (n - 1)) AS z FROM mo)", body=f"SELECT cell_id, n, round(sr, 6) + 0.0 AS sr, round({normal_cdf_sql('z')}, 6) AS dsr, {normal_cdf_sql('z')} > 0.95 AS passed FROM z"))
-def _(spark, sf):
+def dsr_reason(n, sr, dsr):
+    """Why the gate is shut; 'passed' if it is open."""
+    shut = F.when(dsr > 0.95, "passed").otherwise("dsr_probability_not_above_threshold")
+    return F.when(n < 2, "insufficient_trades").when(sr.isNull(), "zero_variance").when(dsr.isNull(), "non_finite_returns").otherwise(shut)
+
+
+_DSRZ = f"dz AS (SELECT *, (sr - {_SR0}::DOUBLE) / sqrt((1 - sk * sr + (ku - 1) / 4 * sr * sr) / (n - 1)) AS z FROM mo)"
+
+
+def deflated(spark, sf):
+    """Per-trade Sharpe of every cell and the probability that it is genuine after 96 trials."""
     m = moments(T.trades(spark, sf), ["cell_id"], "pnl")
-    # The hurdle is annual; per-trade ratios are compared on the daily scale.
-    z = (F.col("sr") - _SR0 / math.sqrt(252)) / F.sqrt((1 - F.col("sk") * F.col("sr") + (F.col("ku") - 1) / 4 * F.col("sr") * F.col("sr")) / (F.col("n") - 1))
-    p = st.normal_cdf(z)
-    return m.select("cell_id", "n", "sr", p.alias("dsr"), (p > 0.95).alias("passed"))
+    return m.withColumn("dsr", st.deflated_sharpe(F.col("sr"), 96, F.col("sk"), F.col("ku"), F.col("n")))
+
+
+@query("J01_deflated_sharpe", sql(TRADES, _DSR, _DSRZ, body=f"SELECT cell_id, n, round(sr, 6) + 0.0 AS sr, round({normal_cdf_sql('z')}, 6) AS dsr, coalesce({normal_cdf_sql('z')} > 0.95, false) AS passed, CASE WHEN n < 2 THEN 'insufficient_trades' WHEN sr IS NULL THEN 'zero_variance' WHEN {normal_cdf_sql('z')} > 0.95 THEN 'passed' ELSE 'dsr_probability_not_above_threshold' END AS reason FROM dz"))
+def _(spark, sf):
+    d = deflated(spark, sf)
+    passed = F.coalesce(F.col("dsr") > 0.95, F.lit(False))
+    return d.select("cell_id", "n", "sr", "dsr", passed.alias("passed"), dsr_reason(F.col("n"), F.col("sr"), F.col("dsr")).alias("reason"))
 
 
 REPS = 40
@@ -351,8 +379,14 @@ ti AS (SELECT symbol, sum(t * t * t - t) AS ties, sum(t)::BIGINT AS n FROM (SELE
 SELECT symbol, count(*) AS groups, any_value(n) AS n, round((12.0 / (any_value(n) * (any_value(n) + 1)) * sum(s * s / c) - 3 * (any_value(n) + 1)) / (1 - any_value(ties) / (pow(any_value(n), 3) - any_value(n))), 6) AS h FROM gs JOIN ti USING (symbol) GROUP BY 1"""
 
 
+def kw_p_sql(group: str) -> str:
+    body = kw_sql(group)
+    at = body.rindex("SELECT symbol, count(*) AS groups")
+    return body[:at] + "SELECT *, round(" + chi_square_p_sql("h", "groups - 1") + ", 6) + 0.0 AS p FROM (" + body[at:] + ")"
+
+
 def _kw(name, group_sql, group):
-    @query(name, "WITH " + DAILY + ", " + _RET + ", " + kw_sql(group_sql))
+    @query(name, "WITH " + DAILY + ", " + _RET + ", " + kw_p_sql(group_sql))
     def _(spark, sf):
         return ag.kruskal_wallis(daily_returns(spark, sf).withColumn("g", group()), K, "g", "r")
 
@@ -361,22 +395,27 @@ _kw("J21_kruskal_weekday", "isodow(ts)", lambda: F.weekday("ts"))
 _kw("J21_kruskal_month", "month(ts)", lambda: F.month("ts"))
 
 
-@query("J22_two_sample_t", sql(DAILY, _RET, body="""SELECT symbol, n1, n2, round((m1 - m2) / sqrt(v1 / n1 + v2 / n2), 6) AS welch_t, round((m1 - m2) / sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2) * (1.0 / n1 + 1.0 / n2)), 6) AS t, round(2 * (1 - """ + normal_cdf_sql("abs((m1 - m2) / sqrt(v1 / n1 + v2 / n2))") + """), 6) AS p FROM (
+@query("J22_two_sample_t", sql(DAILY, _RET, body="""SELECT symbol, n1, n2, round((m1 - m2) / sqrt(v1 / n1 + v2 / n2), 6) AS welch_t, round((m1 - m2) / sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2) * (1.0 / n1 + 1.0 / n2)), 6) AS t, round(""" + student_p_sql("((m1 - m2) / sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2) * (1.0 / n1 + 1.0 / n2)))", "n1 + n2 - 2") + """, 6) + 0.0 AS p, round(sqrt(v1 / v2), 6) AS vol_ratio FROM (
  SELECT symbol, count(*) FILTER (f) AS n1, count(*) FILTER (NOT f) AS n2, avg(r) FILTER (f) AS m1, avg(r) FILTER (NOT f) AS m2, var_samp(r) FILTER (f) AS v1, var_samp(r) FILTER (NOT f) AS v2 FROM (SELECT *, day(ts) <= 3 AS f FROM rt) GROUP BY 1)"""))
 def _(spark, sf):
     x = daily_returns(spark, sf).withColumn("f", F.dayofmonth("ts") <= 3)
     t = ag.two_sample(x, K, "f", "r")
-    return t.select("symbol", "n1", "n2", "welch_t", "t", st.two_sided_p(F.col("welch_t")).alias("p"))
+    return t.select("symbol", "n1", "n2", "welch_t", "t", "p", "vol_ratio")
 
 
-@query("J22_mann_whitney", sql(DAILY, _RET, body="SELECT symbol, round(sum(rk) FILTER (f) - count(*) FILTER (f) * (count(*) FILTER (f) + 1) / 2.0, 3)::DOUBLE AS u FROM (SELECT symbol, day(ts) <= 3 AS f, rank() OVER (PARTITION BY symbol ORDER BY r) + (count(*) OVER (PARTITION BY symbol, r) - 1) / 2.0 AS rk FROM rt) GROUP BY 1"))
+@query("J22_mann_whitney", sql(DAILY, _RET, "mr AS (SELECT symbol, day(ts) <= 3 AS f, rank() OVER (PARTITION BY symbol ORDER BY r) + (count(*) OVER (PARTITION BY symbol, r) - 1) / 2.0 AS rk, count(*) OVER (PARTITION BY symbol, r) AS t FROM rt)",
+ "mu AS (SELECT symbol, sum(rk) FILTER (f) - count(*) FILTER (f) * (count(*) FILTER (f) + 1) / 2.0 AS u, count(*) FILTER (f) AS n1, count(*) FILTER (NOT f) AS n2, count(*) AS n, sum(t * t - 1)::DOUBLE AS ties FROM mr GROUP BY 1)",
+ "mz AS (SELECT *, greatest(abs(u - n1 * n2 / 2.0) - 0.5, 0) / sqrt(n1 * n2 / 12.0 * (n + 1 - ties / (n * (n - 1)::DOUBLE))) AS z FROM mu)",
+ body="SELECT symbol, round(u, 3)::DOUBLE AS u, round(2 * (1 - " + normal_cdf_sql("z") + "), 6) + 0.0 AS p FROM mz"))
 def _(spark, sf):
     return ag.mann_whitney(daily_returns(spark, sf).withColumn("f", F.dayofmonth("ts") <= 3), K, "f", "r")
 
 
-@query("J22_levene", sql(DAILY, _RET, "z AS (SELECT symbol, f, abs(r - avg(r) OVER (PARTITION BY symbol, f)) AS z FROM (SELECT *, day(ts) <= 3 AS f FROM rt))", "zz AS (SELECT *, avg(z) OVER (PARTITION BY symbol) AS zm, avg(z) OVER (PARTITION BY symbol, f) AS zg FROM z)", body="SELECT symbol, round((count(*) - 2) * sum(pow(zg - zm, 2)) / sum(pow(z - zg, 2)), 5) AS levene FROM zz GROUP BY 1"))
+@query("J22_levene", sql(DAILY, _RET, "z AS (SELECT symbol, f, abs(r - median(r) OVER (PARTITION BY symbol, f)) AS z FROM (SELECT *, day(ts) <= 3 AS f FROM rt))", "zz AS (SELECT *, avg(z) OVER (PARTITION BY symbol) AS zm, avg(z) OVER (PARTITION BY symbol, f) AS zg FROM z)", "lv AS (SELECT symbol, count(*) AS n, (count(*) - 2) * sum(pow(zg - zm, 2)) / sum(pow(z - zg, 2)) AS w FROM zz GROUP BY 1)",
+ body="SELECT symbol, round(w, 5) AS levene, round(" + student_p_sql("sqrt(w)", "n - 2") + ", 5) + 0.0 AS p FROM lv"))
 def _(spark, sf):
-    return ag.levene(daily_returns(spark, sf).withColumn("f", F.dayofmonth("ts") <= 3), K, "f", "r").withColumn("levene", F.round("levene", 5))
+    out = ag.levene(daily_returns(spark, sf).withColumn("f", F.dayofmonth("ts") <= 3), K, "f", "r")
+    return out.withColumn("levene", F.round("levene", 5)).withColumn("p", F.round("p", 5))
 
 
 def _season(name, group_sql, group):
