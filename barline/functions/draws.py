@@ -1,26 +1,31 @@
 """Reproducible draws: a uniform number as a function of (row, replicate, seed).
 
 Integer arithmetic below 2^63, so the value is the same on every engine, in
-every partitioning and on every retry.
+every partitioning and on every retry.  All 63 bits of the row id take part:
+its two halves enter at different steps, so ids that agree in one half still
+draw different sequences.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # A Mersenne prime and multipliers of classic generators.
 P = 2_147_483_647
-A, B, C, D = 48_271, 69_621, 16_807, 12_345
+A, B, C, D, E = 48_271, 69_621, 16_807, 12_345, 40_692
 
 
 def mix(row: Column, rep: Column | int, seed: int) -> Column:
     rep_ = rep if isinstance(rep, Column) else F.lit(rep)
     rep_ = rep_.cast("bigint")
-    i = F.pmod(row.cast("bigint"), F.lit(P).cast("bigint"))
-    x1 = (i * A + rep_ * B + seed) % P
-    x2 = (x1 * x1 + rep_ * C + D) % P
-    return (x2 * x2 + i) % P
+    low = F.pmod(row.cast("bigint"), F.lit(P).cast("bigint"))
+    high = F.shiftrightunsigned(row.cast("bigint"), 31)
+    x1 = (low * A + rep_ * B + seed) % P
+    x2 = (x1 * x1 + high * E + rep_ * C + D) % P
+    x3 = (x2 * x2 + low + high) % P
+    return x3
 
 
 def uniform(row: Column, rep: Column | int, seed: int) -> Column:
@@ -28,11 +33,20 @@ def uniform(row: Column, rep: Column | int, seed: int) -> Column:
     return mix(row, rep, seed) / float(P)
 
 
+def uniforms(rows: np.ndarray, reps: int, seed: int) -> np.ndarray:
+    """The same draws for a batch of row ids and all replicates: one line per row."""
+    low, high = (rows % P)[:, None], (rows.view(np.uint64) >> np.uint64(31)).astype(np.int64)[:, None]
+    rep = np.arange(reps, dtype=np.int64)[None, :]
+    x1 = (low * A + rep * B + seed) % P
+    x2 = (x1 * x1 + high * E + rep * C + D) % P
+    return ((x2 * x2 + low + high) % P) / float(P)
+
+
 def mix_sql(row: str, rep: str, seed: int) -> str:
-    i = f"(({row})::BIGINT % {P})"
-    x1 = f"(({i} * {A} + ({rep})::BIGINT * {B} + {seed}) % {P})"
-    x2 = f"(({x1} * {x1} + ({rep})::BIGINT * {C} + {D}) % {P})"
-    return f"(({x2} * {x2} + {i}) % {P})"
+    low, high, rep = f"(({row})::BIGINT % {P})", f"(({row})::BIGINT >> 31)", f"({rep})::BIGINT"
+    x1 = f"(({low} * {A} + {rep} * {B} + {seed}) % {P})"
+    x2 = f"(({x1} * {x1} + {high} * {E} + {rep} * {C} + {D}) % {P})"
+    return f"(({x2} * {x2} + {low} + {high}) % {P})"
 
 
 def uniform_sql(row: str, rep: str, seed: int) -> str:
@@ -41,7 +55,7 @@ def uniform_sql(row: str, rep: str, seed: int) -> str:
 
 def mix_value(row: int, rep: int, seed: int) -> int:
     """The same draw for a small configuration list."""
-    i = row % P
-    x1 = (i * A + rep * B + seed) % P
-    x2 = (x1 * x1 + rep * C + D) % P
-    return (x2 * x2 + i) % P
+    low, high = row % P, row >> 31
+    x1 = (low * A + rep * B + seed) % P
+    x2 = (x1 * x1 + high * E + rep * C + D) % P
+    return (x2 * x2 + low + high) % P

@@ -40,7 +40,8 @@ def inside_windows(rows: DataFrame, windows: DataFrame, keys: Sequence[str] = ()
     return with_open_windows(rows, windows, keys, at).filter("open_windows > 0").drop("open_windows")
 
 
-def present_in_all(df: DataFrame, series: str, at: str, n_series: int) -> DataFrame:
-    """Rows at times every one of ``n_series`` series has."""
+def present_in_all(df: DataFrame, series: str, at: str) -> DataFrame:
+    """Rows at times that every series of the table has."""
+    n_series = df.agg(F.countDistinct(series)).scalar()
     common = df.groupBy(at).agg(F.countDistinct(series).alias("_n")).filter(F.col("_n") == n_series).select(at)
     return df.join(common, at, "left_semi")

@@ -11,9 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barline.functions.draws import uniform
 from barline.functions.stats import beta_quantile
-from barline.operators.resampling import poisson_weight, replicates
+from barline.operators.resampling import poisson_counts, replicate_sums
 
 
 def kelly_lower_bounds(trades: DataFrame, keys: Sequence[str], row: Column, n: int, seed: int, level: float = 0.05) -> DataFrame:
@@ -42,12 +41,8 @@ def kelly_lower_bounds(trades: DataFrame, keys: Sequence[str], row: Column, n: i
     shift = left_out - F.log(F.col("gp") / F.col("gl"))
     jack = joined.groupBy(*keys).agg(*[F.sum(F.pow(shift, F.lit(float(e)))).alias(f"j{e}") for e in (1, 2, 3)])
 
-    weight = poisson_weight(uniform(F.col("_row"), F.col("rep"), seed))
-    drawn = replicates(joined.select(*keys, "_row", "pnl"), n).withColumn("_w", weight)
-    reps = drawn.groupBy(*keys, "rep").agg(
-        F.sum(F.when(p > 0, p * F.col("_w")).otherwise(0.0)).alias("a"),
-        F.sum(F.when(p < 0, -p * F.col("_w")).otherwise(0.0)).alias("b"),
-    )
+    sides = {"a": F.when(p > 0, p), "b": F.when(p < 0, -p)}
+    reps = replicate_sums(joined.select(*keys, "_row", "pnl"), keys, F.col("_row"), sides, poisson_counts, n, seed)
     logs = reps.groupBy(*keys).agg(F.collect_list(F.when((F.col("a") > 0) & (F.col("b") > 0), F.log(F.col("a") / F.col("b")))).alias("logs"))
 
     @F.pandas_udf("p_lower double, b_lower double")

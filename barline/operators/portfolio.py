@@ -14,9 +14,9 @@ from barline.operators.indicators import by
 TINY = 1e-12
 
 
-def slot_returns(equity: DataFrame, n_slots: int) -> DataFrame:
+def slot_returns(equity: DataFrame) -> DataFrame:
     """Returns between consecutive common timestamps: ``slot, ts, r``."""
-    common = present_in_all(equity, "slot", "ts", n_slots)
+    common = present_in_all(equity, "slot", "ts")
     prev = F.lag("equity").over(by(["slot"]))
     r = F.when(F.abs(prev) > TINY, F.col("equity") / prev - 1).otherwise(0.0)
     return common.withColumn("_p", prev).withColumn("r", r).filter("_p IS NOT NULL").select("slot", "ts", "r")
@@ -72,11 +72,13 @@ def portfolio_metrics(portfolio: DataFrame, ppy: float) -> DataFrame:
     )
 
 
-def mean_pairwise_correlation(returns: DataFrame, slots: list[str]) -> DataFrame:
+def mean_pairwise_correlation(returns: DataFrame) -> DataFrame:
     """Mean Pearson correlation over slot pairs.
 
-    One wide row per timestamp, one aggregate per pair: no self join.
+    One wide row per timestamp, one aggregate per pair: no self join.  The
+    names of the slots (as many as a portfolio has series) come from the data.
     """
+    slots = sorted(r["slot"] for r in returns.select("slot").distinct().collect())
     wide = returns.groupBy("ts").pivot("slot", slots).agg(F.first("r"))
     pairs = [(a, b) for i, a in enumerate(slots) for b in slots[i + 1 :]]
     cors = wide.agg(*[correlation(a, b).alias(f"{a}|{b}") for a, b in pairs])

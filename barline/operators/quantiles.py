@@ -2,38 +2,26 @@
 
 The built-in ``percentile`` keeps every distinct value of a group in one task.
 That is fine for bars and cells, not for ticks or trades: there the values are
-counted first (map-side combine) and ranked by a two-level running count.
+counted first (map-side combine) and ranked by a two-level running count,
+whatever their number.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barline.operators.series import Run, running
-from barline.session import settle
-
-# Rows of distinct values that a single task may order.
-WINDOW_ROWS = 2_000_000
 
 
 def value_ranks(df: DataFrame, keys: Sequence[str], value: Column) -> DataFrame:
-    """Distinct values per key with ``n_eq``, ``n_le``, ``n_lt`` and the size ``n``.
-
-    The counts are written once and their number is checked: a small table is
-    ranked by a plain window, a large one by the two-level running count.
-    """
+    """Distinct values per key with ``n_eq``, ``n_le``, ``n_lt`` and the size ``n``."""
     keyed = df.select(*keys, value.alias("value")).filter("value IS NOT NULL")
-    counts = settle(keyed.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("n_eq")), "counts")
-    if counts.count() <= WINDOW_ROWS:
-        group = Window.partitionBy(*keys)
-        so_far = group.orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-        ranked = counts.withColumn("n_le", F.sum("n_eq").over(so_far)).withColumn("n", F.sum("n_eq").over(group))
-    else:
-        ranked = running(counts, keys, ["value"], {"n_le": Run("sum", F.col("n_eq"))})
-        ranked = ranked.join(counts.groupBy(*keys).agg(F.sum("n_eq").alias("n")), list(keys))
+    counts = keyed.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("n_eq"))
+    ranked = running(counts, keys, ["value"], {"n_le": Run("sum", F.col("n_eq"))})
+    ranked = ranked.join(ranked.groupBy(*keys).agg(F.max("n_le").alias("n")), list(keys))
     return ranked.withColumn("n_lt", F.col("n_le") - F.col("n_eq"))
 
 

@@ -1,20 +1,24 @@
 """Bootstrap, permutation and sign-flip tests.
 
 Draws are functions of (row, replicate, seed), so every replicate is the same on
-any cluster.  Sums over a replicate are partial aggregates; block sums come from
-prefix sums, so a block bootstrap reads about sqrt(n) rows per replicate
-instead of n.
+any cluster.  Row resamples never multiply rows: a task draws all replicates of
+a batch at once and keeps one array of sums per key, and the arrays of the tasks
+are added.  Block sums come from prefix sums, so a block bootstrap reads about
+sqrt(n) rows per replicate instead of n.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from barline.functions.draws import uniform
+from barline.functions.draws import uniform, uniforms
 from barline.operators.multiple import holm
 from barline.operators.series import Run, running
 
@@ -23,18 +27,53 @@ def replicates(df: DataFrame, n: int) -> DataFrame:
     return df.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
 
 
-def poisson_weight(u: Column) -> Column:
-    """Poisson(1) count from a uniform draw.  Fixed values: its CDF at 0..7."""
-    cdf, p = [], math.exp(-1.0)
-    total = 0.0
-    for k in range(8):
-        total += p
-        cdf.append(round(total, 9))
-        p /= k + 1
-    w = F.lit(0)
-    for c in cdf:
-        w = w + F.when(u >= c, 1).otherwise(0)
-    return w
+# The Poisson(1) distribution function at 0..7, to nine places.
+POISSON_CDF = np.round(np.cumsum([math.exp(-1.0) / math.factorial(k) for k in range(8)]), 9)
+
+
+def poisson_counts(u: np.ndarray) -> np.ndarray:
+    """Poisson(1) counts from uniform draws."""
+    return np.searchsorted(POISSON_CDF, u, side="right").astype(np.float64)
+
+
+def sign_flips(u: np.ndarray) -> np.ndarray:
+    return np.where(u < 0.5, -1.0, 1.0)
+
+
+def replicate_sums(
+    df: DataFrame, keys: Sequence[str], row: Column, values: dict[str, Column], weigh: Callable, n: int, seed: int
+) -> DataFrame:
+    """``keys, rep`` and for each value its sum weighted by the replicate's draws; null values weigh nothing.
+
+    Each task holds (keys in its batch) x n x values sums; what leaves it is one
+    row per key and task.
+    """
+    keys, names = list(keys), list(values)
+    base = df.select(*keys, row.cast("bigint").alias("_row"), *[F.coalesce(c.cast("double"), F.lit(0.0)).alias(v) for v, c in values.items()])
+    kinds = [base.schema[k] for k in keys]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                part = pa.Table.from_batches([batch.slice(at, 2048)])
+                weights = weigh(uniforms(part.column("_row").to_numpy(), n, seed))
+                owner = list(zip(*[part.column(k).to_pylist() for k in keys])) if keys else [()] * part.num_rows
+                index: dict[tuple, list[int]] = {}
+                for i, key in enumerate(owner):
+                    index.setdefault(key, []).append(i)
+                x = np.stack([part.column(v).to_numpy() for v in names])
+                for key, rows in index.items():
+                    got = x[:, rows] @ weights[rows]
+                    sums[key] = sums[key] + got if key in sums else got
+        out = {k: [key[i] for key in sums] for i, k in enumerate(keys)}
+        columns = [pa.array(out[k]) for k in keys] + [pa.array([s[j].tolist() for s in sums.values()], pa.list_(pa.float64())) for j in range(len(names))]
+        if sums:
+            yield pa.RecordBatch.from_arrays(columns, [*keys, *names])
+
+    schema = T.StructType([*kinds, *[T.StructField(v, T.ArrayType(T.DoubleType())) for v in names]])
+    each = base.mapInArrow(run, schema).select(*keys, F.posexplode(F.arrays_zip(*names)).alias("rep", "_v"))
+    return each.groupBy(*keys, "rep").agg(*[F.sum(F.col("_v")[v]).alias(v) for v in names])
 
 
 def bootstrap_pvalues(df: DataFrame, keys: Sequence[str], row: Column, value: Column, n: int, seed: int) -> DataFrame:
@@ -46,8 +85,8 @@ def bootstrap_pvalues(df: DataFrame, keys: Sequence[str], row: Column, value: Co
     base = df.select(*keys, row.alias("_row"), value.alias("_x")).filter("_x IS NOT NULL")
     stats = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("_x").alias("mean"))
     centred = base.join(stats, list(keys)).withColumn("_c", F.col("_x") - F.col("mean"))
-    draws = replicates(centred, n).withColumn("_w", poisson_weight(uniform(F.col("_row"), F.col("rep"), seed)))
-    means = draws.groupBy(*keys, "rep").agg(F.try_divide(F.sum(F.col("_w") * F.col("_c")), F.sum("_w")).alias("_m"))
+    sums = replicate_sums(centred, keys, F.col("_row"), {"_c": F.col("_c"), "_w": F.lit(1.0)}, poisson_counts, n, seed)
+    means = sums.select(*keys, "rep", F.try_divide("_c", "_w").alias("_m"))
     tail = means.join(stats, list(keys)).groupBy(*keys).agg(
         F.avg((F.abs("_m") >= F.abs("mean")).cast("int")).alias("p_raw")
     )
@@ -111,8 +150,7 @@ def sign_flip_pvalues(df: DataFrame, keys: Sequence[str], row: Column, value: Co
     """p = (k + 1) / (n + 1), k = flips whose mean reaches the observed one."""
     base = df.select(*keys, row.alias("_row"), value.alias("_x"))
     observed = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum("_x").alias("observed_sum"))
-    flip = F.when(uniform(F.col("_row"), F.col("rep"), seed) < 0.5, -F.col("_x")).otherwise(F.col("_x"))
-    sums = replicates(base, n).groupBy(*keys, "rep").agg(F.sum(flip).alias("_s"))
+    sums = replicate_sums(base, keys, F.col("_row"), {"_s": F.col("_x")}, sign_flips, n, seed)
     k = sums.join(observed, list(keys)).groupBy(*keys).agg(F.count_if(F.col("_s") >= F.col("observed_sum")).alias("extreme"))
     return observed.join(k, list(keys)).withColumn("p_raw", (F.col("extreme") + 1) / F.lit(n + 1))
 

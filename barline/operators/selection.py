@@ -11,18 +11,9 @@ from pyspark.sql import functions as F
 
 from barline.functions.draws import mix
 from barline.operators.quantiles import value_ranks
-from barline.session import settle
 
-BROADCAST_ROWS = 20_000
-
-
-def _beats(objectives: Sequence[str], winner: str) -> Column:
-    """The ``winner``-prefixed vector dominates the plain one (all maximised)."""
-    ge, gt = F.lit(True), F.lit(False)
-    for o in objectives:
-        ge = ge & (F.col(f"{winner}{o}") >= F.col(o))
-        gt = gt | (F.col(f"{winner}{o}") > F.col(o))
-    return ge & gt
+#: Tasks of the merges of fronts, from the widest to the last.
+MERGE_PARTS = (64, 8, 1)
 
 
 def _front_of(points: np.ndarray) -> np.ndarray:
@@ -39,15 +30,16 @@ def _front_of(points: np.ndarray) -> np.ndarray:
 def pareto_front(df: DataFrame, objectives: Sequence[str]) -> DataFrame:
     """Rows no other row dominates; every objective is maximised.
 
-    Distinct objective vectors are thinned to each partition's own front, then
-    the remaining candidates are checked against each other.  Candidates are
-    broadcast only below a counted limit; beyond it the check is spread over
-    salted buckets, each seeing part of the rivals.
+    Distinct objective vectors are thinned to the front of each partition, and
+    fronts are merged in a tree: vectors of a like sum lie together, so most of
+    what is dominated goes in the first step.  Each merge holds fronts only; the
+    last one holds the answer.
     """
     objs = list(objectives)
-    vectors = df.select(*objs).na.drop().distinct()
+    total = sum((F.col(o) for o in objs), F.lit(0.0))
+    vectors = df.select(*[F.col(o).cast("double").alias(o) for o in objs]).na.drop().distinct()
 
-    def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept = np.empty((0, len(objs)))
         for b in batches:
             kept = _front_of(np.vstack([kept, b.to_numpy(dtype=float)]))
@@ -55,18 +47,9 @@ def pareto_front(df: DataFrame, objectives: Sequence[str]) -> DataFrame:
             yield pd.DataFrame(kept, columns=objs)
 
     schema = ", ".join(f"{o} double" for o in objs)
-    doubles = vectors.select(*[F.col(o).cast("double").alias(o) for o in objs])
-    candidates = settle(doubles.mapInPandas(local, schema).distinct(), "candidates")
-    rivals = candidates.select(*[F.col(o).alias(f"r_{o}") for o in objs])
-    n = candidates.count()
-    if n <= BROADCAST_ROWS:
-        front = candidates.join(F.broadcast(rivals), _beats(objs, "r_"), "left_anti")
-    else:
-        buckets = max(2, n // BROADCAST_ROWS)
-        spread = rivals.withColumn("_b", F.pmod(F.xxhash64(*rivals.columns), F.lit(buckets)))
-        asked = candidates.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1)).cast("array<bigint>")))
-        lost = asked.join(spread, (asked["_b"] == spread["_b"]) & _beats(objs, "r_"), "left_semi")
-        front = candidates.join(lost.select(*objs).distinct(), objs, "left_anti")
+    front = vectors.repartitionByRange(total).mapInPandas(merge, schema)
+    for parts in MERGE_PARTS:
+        front = front.coalesce(parts).mapInPandas(merge, schema)
     keyed = front.select(*[F.col(o).alias(f"_f_{o}") for o in objs])
     on = [F.col(o).cast("double") == F.col(f"_f_{o}") for o in objs]
     return df.join(keyed, on, "left_semi")
@@ -87,7 +70,7 @@ def stratified_split(df: DataFrame, row_id: str, label: str, seed: int, test_sha
     draw at that rank, found by the distributed rank, so a large class is never
     ordered in one task.
     """
-    drawn = df.withColumn("_draw", mix(F.col(row_id), 0, seed) * 1.0 + F.col(row_id) / 1e12)
+    drawn = df.withColumn("_draw", F.struct(mix(F.col(row_id), 0, seed).alias("u"), F.col(row_id).alias("id")))
     ranks = value_ranks(drawn, [label], F.col("_draw"))
     size = ranks.groupBy(label).agg(F.max("n_le").alias("_n"))
     take = F.when(F.col("_n") < min_class, 0).otherwise(F.round(F.col("_n") * test_share))

@@ -142,10 +142,10 @@ def family_grid(spark, sf):
     return out
 
 
-@query("D09_dense_family_counts", sql(FAST, _SLOT30, STUDY_SCORES, _GRID216, body="""SELECT g.*, coalesce(n, 0) AS n FROM famgrid g LEFT JOIN (SELECT symbol, score_family, lookback_seconds, threshold, direction, horizon_seconds, count(*) AS n FROM ev WHERE signal_side = 'negative_extreme' GROUP BY ALL) c
+@query("D09_dense_family_counts", sql(FAST, _SLOT30, STUDY_SCORES, _GRID216, body="""SELECT g.*, coalesce(n, 0) AS n FROM famgrid g LEFT JOIN (SELECT symbol, score_family, lookback_seconds, threshold, direction, horizon_seconds, count(*) AS n FROM ev GROUP BY ALL) c
  USING (symbol, score_family, lookback_seconds, threshold, direction, horizon_seconds)"""))
 def _(spark, sf):
-    counts = study_events(spark, sf).filter("signal_side = 'negative_extreme'").groupBy(*imbalance.KEY).agg(rows_as("n"))
+    counts = study_events(spark, sf).groupBy(*imbalance.KEY).agg(rows_as("n"))
     return family_grid(spark, sf).join(counts, imbalance.KEY, "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
@@ -170,10 +170,9 @@ _PF = """round(sum(greatest(pnl, 0)) / nullif(sum(greatest(-pnl, 0)), 0), 6)"""
 
 
 @query("D12_profit_factor", sql(TRADES, body=f"""SELECT cell_id, fold, sum(greatest(pnl, 0)) AS gross_profit, sum(greatest(-pnl, 0)) AS gross_loss,
- CASE WHEN sum(greatest(-pnl, 0)) > 0 THEN {_PF} WHEN sum(greatest(pnl, 0)) > 0 THEN NULL ELSE 0 END AS pf, sum(greatest(-pnl, 0)) <= 1e-12 AND sum(greatest(pnl, 0)) > 0 AS pf_infinite FROM trades WHERE ts < TIMESTAMP '1996-06-01' AND qty > 30 GROUP BY ALL"""))
+ CASE WHEN sum(greatest(-pnl, 0)) > 0 THEN {_PF} WHEN sum(greatest(pnl, 0)) > 0 THEN NULL ELSE 0 END AS pf, sum(greatest(-pnl, 0)) <= 1e-12 AND sum(greatest(pnl, 0)) > 0 AS pf_infinite FROM trades GROUP BY ALL"""))
 def _(spark, sf):
-    t = T.trades(spark, sf).filter("ts < TIMESTAMP '1996-06-01' AND qty > 30")
-    return folds.profit_factor(t, ["cell_id", "fold"], F.col("pnl"))
+    return folds.profit_factor(T.trades(spark, sf), ["cell_id", "fold"], F.col("pnl"))
 
 
 @query("D13_sparse_gate", sql(FAST, _SLOT30, STUDY_SCORES, STUDY_PRICED, STUDY_CELLS, body="""SELECT symbol, horizon_seconds, count(*) FILTER (num_trades < min_trades) AS sparse_cells, count(*) FILTER (num_trades >= min_trades) AS dense_cells, max(min_trades) AS min_trades FROM cellp GROUP BY ALL"""))
@@ -338,13 +337,14 @@ def _(spark, sf):
     return s.groupBy("event", F.split_part("cell", F.lit("_x_"), F.lit(1)).alias("pool_cell")).agg(F.coalesce(F.try_divide(long, long + short), F.lit(0.5)).alias("sign_ratio"))
 
 
-@query("D31_cell_audit", sql(SLOT_TRADES, body="""SELECT g.event, g.hb, g.et, coalesce(n, 0) AS n, coalesce(n, 0) = 0 AS empty, coalesce(n, 0) < 50 AS below_min, round(coalesce(n, 0) / sum(coalesce(n, 0)) OVER (PARTITION BY g.event)::DOUBLE, 6) AS share FROM
- (SELECT * FROM (SELECT unnest(['BOJ', 'ECB', 'FOMC', 'NFP']) AS event), (SELECT unnest([1, 2, 3, 4, 5, 6, 7]) AS hb), (SELECT unnest(['none', 'fixed_pct']) AS et)) g LEFT JOIN (SELECT event, hb, et, count(*) AS n FROM slot_trades WHERE pair = 'P1' GROUP BY ALL) c USING (event, hb, et)"""))
+@query("D31_cell_audit", sql(SLOT_TRADES, body="""SELECT g.pair, g.event, g.hb, g.et, coalesce(n, 0) AS n, coalesce(n, 0) = 0 AS empty, coalesce(n, 0) < 50 AS below_min, round(coalesce(n, 0) / sum(coalesce(n, 0)) OVER (PARTITION BY g.pair, g.event)::DOUBLE, 6) AS share FROM
+ (SELECT * FROM (SELECT unnest(['P0', 'P1', 'P2', 'P3']) AS pair), (SELECT unnest(['BOJ', 'ECB', 'FOMC', 'NFP']) AS event), (SELECT unnest([1, 2, 3, 4, 5, 6, 7]) AS hb), (SELECT unnest(['none', 'fixed_pct']) AS et)) g LEFT JOIN (SELECT pair, event, hb, et, count(*) AS n FROM slot_trades GROUP BY ALL) c USING (pair, event, hb, et)"""))
 def _(spark, sf):
     grid = fan_out(fan_out(fan_out(spark.range(1), "event", T.SLOT_EVENTS), "hb", range(1, 8)), "et", ("none", "fixed_pct")).drop("id")
-    counts = T.slot_trades(spark, sf).filter("pair = 'P1'").groupBy("event", "hb", "et").agg(rows_as("n"))
-    full = grid.join(counts, ["event", "hb", "et"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    share = F.col("n") / F.sum("n").over(Window.partitionBy("event"))
+    grid = fan_out(grid, "pair", T.SLOT_PAIRS)
+    counts = T.slot_trades(spark, sf).groupBy("pair", "event", "hb", "et").agg(rows_as("n"))
+    full = grid.join(counts, ["pair", "event", "hb", "et"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    share = F.col("n") / F.sum("n").over(Window.partitionBy("pair", "event"))
     return full.select("*", (F.col("n") == 0).alias("empty"), (F.col("n") < 50).alias("below_min"), share.alias("share"))
 
 

@@ -190,7 +190,7 @@ def _(spark, sf):
     return g.select("p_brand", "session", "short_n", "long_n", ((F.col("short_n") * 100 + F.col("long_n")) % 12 + 1).alias("month"))
 
 
-JITTER = history.jittered((5, 20), 8, 0.2, 42)
+JITTER = history.jittered((5, 20), 50, 0.2, 42)
 
 
 @query("I13_parameter_robustness", sql(*QB, grid_sma_sql("bars", "symbol", JITTER), "pf AS (SELECT symbol, param_id, sum(greatest(ret_, 0)) / nullif(sum(greatest(-ret_, 0)), 0) AS pf FROM acc GROUP BY ALL)",
@@ -199,13 +199,13 @@ def _(spark, sf):
     return history.robustness(history.sweep(hourly(spark, sf), ["symbol"], JITTER, 0.0004, 8760.0), ["symbol"])
 
 
-@query("I14_random_benchmark", sql(*QB, f"rs AS (SELECT symbol, ts, close, rep, (CASE WHEN u < 0.2::DOUBLE THEN -1 WHEN u >= 0.8::DOUBLE THEN 1 ELSE 0 END) AS signal FROM (SELECT *, {uniform_sql('epoch(ts)::BIGINT', 'rep', 7)} AS u FROM bars, (SELECT unnest(range(20))::INTEGER AS rep)))",
+@query("I14_random_benchmark", sql(*QB, f"rs AS (SELECT symbol, ts, close, rep, (CASE WHEN u < 0.2::DOUBLE THEN -1 WHEN u >= 0.8::DOUBLE THEN 1 ELSE 0 END) AS signal FROM (SELECT *, {uniform_sql('epoch(ts)::BIGINT', 'rep', 7)} AS u FROM bars, (SELECT unnest(range(200))::INTEGER AS rep)))",
  account_ctes("rs", "0.0004", keys="symbol, rep"), "rp AS (SELECT symbol, rep, sum(greatest(ret_, 0)) / nullif(sum(greatest(-ret_, 0)), 0) AS pf FROM acc GROUP BY ALL)",
  SMA_X, f"pos AS (SELECT symbol, ts, close, (CASE {SMA_P} ELSE 0 END) AS position FROM x)", f"sg AS (SELECT *, {signal_sql()} AS signal FROM pos)", account_ctes("sg", "0.0004", out="own"), "op AS (SELECT symbol, sum(greatest(ret_, 0)) / nullif(sum(greatest(-ret_, 0)), 0) AS own_pf FROM own GROUP BY ALL)",
  body="SELECT symbol, round(any_value(own_pf), 6) AS own_pf, round(avg(pf), 6) AS random_mean_pf, round(count(*) FILTER (pf <= own_pf) * 100.0 / count(*), 6)::DOUBLE AS percentile_rank FROM rp JOIN op USING (symbol) WHERE pf IS NOT NULL GROUP BY 1"))
 def _(spark, sf):
     bars = hourly(spark, sf)
-    noise = performance(account(history.random_signals(bars, 20, 7), ["symbol", "rep"], 0.0004), ["symbol", "rep"], 8760.0)
+    noise = performance(account(history.random_signals(bars, 200, 7), ["symbol", "rep"], 0.0004), ["symbol", "rep"], 8760.0)
     own = performance(account(apply_rule("sma_cross", bars, K), K, 0.0004), K, 8760.0).select("symbol", F.col("profit_factor").alias("own_pf"))
     j = noise.filter("profit_factor IS NOT NULL").join(own, "symbol")
     rank = F.count_if(F.col("profit_factor") <= F.col("own_pf")) / F.count(F.lit(1)) * 100
@@ -254,15 +254,12 @@ def _(spark, sf):
 
 
 _SLOTEQ = (SMA_X, f"pos AS (SELECT symbol, ts, close, (CASE {SMA_P} ELSE 0 END) AS position FROM x)", f"sg AS (SELECT *, {signal_sql()} AS signal FROM pos)", account_ctes("sg", "0.0004"),
- "cm AS (SELECT ts FROM acc GROUP BY ts HAVING count(DISTINCT symbol) = 5)", "rt AS (SELECT * FROM (SELECT symbol AS slot, ts, equity_ / lag(equity_) OVER (PARTITION BY symbol ORDER BY ts) - 1 AS r FROM acc WHERE ts IN (SELECT ts FROM cm)) WHERE r IS NOT NULL)",
+ "cm AS (SELECT ts FROM acc GROUP BY ts HAVING count(DISTINCT symbol) = (SELECT count(DISTINCT symbol) FROM acc))", "rt AS (SELECT * FROM (SELECT symbol AS slot, ts, equity_ / lag(equity_) OVER (PARTITION BY symbol ORDER BY ts) - 1 AS r FROM acc WHERE ts IN (SELECT ts FROM cm)) WHERE r IS NOT NULL)",
  "wt AS (SELECT slot, stddev_pop(r) AS vol, 1.0::DOUBLE / count(*) OVER () AS equal, (1 / stddev_pop(r)) / sum(1 / stddev_pop(r)) OVER () AS inverse_vol FROM rt GROUP BY 1)",
  "pr AS (SELECT ts, sum(r * inverse_vol) AS r FROM rt JOIN wt USING (slot) GROUP BY 1)", "pe AS (SELECT *, product(1 + r) OVER (ORDER BY ts) AS equity FROM pr)")
-SLOT_NAMES = ["click", "error", "purchase", "signup", "view"]
-
-
 def slot_returns(spark, sf):
     acc = account(apply_rule("sma_cross", hourly(spark, sf), K), K, 0.0004)
-    return portfolio.slot_returns(acc.select(F.col("symbol").alias("slot"), "ts", "equity"), 5)
+    return portfolio.slot_returns(acc.select(F.col("symbol").alias("slot"), "ts", "equity"))
 
 
 @query("I18_slot_weights", sql(*QB, *_SLOTEQ, body="SELECT slot, round(vol, 6) AS vol, round(equal, 6) AS equal, round(inverse_vol, 6) AS inverse_vol FROM wt"))
@@ -286,12 +283,12 @@ def _(spark, sf):
 
 @query("I21_mean_pairwise_correlation", sql(*QB, *_SLOTEQ, body="SELECT round(avg(c), 6) AS mean_correlation, count(c) AS pairs FROM (SELECT a.slot, b.slot AS s2, corr(a.r, b.r) AS c FROM rt a JOIN rt b ON a.ts = b.ts AND a.slot < b.slot GROUP BY ALL)"))
 def _(spark, sf):
-    return portfolio.mean_pairwise_correlation(slot_returns(spark, sf), SLOT_NAMES)
+    return portfolio.mean_pairwise_correlation(slot_returns(spark, sf))
 
 
-@query("I22_quote_side_pnl", sql(FAST, _SLOT30, STUDY_SCORES, STUDY_PRICED, body="SELECT symbol, stance, count(pnl_net) AS trades, round(sum(pnl_net), 3) AS total, round(min(pnl_net), 5) AS worst, round(max(pnl_net), 5) AS best FROM priced WHERE threshold = 'p90' GROUP BY ALL"))
+@query("I22_quote_side_pnl", sql(FAST, _SLOT30, STUDY_SCORES, STUDY_PRICED, body="SELECT symbol, stance, count(pnl_net) AS trades, round(sum(pnl_net), 3) AS total, round(min(pnl_net), 5) AS worst, round(max(pnl_net), 5) AS best FROM priced GROUP BY ALL"))
 def _(spark, sf):
-    p = study_priced(spark, sf).filter("threshold = 'p90'")
+    p = study_priced(spark, sf)
     return p.groupBy("symbol", "stance").agg(F.count("pnl_net").alias("trades"), F.round(F.sum("pnl_net"), 3).alias("total"), F.round(F.min("pnl_net"), 5).alias("worst"), F.round(F.max("pnl_net"), 5).alias("best"))
 
 

@@ -28,7 +28,7 @@ from barline.plans.shapes import rows_as
 from barline.sources import tables as T
 
 K = ["symbol"]
-ROW = "ok * 100003 + pk * 101 + sk + ln * 7"
+ROW = "(ok * 8 + ln) * 1048576 + (pk * 31 + sk) % 1048576"
 ORD = list(T.TRADE_ORDER)
 
 # ---- J: statistics ---------------------------------------------------------------
@@ -86,7 +86,8 @@ def _(spark, sf):
     return d.select("cell_id", "n", "sr", "dsr", passed.alias("passed"), dsr_reason(F.col("n"), F.col("sr"), F.col("dsr")).alias("reason"))
 
 
-REPS = 40
+# Replicates of the bootstraps and label permutations, of the sign flips, of the direction shuffle and the payoff bound.
+REPS, FLIPS, SHUFFLES = 1000, 999, 2000
 
 
 def block_means_sql(reps: int, seed: int) -> str:
@@ -102,7 +103,7 @@ b4 AS (SELECT b3.*, coalesce(e.s, 0) AS es, coalesce(a.s, 0) AS s0 FROM b3 LEFT
 bm AS (SELECT cell_id, rep, sum(es - s0 + CASE WHEN start + l > n THEN total ELSE 0 END) / any_value(n) AS mean FROM b4 GROUP BY ALL)"""
 
 
-@query("J02_block_bootstrap_interval", sql(TRADES, block_means_sql(REPS, 42), body=f"SELECT cell_id, round(list_sort(list(mean))[2], 6) + 0.0 AS ci_low, round(list_sort(list(mean))[{math.ceil(0.975 * REPS) + 1}], 6) + 0.0 AS ci_high FROM bm GROUP BY 1"))
+@query("J02_block_bootstrap_interval", sql(TRADES, block_means_sql(REPS, 42), body=f"SELECT cell_id, round(list_sort(list(mean))[{math.floor(0.025 * REPS) + 1}], 6) + 0.0 AS ci_low, round(list_sort(list(mean))[{math.ceil(0.975 * REPS) + 1}], 6) + 0.0 AS ci_high FROM bm GROUP BY 1"))
 def _(spark, sf):
     m = resampling.block_bootstrap_means(T.trades(spark, sf), ["cell_id"], ORD, F.col("pnl"), REPS, 42)
     return resampling.interval(m, ["cell_id"], REPS)
@@ -134,10 +135,10 @@ def _(spark, sf):
     return resampling.bootstrap_pvalues(T.trades(spark, sf), ["cell_id"], F.expr(ROW), F.col("pnl"), REPS, 5)
 
 
-@query("J05_sign_flip", sql(TRADES, f"sf AS (SELECT cell_id, rep, sum(CASE WHEN {uniform_sql(ROW, 'rep', 9)} < 0.5 THEN -pnl ELSE pnl END) AS s FROM trades, (SELECT unnest(range({REPS}))::INTEGER AS rep) GROUP BY ALL)", "ob AS (SELECT cell_id, count(*) AS n, sum(pnl) AS observed_sum FROM trades GROUP BY 1)",
- body=f"SELECT cell_id, any_value(n) AS n, any_value(observed_sum) AS observed_sum, count(*) FILTER (s >= observed_sum) AS extreme, round((count(*) FILTER (s >= observed_sum) + 1) / {REPS + 1}.0::DOUBLE, 6) AS p_raw FROM sf JOIN ob USING (cell_id) GROUP BY 1"))
+@query("J05_sign_flip", sql(TRADES, f"sf AS (SELECT cell_id, rep, sum(CASE WHEN {uniform_sql(ROW, 'rep', 9)} < 0.5 THEN -pnl ELSE pnl END) AS s FROM trades, (SELECT unnest(range({FLIPS}))::INTEGER AS rep) GROUP BY ALL)", "ob AS (SELECT cell_id, count(*) AS n, sum(pnl) AS observed_sum FROM trades GROUP BY 1)",
+ body=f"SELECT cell_id, any_value(n) AS n, any_value(observed_sum) AS observed_sum, count(*) FILTER (s >= observed_sum) AS extreme, round((count(*) FILTER (s >= observed_sum) + 1) / {FLIPS + 1}.0::DOUBLE, 6) AS p_raw FROM sf JOIN ob USING (cell_id) GROUP BY 1"))
 def _(spark, sf):
-    return resampling.sign_flip_pvalues(T.trades(spark, sf), ["cell_id"], F.expr(ROW), F.col("pnl"), REPS, 9)
+    return resampling.sign_flip_pvalues(T.trades(spark, sf), ["cell_id"], F.expr(ROW), F.col("pnl"), FLIPS, 9)
 
 
 _PC = """pt AS (SELECT cell_id, count(*) AS n, avg(pnl) / (stddev_samp(pnl) / sqrt(count(*))) AS t FROM trades GROUP BY 1),
@@ -180,12 +181,12 @@ def _(spark, sf):
 _PFD = "sum(greatest({x}, 0)) / nullif(sum(greatest(-({x}), 0)), 0)"
 
 
-@query("J08_direction_shuffle", sql(*QB, _H23, "hx AS (SELECT symbol, direction, entry, x, epoch(ts)::BIGINT // 3600 AS h FROM h23)", shuffle_sql("hx", "symbol", "h", "direction", 60, 23), f"nl AS (SELECT symbol, rep, coalesce({_PFD.format(x='shuffled * (x / entry - 1) * 10000 - 4')}, 1e12) AS pf FROM sh GROUP BY ALL)", f"ob AS (SELECT symbol, coalesce({_PFD.format(x='direction * (x / entry - 1) * 10000 - 4')}, 1e12) AS observed FROM hx GROUP BY 1)",
+@query("J08_direction_shuffle", sql(*QB, _H23, "hx AS (SELECT symbol, direction, entry, x, epoch(ts)::BIGINT // 3600 AS h FROM h23)", shuffle_sql("hx", "symbol", "h", "direction", SHUFFLES, 23), f"nl AS (SELECT symbol, rep, coalesce({_PFD.format(x='shuffled * (x / entry - 1) * 10000 - 4')}, 1e12) AS pf FROM sh GROUP BY ALL)", f"ob AS (SELECT symbol, coalesce({_PFD.format(x='direction * (x / entry - 1) * 10000 - 4')}, 1e12) AS observed FROM hx GROUP BY 1)",
  body="SELECT symbol, round(any_value(observed), 6) AS observed, round(quantile_cont(pf, 0.95), 6) AS null_p95, any_value(observed) > quantile_cont(pf, 0.95) AS passed FROM nl JOIN ob USING (symbol) GROUP BY 1"))
 def _(spark, sf):
     t = reversal_trades(spark, sf).withColumn("h", F.floor(F.unix_micros("ts") / 3_600_000_000))
     # One trade per symbol and day.
-    perm = resampling.shuffled(t, ["symbol"], F.col("h"), "direction", 60, 23)
+    perm = resampling.shuffled(t, ["symbol"], F.col("h"), "direction", SHUFFLES, 23)
 
     def pf(direction):
         pnl = F.col(direction) * (F.col("x") / F.col("entry") - 1) * 10_000 - 4
@@ -286,13 +287,13 @@ def _(spark, sf):
     return r.groupBy("event").agg(F.when(F.bool_or(F.col("n_eff") >= 4), "proceed").otherwise("null-ship").alias("decision"))
 
 
-_L0 = """lv AS (SELECT event, CASE WHEN hb <= 3 THEN '0-60m' ELSE '60-120m' END AS dur, et, trades FROM slots WHERE fee = 0 AND wo < 4),
+_L0 = """lv AS (SELECT event, CASE WHEN hb <= 3 THEN '0-60m' ELSE '60-120m' END AS dur, et, trades FROM slots WHERE fee = 0),
 ls AS (SELECT 0 AS level, event, dur || '_x_' || et AS cell_id, sum(trades)::BIGINT AS n FROM lv GROUP BY ALL UNION ALL SELECT 1, event, dur, sum(trades)::BIGINT FROM lv GROUP BY ALL UNION ALL SELECT 2, event, et, sum(trades)::BIGINT FROM lv GROUP BY ALL)"""
 
 
 @query("J15_hierarchical_fallback", sql(SLOTS, _L0, body="SELECT ls.* FROM ls JOIN (SELECT event, coalesce(min(CASE WHEN mn >= 1000 THEN level END), 2) AS level FROM (SELECT event, level, min(n) AS mn FROM ls GROUP BY ALL) GROUP BY 1) USING (event, level)"))
 def _(spark, sf):
-    s = T.slot_reports(spark, sf).filter("fee = 0 AND wo < 4").withColumn("dur", cal.duration_bucket(F.col("hb"), F.lit(20)))
+    s = T.slot_reports(spark, sf).filter("fee = 0").withColumn("dur", cal.duration_bucket(F.col("hb"), F.lit(20)))
     dims = ["event", "dur", "et"]
     sets = [[F.col(c) for c in dims], [F.col("event"), F.col("dur")], [F.col("event"), F.col("et")]]
     g = s.groupingSets(sets, *[F.col(c) for c in dims]).agg(F.grouping_id().alias("gid"), F.sum("trades").alias("n"))
@@ -336,15 +337,15 @@ def _(spark, sf):
     return k.groupBy("event", st.landis_koch(F.col("kappa")).alias("label")).agg(rows_as("n"))
 
 
-_AG = """agr AS (SELECT event, hb, count(*) AS n, count(*) FILTER (x = y) AS k FROM lp WHERE a = 'p0' AND b = 'p1' AND x <> 0 AND y <> 0 GROUP BY ALL)"""
+_AG = """agr AS (SELECT event, hb, a, b, count(*) AS n, count(*) FILTER (x = y) AS k FROM lp WHERE x <> 0 AND y <> 0 GROUP BY ALL)"""
 
 
 def agreements(spark, sf):
-    p = ag.pair_table(sign_wide(spark, sf), ["event", "hb"], PAIRS).filter("a = 'p0' AND b = 'p1' AND x <> 0 AND y <> 0")
-    return p.groupBy("event", "hb").agg(rows_as("n"), F.count_if(F.col("x") == F.col("y")).alias("k"))
+    p = ag.pair_table(sign_wide(spark, sf), ["event", "hb"], PAIRS).filter("x <> 0 AND y <> 0")
+    return p.groupBy("event", "hb", "a", "b").agg(rows_as("n"), F.count_if(F.col("x") == F.col("y")).alias("k"))
 
 
-@query("J19_exact_binomial", sql(SLOTS, _TL, _SGN, _LONGP, _AG, body="SELECT event, hb, n, k, round(least(1, 2 * list_sum(list_transform(range(0, least(k, n - k) + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2))))), 6) AS p FROM agr"))
+@query("J19_exact_binomial", sql(SLOTS, _TL, _SGN, _LONGP, _AG, body="SELECT event, hb, a, b, n, k, round(least(1, 2 * list_sum(list_transform(range(0, least(k, n - k) + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2))))), 6) AS p FROM agr"))
 def _(spark, sf):
     return agreements(spark, sf).withColumn("p", ag.binomial_two_sided(F.col("k"), F.col("n")))
 
@@ -565,7 +566,7 @@ def _(spark, sf):
 def _(spark, sf):
     from barline.operators.kelly import kelly_lower_bounds
 
-    return kelly_lower_bounds(T.trades(spark, sf), ["cell_id", "fold"], F.expr(ROW), 200, 42)
+    return kelly_lower_bounds(T.trades(spark, sf), ["cell_id", "fold"], F.expr(ROW), SHUFFLES, 42)
 
 
 @query("flagship_tick_study", sql(FAST, _SLOT30, STUDY_SCORES, STUDY_PRICED, STUDY_CELLS, _GRID216, "fam AS (SELECT g.*, coalesce(num_trades, 0) AS num_trades, profit_factor, coalesce(p_raw, 1)::DOUBLE AS p_raw, coalesce(num_trades >= min_trades, false) AS dense FROM famgrid g LEFT JOIN cellp USING (symbol, score_family, lookback_seconds, threshold, direction, horizon_seconds))",

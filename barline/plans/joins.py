@@ -19,12 +19,11 @@ from barline.sources import tables as T
 # ---- C: joins ------------------------------------------------------------------
 
 
-@query("C01_asof_backward", sql(DAILY, REFERENCE, """src AS (SELECT * FROM reference WHERE ts >= TIMESTAMP '1995-03-01' AND day(ts) % 3 = 0)""",
+@query("C01_asof_backward", sql(DAILY, REFERENCE, """src AS (SELECT * FROM reference)""",
  body="""SELECT d.symbol, d.ts, round(coalesce(s.value, (SELECT arg_min(value, ts) FROM src), 0.0), 6) AS aux
  FROM daily d ASOF LEFT JOIN src s ON d.ts >= s.ts"""))
 def _(spark, sf):
-    src = T.reference_series(spark, sf).filter("ts >= TIMESTAMP '1995-03-01' AND dayofmonth(ts) % 3 = 0")
-    return asof_backward(T.daily_prices(spark, sf).select("symbol", "ts"), src, [], "ts", "value", "aux")
+    return asof_backward(T.daily_prices(spark, sf).select("symbol", "ts"), T.reference_series(spark, sf), [], "ts", "value", "aux")
 
 
 @query("C01_asof_backward_ticks", sql(QUOTES, body="""SELECT t.symbol, count(*) AS n, round(sum(coalesce(s.bid, 0)), 4) AS aux_sum,
@@ -134,9 +133,9 @@ def _(spark, sf):
 
 
 @query("C11_many_to_one", """SELECT c_mktsegment, count(*) AS orders, count(*) FILTER (c_custkey IS NULL) AS unmatched FROM orders LEFT JOIN
- (SELECT * FROM customer WHERE c_acctbal > 0) ON o_custkey = c_custkey GROUP BY 1""")
+ customer ON o_custkey = c_custkey GROUP BY 1""")
 def _(spark, sf):
-    people = T.table(spark, sf, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment")
+    people = T.table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment")
     joined = lookup.many_to_one(T.table(spark, sf, "orders").select("o_custkey"), people, ["o_custkey"])
     return joined.groupBy("c_mktsegment").agg(rows_as("orders"), F.count_if(~F.col("matched")).alias("unmatched"))
 
@@ -153,20 +152,20 @@ def _(spark, sf):
 
 
 @query("C13_three_way_trades", sql(TRADES, body="""SELECT t.cell_id, count(*) AS n, count(x.pnl) AS with_exit, count(z.qty) AS with_size, round(sum(coalesce(x.pnl, 0) * coalesce(z.qty, 1)), 4) AS sized
- FROM trades t LEFT JOIN (SELECT ok, ln, pk, sk, pnl FROM trades WHERE qty > 10) x USING (ok, ln, pk, sk) LEFT JOIN (SELECT ok, ln, pk, sk, qty FROM trades WHERE pnl <> 0) z USING (ok, ln, pk, sk) GROUP BY 1"""))
+ FROM trades t LEFT JOIN (SELECT ok, ln, pk, sk, pnl FROM trades) x USING (ok, ln, pk, sk) LEFT JOIN (SELECT ok, ln, pk, sk, qty FROM trades) z USING (ok, ln, pk, sk) GROUP BY 1"""))
 def _(spark, sf):
     t = T.trades(spark, sf)
     key = ["ok", "ln", "pk", "sk"]
-    exits = t.filter("qty > 10").select(*key, F.col("pnl").alias("exit_pnl"))
-    sizes = t.filter("pnl <> 0").select(*key, F.col("qty").alias("size"))
+    exits = t.select(*key, F.col("pnl").alias("exit_pnl"))
+    sizes = t.select(*key, F.col("qty").alias("size"))
     j = t.select("cell_id", *key).join(exits, key, "left").join(sizes, key, "left")
     value = F.coalesce("exit_pnl", F.lit(0.0)) * F.coalesce("size", F.lit(1.0))
     return j.groupBy("cell_id").agg(rows_as("n"), F.count("exit_pnl").alias("with_exit"), F.count("size").alias("with_size"), F.round(F.sum(value), 4).alias("sized"))
 
 
-@query("C14_common_dates", sql(DAILY, body="""SELECT symbol, ts, round(close, 6) AS close FROM daily WHERE ts IN (SELECT ts FROM daily GROUP BY ts HAVING count(DISTINCT symbol) = 3)"""))
+@query("C14_common_dates", sql(DAILY, body="""SELECT symbol, ts, round(close, 6) AS close FROM daily WHERE ts IN (SELECT ts FROM daily GROUP BY ts HAVING count(DISTINCT symbol) = (SELECT count(DISTINCT symbol) FROM daily))"""))
 def _(spark, sf):
-    return coverage.present_in_all(T.daily_prices(spark, sf), "symbol", "ts", 3).select("symbol", "ts", "close")
+    return coverage.present_in_all(T.daily_prices(spark, sf), "symbol", "ts").select("symbol", "ts", "close")
 
 
 _RATES = """rates AS (SELECT o_orderpriority AS zone, date_trunc('day', o_orderdate)::TIMESTAMP AS ts, sum(round(o_totalprice)) / count(*) AS rate FROM orders GROUP BY ALL)"""
@@ -345,7 +344,7 @@ def _(spark, sf):
 
 @query("G06_date_intersection", sql(DAILY, body="""SELECT year(ts) AS epoch, count(*) AS common_days FROM (SELECT ts FROM daily WHERE symbol = 'A' INTERSECT SELECT ts FROM daily WHERE symbol = 'N' INTERSECT SELECT ts FROM daily WHERE symbol = 'R') GROUP BY 1"""))
 def _(spark, sf):
-    days = coverage.present_in_all(T.daily_prices(spark, sf).select("symbol", "ts"), "symbol", "ts", 3).select("ts").distinct()
+    days = coverage.present_in_all(T.daily_prices(spark, sf).select("symbol", "ts"), "symbol", "ts").select("ts").distinct()
     return days.groupBy(F.year("ts").alias("epoch")).agg(rows_as("common_days"))
 
 

@@ -305,10 +305,9 @@ def _(spark, sf):
     return study_events(spark, sf).groupBy("direction", "signal_side", "stance").agg(rows_as("n"))
 
 
-@query("H25_imbalance_events", sql(FAST, _SLOT30, STUDY_SCORES, body="""SELECT symbol, entry_us, score_family, lookback_seconds, threshold, direction, horizon_seconds, round(imbalance_score, 6) + 0.0 AS imbalance_score, round(threshold_value, 6) AS threshold_value, signal_side, exit_us FROM ev
- WHERE threshold = 'p95' AND direction = 'momentum'"""))
+@query("H25_imbalance_events", sql(FAST, _SLOT30, STUDY_SCORES, body="""SELECT symbol, entry_us, score_family, lookback_seconds, threshold, direction, horizon_seconds, round(imbalance_score, 6) + 0.0 AS imbalance_score, round(threshold_value, 6) AS threshold_value, signal_side, exit_us FROM ev"""))
 def _(spark, sf):
-    ev = study_events(spark, sf).filter("threshold = 'p95' AND direction = 'momentum'")
+    ev = study_events(spark, sf)
     return ev.select(*imbalance.KEY, "entry_us", "imbalance_score", "threshold_value", "signal_side", "exit_us")
 
 
