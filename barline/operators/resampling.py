@@ -54,7 +54,9 @@ def replicate_sums(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple, np.ndarray] = {}
+        types: list[pa.DataType] = []
         for batch in batches:
+            types = [batch.schema.field(k).type for k in keys]
             for at in range(0, batch.num_rows, 2048):
                 part = pa.Table.from_batches([batch.slice(at, 2048)])
                 weights = weigh(uniforms(part.column("_row").to_numpy(), n, seed))
@@ -67,7 +69,7 @@ def replicate_sums(
                     got = x[:, rows] @ weights[rows]
                     sums[key] = sums[key] + got if key in sums else got
         out = {k: [key[i] for key in sums] for i, k in enumerate(keys)}
-        columns = [pa.array(out[k]) for k in keys] + [pa.array([s[j].tolist() for s in sums.values()], pa.list_(pa.float64())) for j in range(len(names))]
+        columns = [pa.array(out[k], t) for k, t in zip(keys, types)] + [pa.array([s[j].tolist() for s in sums.values()], pa.list_(pa.float64())) for j in range(len(names))]
         if sums:
             yield pa.RecordBatch.from_arrays(columns, [*keys, *names])
 

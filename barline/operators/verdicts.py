@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The six gates and their limits.
-GATES = ("t_stat", "dsr", "cost", "folds", "halves", "interval")
+GATES = ("abs_t_stat", "dsr_pvalue", "mean_pip_vs_cost", "fold_pf_4of5", "h1_h2_sign_agree", "bootstrap_ci_excludes_zero")
 
 
 def six_gates() -> Column:

@@ -90,17 +90,18 @@ def _(spark, sf):
 REPS, FLIPS, SHUFFLES = 1000, 999, 2000
 
 
-def block_means_sql(reps: int, seed: int) -> str:
+def block_means_sql(reps: int, seed: int, keys: str = "cell_id") -> str:
     u = lambda salt: uniform_sql("k", "rep", seed + salt)
     p = "least(greatest(1 / greatest(sqrt(n), 1), 1e-6), 1 - 1e-6)"
-    return f"""px AS (SELECT cell_id, row_number() OVER (PARTITION BY cell_id ORDER BY {TORD}) AS i, sum(pnl) OVER (PARTITION BY cell_id ORDER BY {TORD}) AS s FROM trades),
-sz AS (SELECT cell_id, max(i) AS n, arg_max(s, i) AS total FROM px GROUP BY 1),
+    same = lambda t: " AND ".join(f"{t}.{k} = b3.{k}" for k in keys.split(", "))
+    return f"""px AS (SELECT {keys}, row_number() OVER (PARTITION BY {keys} ORDER BY {TORD}) AS i, sum(pnl) OVER (PARTITION BY {keys} ORDER BY {TORD}) AS s FROM trades),
+sz AS (SELECT {keys}, max(i) AS n, arg_max(s, i) AS total FROM px GROUP BY ALL),
 b0 AS (SELECT *, unnest(range(1, (ceil(n / sqrt(n)) * 2 + 51)::BIGINT)) AS k FROM sz, (SELECT unnest(range({reps}))::INTEGER AS rep)),
 b1 AS (SELECT *, (floor(ln(1 - greatest({u(0)}, 1e-12)) / ln(1 - {p})) + 1)::BIGINT AS len, floor({u(1)} * n)::BIGINT AS start FROM b0),
-b2 AS (SELECT *, coalesce(sum(len) OVER (PARTITION BY cell_id, rep ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS done FROM b1),
+b2 AS (SELECT *, coalesce(sum(len) OVER (PARTITION BY {keys}, rep ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS done FROM b1),
 b3 AS (SELECT *, least(len, n - done) AS l FROM b2 WHERE done < n),
-b4 AS (SELECT b3.*, coalesce(e.s, 0) AS es, coalesce(a.s, 0) AS s0 FROM b3 LEFT JOIN px e ON e.cell_id = b3.cell_id AND e.i = CASE WHEN start + l > n THEN start + l - n ELSE start + l END LEFT JOIN px a ON a.cell_id = b3.cell_id AND a.i = start),
-bm AS (SELECT cell_id, rep, sum(es - s0 + CASE WHEN start + l > n THEN total ELSE 0 END) / any_value(n) AS mean FROM b4 GROUP BY ALL)"""
+b4 AS (SELECT b3.*, coalesce(e.s, 0) AS es, coalesce(a.s, 0) AS s0 FROM b3 LEFT JOIN px e ON {same("e")} AND e.i = CASE WHEN start + l > n THEN start + l - n ELSE start + l END LEFT JOIN px a ON {same("a")} AND a.i = start),
+bm AS (SELECT {keys}, rep, sum(es - s0 + CASE WHEN start + l > n THEN total ELSE 0 END) / any_value(n) AS mean FROM b4 GROUP BY ALL)"""
 
 
 @query("J02_block_bootstrap_interval", sql(TRADES, block_means_sql(REPS, 42), body=f"SELECT cell_id, round(list_sort(list(mean))[{math.floor(0.025 * REPS) + 1}], 6) + 0.0 AS ci_low, round(list_sort(list(mean))[{math.ceil(0.975 * REPS) + 1}], 6) + 0.0 AS ci_high FROM bm GROUP BY 1"))
@@ -237,12 +238,18 @@ def vif_tally(spark, sf):
     return ag.vif(tally(T.slot_reports(spark, sf)), ["event", "hb"], ["long", "neutral", "short"])
 
 
-@query("J12_variance_inflation")
+# The inverse of a 3 x 3 correlation matrix in closed form.
+_VIF = """v0 AS (SELECT event, hb, count(*) AS n, sum(long * long)::DOUBLE AS aa, sum(neutral * neutral)::DOUBLE AS bb, sum(short * short)::DOUBLE AS cc, sum(long * neutral)::DOUBLE AS ab, sum(long * short)::DOUBLE AS ac, sum(neutral * short)::DOUBLE AS bc FROM tl GROUP BY ALL),
+v1 AS (SELECT *, ab / sqrt(nullif(aa * bb, 0)) AS r, ac / sqrt(nullif(aa * cc, 0)) AS s, bc / sqrt(nullif(bb * cc, 0)) AS t FROM v0), v2 AS (SELECT *, 1 + 2 * r * s * t - r * r - s * s - t * t AS det FROM v1),
+vf AS (SELECT event, hb, n, CASE WHEN n < 3 OR det IS NULL OR det < 1e-10 THEN 'inf'::DOUBLE ELSE (3 - r * r - s * s - t * t) / det / 3 END AS vif FROM v2)"""
+
+
+@query("J12_variance_inflation", sql(SLOTS, _TL, _VIF, body="SELECT event, hb, n, CASE WHEN isinf(vif) THEN vif ELSE round(vif, 6) END AS vif FROM vf"))
 def _(spark, sf):
     return vif_tally(spark, sf)
 
 
-@query("J11_effective_family")
+@query("J11_effective_family", sql(SLOTS, _TL, _VIF, body="SELECT round(bar, 6) AS vif_bar, round(greatest(1, least(24, 24 / bar)), 6) AS m_eff FROM (SELECT coalesce(avg(vif), 24) AS bar FROM vf WHERE NOT isinf(vif))"))
 def _(spark, sf):
     v = vif_tally(spark, sf).filter(F.col("vif") < float("inf"))
     bar = F.coalesce(F.avg("vif"), F.lit(24.0))
@@ -462,32 +469,38 @@ def _(spark, sf):
     return long.filter("x.m IS NOT NULL").groupBy("symbol", "x.lookback").agg(rows_as("n"), st.correlation("x.m", "r").alias("predictive"))
 
 
-_GI = f"""gn AS (SELECT *, row_number() OVER (PARTITION BY cell_id ORDER BY {TORD}) AS i, count(*) OVER (PARTITION BY cell_id) AS nn FROM trades),
-gh AS (SELECT cell_id, any_value(nn) AS n, avg(pnl) FILTER (i <= nn // 2) AS h1, avg(pnl) FILTER (i > nn // 2) AS h2, abs(avg(pnl) / (stddev_samp(pnl) / sqrt(count(*)))) AS abs_t, avg(pnl) AS m FROM gn GROUP BY 1),
-gf AS (SELECT cell_id, fold, sum(greatest(pnl, 0)) / nullif(sum(greatest(-pnl, 0)), 0) AS pf, avg(pnl) - 1.96 * stddev_samp(pnl) / sqrt(count(*)) AS lo, avg(pnl) + 1.96 * stddev_samp(pnl) / sqrt(count(*)) AS hi FROM trades GROUP BY ALL),
-gm AS (SELECT cell_id, count(*) FILTER (pf >= 1.0) AS folds_passing, arg_min(lo, abs(k - (c // 2 + 1))) AS lo, arg_min(hi, abs(k - (c // 2 + 1))) AS hi FROM (SELECT *, row_number() OVER (PARTITION BY cell_id ORDER BY lo, fold) AS k, count(*) OVER (PARTITION BY cell_id) AS c FROM gf) GROUP BY 1),
+_GI = f"""{block_means_sql(REPS, 42, "cell_id, fold")},
+gn AS (SELECT *, row_number() OVER (PARTITION BY cell_id ORDER BY {TORD}) AS i, count(*) OVER (PARTITION BY cell_id) AS nn FROM trades),
+gh AS (SELECT cell_id, any_value(nn) AS n, avg(pnl) FILTER (i <= nn // 2) AS h1, avg(pnl) FILTER (i > nn // 2) AS h2, abs(avg(pnl) / (stddev_samp(pnl) / sqrt(count(*)))) AS abs_t, avg(pnl) AS m, 0.01 * avg(qty) AS cost FROM gn GROUP BY 1),
+gc AS (SELECT cell_id, fold, list_sort(list(mean))[{math.floor(0.025 * REPS) + 1}] AS lo, list_sort(list(mean))[{math.ceil(0.975 * REPS) + 1}] AS hi FROM bm GROUP BY ALL),
+gf AS (SELECT cell_id, fold, count(*) AS trades, CASE WHEN sum(greatest(-pnl, 0)) > 0 THEN sum(greatest(pnl, 0)) / sum(greatest(-pnl, 0)) ELSE 1e300 END AS pf FROM trades GROUP BY ALL),
+gm AS (SELECT cell_id, count(*) FILTER (pf >= 2.0 AND trades >= 1) AS folds_passing, arg_min(lo, abs(k - (c // 2 + 1))) AS lo, arg_min(hi, abs(k - (c // 2 + 1))) AS hi FROM (SELECT *, row_number() OVER (PARTITION BY cell_id ORDER BY lo, fold) AS k, count(*) OVER (PARTITION BY cell_id) AS c FROM gf JOIN gc USING (cell_id, fold)) GROUP BY 1),
 gi AS (SELECT * FROM gh JOIN gm USING (cell_id))"""
 
+# A fold passes from this profit factor and number of trades on.
+FOLD_PF, FOLD_TRADES = 2.0, 1
+
 
 def gate_inputs(spark, sf):
-    """Halves by trade order, folds with PF >= 1, the middle fold's interval."""
-    t = running(T.trades(spark, sf).select("cell_id", *ORD, "pnl"), ["cell_id"], ORD, {"i": Run("count", F.lit(1))})
+    """Halves by trade order, folds whose profit factor passes, the block-bootstrap interval of the middle fold, the cost of a trade."""
+    base = T.trades(spark, sf)
+    t = running(base.select("cell_id", *ORD, "pnl", "qty"), ["cell_id"], ORD, {"i": Run("count", F.lit(1))})
     size = t.groupBy("cell_id").agg(F.max("i").alias("nn"))
     p = F.col("pnl")
     first = F.col("i") <= F.floor(F.col("nn") / 2)
     halves = t.join(size, "cell_id").groupBy("cell_id").agg(
         F.max("nn").alias("n"), F.avg(F.when(first, p)).alias("h1_mean"), F.avg(F.when(~first, p)).alias("h2_mean"),
-        F.abs(F.avg(p) / (F.stddev_samp(p) / F.sqrt(F.count(p)))).alias("abs_t"), F.avg(p).alias("mean_pnl"),
-    )
-    se = F.stddev_samp(p) / F.sqrt(F.count(p))
-    per = T.trades(spark, sf).groupBy("cell_id", "fold").agg(
-        F.try_divide(F.sum(F.greatest(p, F.lit(0.0))), F.sum(F.greatest(-p, F.lit(0.0)))).alias("pf"), (F.avg(p) - 1.96 * se).alias("lo"), (F.avg(p) + 1.96 * se).alias("hi")
+        F.abs(F.avg(p) / (F.stddev_samp(p) / F.sqrt(F.count(p)))).alias("abs_t"), F.avg(p).alias("mean_pnl"), (0.01 * F.avg("qty")).alias("round_trip_cost"),
     )
+    lost = F.sum(F.greatest(-p, F.lit(0.0)))
+    per = base.groupBy("cell_id", "fold").agg(rows_as("trades"), F.when(lost > 0, F.sum(F.greatest(p, F.lit(0.0))) / lost).otherwise(float("inf")).alias("pf"))
+    means = resampling.block_bootstrap_means(base, ["cell_id", "fold"], ORD, p, REPS, 42)
+    per = per.join(resampling.interval(means, ["cell_id", "fold"], REPS), ["cell_id", "fold"])
     w = Window.partitionBy("cell_id")
-    k = F.row_number().over(w.orderBy("lo", "fold"))
-    mid = per.withColumn("k", k).withColumn("c", F.count(F.lit(1)).over(w))
+    mid = per.withColumn("k", F.row_number().over(w.orderBy("ci_low", "fold"))).withColumn("c", F.count(F.lit(1)).over(w))
     at = F.col("k") == F.floor(F.col("c") / 2) + 1
-    folded = mid.groupBy("cell_id").agg(F.count_if(F.col("pf") >= 1.0).alias("folds_passing"), F.max(F.when(at, F.col("lo"))).alias("ci_low"), F.max(F.when(at, F.col("hi"))).alias("ci_high"))
+    passing = F.count_if((F.col("pf") >= FOLD_PF) & (F.col("trades") >= FOLD_TRADES))
+    folded = mid.groupBy("cell_id").agg(passing.alias("folds_passing"), F.max(F.when(at, F.col("ci_low"))).alias("ci_low"), F.max(F.when(at, F.col("ci_high"))).alias("ci_high"))
     return halves.join(folded, "cell_id")
 
 
@@ -496,9 +509,10 @@ def _(spark, sf):
     return gate_inputs(spark, sf).select("cell_id", "n", "folds_passing", "h1_mean", "h2_mean", "ci_low", "ci_high")
 
 
-@query("J25_six_gates", sql(TRADES, _GI, body="""SELECT cell_id, concat_ws(',', CASE WHEN NOT abs_t > 4.4 THEN 't_stat' END, CASE WHEN NOT exp(-0.5 * abs_t * abs_t) < 0.05 THEN 'dsr' END, CASE WHEN NOT m > 1.0 THEN 'cost' END, CASE WHEN folds_passing < 4 THEN 'folds' END, CASE WHEN NOT sign(h1) * sign(h2) = 1 THEN 'halves' END, CASE WHEN NOT (lo > 0 OR hi < 0) THEN 'interval' END) AS failed FROM gi"""))
+@query("J25_six_gates", sql(TRADES, _GI, _DSR, _DSRZ, body=f"""SELECT cell_id, concat_ws(',', CASE WHEN NOT abs_t > 4.4 THEN 'abs_t_stat' END, CASE WHEN NOT coalesce(1 - {normal_cdf_sql('z')} < 0.05, false) THEN 'dsr_pvalue' END, CASE WHEN NOT m > 2 * cost THEN 'mean_pip_vs_cost' END, CASE WHEN folds_passing < 4 THEN 'fold_pf_4of5' END, CASE WHEN NOT sign(h1) * sign(h2) = 1 THEN 'h1_h2_sign_agree' END, CASE WHEN NOT (lo > 0 OR hi < 0) THEN 'bootstrap_ci_excludes_zero' END) AS failed FROM gi JOIN dz USING (cell_id)"""))
 def _(spark, sf):
-    g = gate_inputs(spark, sf).withColumn("dsr_pvalue", F.exp(-0.5 * F.col("abs_t") * F.col("abs_t"))).withColumn("round_trip_cost", F.lit(0.5))
+    d = deflated(spark, sf).select("cell_id", (1 - F.col("dsr")).alias("dsr_pvalue"))
+    g = gate_inputs(spark, sf).join(d, "cell_id")
     return g.withColumn("gates", verdicts.six_gates()).select("cell_id", verdicts.failed_gates("gates").alias("failed"))
 
 
@@ -510,10 +524,15 @@ def _(spark, sf):
     return c.select("cell_id", "fold", a.alias("majority"), b.alias("veto"), d.alias("approved"))
 
 
-@query("J28_verdict_cascade", sql(SLOTS, _TL, _SGN, _LONGP, _CK, body="SELECT event, a, b, CASE WHEN n % 13 >= 10 THEN 'noise' WHEN n / 40.0 < 4 THEN 'noise' WHEN kappa + 0.5 >= 0.61 THEN 'signal' WHEN kappa + 0.5 >= 0.41 THEN 'drift' ELSE 'noise' END AS verdict FROM ck"))
+@query("J28_verdict_cascade", sql(SLOTS, _TL, _SGN, _LONGP, _SPEAR, _FK, _VIF, body="""SELECT event, CASE WHEN max_vif >= 10 OR n_eff < 4 THEN 'noise' WHEN kappa >= 0.61 THEN 'signal' WHEN kappa >= 0.41 THEN 'drift' ELSE 'noise' END AS verdict
+ FROM (SELECT event, any_value(kappa) AS kappa, max(vif) AS max_vif, min(CASE WHEN vif IS NULL OR vif <= 0 OR isinf(vif) THEN 0 ELSE greatest((1 - rho_bar) * rb.n / vif, 0) END) AS n_eff FROM rb JOIN vf USING (event, hb) JOIN fk USING (event) GROUP BY event)"""))
 def _(spark, sf):
-    k = ag.cohen_kappa(ag.pair_table(sign_wide(spark, sf), ["event"], PAIRS), ["event", "a", "b"])
-    return k.select("event", "a", "b", verdicts.cascade(F.col("kappa") + 0.5, F.col("n") % 13, F.col("n") / 40.0).alias("verdict"))
+    """Kappa of the event, the largest variance inflation and the smallest effective sample of its horizons."""
+    kappa = ag.fleiss_kappa(votes(spark, sf), ["event"], 4).select("event", "kappa")
+    sample = rho_bar(spark, sf).join(vif_tally(spark, sf).select("event", "hb", "vif"), ["event", "hb"])
+    sample = sample.withColumn("n_eff", ag.n_effective(F.col("n"), F.col("rho_bar"), F.col("vif")))
+    per = sample.groupBy("event").agg(F.max("vif").alias("max_vif"), F.min("n_eff").alias("n_eff")).join(kappa, "event")
+    return per.select("event", verdicts.cascade(F.col("kappa"), F.col("max_vif"), F.col("n_eff")).alias("verdict"))
 
 
 @query("J29_cell_verdict", sql(TRADES, _GI, body="SELECT cell_id, CASE WHEN ok THEN 'PASS' ELSE 'FAIL' END AS verdict, CASE WHEN ok THEN NULL WHEN n_eff < 4 THEN 'sampling_noise' WHEN (lo <= 0 AND hi >= 0) OR sr <= 0 THEN 'structural' ELSE 'bug' END AS failure FROM (SELECT *, n_eff >= 4 AND lo > 0 AND sr > 0 AS ok FROM (SELECT *, n / 300.0 AS n_eff, m AS sr FROM gi))"))
