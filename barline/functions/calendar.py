@@ -39,10 +39,6 @@ def second_of_day(ts: Column) -> Column:
     return minute_of_day(ts) * 60 + F.second(ts).cast("int")
 
 
-def monday_zero(ts: Column) -> Column:
-    """Weekday with Monday = 0."""
-    return F.weekday(ts)
-
 
 def is_weekend(ts: Column) -> Column:
     return F.weekday(ts) >= 5

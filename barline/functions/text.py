@@ -15,8 +15,13 @@ def normalise_component(c: Column) -> Column:
 
 
 def fingerprint(cols: Sequence[Column]) -> Column:
-    """SHA-256 of the fields in order; NULL fields count as empty."""
-    return F.sha2(F.concat_ws("|", *[F.coalesce(c.cast("string"), F.lit("")) for c in cols]), 256)
+    """SHA-256 of the fields in order.
+
+    The separator and the escape inside a field are escaped and NULL has a mark
+    of its own, so different rows never write the same text.
+    """
+    texts = [F.replace(F.replace(c.cast("string"), F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|")) for c in cols]
+    return F.sha2(F.concat_ws("|", *[F.coalesce(t, F.lit("\\N")) for t in texts]), 256)
 
 
 def fixed6(c: Column) -> Column:

@@ -36,9 +36,6 @@ def outside_windows(rows: DataFrame, windows: DataFrame, keys: Sequence[str] = (
     return with_open_windows(rows, windows, keys, at).filter("open_windows = 0").drop("open_windows")
 
 
-def inside_windows(rows: DataFrame, windows: DataFrame, keys: Sequence[str] = (), at: str = "ts") -> DataFrame:
-    return with_open_windows(rows, windows, keys, at).filter("open_windows > 0").drop("open_windows")
-
 
 def present_in_all(df: DataFrame, series: str, at: str) -> DataFrame:
     """Rows at times that every series of the table has."""

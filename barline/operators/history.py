@@ -41,11 +41,6 @@ def anchored_walks(bars: DataFrame, is_months: int, oos_months: int, num_walks:
     return cut.filter("oos_end <= n_bars").select("symbol", "fold", "is_end", "oos_end")
 
 
-def with_walk_roles(bars: DataFrame, walks: DataFrame) -> DataFrame:
-    """Each bar once per walk it belongs to, with its role."""
-    b = indexed_bars(bars).join(walks, "symbol").filter("idx < oos_end")
-    return b.withColumn("role", F.when(F.col("idx") < F.col("is_end"), "is").otherwise("oos"))
-
 
 def purged_folds(bars: DataFrame, k: int, embargo: int) -> DataFrame:
     """Each bar once per fold it belongs to: ``oos`` in the fold, ``is`` outside

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from barline.operators.asof import first_quote_per_slot
 from barline.operators.bars import floor_micros
 from barline.operators.quantiles import exact_percentiles
-from barline.operators.series import Run, running
 
 # Fixed values of the study family.
 BUCKET_SECONDS = 30
@@ -27,17 +26,14 @@ KEY = ["symbol", "score_family", "lookback_seconds", "threshold", "direction", "
 def with_previous_mid(quotes: DataFrame, bucket_seconds: int = BUCKET_SECONDS) -> DataFrame:
     """Adds ``mid``, ``slot_us`` and the previous mid of the same bucket.
 
-    The first tick of a bucket has no previous mid.  The scan runs over the
-    symbol's series (one carried value per partition), not per bucket.
+    The first tick of a bucket has no previous mid.  A bucket of a few seconds
+    is a bounded group, so this is one shuffle and a window.
     """
     q = quotes.withColumn("mid", (F.col("bid") + F.col("ask")) / 2).withColumn(
         "slot_us", floor_micros(F.col("us"), bucket_seconds)
     )
-    last = Run("last", F.struct("slot_us", "mid"), inclusive=False)
-    q = running(q, ["symbol"], ["us", "event_id"], {"_before": last})
-    return q.withColumn("prev_mid", F.when(F.col("_before.slot_us") == F.col("slot_us"), F.col("_before.mid"))).drop(
-        "_before"
-    )
+    bucket = Window.partitionBy("symbol", "slot_us").orderBy("us", "event_id")
+    return q.withColumn("prev_mid", F.lag("mid").over(bucket))
 
 
 def bucket_totals(quotes: DataFrame, bucket_seconds: int = BUCKET_SECONDS) -> DataFrame:

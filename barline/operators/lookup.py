@@ -76,19 +76,22 @@ def neighbour_sums(trials: DataFrame, params: Sequence[str], value: str, pct: fl
     """Count and value sum of other trials with all parameters within +-pct.
 
     Trials are first summed per distinct parameter vector; only vectors meet
-    each other, and only those whose first parameter lies in the same or the
-    next logarithmic bin, so no all-pairs join arises.
+    each other, and only those whose parameters all lie in the same or the next
+    logarithmic bin, so no all-pairs join arises.
     """
     vec = trials.groupBy(*params).agg(F.count(F.lit(1)).alias("_n"), F.sum(value).alias("_s"))
     width = math.log(1.0 + pct) - math.log(1.0 - pct)
-    lead = params[0]
-    bin_ = F.floor(F.log(F.col(lead).cast("double")) / width)
-    left = vec.select(*params, F.explode(F.array(bin_ - 1, bin_, bin_ + 1)).alias("_bin"))
-    right = vec.select(*[F.col(p).alias(f"_near_{p}") for p in params], "_n", "_s", bin_.alias("_bin"))
+    bin_of = {p: F.floor(F.log(F.col(p).cast("double")) / width) for p in params}
+    left = vec.select(*params)
+    for i, p in enumerate(params):
+        left = left.withColumn(f"_bin{i}", F.explode(F.array(bin_of[p] - 1, bin_of[p], bin_of[p] + 1)))
+    bins = [f"_bin{i}" for i in range(len(params))]
+    homes = [bin_of[p].alias(b) for p, b in zip(params, bins)]
+    right = vec.select(*[F.col(p).alias(f"_near_{p}") for p in params], "_n", "_s", *homes)
     close = F.lit(True)
     for p in params:
         close = close & (F.abs((F.col(f"_near_{p}") - F.col(p)) / F.col(p).cast("double")) <= pct)
-    near = left.join(right, "_bin").filter(close).groupBy(*params).agg(F.sum("_n").alias("_n"), F.sum("_s").alias("_s"))
+    near = left.join(right, bins).filter(close).groupBy(*params).agg(F.sum("_n").alias("_n"), F.sum("_s").alias("_s"))
     out = trials.join(near, list(params))
     return out.withColumn("neighbours", F.col("_n") - 1).withColumn(
         f"{value}_sum", F.when(F.col("_n") > 1, F.col("_s") - F.col(value))

@@ -145,12 +145,14 @@ def rolling(
     back: int,
     ahead: int = 0,
     block_rows: int = 100_000,
+    index: str | None = None,
 ) -> DataFrame:
     """Bounded ROWS-frame expressions over series of any length.
 
     Each key's series is cut into blocks of ``block_rows`` rows; a block also
     gets the ``back`` rows before and the ``ahead`` rows after it, so a frame
-    never needs a row outside its block.  ``exprs(window)`` returns the columns.
+    never needs a row outside its block.  ``exprs(window)`` returns the columns;
+    ``index`` names the row's position in its series where that is wanted too.
     """
     if block_rows < max(back, ahead):
         raise ValueError("block_rows must cover the frame")
@@ -167,7 +169,8 @@ def rolling(
     spread = row_index(df, keys, order, "_rn").withColumn("_home", F.explode(homes))
     w = Window.partitionBy(*keys, "_home.b").orderBy("_rn")
     done = spread.select("*", *[c.alias(n) for n, c in exprs(w).items()])
-    return done.filter(~F.col("_home.halo")).drop("_rn", "_home")
+    done = done.filter(~F.col("_home.halo")).drop("_home")
+    return done.withColumnRenamed("_rn", index) if index else done.drop("_rn")
 
 
 def fan_out(df: DataFrame, name: str, values: Sequence) -> DataFrame:

@@ -93,9 +93,8 @@ _column("E05_sma", full("avg(close) OVER {f}", 10), lambda w: ind.sma(F.col("clo
 @query("E05_sma_ticks", sql(QUOTES, body="SELECT symbol, event_id, round(CASE WHEN row_number() OVER w >= 20 THEN avg(bid) OVER (PARTITION BY symbol ORDER BY us, event_id ROWS 19 PRECEDING) END, 6) AS sma FROM quotes WINDOW w AS (PARTITION BY symbol ORDER BY us, event_id)"))
 def _(spark, sf):
     q = T.quotes(spark, sf).select("symbol", "us", "event_id", "bid")
-    out = rolling(q, ["symbol"], ["us", "event_id"], lambda w: {"m": F.avg("bid").over(w.rowsBetween(-19, 0))}, back=19)
-    place = running(out, ["symbol"], ["us", "event_id"], {"rn": Run("count", F.lit(1))})
-    return place.select("symbol", "event_id", F.when(F.col("rn") >= 20, F.col("m")).alias("sma"))
+    out = rolling(q, ["symbol"], ["us", "event_id"], lambda w: {"m": F.avg("bid").over(w.rowsBetween(-19, 0))}, back=19, index="rn")
+    return out.select("symbol", "event_id", F.when(F.col("rn") >= 20, F.col("m")).alias("sma"))
 
 
 @query("E06_ema", bars_sql(ema_sql("close", 2 / 13), "ema"))

@@ -17,11 +17,15 @@ MIN_HISTORY = 50
 LIQUIDATION = -99
 
 
+#: Files of one micro-batch, so that a backlog comes in bounded batches.
+MAX_FILES = 64
+
+
 def tick_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quote ticks from the events files as a stream (derived as in batch)."""
     mid = 100 + F.col("value") / 100
     half = 0.01 + 0.002 * (F.col("event_id") % 5).cast("double")
-    raw = spark.readStream.schema(SCHEMAS["events"]).option("pathGlobFilter", "events*.parquet").parquet(sf_dir)
+    raw = spark.readStream.schema(SCHEMAS["events"]).option("pathGlobFilter", "events*.parquet").option("maxFilesPerTrigger", MAX_FILES).parquet(sf_dir)
     return raw.select(
         F.col("event_type").alias("symbol"),
         "ts",
@@ -76,20 +80,16 @@ def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def append_ledger(stream: DataFrame, path: str) -> None:
-    """Append each micro-batch to a ledger table, tagged with the batch number.
+def append_ledger(stream: DataFrame, path: str, checkpoint: str | None = None) -> None:
+    """Append what has arrived to a ledger table, each row once.
 
-    The tag makes a re-run batch replace itself instead of doubling rows.
+    The checkpoint lies beside the table unless another place is named, so a
+    restart goes on where the last call ended.
     """
-
-    def write(batch: DataFrame, number: int) -> None:
-        batch.withColumn("batch", F.lit(number)).write.partitionBy("batch").mode("overwrite").option(
-            "partitionOverwriteMode", "dynamic"
-        ).parquet(path)
-
     q = (
-        stream.writeStream.foreachBatch(write)
-        .option("checkpointLocation", scratch_path(stream.sparkSession, "check"))
+        stream.writeStream.format("parquet")
+        .option("path", path)
+        .option("checkpointLocation", checkpoint or f"{path.rstrip('/')}-checkpoint")
         .trigger(availableNow=True)
         .start()
     )
