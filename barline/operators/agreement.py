@@ -185,13 +185,15 @@ def levene(df: DataFrame, keys: Sequence[str], group: str, value: str) -> DataFr
     x = df.filter(F.col(value).isNotNull())
     centres = x.groupBy(*keys, group).agg(F.median(value).alias("_c"))
     dev = x.join(centres, [*keys, group]).withColumn("_z", F.abs(F.col(value) - F.col("_c")))
-    per = dev.groupBy(*keys, group).agg(F.count(F.lit(1)).alias("n"), F.avg("_z").alias("zb"), F.sum(F.col("_z") * F.col("_z")).alias("zz"))
+    z = F.col("_z")
+    per = dev.groupBy(*keys, group).agg(F.count(F.lit(1)).alias("_n"), F.avg("_z").alias("_zb"), F.sum(z * z).alias("_zz"))
     agg = per.groupBy(*keys).agg(
-        F.sum("n").alias("N"), F.count(F.lit(1)).alias("k"), F.sum(F.col("n") * F.col("zb")).alias("s"),
-        F.sum(F.col("n") * F.col("zb") * F.col("zb")).alias("ss"), F.sum("zz").alias("zz"),
+        F.sum("_n").alias("_all"), F.count(F.lit(1)).alias("_groups"), F.sum(F.col("_n") * F.col("_zb")).alias("_s"),
+        F.sum(F.col("_n") * F.col("_zb") * F.col("_zb")).alias("_ss"), F.sum("_zz").alias("_zz"),
     )
-    between = F.col("ss") - F.col("s") * F.col("s") / F.col("N")
-    within = F.col("zz") - F.col("ss")
-    stat = (F.col("N") - F.col("k")) / (F.col("k") - 1) * between / within
-    out = agg.select(*keys, stat.alias("levene"), (F.col("N") - F.col("k")).cast("double").alias("_df"), "k")
-    return out.withColumn("p", F.when(F.col("k") == 2, _solved(student_p, F.sqrt("levene"), F.col("_df")))).drop("_df", "k")
+    between = F.col("_ss") - F.col("_s") * F.col("_s") / F.col("_all")
+    within = F.col("_zz") - F.col("_ss")
+    df = F.col("_all") - F.col("_groups")
+    out = agg.select(*keys, (df / (F.col("_groups") - 1) * between / within).alias("levene"), df.alias("_df"), "_groups")
+    p = F.when(F.col("_groups") == 2, _solved(student_p, F.sqrt("levene"), F.col("_df")))
+    return out.withColumn("p", p).drop("_df", "_groups")

@@ -28,7 +28,7 @@ from barline.plans.shapes import rows_as
 from barline.sources import tables as T
 
 K = ["symbol"]
-ROW = "(ok * 8 + ln) * 1048576 + (pk * 31 + sk) % 1048576"
+ROW = "(ok * 8 + ln) * 1048576 + (pk * 7919 + sk) % 1048576"
 ORD = list(T.TRADE_ORDER)
 
 # ---- J: statistics ---------------------------------------------------------------
@@ -59,15 +59,15 @@ def moments(df, keys, value):
     return df.groupBy(*keys).agg(
         F.count(value).alias("n"),
         F.when(F.stddev_samp(value) > 1e-12, F.avg(value) / F.stddev_samp(value)).alias("sr"),
-        (g1 * F.sqrt(n * (n - 1)) / (n - 2)).alias("sk"),
-        (((n + 1) * g2 + 6) * (n - 1) / ((n - 2) * (n - 3)) + 3).alias("ku"),
+        F.when(n > 2, F.try_divide(g1 * F.sqrt(n * (n - 1)), n - 2)).otherwise(0.0).alias("sk"),
+        F.when(n > 3, F.try_divide(((n + 1) * g2 + 6) * (n - 1), (n - 2) * (n - 3)) + 3).otherwise(3.0).alias("ku"),
     )
 
 
 def dsr_reason(n, sr, dsr):
     """Why the gate is shut; 'passed' if it is open."""
     shut = F.when(dsr > 0.95, "passed").otherwise("dsr_probability_not_above_threshold")
-    return F.when(n < 2, "insufficient_trades").when(sr.isNull(), "zero_variance").when(dsr.isNull(), "non_finite_returns").otherwise(shut)
+    return F.when(n < 2, "insufficient_trades").when(sr.isNull(), "zero_variance").when(dsr.isNull() | F.isnan(dsr), "non_finite_returns").otherwise(shut)
 
 
 _DSRZ = f"dz AS (SELECT *, (sr - {_SR0}::DOUBLE) / sqrt((1 - sk * sr + (ku - 1) / 4 * sr * sr) / (n - 1)) AS z FROM mo)"

@@ -29,7 +29,8 @@ def test_query(name, spark, sf_dir, con):
     if name in CHECKS:
         assert compare(df, con, CHECKS[name]) is None
     else:
-        assert df.count() >= 0
+        rows = df.collect()
+        assert rows and any(v is not None for v in rows[0])
 
 
 def test_every_check_has_a_query():
