@@ -33,30 +33,37 @@ from barline.llm import common, tokens
 #: A value with more owners than this is a widely copied example.
 MOST_OWNERS = 2
 
+
+
+def either_case(words: str) -> str:
+    """A pattern's ASCII letters in either case, and no other letters."""
+    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in words)
+
+
 # Fixed patterns: name, expression, group that holds the secret, least length of that group.
 BASE = (
     (
         "assign",
-        rb"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
+        "(" + either_case("password|passwd|secret|token|api_?key") + r""")["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
         2,
         8,
     ),
-    ("access", rb"AKIA[A-Z0-9]+", 0, 16),
-    ("hex", rb"[0-9a-f]{32,}", 0, 32),
+    ("access", r"AKIA[A-Z0-9]+", 0, 16),
+    ("hex", r"[0-9a-f]{32,}", 0, 32),
 )
 # Published formats.
 FURTHER = (
-    ("forge", rb"gh[opsur]_[A-Za-z0-9]{36,}", 0, 0),
-    ("chat", rb"xox[abprs]-[A-Za-z0-9-]{10,}", 0, 0),
-    ("cloud", rb"AIza[0-9A-Za-z_-]{35}", 0, 0),
-    ("payment", rb"[rs]k_(?:live|test)_[0-9A-Za-z]{16,}", 0, 0),
-    ("jwt", rb"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", 0, 0),
-    ("bearer", rb"[Bb]earer\x20+([A-Za-z0-9._~+/=-]{16,})", 1, 16),
-    ("login", rb"://[^\s:/@]{1,64}:([^\s:/@]{8,64})@", 1, 8),
-    ("pem", rb"-----BEGIN\x20(?:[A-Z]+\x20)?PRIVATE\x20KEY-----[A-Za-z0-9+/=\s]{16,}", 0, 0),
+    ("forge", r"gh[opsur]_[A-Za-z0-9]{36,}", 0, 0),
+    ("chat", r"xox[abprs]-[A-Za-z0-9-]{10,}", 0, 0),
+    ("cloud", r"AIza[0-9A-Za-z_-]{35}", 0, 0),
+    ("payment", r"[rs]k_(?:live|test)_[0-9A-Za-z]{16,}", 0, 0),
+    ("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", 0, 0),
+    ("bearer", r"[Bb]earer\x20+([A-Za-z0-9._~+/=-]{16,})", 1, 16),
+    ("login", r"://[!-.0-9;-?A-~]{1,64}:([!-.0-9;-?A-~]{8,64})@", 1, 8),
+    ("pem", r"-----BEGIN\x20(?:[A-Z]+\x20)?PRIVATE\x20KEY-----[A-Za-z0-9+/=\x20\x09-\x0D]{16,}", 0, 0),
 )
 KINDS = tuple(k for k, *_ in BASE + FURTHER)
-_COMPILED = [(rank, re.compile(pattern), group, least) for rank, (_, pattern, group, least) in enumerate(BASE + FURTHER)]
+_COMPILED = [(rank, re.compile(pattern.encode()), group, least) for rank, (_, pattern, group, least) in enumerate(BASE + FURTHER)]
 # A text without any of these bytes sequences holds no further candidate; most texts are passed over by one search.
 _HINT = re.compile(rb"gh[opsur]_|xox[abprs]-|AIza|[rs]k_(?:live|test)_|eyJ|[Bb]earer\x20|://|-----BEGIN")
 
@@ -155,6 +162,45 @@ def report(docs: DataFrame, repository: str = "doc_id", owner: str = "source", m
     )
 
 
-@common.query("op9_secrets")
+def _sql() -> str:
+    """The same report in SQL: matches between their gaps, owners of each value, spans put together again."""
+    found = []
+    for rank, (_, pattern, group, least) in enumerate(BASE + FURTHER):
+        quoted = "'" + pattern.replace("'", "''") + "'"
+        found.append(
+            f"SELECT rid, source, {rank} AS rank, {least} AS least, regexp_extract_all(text, {quoted}) AS hits, "
+            f"regexp_extract_all(text, {quoted}, {group}) AS secrets, regexp_split_to_array(text, {quoted}) AS gaps FROM docs"
+        )
+    kinds = "[" + ", ".join(f"'{k}'" for k in KINDS) + "]"
+    at = "coalesce(list_sum([length(x) for x in gaps[1:i]]), 0) + coalesce(list_sum([length(x) for x in hits[1:i - 1]]), 0)"
+    written = "string_agg(span, ',' ORDER BY start, rank)"
+    return f"""
+WITH docs AS (
+  SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS text FROM documents
+), found AS (
+  {" UNION ALL ".join(found)}
+), each AS (
+  SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM found WHERE len(hits) > 0
+), placed AS (
+  SELECT rid, source, rank, secrets[i] AS secret, CAST({at} AS BIGINT) AS start, length(hits[i]) AS size
+  FROM each WHERE length(secrets[i]) >= least
+), owners AS (
+  SELECT secret, count(DISTINCT coalesce(source, '')) > {MOST_OWNERS} AS example FROM placed GROUP BY secret
+), spans AS (
+  SELECT rid, rank, start, example, {kinds}[rank + 1] || ':' || start || ':' || (start + size) AS span
+  FROM placed JOIN owners USING (secret)
+), by_doc AS (
+  SELECT rid, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access, count(*) FILTER (rank = 2) AS n_hex,
+    {written} FILTER (rank < {len(BASE)}) AS base, {written} FILTER (rank < {len(BASE)} OR NOT example) AS spans,
+    count(*) FILTER (NOT example) AS n_live, count(*) FILTER (example) AS n_example FROM spans GROUP BY rid
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
+  coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example
+FROM docs LEFT JOIN by_doc USING (rid)
+"""
+
+
+@common.query("op9_secrets", _sql())
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(common.table(spark, sf_dir, "documents"))

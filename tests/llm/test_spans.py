@@ -4,7 +4,9 @@ import hashlib
 import random
 import re
 
+import duckdb
 from helpers import corpus, frame
+from oracle import compare, connect
 
 from barline.llm import common, pii, secrets
 
@@ -166,3 +168,13 @@ def test_ownership_counts(spark):
         own.add(s)
         repo.add((s, d))
     assert got == {k: (len(a), len(b)) for k, (a, b) in want.items()}
+
+
+def test_secrets_against_sql(spark, sf_dir, tmp_path):
+    name = "op9_secrets"
+    assert compare(common.PLANS[name](spark, sf_dir), connect(sf_dir), common.CHECKS[name]) is None
+    more = [(900 + k, f"Bearer {'z' * 20} ghp_{'A' * 40} https://u:passw0rd{k}@h é sk_live_{'9' * 18}", "en", f"s{k}", 1) for k in range(4)]
+    frame(spark, noisy(3) + more).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert compare(common.PLANS[name](spark, str(tmp_path)), con, common.CHECKS[name]) is None
