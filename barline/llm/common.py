@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barline.session import prepare, settle  # noqa: F401
+from barline.session import prepare, scratch_path
 
 PLANS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -29,6 +29,30 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def settle(df: DataFrame, name: str = "settled") -> DataFrame:
+    """Write the rows as a table in the shared folder and go on from there.
+
+    Zstandard frees its buffers when a file is closed.  Snappy's are kept until
+    the collector comes by, which adds up where many tasks write small files.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _PATHS[id(out)] = (out, path)
+    return out
+
+
+_PATHS: dict[int, tuple[DataFrame, str]] = {}
+
+
+def release(*settled: DataFrame) -> None:
+    """Remove settled tables that nothing reads any more."""
+    for df in settled:
+        _, path = _PATHS.pop(id(df))
+        at = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
