@@ -116,23 +116,3 @@ def windows(hashes: np.ndarray, rows: np.ndarray, size: int) -> tuple[np.ndarray
         h = h * np.uint64(0xD6E8FEB86659FD93) + (hashes[k : n + k] ^ np.uint64(k))
     first = np.flatnonzero(rows[:n] == rows[size - 1 :])
     return mix(h[first]), first
-
-
-def per_row(values: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
-    """Sum of values by row."""
-    return np.bincount(rows, weights=values, minlength=n)
-
-
-def counts_per_row(rows: np.ndarray, n: int) -> np.ndarray:
-    return np.bincount(rows, minlength=n).astype(np.int64)
-
-
-def range_sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Sum of values[offsets[i]:offsets[i+1]] for every i."""
-    total = np.zeros(len(values) + 1, np.float64)
-    np.cumsum(values, dtype=np.float64, out=total[1:])
-    return total[offsets[1:]] - total[offsets[:-1]]
-
-
-def sequence(values, kind) -> pa.Array:
-    return pa.array(values, type=kind)
