@@ -73,7 +73,7 @@ def sampled(df: DataFrame, by: Column, rate: Column) -> DataFrame:
 
 
 #: Bits of the filter below; the broadcast table has this many / 64 rows at most, whatever the number of keys.
-FILTER_BITS = 1 << 22
+FILTER_BITS = 1 << 24
 
 
 def _bit(column: Column) -> Column:

@@ -19,9 +19,10 @@ on classes.
    lists in the block the L longest are set aside, the rest are merged by a heap
    that skips what cannot reach T - L occurrences, and candidates are probed in
    the long lists by binary search until they reach T or cannot.
-   First the smallest, then the largest class of every group is the query.
+   First the smallest and the largest class of every group are the queries.
    Groups whose classes are then connected need no more (a group of a thousand
-   near copies costs a thousand comparisons, not half a million).  What is left
+   near copies costs a thousand comparisons, not half a million); parity bits of
+   the sets rule out most pairs before any set travels.  What is left
    open falls into regions of classes that share open groups; in each, every
    class outside the largest connected part is a query against all blocks.
 4. Components over the links, the smallest doc_id of each, back to documents.
@@ -60,6 +61,8 @@ LOADS = 1 << 22
 _LOAD_BLOCKS = 256
 #: Bits of the filter that tells a scan which classes are wanted.
 FILTER_BITS = 1 << 22
+#: Parity bits of a set.
+PARITY_BITS = 2048
 #: Shingles indexed by one block.
 BLOCK_SHINGLES = 200_000
 #: Weight of a probe against a merge step, as measured by the method's authors.
@@ -118,7 +121,7 @@ def sets(data: np.ndarray, offsets: np.ndarray, n_words: int) -> tuple[np.ndarra
 
 
 def scan(docs: DataFrame, rule: Rule) -> DataFrame:
-    """One row per document (doc_id, key, n, cls), and each task's shingle counters as rows of (block, part)."""
+    """One row per document (doc_id, key, n, cls, parity), and each task's shingle counters as rows of (block, part)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         loads = np.zeros(LOADS, np.uint32)
@@ -131,32 +134,35 @@ def scan(docs: DataFrame, rule: Rule) -> DataFrame:
                 waiting.clear()
 
         for batch in batches:
-            size, cls = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            size, cls, bits = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
             for _, _, data, offsets in tokens.pieces(batch.column(1)):
                 window, at, c = sets(data, offsets, rule.words)
                 size.append(np.diff(at))
                 cls.append(c)
+                bits += [parity(window[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
                 waiting.append(window)
                 count(2_000_000)
             n, c = np.concatenate(size), np.concatenate(cls)
-            yield _scan_rows(batch.column(0), batch.column(2), pa.array(n), pa.array(c, mask=n == 0), None, None)
+            yield _scan_rows(batch.column(0), batch.column(2), pa.array(n), pa.array(c, mask=n == 0), pa.array(bits, pa.binary()), None, None)
         count(0)
         parts = loads.reshape(_LOAD_BLOCKS, -1)
         some = np.flatnonzero(parts.any(axis=1))
         none = pa.nulls(len(some), pa.int64())
         packed = pa.array([zlib.compress(parts[k].tobytes(), 1) for k in some], pa.binary())
-        yield _scan_rows(none, none, none, none, pa.array(some.astype(np.int64)), packed)
+        yield _scan_rows(none, none, none, none, None, pa.array(some.astype(np.int64)), packed)
 
     key = F.xxhash64("doc_id", "text").alias("key")
     return docs.select(F.col("doc_id").cast("long"), "text", key).mapInArrow(
-        run, "doc_id long, key long, n long, cls long, block long, part binary"
+        run, "doc_id long, key long, n long, cls long, parity binary, block long, part binary"
     )
 
 
-def _scan_rows(doc_id, key, n, cls, block, part) -> pa.RecordBatch:
+def _scan_rows(doc_id, key, n, cls, bits, block, part) -> pa.RecordBatch:
+    bits = pa.nulls(len(n), pa.binary()) if bits is None else bits
     block = pa.nulls(len(n), pa.int64()) if block is None else block
     part = pa.nulls(len(n), pa.binary()) if part is None else part
-    return pa.RecordBatch.from_arrays([doc_id, key, n, cls, block, part], ["doc_id", "key", "n", "cls", "block", "part"])
+    names = ["doc_id", "key", "n", "cls", "parity", "block", "part"]
+    return pa.RecordBatch.from_arrays([doc_id, key, n, cls, bits, block, part], names)
 
 
 def load_table(scanned: DataFrame) -> np.ndarray:
@@ -200,7 +206,7 @@ def postings(docs: DataFrame, loads: np.ndarray, rule: Rule) -> DataFrame:
 
 
 def fetch(docs: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
-    """n, cls, shingles of the wanted classes, once each; the scan knows them by a filter of fixed size."""
+    """cls and shingles of the wanted classes, once each; the scan knows them by a filter of fixed size."""
     bit = F.pmod("cls", F.lit(FILTER_BITS))
     words = wanted.groupBy(F.floor(bit / 64).alias("word")).agg(
         F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int"))).alias("bits")
@@ -223,12 +229,16 @@ def fetch(docs: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
                     continue
                 rows = [k for i, k in enumerate(rows) if int(cls[k]) not in seen and not seen.add(int(cls[k]))]
                 values = pa.array([window[at[k] : at[k + 1]].view(np.int64) for k in rows], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(size[rows]), pa.array(cls[rows]), values], ["n", "cls", "shingles"]
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(cls[rows]), values], ["cls", "shingles"])
+
+    found = docs.select("text").mapInArrow(run, "cls long, shingles array<long>")
+    return found.join(wanted.select("cls").distinct(), "cls", "left_semi").dropDuplicates(["cls"])
+
 
-    found = docs.select("text").mapInArrow(run, "n long, cls long, shingles array<long>")
-    return found.join(wanted.select("cls").distinct(), "cls", "left_semi").dropDuplicates(["cls"]).select("n", "cls", "shingles")
+def parity(shingles: np.ndarray) -> bytes:
+    """For each remainder of the hash, whether an odd number of shingles has it."""
+    odd = np.bincount((shingles % np.uint64(PARITY_BITS)).astype(np.int64), minlength=PARITY_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
 def merge_skip(lists: list[list[int]], need: int) -> Iterator[tuple[int, int]]:
@@ -348,40 +358,67 @@ def search_plan(
     return search_blocks(rows.join(shingle_sets.select("cls", "shingles"), "cls"), rule)
 
 
+def may_link(pairs: DataFrame, scanned: DataFrame, rule: Rule) -> DataFrame:
+    """Pairs (leader, _n, cls, n) without those whose parity bits show too many differences to link.
+
+    A bit tells whether the set has an odd number of shingles of one hash
+    remainder; each difference flips one bit, so sets differ by at least as many
+    shingles as bits.  Whole sets then travel only for pairs that are likely links.
+    """
+    pairs = common.settle(pairs.distinct(), "pairs")
+    wanted = pairs.select("cls").union(pairs.select("leader")).distinct()
+    known = common.likely_in(scanned.filter("cls is not null").select("cls", "parity"), "cls", wanted)
+    bits = common.settle(known.groupBy("cls").agg(F.first("parity").alias("parity")), "parity")
+    near = bits.select(F.col("cls").alias("leader"), F.col("parity").alias("_a"))
+    both = pairs.join(bits.withColumnRenamed("parity", "_b"), "cls").join(near, "leader")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("_a", "_b"))
+            flips = np.bitwise_count(a ^ b).sum(axis=1)
+            total = batch.column("n").to_numpy() + batch.column("_n").to_numpy()
+            most = total + 2 * ((-rule.percent * total) // (100 + rule.percent))
+            names = ["leader", "_n", "cls", "n"]
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in names], names).filter(pa.array(flips <= most))
+
+    return both.select("leader", "_n", "cls", "n", "_a", "_b").mapInArrow(run, "leader long, _n long, cls long, n long")
+
+
 def link_classes(docs: DataFrame, scanned: DataFrame, rule: Rule) -> DataFrame:
     """node, label: the component of every class that links with another class."""
     rows = common.settle(postings(docs, load_table(scanned), rule), "postings")
     one = F.struct("n", "cls")
-    contested = rows.groupBy("token").agg(F.min(one).alias("lo"), F.max(one).alias("hi")).filter("lo <> hi").select("token")
+    contested = rows.groupBy("token").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).filter("lo <> hi")
+    contested = common.settle(contested.select("token"), "contested")
     step = rule.step(F.col("n"))
     groups = (
-        rows.join(contested, "token")
+        common.likely_in(rows, "token", contested)
+        .join(contested, "token")
         .select("token", F.explode(F.array(step, step + 1)).alias("step"), "n", "cls")
         .distinct()
     )
     groups = common.settle(groups, "groups")
+    common.release(rows, contested)
     ends = groups.groupBy("token", "step").agg(F.min(one).alias("lo"), F.max(one).alias("hi"), F.count("*").alias("classes"))
     ends = common.settle(ends.filter("lo <> hi"), "ends")
     met = common.settle(groups.join(ends, ["token", "step"]), "met")
-    shingle_sets = common.settle(fetch(docs, met.select("cls"), rule), "sets")
-    links = None
-    for end in ("lo", "hi"):
-        pairs = met.filter(F.col("cls") != F.col(end)["cls"])
-        if links is not None:
-            # second round: only where the first has left the class apart from this end
-            label = components(links)
-            named = lambda df, c, name: df.join(
-                label.select(F.col("node").alias(c), F.col("label").alias(name)), c, "left"
-            ).withColumn(name, F.coalesce(name, c))
-            pairs = pairs.withColumn("_end", F.col(end)["cls"])
-            pairs = named(named(pairs, "cls", "_own"), "_end", "_far").filter("_own <> _far").filter("classes > 2")
-        index = common.settle(
-            pairs.filter(rule.near(F.col("n"), F.col(end)["n"])).select(F.col(end)["cls"].alias("leader"), F.col(end)["n"].alias("_n"), "cls", "n").distinct(),
-            "pairs",
-        )
-        leaders = index.select("leader", F.col("leader").alias("cls"), F.col("_n").alias("n")).distinct()
-        found = search_plan(index.select("leader", "cls", "n"), leaders, shingle_sets, ["leader"], rule)
-        links = common.settle(found if links is None else found.unionByName(links), "links")
+    common.release(groups, ends)
+
+    # The smallest and the largest class of every group against all others of the group.
+    ends_of = F.explode(F.array("lo", "hi"))
+    pairs = met.select("cls", "n", ends_of.alias("_end")).filter(F.col("cls") != F.col("_end")["cls"])
+    pairs = pairs.filter(rule.near(F.col("n"), F.col("_end")["n"]))
+    pairs = pairs.select(F.col("_end")["cls"].alias("leader"), F.col("_end")["n"].alias("_n"), "cls", "n")
+    index = common.settle(may_link(pairs, scanned, rule), "likely")
+    leaders = index.select("leader", F.col("leader").alias("cls"), F.col("_n").alias("n")).distinct()
+    shingle_sets = common.settle(fetch(docs, index.select("cls").union(index.select("leader")).distinct(), rule), "sets")
+    links = search_plan(index.select("leader", "cls", "n"), leaders, shingle_sets, ["leader"], rule)
+    links = common.settle(links, "links")
+    common.release(shingle_sets, index)
+
+    # What is left open: groups of three or more whose classes are in several components.
     label = components(links)
     state = met.filter("classes > 2").join(label.select(F.col("node").alias("cls"), "label"), "cls", "left")
     state = state.withColumn("label", F.coalesce("label", "cls"))
@@ -394,6 +431,7 @@ def link_classes(docs: DataFrame, scanned: DataFrame, rule: Rule) -> DataFrame:
     parts = state.groupBy("region", "label").agg(F.count("*").alias("c"))
     main = parts.groupBy("region").agg(F.max(F.struct("c", "label"))["label"].alias("main"))
     state = common.settle(state.join(main, "region"), "regions")
+    shingle_sets = common.settle(fetch(docs, state.select("cls"), rule), "sets")
     index = state.select("region", "cls", "n")
     queries = state.filter("label <> main").select("region", "cls", "n")
     rest = search_plan(index, queries, shingle_sets, ["region"], rule)
