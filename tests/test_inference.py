@@ -64,9 +64,9 @@ def test_ties_with_the_null_fail(spark):
     assert (row.a, row.b) == (False, True)
 
 
-@pytest.mark.parametrize("limit", [20_000, 5])
-def test_pareto_front_both_ways(spark, monkeypatch, limit):
-    monkeypatch.setattr(selection, "BROADCAST_ROWS", limit)
+@pytest.mark.parametrize("merges", [(64, 8, 1), (2, 1)])
+def test_pareto_front_by_either_tree(spark, monkeypatch, merges):
+    monkeypatch.setattr(selection, "MERGE_PARTS", merges)
     rnd = random.Random(3)
     pts = [(rnd.randrange(30), rnd.randrange(30), rnd.randrange(30)) for _ in range(600)]
     df = spark.createDataFrame([(i, *p) for i, p in enumerate(pts)], "id INT, a INT, b INT, c INT").repartition(5)
