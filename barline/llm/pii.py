@@ -8,9 +8,15 @@ format and context features give a score, and a threshold for each generator,
 calibrated on rows that the trees have not seen, selects what is reported.
 
 There are no labels for personal data, so the trees learn from the corpus: a
-candidate that overlaps a checked base span is positive, another negative.
-Features are small integers that leave out what defines the base formats, so a
-looser candidate of like form in a like context scores like a checked one.
+candidate of a base format is positive if it passes its check; a looser one if
+it stands free of letters and digits and passes the check of its own format (a
+number plan, mod 97, Luhn, a known top level) or follows a word that names it.
+Others are negative.  Labels do not depend on overlap.  A threshold is
+calibrated on the candidates it can add, those outside base spans.  Features are
+small integers that leave out what the checks look at, so a candidate of like
+form in a like context scores like a checked one.  A free span whose own check
+leaves almost nothing to chance (mod 97; marked at signs before a known top
+level) is added whatever its score.
 Features take few values; the training set is the table of distinct feature
 vectors with their positive and negative counts over all documents, whose size
 is bounded by the product of those values.  The driver boosts over that table
@@ -21,8 +27,8 @@ and edges of the gaps between them; positions are running sums over the
 candidates of one document.
 
 Defined cases: null and empty texts have no spans; rows with equal doc_id and
-text get equal results; with no candidates or candidates of one label only, only
-base spans are reported; spans count code points.  Extra columns do not take
+text get equal results; with no candidates or candidates of one label only, base
+and proved spans alone are reported; spans count code points.  Extra columns do not take
 part.
 """
 
@@ -38,7 +44,7 @@ from barline.llm import common
 
 ROUNDS = 30
 SHRINK = 0.3
-#: Share of accepted candidates that must overlap a checked span, on the calibration rows, and their least number.
+#: Share of accepted candidates that must be positive, on the calibration rows, and their least number.
 PRECISION = 0.9
 LEAST_ACCEPTED = 20
 #: Characters of context on either side.
@@ -59,12 +65,27 @@ GENERATORS: dict[str, tuple[str, str]] = {
     ),
     "local": (r"[0-9][\x20).-]{1,2}[0-9]", r"(?<![0-9+])\(?[0-9]{2,4}\)?[\x20.-][0-9]{3,4}[\x20.-][0-9]{3,5}(?![0-9])"),
     "identity": (r"[0-9]-[0-9]", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
-    "bank": (r"[A-Z]{2}[0-9]{2}", r"(?<![A-Z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?![A-Z0-9])"),
+    "bank": (r"[A-Z]{2}[0-9]{2}", r"(?<![A-Z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Z0-9])"),
     "number": (r"[0-9]{9}", r"(?<![0-9])[0-9]{9,30}(?![0-9])"),
     "hexaddress": (r"[0-9A-Fa-f]:[0-9A-Fa-f]", r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])"),
 }
 KINDS = tuple(GENERATORS)
 _TRIGGERS = r"(?i)(?:tel|phone|call|fax|mobil|e-?mail|contact|write|card|visa|acc(?:oun)?t|ssn|iban|\bip\b|addr|host|konto|tarjeta|carte)"
+# What the looser formats are checked by: number plans, top levels, words before them that name them.
+_PLANS = (r"^\(?[2-9][0-9]{2}\)?[\x20.-][2-9][0-9]{2}[\x20.-][0-9]{4}$", r"^\([0-9]{2,4}\)[\x20.-]", r"^0[1-9][0-9]{0,2}[\x20.-]")
+_TOP = r"(?i)(?:\.|\(dot\)\x20?|\[dot\]\x20?|\x20dot\x20)(?:com|org|net|edu|gov|mil|int|info|biz|name|io|dev|app|eu|uk|us|de|fr|es|it|nl|be|ch|at|pl|pt|se|dk|fi|no|ie|cz|ru|jp|cn|in|br|mx|ca|au|nz)$"
+_MARKED = r"(?i)(?:\(at\)|\[at\])"
+_IDENTITY = r"^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$"
+_HEXADDRESS = r"(?i)^(?:[23][0-9a-f]{3}|f[cd][0-9a-f]{2}|fe[89ab][0-9a-f]):"
+_CUES = {
+    "spoken": r"(?i)\b(?:e-?mail|mail|contact|write|reach|address)\b",
+    "local": r"(?i)\b(?:tel|phone|telephone|call|fax|mobile?|cell|dial|ring|telefono|t\u00e9l)\b",
+    "identity": r"(?i)\b(?:ssn|social|identity|id)\b",
+    "bank": r"(?i)\biban\b",
+    "number": r"(?i)\b(?:acc(?:oun)?t|card|visa|ssn|konto|tarjeta|carte|passport|tel|phone|call|fax|mobile?)\b",
+    "hexaddress": r"(?i)\b(?:ip|ipv6|addr|address|host)\b",
+}
+_ALPHABET = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 FEATURES = ("digits", "letters", "space", "dot", "dash", "round", "luhn", "octets", "left", "right", "trigger", "generator")
 
@@ -118,8 +139,48 @@ def checked(rank: Column, hit: Column) -> Column:
     )
 
 
+def passes_mod97(hit: Column) -> Column:
+    """The check of international bank account numbers, of 15 to 34 characters."""
+    plain = F.regexp_replace(hit, "[^A-Z0-9]", "")
+    turned = F.concat(F.substring(plain, 5, 34), F.left(plain, F.lit(4)))
+    rest = F.aggregate(
+        F.regexp_extract_all(turned, F.lit("."), F.lit(0)),
+        F.lit(0),
+        lambda acc, x: (acc * F.when(x > "9", 100).otherwise(10) + F.position(x, F.lit(_ALPHABET)) - 1) % 97,
+    )
+    return F.length(plain).between(15, 34) & (rest == 1)
+
+
+def own_check(rank: Column, hit: Column) -> Column:
+    """Whether a span of a looser format passes the check of that format."""
+    is_ = lambda name: rank == KINDS.index(name)
+    return (
+        F.when(is_("spoken"), hit.rlike(_TOP))
+        .when(is_("local"), hit.rlike("|".join(_PLANS)) & F.length(digits_of(hit)).between(8, 12))
+        .when(is_("identity"), hit.rlike(_IDENTITY))
+        .when(is_("bank"), passes_mod97(hit))
+        .when(is_("number"), passes_luhn(digits_of(hit)))
+        .when(is_("hexaddress"), hit.rlike(_HEXADDRESS))
+        .otherwise(False)
+    )
+
+
+def proved(rank: Column, hit: Column) -> Column:
+    """Whether the own check of a looser format leaves almost nothing to chance."""
+    spoken = (rank == KINDS.index("spoken")) & hit.rlike(_MARKED) & hit.rlike(_TOP)
+    return F.when(rank == KINDS.index("bank"), passes_mod97(hit)).otherwise(spoken)
+
+
+def named(rank: Column, tail: Column) -> Column:
+    """Whether the text before a span of a looser format names it."""
+    out = F.lit(False)
+    for name, words in _CUES.items():
+        out = F.when(rank == KINDS.index(name), tail.rlike(words)).otherwise(out)
+    return out
+
+
 def candidates(scanned: DataFrame) -> DataFrame:
-    """One row per candidate: key, rank, start, end, base, and the features."""
+    """One row per candidate: key, rank, start, end, base, its label, whether it is proved, and the features."""
     rows = (
         scanned.filter(F.size("found") > 0)
         .dropDuplicates(["key"])
@@ -145,12 +206,17 @@ def candidates(scanned: DataFrame) -> DataFrame:
     step = lambda x, *cuts: sum(((x >= c).cast("int") for c in cuts), F.lit(0))
     has = lambda *marks: step(sum((F.col("hit").contains(m).cast("int") for m in marks), F.lit(0)), 1)
     side = lambda edge: F.when(edge == "", 0).when(edge.rlike(r"^[\x20\x09-\x0D]$"), 0).when(edge.rlike("^[A-Za-z0-9]$"), 2).otherwise(1)
+    left, right = side(F.right(F.col("before.tail"), F.lit(1))), side(F.left(F.col("after.head"), F.lit(1)))
+    base, free = checked(F.col("rank"), F.col("hit")), (left != 2) & (right != 2)
+    looser = free & (own_check(F.col("rank"), F.col("hit")) | named(F.col("rank"), F.col("before.tail")))
     return placed.select(
         "key",
         "rank",
         "start",
         "end",
-        checked(F.col("rank"), F.col("hit")).alias("base"),
+        base.alias("base"),
+        F.when(F.col("rank") < len(BASE), base).otherwise(looser).alias("positive"),
+        ((F.col("rank") >= len(BASE)) & free & proved(F.col("rank"), F.col("hit"))).alias("proved"),
         step(n, 1, 7, 10, 12, 16, 20).alias("digits"),
         step(letters, 1, 6).alias("letters"),
         has(" ").alias("space"),
@@ -159,8 +225,8 @@ def candidates(scanned: DataFrame) -> DataFrame:
         has("(", ")").alias("round"),
         passes_luhn(digits_of(F.col("hit"))).cast("int").alias("luhn"),
         ((F.size(F.split("hit", r"\.")) == 4) & octets_fit(F.col("hit"))).cast("int").alias("octets"),
-        side(F.right(F.col("before.tail"), F.lit(1))).alias("left"),
-        side(F.left(F.col("after.head"), F.lit(1))).alias("right"),
+        left.alias("left"),
+        right.alias("right"),
         F.col("before.tail").rlike(_TRIGGERS).cast("int").alias("trigger"),
         F.greatest(F.col("rank") - len(BASE) + 1, F.lit(0)).alias("generator"),
     )
@@ -263,9 +329,11 @@ def report(docs: DataFrame) -> DataFrame:
     empty_text = F.coalesce(F.col("text"), F.lit(""))
     scanned = common.settle(docs.select("doc_id", key, found(empty_text).alias("found")), "candidates")
     rows = common.settle(with_overlap(candidates(scanned)), "features")
-    fold = (F.crc32(F.col("key").cast("string")) % 5 == 0).alias("calibration")
-    counts = rows.groupBy(fold, "rank", *FEATURES).agg(
-        F.sum(F.col("overlaps").cast("long")).alias("p"), F.sum((~F.col("overlaps")).cast("long")).alias("n")
+    fold = F.crc32(F.col("key").cast("string")) % 5 == 0
+    # thresholds are for what may be added: the calibration rows leave out what overlaps a base span
+    used = rows.withColumn("calibration", fold).filter(~F.col("calibration") | ~F.col("overlaps"))
+    counts = used.groupBy("calibration", "rank", *FEATURES).agg(
+        F.sum(F.col("positive").cast("long")).alias("p"), F.sum((~F.col("positive")).cast("long")).alias("n")
     )
     table = [(r["calibration"], tuple(r[f] for f in FEATURES), r["rank"], r["p"], r["n"]) for r in counts.collect()]
     seen: dict[tuple[int, ...], list[int]] = {}
@@ -274,7 +342,7 @@ def report(docs: DataFrame) -> DataFrame:
             both = seen.setdefault(x, [0, 0])
             both[0] += p
             both[1] += n
-    extra = F.lit(False)
+    extra = F.col("proved")
     score = F.lit(0.0)
     if any(p for p, _ in seen.values()) and any(n for _, n in seen.values()):
         model = boost([(x, p, n) for x, (p, n) in sorted(seen.items())])

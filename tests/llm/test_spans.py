@@ -113,6 +113,28 @@ def test_trees_learn_context_and_reach_further_formats(spark):
     assert all(r["n_added"] == 0 for r in got if r["doc_id"] % 3 == 1)
 
 
+def test_local_numbers_are_added_however_many_there_are(spark):
+    """Ten local numbers to a checked phone, some named and some by number plan; numbers inside codes are left; account numbers by mod 97."""
+    rng = random.Random(6)
+    rows = []
+    for k in range(900):
+        three, four = lambda: rng.randrange(200, 999), rng.randrange(1000, 9999)
+        t = f"please call {three()} {three()} {four} today" if k % 2 else f"office in town {three()} {three()} {four} today"
+        rows.append((k, t, "en", "s", 1))
+    rows += [(1000 + k, f"please call +1 212 555 {rng.randrange(1000, 9999)} today", "en", "s", 1) for k in range(90)]
+    rows += [(2000 + k, f"row x{rng.randrange(200, 999)} 555 {rng.randrange(1000, 9999)}x rest", "en", "s", 1) for k in range(300)]
+    banks = ["DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "FR1420041010050500013M02606"]
+    rows += [(3000 + k, f"pay to {x} now", "en", "s", 1) for k, x in enumerate(banks)]
+    rows += [(3100 + k, f"pay to {x[:-1]}7 now", "en", "s", 1) for k, x in enumerate(banks)]
+    rows += [(3200, "joe (at) example (dot) com", "en", "s", 1), (3201, "seen at and. Of", "en", "s", 1)]
+    got = {r["doc_id"]: r for r in pii.report(frame(spark, rows)).collect()}
+    for k in range(900):
+        assert got[k]["n_added"] == 1 and got[k]["spans"].startswith("local:")
+    assert all(got[k]["n_added"] == 0 for k in got if 1000 <= k < 3000 or 3100 <= k < 3200 or k == 3201)
+    assert [got[3000 + k]["spans"] for k in range(3)] == [f"bank:7:{7 + len(x)}" for x in banks]
+    assert got[3200]["spans"] == "spoken:0:26"
+
+
 def test_boosting_separates_a_small_table():
     table = [((d, 0, 0, 0, 0, 0, 0, 0, s, 0, t, g), 40 * (t and d > 2), 40 - 40 * (t and d > 2)) for d in range(5) for s in (0, 1) for t in (0, 1) for g in (0, 1)]
     start, trees = pii.boost(table)
