@@ -11,5 +11,6 @@ from barline.llm import (  # noqa: F401
     quotations,
     secrets,
     sharding,
+    token_alignment,
 )
 from barline.llm.common import CHECKS, PLANS  # noqa: F401
