@@ -5,6 +5,7 @@ from barline.llm import (  # noqa: F401
     jaccard_join,
     language,
     mixing,
+    neighbour_graph,
     pii,
     quality_classifier,
     quality_rules,
