@@ -1,6 +1,7 @@
 """All registered queries of this folder."""
 
 from barline.llm import (  # noqa: F401
+    conversation_trie,
     decontamination,
     jaccard_join,
     language,
