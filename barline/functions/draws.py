@@ -1,9 +1,9 @@
 """Reproducible draws: a uniform number as a function of (row, replicate, seed).
 
 Integer arithmetic below 2^63, so the value is the same on every engine, in
-every partitioning and on every retry.  All 63 bits of the row id take part:
-its two halves enter at different steps, so ids that agree in one half still
-draw different sequences.
+every partitioning and on every retry.  All 64 bits of the row id take part: its
+three parts (21, 21 and 22 bits, each below the modulus, so none is folded) enter
+at different steps, and ids that differ in any part draw different sequences.
 """
 
 from __future__ import annotations
@@ -14,18 +14,23 @@ from pyspark.sql import functions as F
 
 # A Mersenne prime and multipliers of classic generators.
 P = 2_147_483_647
-A, B, C, D, E = 48_271, 69_621, 16_807, 12_345, 40_692
+A, B, C, D, E, G = 48_271, 69_621, 16_807, 12_345, 40_692, 40_014
+#: Bits of the two lower parts of a row id.
+BITS = 21
+_PART = (1 << BITS) - 1
 
 
 def mix(row: Column, rep: Column | int, seed: int) -> Column:
     rep_ = rep if isinstance(rep, Column) else F.lit(rep)
     rep_ = rep_.cast("bigint")
-    low = F.pmod(row.cast("bigint"), F.lit(P).cast("bigint"))
-    high = F.shiftrightunsigned(row.cast("bigint"), 31)
+    row = row.cast("bigint")
+    part = F.lit(_PART).cast("bigint")
+    low = row.bitwiseAND(part)
+    middle = F.shiftrightunsigned(row, BITS).bitwiseAND(part)
+    high = F.shiftrightunsigned(row, 2 * BITS)
     x1 = (low * A + rep_ * B + seed) % P
-    x2 = (x1 * x1 + high * E + rep_ * C + D) % P
-    x3 = (x2 * x2 + low + high) % P
-    return x3
+    x2 = (x1 * x1 + middle * E + rep_ * C + D) % P
+    return (x2 * x2 + high * G + low + middle) % P
 
 
 def uniform(row: Column, rep: Column | int, seed: int) -> Column:
@@ -35,18 +40,21 @@ def uniform(row: Column, rep: Column | int, seed: int) -> Column:
 
 def uniforms(rows: np.ndarray, reps: int, seed: int) -> np.ndarray:
     """The same draws for a batch of row ids and all replicates: one line per row."""
-    low, high = (rows % P)[:, None], (rows.view(np.uint64) >> np.uint64(31)).astype(np.int64)[:, None]
+    bits = rows.view(np.uint64)[:, None]
+    low, middle = (((bits >> np.uint64(k)) & np.uint64(_PART)).astype(np.int64) for k in (0, BITS))
+    high = (bits >> np.uint64(2 * BITS)).astype(np.int64)
     rep = np.arange(reps, dtype=np.int64)[None, :]
     x1 = (low * A + rep * B + seed) % P
-    x2 = (x1 * x1 + high * E + rep * C + D) % P
-    return ((x2 * x2 + low + high) % P) / float(P)
+    x2 = (x1 * x1 + middle * E + rep * C + D) % P
+    return ((x2 * x2 + high * G + low + middle) % P) / float(P)
 
 
 def mix_sql(row: str, rep: str, seed: int) -> str:
-    low, high, rep = f"(({row})::BIGINT % {P})", f"(({row})::BIGINT >> 31)", f"({rep})::BIGINT"
+    row, rep = f"({row})::BIGINT", f"({rep})::BIGINT"
+    low, middle, high = f"({row} & {_PART})", f"(({row} >> {BITS}) & {_PART})", f"(({row} >> {2 * BITS}) & {2 * _PART + 1})"
     x1 = f"(({low} * {A} + {rep} * {B} + {seed}) % {P})"
-    x2 = f"(({x1} * {x1} + {high} * {E} + {rep} * {C} + {D}) % {P})"
-    return f"(({x2} * {x2} + {low} + {high}) % {P})"
+    x2 = f"(({x1} * {x1} + {middle} * {E} + {rep} * {C} + {D}) % {P})"
+    return f"(({x2} * {x2} + {high} * {G} + {low} + {middle}) % {P})"
 
 
 def uniform_sql(row: str, rep: str, seed: int) -> str:
@@ -55,7 +63,7 @@ def uniform_sql(row: str, rep: str, seed: int) -> str:
 
 def mix_value(row: int, rep: int, seed: int) -> int:
     """The same draw for a small configuration list."""
-    low, high = row % P, row >> 31
+    low, middle, high = row & _PART, (row >> BITS) & _PART, (row >> 2 * BITS) & (2 * _PART + 1)
     x1 = (low * A + rep * B + seed) % P
-    x2 = (x1 * x1 + high * E + rep * C + D) % P
-    return (x2 * x2 + low + high) % P
+    x2 = (x1 * x1 + middle * E + rep * C + D) % P
+    return (x2 * x2 + high * G + low + middle) % P

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barline.functions.stats import beta_quantile
-from barline.operators.resampling import poisson_counts, replicate_sums
+from barline.operators.resampling import pool_counts, pools, replicate_sums
 
 
 def kelly_lower_bounds(trades: DataFrame, keys: Sequence[str], row: Column, n: int, seed: int, level: float = 0.05) -> DataFrame:
@@ -41,8 +41,9 @@ def kelly_lower_bounds(trades: DataFrame, keys: Sequence[str], row: Column, n: i
     shift = left_out - F.log(F.col("gp") / F.col("gl"))
     jack = joined.groupBy(*keys).agg(*[F.sum(F.pow(shift, F.lit(float(e)))).alias(f"j{e}") for e in (1, 2, 3)])
 
-    sides = {"a": F.when(p > 0, p), "b": F.when(p < 0, -p)}
-    reps = replicate_sums(joined.select(*keys, "_row", "pnl"), keys, F.col("_row"), sides, poisson_counts, n, seed)
+    pool = pools(joined, keys, p, F.col("_row"))
+    sides = {"a": F.greatest("_x", F.lit(0.0)), "b": F.greatest(-F.col("_x"), F.lit(0.0))}
+    reps = replicate_sums(pool, keys, F.col("_row"), sides, pool_counts("poisson"), n, seed, F.col("_n"))
     logs = reps.groupBy(*keys).agg(F.collect_list(F.when((F.col("a") > 0) & (F.col("b") > 0), F.log(F.col("a") / F.col("b")))).alias("logs"))
 
     @F.pandas_udf("p_lower double, b_lower double")

@@ -73,14 +73,16 @@ def portfolio_metrics(portfolio: DataFrame, ppy: float) -> DataFrame:
 
 
 def mean_pairwise_correlation(returns: DataFrame) -> DataFrame:
-    """Mean Pearson correlation over slot pairs.
+    """Mean Pearson correlation over slot pairs; null over 0 pairs where there are fewer than two series.
 
-    One wide row per timestamp, one aggregate per pair: no self join.  The
-    names of the slots (as many as a portfolio has series) come from the data.
+    The series that have a return at a time are one row (as many as the portfolio
+    has slots), which unfolds to its pairs; the moments of the pairs are partial
+    sums, so there is no self join and no name leaves the executors.
     """
-    slots = sorted(r["slot"] for r in returns.select("slot").distinct().collect())
-    wide = returns.groupBy("ts").pivot("slot", slots).agg(F.first("r"))
-    pairs = [(a, b) for i, a in enumerate(slots) for b in slots[i + 1 :]]
-    cors = wide.agg(*[correlation(a, b).alias(f"{a}|{b}") for a, b in pairs])
-    long = cors.select(F.explode(F.array(*[F.col(f"`{a}|{b}`") for a, b in pairs])).alias("c"))
-    return long.agg(F.avg("c").alias("mean_correlation"), F.count("c").alias("pairs"))
+    at_once = returns.groupBy("ts").agg(F.sort_array(F.collect_list(F.struct("slot", "r"))).alias("s"))
+    pair = lambda x, i: F.transform(
+        F.slice("s", i + 2, F.size("s")), lambda y: F.struct(x["slot"].alias("a"), y["slot"].alias("b"), x["r"].alias("x"), y["r"].alias("y"))
+    )
+    pairs = at_once.select(F.explode(F.flatten(F.transform("s", pair))).alias("p")).select("p.*")
+    each = pairs.filter("a <> b").groupBy("a", "b").agg(correlation("x", "y").alias("c"))
+    return each.agg(F.avg("c").alias("mean_correlation"), F.count("c").alias("pairs"))

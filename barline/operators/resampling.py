@@ -1,14 +1,17 @@
 """Bootstrap, permutation and sign-flip tests.
 
 Draws are functions of (row, replicate, seed), so every replicate is the same on
-any cluster.  Row resamples never multiply rows: a task draws all replicates of
-a batch at once and keeps one array of sums per key, and the arrays of the tasks
-are added.  Block sums come from prefix sums, so a block bootstrap reads about
+any cluster.  Rows of a key that share a value are one pool: resampling draws how
+often the pool is taken, Poisson(count) times, or how many of its signs stay,
+Binomial(count, 1/2), so the work follows the number of different values.  A task
+draws all replicates of a batch at once and keeps one array of sums per key, and
+the arrays of the tasks are added.  Block sums come from prefix sums, so a block bootstrap reads about
 sqrt(n) rows per replicate instead of n.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Callable, Iterator, Sequence
 
@@ -36,20 +39,61 @@ def poisson_counts(u: np.ndarray) -> np.ndarray:
     return np.searchsorted(POISSON_CDF, u, side="right").astype(np.float64)
 
 
-def sign_flips(u: np.ndarray) -> np.ndarray:
-    return np.where(u < 0.5, -1.0, 1.0)
+@functools.lru_cache(maxsize=4096)
+def count_table(kind: str, size: int) -> tuple[int, np.ndarray]:
+    """First count and cumulative probabilities (nine places) of Poisson(size) or Binomial(size, 1/2).
+
+    Counts further than eight standard deviations and twenty from the mean are left out.
+    """
+    mean, spread = (size, math.sqrt(size)) if kind == "poisson" else (size / 2, math.sqrt(size) / 2)
+    lo, hi = max(0, math.floor(mean - 8 * spread - 20)), math.ceil(mean + 8 * spread + 20)
+    if kind == "poisson":
+        logs = [k * math.log(size) - size - math.lgamma(k + 1) for k in range(lo, hi + 1)]
+    else:
+        hi = min(size, hi)
+        whole = math.lgamma(size + 1) - size * math.log(2)
+        logs = [whole - math.lgamma(k + 1) - math.lgamma(size - k + 1) for k in range(lo, hi + 1)]
+    return lo, np.round(np.cumsum(np.exp(logs)), 9)
+
+
+def pool_counts(kind: str) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """Counts of pools from uniform draws: a line per pool, a column per replicate."""
+
+    def counts(u: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        out = np.empty(u.shape)
+        for size in np.unique(sizes):
+            lo, table = count_table(kind, int(size))
+            rows = sizes == size
+            out[rows] = lo + np.searchsorted(table, u[rows], side="right")
+        return out
+
+    return counts
+
+
+def kept_signs(u: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sum of the signs of each pool."""
+    return 2 * pool_counts("binomial")(u, sizes) - sizes[:, None]
+
+
+def pools(df: DataFrame, keys: Sequence[str], value: Column, row: Column) -> DataFrame:
+    """``keys, _x, _n, _row``: one row for each different value of a key; ``_row`` is its smallest row id."""
+    base = df.select(*keys, value.cast("double").alias("_x"), row.cast("bigint").alias("_row")).filter("_x IS NOT NULL")
+    return base.groupBy(*keys, "_x").agg(F.count(F.lit(1)).alias("_n"), F.min("_row").alias("_row"))
 
 
 def replicate_sums(
-    df: DataFrame, keys: Sequence[str], row: Column, values: dict[str, Column], weigh: Callable, n: int, seed: int
+    df: DataFrame, keys: Sequence[str], row: Column, values: dict[str, Column], weigh: Callable, n: int, seed: int, sizes: Column | None = None
 ) -> DataFrame:
     """``keys, rep`` and for each value its sum weighted by the replicate's draws; null values weigh nothing.
 
+    ``weigh`` gets the uniform draws, and the ``sizes`` of the pools where rows are pools.
+
     Each task holds (keys in its batch) x n x values sums; what leaves it is one
     row per key and task.
     """
     keys, names = list(keys), list(values)
-    base = df.select(*keys, row.cast("bigint").alias("_row"), *[F.coalesce(c.cast("double"), F.lit(0.0)).alias(v) for v, c in values.items()])
+    pooled = sizes is not None
+    base = df.select(*keys, row.cast("bigint").alias("_row"), (sizes if pooled else F.lit(1)).cast("bigint").alias("_size"), *[F.coalesce(c.cast("double"), F.lit(0.0)).alias(v) for v, c in values.items()])
     kinds = [base.schema[k] for k in keys]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -59,7 +103,8 @@ def replicate_sums(
             types = [batch.schema.field(k).type for k in keys]
             for at in range(0, batch.num_rows, 2048):
                 part = pa.Table.from_batches([batch.slice(at, 2048)])
-                weights = weigh(uniforms(part.column("_row").to_numpy(), n, seed))
+                draws = uniforms(part.column("_row").to_numpy(), n, seed)
+                weights = weigh(draws, part.column("_size").to_numpy()) if pooled else weigh(draws)
                 owner = list(zip(*[part.column(k).to_pylist() for k in keys])) if keys else [()] * part.num_rows
                 index: dict[tuple, list[int]] = {}
                 for i, key in enumerate(owner):
@@ -82,18 +127,19 @@ def bootstrap_pvalues(df: DataFrame, keys: Sequence[str], row: Column, value: Co
     """Share of resampled centred means at least as far from 0 as the mean.
 
     Row counts of a resample are Poisson(1), the distributed form of drawing n
-    rows with replacement.  Below four rows, or at a zero mean, p is 1.
+    rows with replacement.  Means are compared through their sums and sizes
+    multiplied out, which is exact for whole numbers: a resample whose sum is 0 is
+    a tie, and ties count.  Below four rows, or at a zero mean, p is 1.
     """
-    base = df.select(*keys, row.alias("_row"), value.alias("_x")).filter("_x IS NOT NULL")
-    stats = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("_x").alias("mean"))
-    centred = base.join(stats, list(keys)).withColumn("_c", F.col("_x") - F.col("mean"))
-    sums = replicate_sums(centred, keys, F.col("_row"), {"_c": F.col("_c"), "_w": F.lit(1.0)}, poisson_counts, n, seed)
-    means = sums.select(*keys, "rep", F.try_divide("_c", "_w").alias("_m"))
-    tail = means.join(stats, list(keys)).groupBy(*keys).agg(
-        F.avg((F.abs("_m") >= F.abs("mean")).cast("int")).alias("p_raw")
-    )
-    out = stats.join(tail, list(keys))
-    return out.withColumn("p_raw", F.when((F.col("n") < 4) | (F.abs("mean") <= 1e-12), 1.0).otherwise(F.col("p_raw")))
+    keys = list(keys)
+    pool = pools(df, keys, value, row)
+    stats = pool.groupBy(*keys).agg(F.sum("_n").alias("n"), F.sum(F.col("_x") * F.col("_n")).alias("_total"))
+    sums = replicate_sums(pool, keys, F.col("_row"), {"_s": F.col("_x"), "_w": F.lit(1.0)}, pool_counts("poisson"), n, seed, F.col("_n"))
+    far = F.abs(F.col("n") * F.col("_s") - F.col("_total") * F.col("_w")) >= F.abs("_total") * F.col("_w")
+    tail = sums.join(stats, keys).groupBy(*keys).agg(F.avg(F.when(F.col("_w") > 0, far.cast("int"))).alias("p_raw"))
+    out = stats.join(tail, keys).withColumn("mean", F.col("_total") / F.col("n"))
+    p_raw = F.when((F.col("n") < 4) | (F.abs("mean") <= 1e-12), 1.0).otherwise(F.col("p_raw"))
+    return out.select(*keys, "n", "mean", p_raw.alias("p_raw"))
 
 
 def block_bootstrap_means(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, n: int, seed: int) -> DataFrame:
@@ -149,12 +195,13 @@ def interval(means: DataFrame, keys: Sequence[str], n: int, level: float = 0.95)
 
 
 def sign_flip_pvalues(df: DataFrame, keys: Sequence[str], row: Column, value: Column, n: int, seed: int) -> DataFrame:
-    """p = (k + 1) / (n + 1), k = flips whose mean reaches the observed one."""
-    base = df.select(*keys, row.alias("_row"), value.alias("_x"))
-    observed = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum("_x").alias("observed_sum"))
-    sums = replicate_sums(base, keys, F.col("_row"), {"_s": F.col("_x")}, sign_flips, n, seed)
-    k = sums.join(observed, list(keys)).groupBy(*keys).agg(F.count_if(F.col("_s") >= F.col("observed_sum")).alias("extreme"))
-    return observed.join(k, list(keys)).withColumn("p_raw", (F.col("extreme") + 1) / F.lit(n + 1))
+    """p = (k + 1) / (n + 1), k = flips whose mean reaches the observed one; null values are no rows."""
+    keys = list(keys)
+    pool = pools(df, keys, value, row)
+    observed = pool.groupBy(*keys).agg(F.sum("_n").alias("n"), F.sum(F.col("_x") * F.col("_n")).alias("observed_sum"))
+    sums = replicate_sums(pool, keys, F.col("_row"), {"_s": F.col("_x")}, kept_signs, n, seed, F.col("_n"))
+    k = sums.join(observed, keys).groupBy(*keys).agg(F.count_if(F.col("_s") >= F.col("observed_sum")).alias("extreme"))
+    return observed.join(k, keys).withColumn("p_raw", (F.col("extreme") + 1) / F.lit(n + 1))
 
 
 def shuffled(df: DataFrame, groups: Sequence[str], row: Column, label: str, n: int, seed: int) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from barline.functions.draws import mix
 from barline.operators.quantiles import value_ranks
 
-#: Tasks of the merges of fronts, from the widest to the last.
+#: Parts of the merges of fronts, from the widest to the last.
 MERGE_PARTS = (64, 8, 1)
 
 
@@ -30,26 +30,28 @@ def _front_of(points: np.ndarray) -> np.ndarray:
 def pareto_front(df: DataFrame, objectives: Sequence[str]) -> DataFrame:
     """Rows no other row dominates; every objective is maximised.
 
-    Distinct objective vectors are thinned to the front of each partition, and
-    fronts are merged in a tree: vectors of a like sum lie together, so most of
-    what is dominated goes in the first step.  Each merge holds fronts only; the
-    last one holds the answer.
+    Every task of the scan thins its rows to their front, so only fronts travel.
+    They are merged in a tree, with a shuffle before each level: first by ranges of
+    the sum of the objectives, where vectors that dominate each other lie apart by
+    little, then by their hash into fewer parts.  A merge holds fronts only; the
+    last one holds the answer, which is joined back to the rows.
     """
     objs = list(objectives)
     total = sum((F.col(o) for o in objs), F.lit(0.0))
-    vectors = df.select(*[F.col(o).cast("double").alias(o) for o in objs]).na.drop().distinct()
+    vectors = df.select(*[F.col(o).cast("double").alias(o) for o in objs]).na.drop()
 
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept = np.empty((0, len(objs)))
         for b in batches:
-            kept = _front_of(np.vstack([kept, b.to_numpy(dtype=float)]))
+            kept = _front_of(np.unique(np.vstack([kept, b.to_numpy(dtype=float)]), axis=0))
         if len(kept):
             yield pd.DataFrame(kept, columns=objs)
 
     schema = ", ".join(f"{o} double" for o in objs)
-    front = vectors.repartitionByRange(total).mapInPandas(merge, schema)
-    for parts in MERGE_PARTS:
-        front = front.coalesce(parts).mapInPandas(merge, schema)
+    front = vectors.mapInPandas(merge, schema)
+    for level, parts in enumerate(MERGE_PARTS):
+        spread = front.repartition(parts, *objs) if level else front.repartitionByRange(parts, total)
+        front = spread.mapInPandas(merge, schema)
     keyed = front.select(*[F.col(o).alias(f"_f_{o}") for o in objs])
     on = [F.col(o).cast("double") == F.col(f"_f_{o}") for o in objs]
     return df.join(keyed, on, "left_semi")

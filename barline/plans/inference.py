@@ -121,22 +121,28 @@ def _(spark, sf):
     return p.withColumn("p_raw", F.when((F.col("n") < 4) | (F.abs("mean") <= 1e-12), 1.0).otherwise(F.col("p_raw")))
 
 
-_CDF = []
-_t, _p = 0.0, math.exp(-1.0)
-for _k in range(8):
-    _t += _p
-    _CDF.append(round(_t, 9))
-    _p /= _k + 1
-_POIS = " + ".join(f"(u >= {c}::DOUBLE)::INTEGER" for c in _CDF)
-
-
-@query("J04_iid_bootstrap_pvalue", sql(TRADES, "ob AS (SELECT cell_id, avg(pnl) AS m0, count(*) AS n FROM trades GROUP BY 1)", f"dr AS (SELECT cell_id, rep, pnl - m0 AS c, m0, n, {uniform_sql(ROW, 'rep', 5)} AS u FROM trades JOIN ob USING (cell_id), (SELECT unnest(range({REPS}))::INTEGER AS rep))",
- f"ms AS (SELECT cell_id, rep, any_value(m0) AS m0, any_value(n) AS n, sum(({_POIS}) * c) / sum({_POIS}) AS m FROM dr GROUP BY ALL)", body="SELECT cell_id, any_value(n) AS n, round(any_value(m0), 6) + 0.0 AS mean, CASE WHEN any_value(n) < 4 OR abs(any_value(m0)) <= 1e-12 THEN 1 ELSE round(avg((abs(m) >= abs(m0))::INTEGER), 6) END AS p_raw FROM ms GROUP BY 1"))
+def pool_sql(kind: str, reps: int, seed: int) -> str:
+    """Pools of equal values, the cumulative probabilities of their counts, and a count for each pool and replicate."""
+    mean, spread = ("c", "sqrt(c)") if kind == "poisson" else ("c / 2", "sqrt(c) / 2")
+    last = f"ceil({mean} + 8 * {spread} + 20)"
+    log = "k * ln(c) - c - lgamma(k + 1)" if kind == "poisson" else "lgamma(c + 1) - c * ln(2) - lgamma(k + 1) - lgamma(c - k + 1)"
+    last = last if kind == "poisson" else f"least(c, {last})"
+    return f"""pool AS (SELECT cell_id, pnl::DOUBLE AS x, count(*) AS c, min({ROW}) AS row FROM trades WHERE pnl IS NOT NULL GROUP BY ALL),
+cw AS (SELECT c, greatest(0, floor({mean} - 8 * {spread} - 20))::BIGINT AS lo, {last}::BIGINT AS hi FROM (SELECT DISTINCT c FROM pool)),
+ck AS (SELECT c, lo, unnest(range(lo, hi + 1)) AS k FROM cw),
+cc AS (SELECT c, lo, k, round(sum(exp({log})) OVER (PARTITION BY c ORDER BY k), 9) AS cum FROM ck),
+ct AS (SELECT c, any_value(lo) AS lo, list(cum ORDER BY k) AS cdf FROM cc GROUP BY c),
+du AS (SELECT pool.*, lo, cdf, rep, {uniform_sql("row", "rep", seed)} AS u FROM pool JOIN ct USING (c), (SELECT unnest(range({reps}))::INTEGER AS rep)),
+dr AS (SELECT cell_id, rep, x, c, lo + len(list_filter(cdf, lambda v: v <= u)) AS w FROM du)"""
+
+
+@query("J04_iid_bootstrap_pvalue", sql(TRADES, "ob AS (SELECT cell_id, sum(pnl)::DOUBLE AS t, count(pnl) AS n FROM trades GROUP BY 1)", pool_sql("poisson", REPS, 5),
+ "ms AS (SELECT cell_id, rep, sum(w * x) AS s, sum(w)::DOUBLE AS w FROM dr GROUP BY ALL)", body="SELECT cell_id, any_value(n)::BIGINT AS n, round(any_value(t / n), 6) + 0.0 AS mean, CASE WHEN any_value(n) < 4 OR abs(any_value(t / n)) <= 1e-12 THEN 1 ELSE round(avg((abs(n * s - t * w) >= abs(t) * w)::INTEGER) FILTER (w > 0), 6) END AS p_raw FROM ms JOIN ob USING (cell_id) GROUP BY 1"))
 def _(spark, sf):
     return resampling.bootstrap_pvalues(T.trades(spark, sf), ["cell_id"], F.expr(ROW), F.col("pnl"), REPS, 5)
 
 
-@query("J05_sign_flip", sql(TRADES, f"sf AS (SELECT cell_id, rep, sum(CASE WHEN {uniform_sql(ROW, 'rep', 9)} < 0.5 THEN -pnl ELSE pnl END) AS s FROM trades, (SELECT unnest(range({FLIPS}))::INTEGER AS rep) GROUP BY ALL)", "ob AS (SELECT cell_id, count(*) AS n, sum(pnl) AS observed_sum FROM trades GROUP BY 1)",
+@query("J05_sign_flip", sql(TRADES, pool_sql("binomial", FLIPS, 9), "sf AS (SELECT cell_id, rep, sum(x * (2 * w - c)) AS s FROM dr GROUP BY ALL)", "ob AS (SELECT cell_id, count(*) AS n, sum(pnl) AS observed_sum FROM trades GROUP BY 1)",
  body=f"SELECT cell_id, any_value(n) AS n, any_value(observed_sum) AS observed_sum, count(*) FILTER (s >= observed_sum) AS extreme, round((count(*) FILTER (s >= observed_sum) + 1) / {FLIPS + 1}.0::DOUBLE, 6) AS p_raw FROM sf JOIN ob USING (cell_id) GROUP BY 1"))
 def _(spark, sf):
     return resampling.sign_flip_pvalues(T.trades(spark, sf), ["cell_id"], F.expr(ROW), F.col("pnl"), FLIPS, 9)

@@ -161,14 +161,13 @@ def _(spark, sf):
     return o.groupBy("verdict").agg(F.count(F.lit(1)).alias("n"))
 
 
-_VOL = """vol AS (SELECT cell_id, 'VOL_' || CASE wo % 4 WHEN 0 THEN 'LOW' WHEN 1 THEN 'MID' WHEN 2 THEN 'HIGH' END AS bucket
-  FROM cells WHERE wo % 4 < 3)"""
+_VOL = """vol AS (SELECT cell_id, 'VOL_' || CASE wo % 4 WHEN 0 THEN 'LOW' WHEN 1 THEN 'MID' WHEN 2 THEN 'HIGH' ELSE 'NONE' END AS bucket
+  FROM cells)"""
 
 
 def vol_labels(spark, sf):
-    c = cells(spark, sf).filter("wo % 4 < 3")
-    name = F.when(F.col("wo") % 4 == 0, "LOW").when(F.col("wo") % 4 == 1, "MID").otherwise("HIGH")
-    return c.select("cell_id", F.concat(F.lit("VOL_"), name).alias("bucket"))
+    name = F.element_at(F.array(*[F.lit(f"VOL_{v}") for v in ("LOW", "MID", "HIGH", "NONE")]), F.col("wo") % 4 + 1)
+    return cells(spark, sf).select("cell_id", name.alias("bucket"))
 
 
 @query(
@@ -185,10 +184,11 @@ def _(spark, sf):
     "B14_bucket_filter",
     sql(SLOTS, _CELLS, _VOL, body="""SELECT mode, cell_id, regexp_replace(coalesce(bucket, 'VOL_NA'), '^VOL_', '') AS bucket,
   mode = 'neutral' OR coalesce(bucket, 'VOL_NA') IN ('VOL_LOW', 'VOL_MID') AS pass_flag
-FROM cells LEFT JOIN vol USING (cell_id), (SELECT unnest(['active', 'neutral']) AS mode)"""),
+FROM cells LEFT JOIN (SELECT * FROM vol WHERE bucket <> 'VOL_NONE') USING (cell_id), (SELECT unnest(['active', 'neutral']) AS mode)"""),
 )
 def _(spark, sf):
-    both = [quality.bucket_filter(cells(spark, sf).select("cell_id"), vol_labels(spark, sf), ("LOW", "MID"), m) for m in ("active", "neutral")]
+    known = vol_labels(spark, sf).filter("bucket <> 'VOL_NONE'")  # the others have no label, which the filter must take
+    both = [quality.bucket_filter(cells(spark, sf).select("cell_id"), known, ("LOW", "MID"), m) for m in ("active", "neutral")]
     return both[0].unionByName(both[1])
 
 

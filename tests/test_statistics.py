@@ -175,3 +175,51 @@ def test_a_cluster_must_name_its_shared_folder():
     for master in ("yarn", "spark://host:7077", "k8s://host", "local-cluster[2,1,1024]"):
         with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
             session.shared_dir(_Session(master))
+
+
+def test_pooled_draws_are_sums_of_single_ones():
+    u = np.random.default_rng(4).random((1, 40_000))
+    for size in (1, 3, 50, 2000):
+        n = resampling.pool_counts("poisson")(u, np.array([size]))
+        assert abs(n.mean() - size) < 4 * math.sqrt(size / 40_000) and abs(n.var() / size - 1) < 0.05
+        s = resampling.kept_signs(u, np.array([size]))
+        assert abs(s.mean()) < 4 * math.sqrt(size / 40_000) and abs(s.var() / size - 1) < 0.05
+        assert ((s - size) % 2 == 0).all() and (abs(s) <= size).all()
+    single = resampling.poisson_counts(u)
+    assert (single == resampling.pool_counts("poisson")(u, np.array([1]))).mean() > 0.9999
+
+
+def test_bootstrap_counts_exact_ties(spark):
+    # Sparse, without spread, all wins: a resample whose sum is 0 lies exactly as far from the mean as 0 does.
+    rows = [("sparse", i, float(v)) for i, v in enumerate([3, -1, -1, 1, -1])] + [("flat", i, 2.0) for i in range(9)]
+    rows += [("zero", i, 0.0) for i in range(9)] + [("few", i, 1.0) for i in range(3)] + [("sparse", 99, None)]
+    df = spark.createDataFrame(rows, "k STRING, i BIGINT, x DOUBLE")
+    got = {r.k: (r.n, r.mean, r.p_raw) for r in resampling.bootstrap_pvalues(df.repartition(3), ["k"], F.col("i"), F.col("x"), 500, 4).collect()}
+    assert got["zero"] == (9, 0.0, 1.0) and got["few"] == (3, 1.0, 1.0) and got["flat"] == (9, 2.0, 0.0)
+    pool = {3.0: (1, 0), -1.0: (3, 1), 1.0: (1, 3)}
+    u = {x: draws.uniforms(np.array([row]), 500, 4)[0] for x, (_, row) in pool.items()}
+    w = {x: resampling.pool_counts("poisson")(u[x][None, :], np.array([n]))[0] for x, (n, _) in pool.items()}
+    s, size = sum(x * v for x, v in w.items()), sum(w.values())
+    far = [abs(5 * a - 1 * b) >= b for a, b in zip(s, size, strict=True) if b > 0]
+    assert ((s == 0) & (size > 0)).any() and got["sparse"] == (5, 0.2, sum(far) / len(far))
+
+
+def test_correlation_of_few_series(spark):
+    from barline.operators import portfolio
+
+    rows = [(t, s, float((t * k) % 7 - 3)) for t in range(30) for k, s in ((2, "a"), (3, "b"), (5, "c"))]
+    df = spark.createDataFrame(rows, "ts INT, slot STRING, r DOUBLE")
+    series = np.array([[(t * k) % 7 - 3 for t in range(30)] for k in (2, 3, 5)])
+    got = portfolio.mean_pairwise_correlation(df).first()
+    assert got.pairs == 3 and math.isclose(got.mean_correlation, np.corrcoef(series)[np.triu_indices(3, 1)].mean(), abs_tol=1e-12)
+    for few in (df.filter("slot = 'a'"), df.limit(0)):
+        assert tuple(portfolio.mean_pairwise_correlation(few).first()) == (None, 0)
+
+
+def test_front_is_thinned_in_the_tasks_of_the_scan(spark):
+    df = spark.range(4000).select(*[((F.col("id") * k) % 97).cast("double").alias(c) for k, c in ((7, "a"), (11, "b"), (13, "c"))]).repartition(9)
+    plan = selection.pareto_front(df, ["a", "b", "c"])._jdf.queryExecution().optimizedPlan().toString()
+    lines = [line.strip(" :+-") for line in plan.split("\n")]
+    merges = [k for k, line in enumerate(lines) if line.startswith("MapInPandas")]
+    assert len(merges) == 4 and all(lines[k + 1].startswith("Repartition") for k in merges[:-1])
+    assert lines[merges[-1] + 1].startswith("Repartition 9")  # the table's own parts
