@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,6 +55,31 @@ def release(*settled: DataFrame) -> None:
         at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+_SENT: list = []
+
+
+def sent(spark: SparkSession, value):
+    """A broadcast value that ``finished`` takes back."""
+    out = spark.sparkContext.broadcast(value)
+    _SENT.append(out)
+    return out
+
+
+def finished(spark: SparkSession, *keep: DataFrame) -> None:
+    """Give back what settled results no longer need: broadcasts, other settled tables, free memory.
+
+    For the end of a stage whose result is written; whatever was to be read from
+    the tables settled before, other than ``keep``, is gone.
+    """
+    while _SENT:
+        _SENT.pop().destroy()
+    kept = {id(df) for df in keep}
+    release(*[df for at, (df, _) in list(_PATHS.items()) if at not in kept])
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    spark.sparkContext._jvm.System.gc()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 

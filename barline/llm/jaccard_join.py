@@ -7,24 +7,27 @@ percent)).  Documents with equal sets are one class, and everything below runs
 on classes.
 
 1. A scan counts, over all documents, how often each hashed shingle occurs (a
-   table of ``LOADS`` counters, added up over tasks) and gives every document
-   its class.
-2. Inverted lists.  Every class puts its rarest ``n - ceil(n percent / 100) + 1``
-   shingles into the lists; two linked classes share at least one of them,
-   whatever the counters say.  Lists with one class are dropped.  Longer ones
-   are cut by size, as a link needs sizes within ``percent`` of each other: each
-   class joins the two groups of its size step, so linked classes meet in one.
+   table of ``LOADS`` counters, added up over tasks in a tree) and gives every
+   document its class.
+2. Inverted lists.  Every class puts its rarest ``n - ceil(n percent / 100) +
+   SHARED`` shingles into the lists; two linked classes share at least ``SHARED``
+   of them, whatever the counters say.  Lists with one class are dropped.  Longer
+   ones are cut by size, as a link needs sizes within ``percent`` of each other:
+   each class joins the two groups of its size step, and linked classes meet in
+   that of the larger step of the two.
 3. Search.  The members of a group are indexed in blocks of bounded size, and a
    query is answered against a block by DivideSkip: of the query's inverted
    lists in the block the L longest are set aside, the rest are merged by a heap
    that skips what cannot reach T - L occurrences, and candidates are probed in
    the long lists by binary search until they reach T or cannot.
-   First the smallest and the largest class of every group are the queries.
-   Groups whose classes are then connected need no more (a group of a thousand
-   near copies costs a thousand comparisons, not half a million); parity bits of
-   the sets rule out most pairs before any set travels.  What is left
-   open falls into regions of classes that share open groups; in each, every
-   class outside the largest connected part is a query against all blocks.
+   First the smallest and the largest class of every group meet the others, if
+   they share ``SHARED`` groups.  Groups whose classes are then connected need no
+   more (a group of a thousand near copies costs a thousand comparisons, not half
+   a million).  What is left open falls into regions of classes that share open
+   groups; in each, every class outside the largest connected part is a query
+   against all blocks, first over the listed shingles alone, where T is
+   ``SHARED``.  Candidates of both steps pass the parity bits of their sets before
+   any set travels, and are then searched in whole sets.
 4. Components over the links, the smallest doc_id of each, back to documents.
 
 No list is held in one task: blocks are cut by the number of shingles, and
@@ -50,6 +53,7 @@ from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,6 +63,10 @@ from barline.llm.graph import components
 #: Counters of shingle frequency; they only order lists, so links do not depend on their number.  More for a larger corpus.
 LOADS = 1 << 22
 _LOAD_BLOCKS = 256
+#: Counter tables that one task adds up at once.
+FAN_IN = 64
+#: Listed shingles that linked classes have in common at least.
+SHARED = 3
 #: Bits of the filter that tells a scan which classes are wanted.
 FILTER_BITS = 1 << 22
 #: Parity bits of a set.
@@ -81,8 +89,18 @@ class Rule:
         return -(-self.percent * (n + m) // (100 + self.percent))
 
     def rarest(self, n: np.ndarray) -> np.ndarray:
-        """How many of its shingles a set of n lists; sets too small for any unequal partner list none."""
-        return np.where(n * (100 - self.percent) >= self.percent, n + (-n * self.percent) // 100 + 1, 0)
+        """How many of its shingles a set of n lists; sets too small for any unequal partner list none.
+
+        Of the c = ceil(n percent / 100) shingles that a link needs at least, the
+        first ``shared`` in any order are among the first n - c + ``shared``.
+        """
+        return np.where(n * (100 - self.percent) >= self.percent, n + (-n * self.percent) // 100 + self.shared, 0)
+
+    @property
+    def shared(self) -> int:
+        """``SHARED``, or what the smallest set with an unequal partner needs if that is less."""
+        least = -(-self.percent // (100 - self.percent)) if self.percent < 100 else 1
+        return max(1, min(SHARED, -(-least * self.percent // 100)))
 
     def step(self, n: Column) -> Column:
         """Sizes of linked sets are in the same or in neighbouring steps."""
@@ -121,7 +139,7 @@ def sets(data: np.ndarray, offsets: np.ndarray, n_words: int) -> tuple[np.ndarra
 
 
 def scan(docs: DataFrame, rule: Rule) -> DataFrame:
-    """One row per document (doc_id, key, n, cls, parity), and each task's shingle counters as rows of (block, part)."""
+    """One row per document (doc_id, key, n, cls, parity), and each task's shingle counters as rows of (block, task, part)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         loads = np.zeros(LOADS, np.uint32)
@@ -134,22 +152,23 @@ def scan(docs: DataFrame, rule: Rule) -> DataFrame:
                 waiting.clear()
 
         for batch in batches:
-            size, cls, bits = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
+            size, cls, bits = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [pa.array([], pa.binary())]
             for _, _, data, offsets in tokens.pieces(batch.column(1)):
                 window, at, c = sets(data, offsets, rule.words)
                 size.append(np.diff(at))
                 cls.append(c)
-                bits += [parity(window[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
+                bits.append(parities(window, at))
                 waiting.append(window)
                 count(2_000_000)
             n, c = np.concatenate(size), np.concatenate(cls)
-            yield _scan_rows(batch.column(0), batch.column(2), pa.array(n), pa.array(c, mask=n == 0), pa.array(bits, pa.binary()), None, None)
+            yield _scan_rows(batch.column(0), batch.column(2), pa.array(n), pa.array(c, mask=n == 0), pa.concat_arrays(bits), None, None)
         count(0)
         parts = loads.reshape(_LOAD_BLOCKS, -1)
         some = np.flatnonzero(parts.any(axis=1))
         none = pa.nulls(len(some), pa.int64())
         packed = pa.array([zlib.compress(parts[k].tobytes(), 1) for k in some], pa.binary())
-        yield _scan_rows(none, none, none, none, None, pa.array(some.astype(np.int64)), packed)
+        task = pa.array(np.full(len(some), TaskContext.get().partitionId()))
+        yield _scan_rows(none, task, none, none, None, pa.array(some.astype(np.int64)), packed)
 
     key = F.xxhash64("doc_id", "text").alias("key")
     return docs.select(F.col("doc_id").cast("long"), "text", key).mapInArrow(
@@ -166,26 +185,31 @@ def _scan_rows(doc_id, key, n, cls, bits, block, part) -> pa.RecordBatch:
 
 
 def load_table(scanned: DataFrame) -> np.ndarray:
-    """The counters of all tasks, added by blocks; the result has a fixed size."""
+    """The counters of all tasks, added in a tree of ``FAN_IN``; the result has a fixed size."""
 
     def add(key, table):
         total = np.zeros(LOADS // _LOAD_BLOCKS, np.uint64)
         for part in table.column("part"):
             total += np.frombuffer(zlib.decompress(part.as_py()), np.uint32)
-        packed = zlib.compress(np.minimum(total, 0xFFFF).astype(np.uint16).tobytes(), 1)
-        return pa.table({"block": [key[0].as_py()], "part": pa.array([packed], pa.binary())})
-
-    rows = scanned.filter("block is not null").select("block", "part").groupBy("block")
-    got = rows.applyInArrow(add, "block long, part binary").toArrow()
+        packed = zlib.compress(np.minimum(total, 0xFFFFFFFF).astype(np.uint32).tobytes(), 1)
+        return pa.table({"block": [key[0].as_py()], "task": [key[1].as_py()], "part": pa.array([packed], pa.binary())})
+
+    rows = scanned.filter("block is not null").select("block", F.col("key").alias("task"), "part")
+    last = rows.agg(F.max("task")).first()[0] or 0
+    while last >= 0:
+        upper = F.floor(F.col("task") / FAN_IN).alias("task")
+        rows = rows.select("block", upper, "part").groupBy("block", "task").applyInArrow(add, "block long, task long, part binary")
+        last = last // FAN_IN or -1
+    got = rows.toArrow()
     out = np.zeros((_LOAD_BLOCKS, LOADS // _LOAD_BLOCKS), np.uint16)
     for k, part in zip(got.column("block").to_pylist(), got.column("part").to_pylist(), strict=True):
-        out[k] = np.frombuffer(zlib.decompress(part), np.uint16)
+        out[k] = np.minimum(np.frombuffer(zlib.decompress(part), np.uint32), 0xFFFF)
     return out.reshape(-1)
 
 
 def postings(docs: DataFrame, loads: np.ndarray, rule: Rule) -> DataFrame:
-    """token, n, cls: the rarest shingles of every set, as many as any linked set must share one of."""
-    sent = docs.sparkSession.sparkContext.broadcast(loads)
+    """token, n, cls: the rarest shingles of every set, as many as any linked set must share ``rule.shared`` of."""
+    sent = common.sent(docs.sparkSession, loads)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -214,7 +238,7 @@ def fetch(docs: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
     got = words.toArrow()
     bits = np.zeros(FILTER_BITS // 64, np.int64)
     bits[got.column("word").to_numpy()] = got.column("bits").to_numpy()
-    sent = docs.sparkSession.sparkContext.broadcast(bits.view(np.uint64))
+    sent = common.sent(docs.sparkSession, bits.view(np.uint64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -235,10 +259,13 @@ def fetch(docs: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
     return found.join(wanted.select("cls").distinct(), "cls", "left_semi").dropDuplicates(["cls"])
 
 
-def parity(shingles: np.ndarray) -> bytes:
-    """For each remainder of the hash, whether an odd number of shingles has it."""
-    odd = np.bincount((shingles % np.uint64(PARITY_BITS)).astype(np.int64), minlength=PARITY_BITS) & 1
-    return np.packbits(odd.astype(np.uint8)).tobytes()
+def parities(shingles: np.ndarray, at: np.ndarray) -> pa.Array:
+    """For each set and each remainder of the hash, whether an odd number of its shingles has it."""
+    out = np.zeros((len(at) - 1, PARITY_BITS // 8), np.uint8)
+    row = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    bit = (shingles % np.uint64(PARITY_BITS)).astype(np.int64)
+    np.bitwise_xor.at(out, (row, bit >> 3), np.left_shift(1, bit & 7).astype(np.uint8))
+    return pa.array(list(map(bytes, out)), pa.binary())
 
 
 def merge_skip(lists: list[list[int]], need: int) -> Iterator[tuple[int, int]]:
@@ -283,11 +310,11 @@ class Block:
             groups = np.split(owner, edge[1:]) if len(token) else []
             self.lists = {t: g.tolist() for t, g in zip(token[edge].tolist() if len(token) else [], groups, strict=True)}
 
-    def search(self, query: np.ndarray, rule: Rule) -> list[int]:
-        """Members that link with the query."""
+    def search(self, query: np.ndarray, rule: Rule | int) -> list[int]:
+        """Members that link with the query, or that hold as many of its shingles as ``rule`` says."""
         n = len(query)
         lists = [self.lists[t] for t in query.tolist() if t in self.lists]
-        least = -(-rule.percent * n // 100)
+        least = rule if isinstance(rule, int) else -(-rule.percent * n // 100)
         if not n or len(lists) < least:
             return []
         lists.sort(key=len, reverse=True)
@@ -295,7 +322,7 @@ class Block:
         long, short = lists[:n_long], lists[n_long:]
         out = []
         for member, count in merge_skip(short, least - n_long):
-            need = rule.overlap(n, self.sizes[member])
+            need = rule if isinstance(rule, int) else rule.overlap(n, self.sizes[member])
             left = n_long
             for ids in long:
                 if count >= need or count + left < need:
@@ -308,7 +335,7 @@ class Block:
         return out
 
 
-def search_blocks(rows: DataFrame, rule: Rule) -> DataFrame:
+def search_blocks(rows: DataFrame, rule: Rule | int) -> DataFrame:
     """Links (a, b) of every task's queries and members; rows are (task columns k1, k2, k3, is_query, cls, shingles)."""
 
     def run(_, table):
@@ -331,7 +358,7 @@ def search_blocks(rows: DataFrame, rule: Rule) -> DataFrame:
 
 
 def search_plan(
-    index: DataFrame, queries: DataFrame, shingle_sets: DataFrame, key: list[str], rule: Rule
+    index: DataFrame, queries: DataFrame, shingle_sets: DataFrame, key: list[str], rule: Rule | int
 ) -> DataFrame:
     """Search each key's queries against its members, both cut into blocks by their number of shingles.
 
@@ -365,7 +392,7 @@ def may_link(pairs: DataFrame, scanned: DataFrame, rule: Rule) -> DataFrame:
     remainder; each difference flips one bit, so sets differ by at least as many
     shingles as bits.  Whole sets then travel only for pairs that are likely links.
     """
-    pairs = common.settle(pairs.distinct(), "pairs")
+    pairs = common.settle(pairs, "pairs")
     wanted = pairs.select("cls").union(pairs.select("leader")).distinct()
     known = common.likely_in(scanned.filter("cls is not null").select("cls", "parity"), "cls", wanted)
     bits = common.settle(known.groupBy("cls").agg(F.first("parity").alias("parity")), "parity")
@@ -407,16 +434,12 @@ def link_classes(docs: DataFrame, scanned: DataFrame, rule: Rule) -> DataFrame:
     common.release(groups, ends)
 
     # The smallest and the largest class of every group against all others of the group.
-    ends_of = F.explode(F.array("lo", "hi"))
-    pairs = met.select("cls", "n", ends_of.alias("_end")).filter(F.col("cls") != F.col("_end")["cls"])
-    pairs = pairs.filter(rule.near(F.col("n"), F.col("_end")["n"]))
-    pairs = pairs.select(F.col("_end")["cls"].alias("leader"), F.col("_end")["n"].alias("_n"), "cls", "n")
-    index = common.settle(may_link(pairs, scanned, rule), "likely")
-    leaders = index.select("leader", F.col("leader").alias("cls"), F.col("_n").alias("n")).distinct()
-    shingle_sets = common.settle(fetch(docs, index.select("cls").union(index.select("leader")).distinct(), rule), "sets")
-    links = search_plan(index.select("leader", "cls", "n"), leaders, shingle_sets, ["leader"], rule)
-    links = common.settle(links, "links")
-    common.release(shingle_sets, index)
+    met = met.withColumn("end", F.explode(F.array("lo", "hi")))
+    apart = (F.col("cls") != F.col("end")["cls"]) & ~((F.col("cls") == F.col("lo")["cls"]) & (F.col("end") == F.col("hi")))
+    pairs = met.filter(apart & rule.near(F.col("n"), F.col("end")["n"]))
+    pairs = pairs.filter(F.col("step") == F.greatest(rule.step(F.col("n")), rule.step(F.col("end")["n"])))
+    links = common.settle(linked_pairs(docs, scanned, counted(pairs.select(F.col("end")["cls"].alias("leader"), F.col("end")["n"].alias("_n"), "cls", "n"), rule), rule), "links")
+    met = met.filter(F.col("end") == F.col("lo")).drop("end")
 
     # What is left open: groups of three or more whose classes are in several components.
     label = components(links)
@@ -430,14 +453,38 @@ def link_classes(docs: DataFrame, scanned: DataFrame, rule: Rule) -> DataFrame:
     state = common.settle(state.select("cls", "n", "label").distinct().join(region, "cls"), "regions")
     parts = state.groupBy("region", "label").agg(F.count("*").alias("c"))
     main = parts.groupBy("region").agg(F.max(F.struct("c", "label"))["label"].alias("main"))
-    state = common.settle(state.join(main, "region"), "regions")
-    shingle_sets = common.settle(fetch(docs, state.select("cls"), rule), "sets")
-    index = state.select("region", "cls", "n")
-    queries = state.filter("label <> main").select("region", "cls", "n")
-    rest = search_plan(index, queries, shingle_sets, ["region"], rule)
+    state = state.join(main, "region")
+    # All listed shingles of these classes that any other class lists, of a class as one row.
+    lists = common.likely_in(met.select("cls", "token"), "cls", state).join(state.select("cls"), "cls", "left_semi")
+    lists = common.settle(lists.groupBy("cls").agg(F.collect_set("token").alias("shingles")), "lists")
+    known = common.settle(state.join(lists.select("cls", F.size("shingles").alias("listed")), "cls"), "regions")
+    index = known.select("region", "cls", F.col("listed").alias("n"), (F.col("label") != F.col("main")).alias("asks"))
+    found = search_plan(index.drop("asks"), index.filter("asks").drop("asks"), lists, ["region"], rule.shared)
+    size = known.select("cls", "n", "label").distinct()
+    found = found.join(size.select(F.col("cls").alias("a"), F.col("n").alias("_n"), F.col("label").alias("_label")), "a")
+    found = found.join(size.withColumnRenamed("cls", "b"), "b").filter((F.col("label") != F.col("_label")) & rule.near(F.col("n"), F.col("_n")))
+    # Both ways round it is one pair; the side with the larger hash leads.
+    found = found.select(F.greatest("a", "b").alias("leader"), F.when(F.col("a") > F.col("b"), F.col("_n")).otherwise(F.col("n")).alias("_n"), F.least("a", "b").alias("cls"), F.when(F.col("a") > F.col("b"), F.col("n")).otherwise(F.col("_n")).alias("n"))
+    rest = linked_pairs(docs, scanned, found.distinct(), rule)
     return components(common.settle(links.unionByName(rest), "links"))
 
 
+def counted(pairs: DataFrame, rule: Rule) -> DataFrame:
+    """Pairs (leader, _n, cls, n) that stand there ``rule.shared`` times, whichever side leads."""
+    turned = F.col("leader") > F.col("cls")
+    both = F.struct("leader", "_n", "cls", "n")
+    times = pairs.groupBy(F.when(turned, F.col("cls")).otherwise(F.col("leader")).alias("x"), F.when(turned, F.col("leader")).otherwise(F.col("cls")).alias("y"))
+    return times.agg(F.min(both).alias("p"), F.count("*").alias("times")).filter(F.col("times") >= rule.shared).select("p.*")
+
+
+def linked_pairs(docs: DataFrame, scanned: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
+    """Those of the different pairs (leader, _n, cls, n) that link, as (a, b)."""
+    index = common.settle(may_link(pairs, scanned, rule), "likely")
+    leaders = index.select("leader", F.col("leader").alias("cls"), F.col("_n").alias("n")).distinct()
+    shingle_sets = common.settle(fetch(docs, index.select("cls").union(index.select("leader")).distinct(), rule), "sets")
+    return search_plan(index.select("leader", "cls", "n"), leaders, shingle_sets, ["leader"], rule)
+
+
 def resolved(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
     """(doc_id, key, n, cls of every document) and (cls, label, component_id, members of every class)."""
     scanned = common.settle(scan(docs, rule), "scan")
@@ -464,7 +511,8 @@ def joined(docs: DataFrame, rule: Rule) -> DataFrame:
 def keep_one(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """One document of each component, that of the smallest id, and every document without words; own columns."""
     own, classes = resolved(docs, rule)
-    first = own.join(classes, "cls").groupBy("label").agg(F.min(F.struct("doc_id", "key"))["key"].alias("_key"))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "key")
+    first = own.join(classes, "cls").groupBy("label").agg(F.min(order)["key"].alias("_key"))
     key = common.fresh("key")
     keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
     wordless = F.coalesce(~F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(True))
