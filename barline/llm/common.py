@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,12 +39,27 @@ def settle(df: DataFrame, name: str = "settled") -> DataFrame:
     the collector comes by, which adds up where many tasks write small files.
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    with _short_plans(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     _PATHS[id(out)] = (out, path)
+    for made in _RECORDS:
+        made.append(out)
     return out
 
 
+@contextlib.contextmanager
+def _short_plans(spark: SparkSession) -> Iterator[None]:
+    """The driver keeps a text of every plan it has run; those of intermediate tables are cut."""
+    name = "spark.sql.maxPlanStringLength"
+    was = spark.conf.get(name)
+    spark.conf.set(name, "10000")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was)
+
+
 _PATHS: dict[int, tuple[DataFrame, str]] = {}
 
 
@@ -55,26 +71,43 @@ def release(*settled: DataFrame) -> None:
         at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-_SENT: list = []
-
-
 def sent(spark: SparkSession, value):
-    """A broadcast value that ``finished`` takes back."""
+    """A broadcast value; its size is for the caller to bound."""
     out = spark.sparkContext.broadcast(value)
-    _SENT.append(out)
+    for made in _RECORDS:
+        made.append(out)
     return out
 
 
-def finished(spark: SparkSession, *keep: DataFrame) -> None:
-    """Give back what settled results no longer need: broadcasts, other settled tables, free memory.
+_RECORDS: list[list] = []
 
-    For the end of a stage whose result is written; whatever was to be read from
-    the tables settled before, other than ``keep``, is gone.
-    """
-    while _SENT:
-        _SENT.pop().destroy()
-    kept = {id(df) for df in keep}
-    release(*[df for at, (df, _) in list(_PATHS.items()) if at not in kept])
+
+@contextlib.contextmanager
+def recorded() -> Iterator[list]:
+    """The settled tables and broadcasts made inside, for ``free`` once nothing reads them any more."""
+    made: list = []
+    _RECORDS.append(made)
+    try:
+        yield made
+    finally:
+        _RECORDS.remove(made)
+
+
+def take_back(one) -> None:
+    """A broadcast that no later job needs."""
+    for made in _RECORDS:
+        made[:] = [x for x in made if x is not one]
+    one.destroy()
+
+
+def free(spark: SparkSession, made: list) -> None:
+    """Give back tables and broadcasts, and what memory of the driver they held."""
+    while made:
+        one = made.pop()
+        if not isinstance(one, DataFrame):
+            one.destroy()
+        elif id(one) in _PATHS:
+            release(one)
     gc.collect()
     pa.default_memory_pool().release_unused()
     spark.sparkContext._jvm.System.gc()

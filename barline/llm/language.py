@@ -225,7 +225,7 @@ def train(docs: DataFrame) -> Model:
 
 def predicted(docs: DataFrame, model: Model, lang: str = "lang_pred", score: str = "score") -> DataFrame:
     """All columns of the documents, the predicted language and a score in [0, 1]."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # (families + pairs) x BUCKETS floats
+    sent = common.sent(docs.sparkSession, model)  # (families + pairs) x BUCKETS floats
     at = docs.columns.index("text")
 
     def batches_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -13,8 +13,12 @@ it stands free of letters and digits and passes the check of its own format (a
 number plan, mod 97, Luhn, a known top level) or follows a word that names it.
 Others are negative.  Labels do not depend on overlap.  A threshold is
 calibrated on the candidates it can add, those outside base spans.  Features are
-small integers that leave out what the checks look at, so a candidate of like
-form in a like context scores like a checked one.  A free span whose own check
+small integers of format and context.  What a generator's label looks at is left
+out of its features: naming words, Luhn and the size of octets are no features at
+all, and numbers of digits, brackets and points are 0 for the generators whose
+checks read them (``HIDDEN``).  The trees see the edges, the mark before, the
+digits and the capital around, so a candidate of like form in a like context
+scores like a checked one.  A free span whose own check
 leaves almost nothing to chance (mod 97; marked at signs before a known top
 level) is added whatever its score.
 Features take few values; the training set is the table of distinct feature
@@ -24,7 +28,10 @@ and the trees return as one Column expression.
 
 Texts are read once.  What remains of a text is its candidates with the lengths
 and edges of the gaps between them; positions are running sums over the
-candidates of one document.
+candidates of one document, and overlaps are settled inside runs of spans that
+touch, so a text's cost grows with its candidates.  Rows join on a 64-bit hash of
+doc_id and text; among 3e10 documents a few dozen pairs are expected to share one
+and then get each other's spans.
 
 Defined cases: null and empty texts have no spans; rows with equal doc_id and
 text get equal results; with no candidates or candidates of one label only, base
@@ -70,7 +77,6 @@ GENERATORS: dict[str, tuple[str, str]] = {
     "hexaddress": (r"[0-9A-Fa-f]:[0-9A-Fa-f]", r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])"),
 }
 KINDS = tuple(GENERATORS)
-_TRIGGERS = r"(?i)(?:tel|phone|call|fax|mobil|e-?mail|contact|write|card|visa|acc(?:oun)?t|ssn|iban|\bip\b|addr|host|konto|tarjeta|carte)"
 # What the looser formats are checked by: number plans, top levels, words before them that name them.
 _PLANS = (r"^\(?[2-9][0-9]{2}\)?[\x20.-][2-9][0-9]{2}[\x20.-][0-9]{4}$", r"^\([0-9]{2,4}\)[\x20.-]", r"^0[1-9][0-9]{0,2}[\x20.-]")
 _TOP = r"(?i)(?:\.|\(dot\)\x20?|\[dot\]\x20?|\x20dot\x20)(?:com|org|net|edu|gov|mil|int|info|biz|name|io|dev|app|eu|uk|us|de|fr|es|it|nl|be|ch|at|pl|pt|se|dk|fi|no|ie|cz|ru|jp|cn|in|br|mx|ca|au|nz)$"
@@ -87,7 +93,9 @@ _CUES = {
 }
 _ALPHABET = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
-FEATURES = ("digits", "letters", "space", "dot", "dash", "round", "luhn", "octets", "left", "right", "trigger", "generator")
+FEATURES = ("digits", "letters", "space", "dot", "dash", "round", "left", "right", "mark", "around", "capital", "generator")
+#: Generators whose labels look at a feature, and do not get it.
+HIDDEN = {"digits": ("card", "phone", "local", "number"), "round": ("local",), "dot": ("email", "ip", "spoken"), "letters": ("bank",)}
 
 
 def found(text: Column) -> Column:
@@ -207,6 +215,8 @@ def candidates(scanned: DataFrame) -> DataFrame:
     has = lambda *marks: step(sum((F.col("hit").contains(m).cast("int") for m in marks), F.lit(0)), 1)
     side = lambda edge: F.when(edge == "", 0).when(edge.rlike(r"^[\x20\x09-\x0D]$"), 0).when(edge.rlike("^[A-Za-z0-9]$"), 2).otherwise(1)
     left, right = side(F.right(F.col("before.tail"), F.lit(1))), side(F.left(F.col("after.head"), F.lit(1)))
+    unless = lambda name, x: F.when(F.col("rank").isin(*[KINDS.index(k) for k in HIDDEN[name]]), 0).otherwise(x).alias(name)
+    tail, head = F.col("before.tail"), F.col("after.head")
     base, free = checked(F.col("rank"), F.col("hit")), (left != 2) & (right != 2)
     looser = free & (own_check(F.col("rank"), F.col("hit")) | named(F.col("rank"), F.col("before.tail")))
     return placed.select(
@@ -217,26 +227,27 @@ def candidates(scanned: DataFrame) -> DataFrame:
         base.alias("base"),
         F.when(F.col("rank") < len(BASE), base).otherwise(looser).alias("positive"),
         ((F.col("rank") >= len(BASE)) & free & proved(F.col("rank"), F.col("hit"))).alias("proved"),
-        step(n, 1, 7, 10, 12, 16, 20).alias("digits"),
-        step(letters, 1, 6).alias("letters"),
+        unless("digits", step(n, 1, 7, 10, 12, 16, 20)),
+        unless("letters", step(letters, 1, 6)),
         has(" ").alias("space"),
-        has(".").alias("dot"),
+        unless("dot", has(".")),
         has("-").alias("dash"),
-        has("(", ")").alias("round"),
-        passes_luhn(digits_of(F.col("hit"))).cast("int").alias("luhn"),
-        ((F.size(F.split("hit", r"\.")) == 4) & octets_fit(F.col("hit"))).cast("int").alias("octets"),
+        unless("round", has("(", ")")),
         left.alias("left"),
         right.alias("right"),
-        F.col("before.tail").rlike(_TRIGGERS).cast("int").alias("trigger"),
+        F.when(tail.rlike(r"[:=#]\x20?$"), 2).when(tail.rlike(r"[,;.(\[\x22]\x20?$"), 1).otherwise(0).alias("mark"),
+        step(F.length(F.regexp_replace(F.concat(tail, head), "[^0-9]", "")), 1, 8).alias("around"),
+        tail.rlike(r"\b[A-Z][A-Za-z]*[^A-Za-z]*$").cast("int").alias("capital"),
         F.greatest(F.col("rank") - len(BASE) + 1, F.lit(0)).alias("generator"),
     )
 
 
 def with_overlap(rows: DataFrame) -> DataFrame:
     """Whether each candidate overlaps a checked base span of its document."""
-    at = Window.partitionBy("key").orderBy("start")
-    before = F.max(F.when(F.col("base"), F.col("end"))).over(at.rangeBetween(Window.unboundedPreceding, 0))
-    after = F.min(F.when(F.col("base"), F.col("start"))).over(at.rangeBetween(0, Window.unboundedFollowing))
+    # Both frames end at the current row: a frame that begins there would be summed anew for every row.
+    by_start, by_end = Window.partitionBy("key").orderBy("start"), Window.partitionBy("key").orderBy(F.desc("start"))
+    before = F.max(F.when(F.col("base"), F.col("end"))).over(by_start.rangeBetween(Window.unboundedPreceding, 0))
+    after = F.min(F.when(F.col("base"), F.col("start"))).over(by_end.rangeBetween(Window.unboundedPreceding, 0))
     hit = (before > F.col("start")) | (after < F.col("end"))
     return rows.withColumn("overlaps", F.col("base") | F.coalesce(hit, F.lit(False)))
 
@@ -323,6 +334,27 @@ def thresholds(table: list[tuple[tuple[int, ...], int, int, int]], model) -> dic
     return out
 
 
+def best_of_overlaps(added: DataFrame, span: Column) -> DataFrame:
+    """key, x: the added spans that no better one overlaps (by score, then generator).
+
+    Spans are cut into runs that touch; matches of one generator do not overlap,
+    so runs are short, and only spans of one run are compared.
+    """
+    in_order = Window.partitionBy("key").orderBy("start", "end", "rank")
+    reach = F.max("end").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
+    begins = F.coalesce(F.col("start") >= reach, F.lit(True)).cast("int")
+    runs = added.withColumn("_begins", begins)
+    runs = runs.withColumn("_run", F.sum("_begins").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
+    s = runs.groupBy("key", "_run").agg(F.collect_list(span).alias("s"))
+    beaten = lambda x: F.exists(
+        "s",
+        lambda y: (y["start"] < x["end"])
+        & (x["start"] < y["end"])
+        & ((y["score"] > x["score"]) | ((y["score"] == x["score"]) & (y["rank"] < x["rank"]))),
+    )
+    return s.select("key", F.explode(F.filter("s", lambda x: ~beaten(x))).alias("x"))
+
+
 def report(docs: DataFrame) -> DataFrame:
     """One row per document: base counts, digest of base spans, all spans, number of added spans."""
     key = F.xxhash64("doc_id", "text").alias("key")
@@ -350,17 +382,9 @@ def report(docs: DataFrame) -> DataFrame:
         for rank, least in thresholds([(x, r, p, n) for c, x, r, p, n in table if c], model).items():
             extra = extra | ((F.col("rank") == rank) & (F.col("score") >= least))
     accepted = rows.withColumn("score", score).withColumn("added", ~F.col("overlaps") & extra).filter(F.col("base") | F.col("added"))
-    span = F.struct("rank", "start", "end", "added", "score")
-    by_doc = accepted.groupBy("key").agg(F.array_sort(F.collect_list(span)).alias("s"))
-    # of added spans that overlap, the best
-    beaten = lambda x: F.exists(
-        "s",
-        lambda y: y["added"]
-        & (y["start"] < x["end"])
-        & (x["start"] < y["end"])
-        & ((y["score"] > x["score"]) | ((y["score"] == x["score"]) & (y["rank"] < x["rank"]))),
-    )
-    chosen = by_doc.select("key", F.filter("s", lambda x: ~x["added"] | ~beaten(x)).alias("s"))
+    span = F.struct("rank", "start", "end", "added", "score").alias("x")
+    chosen = best_of_overlaps(accepted.filter("added"), span).unionByName(accepted.filter(~F.col("added")).select("key", span))
+    chosen = chosen.groupBy("key").agg(F.array_sort(F.collect_list("x")).alias("s"))
     names = F.array(*[F.lit(k) for k in KINDS])
     written = lambda s: F.array_join(
         F.transform(s, lambda x: F.concat_ws(":", F.get(names, x["rank"]), x["start"].cast("string"), x["end"].cast("string"))), ","

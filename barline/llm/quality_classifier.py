@@ -190,7 +190,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
 def scored(docs: DataFrame, model: Model, score: str = "score") -> DataFrame:
     """All columns of the documents, and the probability of label 1."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = common.sent(docs.sparkSession, model)
     at = docs.columns.index("text")
 
     def score_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

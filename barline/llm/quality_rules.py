@@ -135,7 +135,7 @@ def multinomials(docs: DataFrame, trusted: DataFrame) -> np.ndarray:
 
 def judged(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """All columns of the documents with the base counts, ``base_failed``, ``ratio`` and ``kept``."""
-    sent = docs.sparkSession.sparkContext.broadcast(multinomials(docs, trusted))  # BUCKETS floats
+    sent = common.sent(docs.sparkSession, multinomials(docs, trusted))  # BUCKETS floats
     at = docs.columns.index("text")
     names = [*COUNTS, "base_failed", "ratio", "kept"]
     clash = set(names) & set(docs.columns)

@@ -3,14 +3,17 @@
 Base candidates come from three fixed patterns, further ones from formats that
 providers publish.  A candidate's secret value is hashed and its occurrences
 over the whole corpus are counted by distinct owners (sources) and distinct
-repositories (documents).  A value that many owners carry is a widely copied
-example; one that stays with one or two owners looks live.  Base spans are
-always reported, further ones only if they look live.
+repositories (documents, each within its owner).  A value that more than
+``MOST_OWNERS`` owners or more than ``MOST_REPOSITORIES`` repositories carry is a
+widely copied example; another one stays with its owner and looks live.  Base
+spans are always reported, further ones only if they look live.
 
 Texts are read once; what leaves the tasks are spans and digests.  Counts are
 taken in two steps (distinct pairs, then sums), so a value copied into a third
-of all documents is summed inside the tasks; only values of many owners are
-joined back.
+of all documents is summed inside the tasks.  Joined back, such a value is one row
+against its carriers, a join whose hot side can be split.  Rows are told apart by
+a 64-bit hash of what they hold; among 3e10 documents with secrets a few dozen
+pairs are expected to share one.
 
 Defined cases: null and empty texts have no spans; a null owner or repository
 counts as one of its own; an overlap of spans of different kinds reports both;
@@ -32,7 +35,8 @@ from barline.llm import common, tokens
 
 #: A value with more owners than this is a widely copied example.
 MOST_OWNERS = 2
-
+#: Nor is one with more repositories than this, whoever owns them, a secret of anyone.
+MOST_REPOSITORIES = 50
 
 
 def either_case(words: str) -> str:
@@ -120,19 +124,27 @@ def ownership(spans: DataFrame) -> DataFrame:
     return by_owner.groupBy("digest").agg(F.count("*").alias("owners"), F.sum("n").alias("repositories"))
 
 
-def report(docs: DataFrame, repository: str = "doc_id", owner: str = "source", most: int = MOST_OWNERS) -> DataFrame:
-    """One row per document: counts of base kinds, digest of the base spans, all spans, live and example counts."""
+def report(
+    docs: DataFrame, repository: str = "doc_id", owner: str = "source", most: int = MOST_OWNERS, spread: int = MOST_REPOSITORIES
+) -> DataFrame:
+    """One row per document: counts of base kinds, digest of the base spans, all spans, live and example counts,
+    and the most owners and repositories that any of its values has."""
     found = common.settle(scan(docs, repository, owner), "secrets")
-    examples = common.settle(ownership(found).filter(F.col("owners") > most).select("digest"), "examples")
-    # Documents that carry an example: which of their values are examples.  The spans of one document are one row.
+    owned = common.settle(ownership(found), "owned")
+    example = (F.col("owners") > most) | (F.col("repositories") > spread)
+    # Of the values of each document: which are examples, and the widest spread.  The spans of one document are one row.
     keyed = found.withColumn("_row", F.xxhash64("doc_id", "owner", "repository", "spans"))
     carried = (
         keyed.filter(F.size("spans") > 0)
         .select("_row", F.explode("spans.digest").alias("digest"))
         .distinct()
-        .join(examples, "digest")
+        .join(owned, "digest")
         .groupBy("_row")
-        .agg(F.collect_set("digest").alias("_examples"))
+        .agg(
+            F.collect_set(F.when(example, F.col("digest"))).alias("_examples"),
+            F.max("owners").alias("_owners"),
+            F.max("repositories").alias("_repositories"),
+        )
     )
     all_spans = keyed.join(carried, "_row", "left").withColumn("_examples", F.coalesce("_examples", F.array().cast("array<string>")))
     base = F.filter("spans", lambda s: s["rank"] < len(BASE))
@@ -159,6 +171,8 @@ def report(docs: DataFrame, repository: str = "doc_id", owner: str = "source", m
         written(shown).alias("spans"),
         F.size(F.filter("spans", lambda s: ~is_example(s))).cast("long").alias("n_live"),
         F.size(F.filter("spans", is_example)).cast("long").alias("n_example"),
+        F.coalesce("_owners", F.lit(0)).cast("long").alias("most_owners"),
+        F.coalesce("_repositories", F.lit(0)).cast("long").alias("most_repositories"),
     )
 
 
@@ -168,7 +182,7 @@ def _sql() -> str:
     for rank, (_, pattern, group, least) in enumerate(BASE + FURTHER):
         quoted = "'" + pattern.replace("'", "''") + "'"
         found.append(
-            f"SELECT rid, source, {rank} AS rank, {least} AS least, regexp_extract_all(text, {quoted}) AS hits, "
+            f"SELECT rid, doc_id, source, {rank} AS rank, {least} AS least, regexp_extract_all(text, {quoted}) AS hits, "
             f"regexp_extract_all(text, {quoted}, {group}) AS secrets, regexp_split_to_array(text, {quoted}) AS gaps FROM docs"
         )
     kinds = "[" + ", ".join(f"'{k}'" for k in KINDS) + "]"
@@ -182,21 +196,25 @@ WITH docs AS (
 ), each AS (
   SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM found WHERE len(hits) > 0
 ), placed AS (
-  SELECT rid, source, rank, secrets[i] AS secret, CAST({at} AS BIGINT) AS start, length(hits[i]) AS size
+  SELECT rid, doc_id, source, rank, secrets[i] AS secret, CAST({at} AS BIGINT) AS start, length(hits[i]) AS size
   FROM each WHERE length(secrets[i]) >= least
 ), owners AS (
-  SELECT secret, count(DISTINCT coalesce(source, '')) > {MOST_OWNERS} AS example FROM placed GROUP BY secret
+  SELECT secret, count(DISTINCT coalesce(source, '')) AS owners, count(DISTINCT (coalesce(source, ''), coalesce(doc_id::VARCHAR, ''))) AS repositories,
+    owners > {MOST_OWNERS} OR repositories > {MOST_REPOSITORIES} AS example
+  FROM placed GROUP BY secret
 ), spans AS (
-  SELECT rid, rank, start, example, {kinds}[rank + 1] || ':' || start || ':' || (start + size) AS span
+  SELECT rid, rank, start, example, owners, repositories, {kinds}[rank + 1] || ':' || start || ':' || (start + size) AS span
   FROM placed JOIN owners USING (secret)
 ), by_doc AS (
   SELECT rid, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access, count(*) FILTER (rank = 2) AS n_hex,
     {written} FILTER (rank < {len(BASE)}) AS base, {written} FILTER (rank < {len(BASE)} OR NOT example) AS spans,
-    count(*) FILTER (NOT example) AS n_live, count(*) FILTER (example) AS n_example FROM spans GROUP BY rid
+    count(*) FILTER (NOT example) AS n_live, count(*) FILTER (example) AS n_example,
+    max(owners) AS most_owners, max(repositories) AS most_repositories FROM spans GROUP BY rid
 )
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
   sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
-  coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example
+  coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example,
+  coalesce(most_owners, 0)::BIGINT AS most_owners, coalesce(most_repositories, 0)::BIGINT AS most_repositories
 FROM docs LEFT JOIN by_doc USING (rid)
 """
 

@@ -126,3 +126,9 @@ def test_long_chain_is_one_component(spark):
 def test_against_sql(spark, sf_dir):
     name = "op6_jaccard_join"
     assert compare(common.PLANS[name](spark, sf_dir), connect(sf_dir), common.CHECKS[name]) is None
+
+
+def test_document_without_id_does_not_win_its_group(spark):
+    text = " ".join(f"w{k}" for k in range(40))
+    docs = frame(spark, [(None, text, "en", "s", 1), (7, text, "en", "s", 1), (9, text + " more", "en", "s", 1), (None, "all alone here", "en", "s", 1)])
+    assert sorted(map(repr, (r["doc_id"] for r in jaccard_join.keep_one(docs).collect()))) == ["7", "None"]

@@ -9,7 +9,7 @@ from helpers import SCHEMA, corpus, frame, words
 from test_decontamination import brute
 from test_jaccard_join import near_copies, plain
 
-from barline.llm import jaccard_join, mixing, quality_classifier, sharding
+from barline.llm import common, jaccard_join, mixing, quality_classifier, sharding
 
 
 @pytest.fixture(scope="module")
@@ -79,6 +79,22 @@ def test_run_gives_what_the_stages_give(spark, folder):
     assert got.columns == ["doc_id", "text", "lang", "source", "n_chars", "shard"] and got.count() > 0
 
 
+def test_stages_give_back_what_they_held(spark, folder):
+    """Two runs in one session: neither tables nor broadcasts nor the driver's memory pile up."""
+    import os
+
+    def resident():
+        with open(f"/proc/{os.getpid()}/statm") as f:
+            return int(f.read().split()[1]) * os.sysconf("SC_PAGE_SIZE") / 1e6
+
+    corpus_pipeline.run(spark, folder).count()
+    tables, mb = len(common._PATHS), resident()
+    corpus_pipeline.run(spark, folder).count()
+    # What the first run's last stages left, the second one has freed; its own last table stays.
+    assert len(common._PATHS) <= tables + 1 and len(corpus_pipeline._LEFT) <= 2
+    assert resident() <= mb + 60
+
+
 def test_empty_corpus(spark, tmp_path):
     frame(spark, []).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")

@@ -200,3 +200,49 @@ def test_secrets_against_sql(spark, sf_dir, tmp_path):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     assert compare(common.PLANS[name](spark, str(tmp_path)), con, common.CHECKS[name]) is None
+
+
+def test_spread_over_repositories_decides_too(spark):
+    shared, own = "ghp_" + "C" * 36, "ghp_" + "D" * 36
+    rows = [(k, f"clone with {shared}", "en", "hot", 1) for k in range(secrets.MOST_REPOSITORIES + 1)]
+    rows += [(500 + k, f"deploy {own}", "en", "hot", 1) for k in range(secrets.MOST_REPOSITORIES)]
+    got = {r["doc_id"]: r for r in secrets.report(frame(spark, rows)).collect()}
+    assert all(got[k]["n_example"] == 1 and got[k]["spans"] == "" for k in range(secrets.MOST_REPOSITORIES + 1))
+    assert all(got[500 + k]["n_live"] == 1 and got[500 + k]["spans"] == "forge:7:47" for k in range(secrets.MOST_REPOSITORIES))
+    assert (got[0]["most_owners"], got[0]["most_repositories"]) == (1, secrets.MOST_REPOSITORIES + 1)
+    assert (got[500]["most_owners"], got[500]["most_repositories"]) == (1, secrets.MOST_REPOSITORIES)
+
+
+def test_pii_features_hold_no_label(spark):
+    """Two spans that differ only in what a check or a naming word sees have the same features."""
+    texts = [("x: 412 555 1234 y", "x: 112 055 1234 y"), ("visa 4111111111111111 ok", "visa 4111111111111112 ok"), ("at 10.0.0.255 ok", "at 10.0.0.999 ok")]
+    rows = [(2 * k + j, t, "en", "s", 1) for k, pair in enumerate(texts) for j, t in enumerate(pair)]
+    docs = frame(spark, rows)
+    scanned = docs.select(docs.doc_id.alias("key"), pii.found(docs.text).alias("found"))
+    got = {(r["key"], r["rank"]): tuple(r[f] for f in pii.FEATURES) for r in pii.candidates(scanned).collect()}
+    for key, rank in got:
+        assert got[key, rank] == got[key ^ 1, rank]
+    assert {"trigger", "luhn", "octets"}.isdisjoint(pii.FEATURES)
+
+
+def test_pii_on_planted_spans_that_the_rules_do_not_know(spark):
+    """Numbers outside any plan and without a naming word, written like the checked ones: found; the same digits in tables: left."""
+    rng = random.Random(8)
+    d = lambda n, lo=0: "".join(str(rng.randrange(lo, 10)) for _ in range(n))
+    rows, planted = [], set()
+    for k in range(1500):
+        known = f"2{d(2)} {rng.randrange(2, 10)}{d(2)} {d(4)}" if k % 20 else f"1{d(2)} {d(3)} {d(4)}"
+        planted |= set() if k % 20 else {k}
+        rows.append((k, f"Ask at desk: {known}, any day", "en", "s", 1))
+    rows += [(5000 + k, f"a x{d(3)} {d(3)} {d(4)}x {d(6)} {d(5)} z", "en", "s", 1) for k in range(600)]
+    got = {r["doc_id"]: r["n_added"] for r in pii.report(frame(spark, rows)).collect()}
+    assert sum(got[k] > 0 for k in planted) >= 0.9 * len(planted)
+    assert sum(got[k] > 0 for k in got if k >= 5000) <= 0.1 * 600
+
+
+def test_pii_cost_grows_with_the_candidates(spark):
+    """One text of 100,000 candidates."""
+    text = " ".join(f"call {200 + k % 700} 555 {k % 9000 + 1000}," for k in range(50_000)) + " a@b.co" * 50_000
+    rows = [(1, text, "en", "s", 1)] + [(k, f"call {200 + k % 700} 555 {k % 9000 + 1000},", "en", "s", 1) for k in range(2, 400)]
+    got = {r["doc_id"]: (r["n_email"], r["n_added"]) for r in pii.report(frame(spark, rows)).collect()}
+    assert got[1] == (50_000, 50_000) and all(got[k] == (0, 1) for k in range(2, 400))
