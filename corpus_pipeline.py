@@ -6,6 +6,24 @@ from pyspark.sql import DataFrame, SparkSession
 
 from barline.llm import common, decontamination, jaccard_join, mixing, quality_classifier, sharding
 
+#: Intermediate tables and broadcasts of the stage that ran last; the next one is given its written result and frees them.
+_LEFT: list = []
+
+
+def _stage(apply, first: bool = False):
+    """A stage that gives back what the one before has left in the driver and in the shared folder."""
+
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        if not first:
+            common.free(spark, _LEFT)
+        with common.recorded() as made:
+            out = apply(spark, docs, sf_dir)
+        _LEFT.extend(made)
+        return out
+
+    run.__doc__ = apply.__doc__
+    return run
+
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject."""
@@ -33,11 +51,11 @@ def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
-    ("quality classifier", good),
-    ("n-gram Jaccard join", distinct),
-    ("benchmark decontamination", uncontaminated),
-    ("mixing sources to target weights", mixed),
-    ("sharding", sharded),
+    ("quality classifier", _stage(good, first=True)),
+    ("n-gram Jaccard join", _stage(distinct)),
+    ("benchmark decontamination", _stage(uncontaminated)),
+    ("mixing sources to target weights", _stage(mixed)),
+    ("sharding", _stage(sharded)),
 ]
 
 #: Trained models and random draws have no SQL form.
@@ -49,7 +67,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     common.prepare(spark)
     docs = common.table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        given, docs = docs, stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = common.settle(docs, "stage")
+            if k:
+                common.release(given)
     return docs
