@@ -26,8 +26,8 @@ on classes.
    a million).  What is left open falls into regions of classes that share open
    groups; in each, every class outside the largest connected part is a query
    against all blocks, first over the listed shingles alone, where T is
-   ``SHARED``.  Candidates of both steps pass the parity bits of their sets before
-   any set travels, and are then searched in whole sets.
+   ``SHARED``.  Candidates of both steps must pass the parity bits of their sets
+   before any set travels, and are then searched in whole sets.
 4. Components over the links, the smallest doc_id of each, back to documents.
 
 No list is held in one task: blocks are cut by the number of shingles, and
@@ -106,6 +106,10 @@ class Rule:
         """Sizes of linked sets are in the same or in neighbouring steps."""
         return F.floor(F.log(n.cast("double")) / F.lit(-math.log(self.percent / 100)) * (1 - 1e-9)).cast("int")
 
+    def differences(self, total):
+        """In how many shingles linked sets with ``total`` together differ at most."""
+        return total + 2 * ((-self.percent * total) // (100 + self.percent))
+
     def near(self, n: Column, m: Column) -> Column:
         return 100 * F.least(n, m) >= self.percent * F.greatest(n, m)
 
@@ -335,8 +339,12 @@ class Block:
         return out
 
 
-def search_blocks(rows: DataFrame, rule: Rule | int) -> DataFrame:
-    """Links (a, b) of every task's queries and members; rows are (task columns k1, k2, k3, is_query, cls, shingles)."""
+def search_blocks(rows: DataFrame, rule: Rule | int, link: Rule | None) -> DataFrame:
+    """Links (a, b) of every task's queries and members; rows are (task columns k1, k2, k3, is_query, cls, shingles).
+
+    With ``link``, ``shingles`` are a part of a set of ``size`` and ``parity``, and
+    what is found must be able to link by these.
+    """
 
     def run(_, table):
         cls = table.column("cls").to_numpy()
@@ -348,17 +356,25 @@ def search_blocks(rows: DataFrame, rule: Rule | int) -> DataFrame:
         one = [values[at[k] : at[k + 1]] for k in range(len(flat))]
         members = np.flatnonzero(~query)
         block = Block([one[k] for k in members])
-        links = []
+        if link:
+            size = table.column("size").to_numpy()
+            bits = np.frombuffer(b"".join(table.column("parity").to_pylist()), np.uint8).reshape(len(cls), -1)
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for k in np.flatnonzero(query):
-            links += [(cls[k], cls[members[m]]) for m in block.search(one[k], rule) if cls[members[m]] != cls[k]]
-        a, b = zip(*links, strict=True) if links else ((), ())
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+            hit = members[np.array(block.search(one[k], rule), np.int64)]
+            hit = hit[cls[hit] != cls[k]]
+            if link:
+                near = 100 * np.minimum(size[hit], size[k]) >= link.percent * np.maximum(size[hit], size[k])
+                hit = hit[near & (np.bitwise_count(bits[hit] ^ bits[k]).sum(axis=1) <= link.differences(size[hit] + size[k]))]
+            a.append(np.full(len(hit), cls[k]))
+            b.append(cls[hit])
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
 
     return rows.groupBy("k1", "k2", "k3").applyInArrow(run, "a long, b long")
 
 
 def search_plan(
-    index: DataFrame, queries: DataFrame, shingle_sets: DataFrame, key: list[str], rule: Rule | int
+    index: DataFrame, queries: DataFrame, shingle_sets: DataFrame, key: list[str], rule: Rule | int, link: Rule | None = None
 ) -> DataFrame:
     """Search each key's queries against its members, both cut into blocks by their number of shingles.
 
@@ -382,7 +398,13 @@ def search_plan(
         )
 
     rows = dealt(index, "_blocks", "_queries", False).unionByName(dealt(queries, "_queries", "_blocks", True))
-    return search_blocks(rows.join(shingle_sets.select("cls", "shingles"), "cls"), rule)
+    return search_blocks(rows.join(shingle_sets, "cls"), rule, link)
+
+
+def parity_of(scanned: DataFrame, wanted: DataFrame) -> DataFrame:
+    """cls and parity bits of the wanted classes (and a few others), once each."""
+    known = common.likely_in(scanned.filter("cls is not null").select("cls", "parity"), "cls", wanted)
+    return common.settle(known.groupBy("cls").agg(F.first("parity").alias("parity")), "parity")
 
 
 def may_link(pairs: DataFrame, scanned: DataFrame, rule: Rule) -> DataFrame:
@@ -393,9 +415,7 @@ def may_link(pairs: DataFrame, scanned: DataFrame, rule: Rule) -> DataFrame:
     shingles as bits.  Whole sets then travel only for pairs that are likely links.
     """
     pairs = common.settle(pairs, "pairs")
-    wanted = pairs.select("cls").union(pairs.select("leader")).distinct()
-    known = common.likely_in(scanned.filter("cls is not null").select("cls", "parity"), "cls", wanted)
-    bits = common.settle(known.groupBy("cls").agg(F.first("parity").alias("parity")), "parity")
+    bits = parity_of(scanned, pairs.select("cls").union(pairs.select("leader")).distinct())
     near = bits.select(F.col("cls").alias("leader"), F.col("parity").alias("_a"))
     both = pairs.join(bits.withColumnRenamed("parity", "_b"), "cls").join(near, "leader")
 
@@ -406,7 +426,7 @@ def may_link(pairs: DataFrame, scanned: DataFrame, rule: Rule) -> DataFrame:
             a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("_a", "_b"))
             flips = np.bitwise_count(a ^ b).sum(axis=1)
             total = batch.column("n").to_numpy() + batch.column("_n").to_numpy()
-            most = total + 2 * ((-rule.percent * total) // (100 + rule.percent))
+            most = rule.differences(total)
             names = ["leader", "_n", "cls", "n"]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in names], names).filter(pa.array(flips <= most))
 
@@ -438,7 +458,8 @@ def link_classes(docs: DataFrame, scanned: DataFrame, rule: Rule) -> DataFrame:
     apart = (F.col("cls") != F.col("end")["cls"]) & ~((F.col("cls") == F.col("lo")["cls"]) & (F.col("end") == F.col("hi")))
     pairs = met.filter(apart & rule.near(F.col("n"), F.col("end")["n"]))
     pairs = pairs.filter(F.col("step") == F.greatest(rule.step(F.col("n")), rule.step(F.col("end")["n"])))
-    links = common.settle(linked_pairs(docs, scanned, counted(pairs.select(F.col("end")["cls"].alias("leader"), F.col("end")["n"].alias("_n"), "cls", "n"), rule), rule), "links")
+    pairs = pairs.select(F.col("end")["cls"].alias("leader"), F.col("end")["n"].alias("_n"), "cls", "n")
+    links = common.settle(linked_pairs(docs, may_link(counted(pairs, rule), scanned, rule), rule), "links")
     met = met.filter(F.col("end") == F.col("lo")).drop("end")
 
     # What is left open: groups of three or more whose classes are in several components.
@@ -456,16 +477,19 @@ def link_classes(docs: DataFrame, scanned: DataFrame, rule: Rule) -> DataFrame:
     state = state.join(main, "region")
     # All listed shingles of these classes that any other class lists, of a class as one row.
     lists = common.likely_in(met.select("cls", "token"), "cls", state).join(state.select("cls"), "cls", "left_semi")
-    lists = common.settle(lists.groupBy("cls").agg(F.collect_set("token").alias("shingles")), "lists")
+    lists = lists.groupBy("cls").agg(F.collect_set("token").alias("shingles"))
+    lists = lists.join(parity_of(scanned, state.select("cls")), "cls").join(state.select("cls", F.col("n").alias("size")), "cls")
+    lists = common.settle(lists, "lists")
     known = common.settle(state.join(lists.select("cls", F.size("shingles").alias("listed")), "cls"), "regions")
     index = known.select("region", "cls", F.col("listed").alias("n"), (F.col("label") != F.col("main")).alias("asks"))
-    found = search_plan(index.drop("asks"), index.filter("asks").drop("asks"), lists, ["region"], rule.shared)
-    size = known.select("cls", "n", "label").distinct()
-    found = found.join(size.select(F.col("cls").alias("a"), F.col("n").alias("_n"), F.col("label").alias("_label")), "a")
-    found = found.join(size.withColumnRenamed("cls", "b"), "b").filter((F.col("label") != F.col("_label")) & rule.near(F.col("n"), F.col("_n")))
+    found = search_plan(index.drop("asks"), index.filter("asks").drop("asks"), lists, ["region"], rule.shared, rule)
+    own = known.select("cls", "n", "label")
+    found = found.join(own.select(F.col("cls").alias("a"), F.col("n").alias("_n"), F.col("label").alias("_label")), "a")
+    found = found.join(own.withColumnRenamed("cls", "b"), "b").filter(F.col("label") != F.col("_label"))
     # Both ways round it is one pair; the side with the larger hash leads.
-    found = found.select(F.greatest("a", "b").alias("leader"), F.when(F.col("a") > F.col("b"), F.col("_n")).otherwise(F.col("n")).alias("_n"), F.least("a", "b").alias("cls"), F.when(F.col("a") > F.col("b"), F.col("n")).otherwise(F.col("_n")).alias("n"))
-    rest = linked_pairs(docs, scanned, found.distinct(), rule)
+    sides = F.sort_array(F.array(F.struct(F.col("a").alias("cls"), F.col("_n").alias("n")), F.struct(F.col("b").alias("cls"), "n")))
+    found = found.select(sides.alias("s")).select(F.col("s")[1]["cls"].alias("leader"), F.col("s")[1]["n"].alias("_n"), F.col("s")[0]["cls"].alias("cls"), F.col("s")[0]["n"].alias("n"))
+    rest = linked_pairs(docs, found.distinct(), rule)
     return components(common.settle(links.unionByName(rest), "links"))
 
 
@@ -477,9 +501,9 @@ def counted(pairs: DataFrame, rule: Rule) -> DataFrame:
     return times.agg(F.min(both).alias("p"), F.count("*").alias("times")).filter(F.col("times") >= rule.shared).select("p.*")
 
 
-def linked_pairs(docs: DataFrame, scanned: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
+def linked_pairs(docs: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
     """Those of the different pairs (leader, _n, cls, n) that link, as (a, b)."""
-    index = common.settle(may_link(pairs, scanned, rule), "likely")
+    index = common.settle(pairs, "likely")
     leaders = index.select("leader", F.col("leader").alias("cls"), F.col("_n").alias("n")).distinct()
     shingle_sets = common.settle(fetch(docs, index.select("cls").union(index.select("leader")).distinct(), rule), "sets")
     return search_plan(index.select("leader", "cls", "n"), leaders, shingle_sets, ["leader"], rule)
