@@ -40,7 +40,9 @@ def two_sided_p(z: Column) -> Column:
 
 
 def expected_max_sharpe(n_trials: int) -> float:
-    """Expected best Sharpe of ``n_trials`` independent trials without skill."""
+    """Expected best Sharpe of ``n_trials`` independent trials without skill; a single trial is no choice."""
+    if n_trials < 2:
+        return 0.0
     inv = NormalDist().inv_cdf
     return (1 - EULER_GAMMA) * inv(1 - 1 / n_trials) + EULER_GAMMA * inv(1 - 1 / (n_trials * math.e))
 

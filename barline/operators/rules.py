@@ -44,8 +44,9 @@ def apply_rule(name: str, bars: DataFrame, keys: Sequence[str], **params) -> Dat
 
 def position_to_signal(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Clamped change of ``position``; the first bar has none."""
-    step = F.col("position") - F.lag("position").over(by(keys))
-    return df.withColumn("signal", F.coalesce(F.greatest(F.lit(-1), F.least(F.lit(1), step)), F.lit(0)).cast("int"))
+    # Without the inner default the first bar's missing step would count as the bound: least() skips nulls.
+    step = F.coalesce(F.col("position") - F.lag("position").over(by(keys)), F.lit(0))
+    return df.withColumn("signal", F.greatest(F.lit(-1), F.least(F.lit(1), step)).cast("int"))
 
 
 def _side(up: Column, down: Column) -> Column:

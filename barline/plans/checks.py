@@ -85,7 +85,7 @@ def ema_sql(expr: str, alpha: float, over: str = "PARTITION BY symbol ORDER BY t
 def signal_sql(keys: str = "symbol") -> str:
     """Signal of a ``position`` column."""
     return (
-        f"coalesce(greatest(-1, least(1, position - lag(position) OVER (PARTITION BY {keys} ORDER BY ts))), 0)::INTEGER"
+        f"greatest(-1, least(1, coalesce(position - lag(position) OVER (PARTITION BY {keys} ORDER BY ts), 0)))::INTEGER"
     )
 
 

@@ -121,13 +121,13 @@ def _(spark, sf):
     return p.withColumn("p_raw", F.when((F.col("n") < 4) | (F.abs("mean") <= 1e-12), 1.0).otherwise(F.col("p_raw")))
 
 
-def pool_sql(kind: str, reps: int, seed: int) -> str:
+def pool_sql(kind: str, reps: int, seed: int, src: str = "trades", row: str = ROW) -> str:
     """Pools of equal values, the cumulative probabilities of their counts, and a count for each pool and replicate."""
     mean, spread = ("c", "sqrt(c)") if kind == "poisson" else ("c / 2", "sqrt(c) / 2")
     last = f"ceil({mean} + 8 * {spread} + 20)"
     log = "k * ln(c) - c - lgamma(k + 1)" if kind == "poisson" else "lgamma(c + 1) - c * ln(2) - lgamma(k + 1) - lgamma(c - k + 1)"
     last = last if kind == "poisson" else f"least(c, {last})"
-    return f"""pool AS (SELECT cell_id, pnl::DOUBLE AS x, count(*) AS c, min({ROW}) AS row FROM trades WHERE pnl IS NOT NULL GROUP BY ALL),
+    return f"""pool AS (SELECT cell_id, pnl::DOUBLE AS x, count(*) AS c, min({row}) AS row FROM {src} WHERE pnl IS NOT NULL GROUP BY ALL),
 cw AS (SELECT c, greatest(0, floor({mean} - 8 * {spread} - 20))::BIGINT AS lo, {last}::BIGINT AS hi FROM (SELECT DISTINCT c FROM pool)),
 ck AS (SELECT c, lo, unnest(range(lo, hi + 1)) AS k FROM cw),
 cc AS (SELECT c, lo, k, round(sum(exp({log})) OVER (PARTITION BY c ORDER BY k), 9) AS cum FROM ck),
@@ -522,14 +522,6 @@ def _(spark, sf):
     return g.withColumn("gates", verdicts.six_gates()).select("cell_id", verdicts.failed_gates("gates").alias("failed"))
 
 
-@query("J27_commit_gate", sql(TRADES, _CP, body="""SELECT cell_id, fold, n >= 3 AS majority, max_dd < -0.4 OR pf < 1 AS veto, n >= 3 AND NOT (max_dd < -0.4 OR pf < 1) AS approved FROM (SELECT *, (trades >= 100)::INTEGER + (sharpe > 0)::INTEGER + (pf > 1.02)::INTEGER + (max_dd > -0.3)::INTEGER + (sharpe > 0.5)::INTEGER AS n FROM cp)"""))
-def _(spark, sf):
-    c = cell_performance(spark, sf)
-    checks = [F.col("trades") >= 100, F.col("sharpe") > 0, F.col("pf") > 1.02, F.col("max_dd") > -0.3, F.col("sharpe") > 0.5]
-    a, b, d = verdicts.commit_gate(checks, F.col("max_dd"), F.col("pf"))
-    return c.select("cell_id", "fold", a.alias("majority"), b.alias("veto"), d.alias("approved"))
-
-
 @query("J28_verdict_cascade", sql(SLOTS, _TL, _SGN, _LONGP, _SPEAR, _FK, _VIF, body="""SELECT event, CASE WHEN max_vif >= 10 OR n_eff < 4 THEN 'noise' WHEN kappa >= 0.61 THEN 'signal' WHEN kappa >= 0.41 THEN 'drift' ELSE 'noise' END AS verdict
  FROM (SELECT event, any_value(kappa) AS kappa, max(vif) AS max_vif, min(CASE WHEN vif IS NULL OR vif <= 0 OR isinf(vif) THEN 0 ELSE greatest((1 - rho_bar) * rb.n / vif, 0) END) AS n_eff FROM rb JOIN vf USING (event, hb) JOIN fk USING (event) GROUP BY event)"""))
 def _(spark, sf):
@@ -541,10 +533,39 @@ def _(spark, sf):
     return per.select("event", verdicts.cascade(F.col("kappa"), F.col("max_vif"), F.col("n_eff")).alias("verdict"))
 
 
-@query("J29_cell_verdict", sql(TRADES, _GI, body="SELECT cell_id, CASE WHEN ok THEN 'PASS' ELSE 'FAIL' END AS verdict, CASE WHEN ok THEN NULL WHEN n_eff < 4 THEN 'sampling_noise' WHEN (lo <= 0 AND hi >= 0) OR sr <= 0 THEN 'structural' ELSE 'bug' END AS failure FROM (SELECT *, n_eff >= 4 AND lo > 0 AND sr > 0 AS ok FROM (SELECT *, n / 300.0 AS n_eff, m AS sr FROM gi))"))
-def _(spark, sf):
-    v, kind = verdicts.cell_verdict(F.col("n") / 300.0, F.col("ci_low"), F.col("ci_high"), F.col("mean_pnl"))
-    return gate_inputs(spark, sf).select("cell_id", v.alias("verdict"), kind.alias("failure"))
+# A pool cell is an event and a range of holding times; pnl are whole numbers, which number the pools of equal values.
+_CELL = "CASE WHEN hb <= 3 THEN '0-60m' ELSE '60-120m' END"
+_POOLED = f"pooled AS (SELECT event || '|' || {_CELL} AS cell_id, pnl, (pnl + 4096)::BIGINT AS vid FROM slot_trades)"
+
+
+def pooled_cells(spark, sf):
+    """Effective sample (the least of the cell's horizons), interval of the mean by bootstrap, and sign ratio of every pool cell."""
+    cell = F.when(F.col("hb") <= 3, "0-60m").otherwise("60-120m").alias("pool_cell")
+    keys = ["event", "pool_cell"]
+    sample = rho_bar(spark, sf).select("event", cell, ag.n_effective(F.col("n"), F.col("rho_bar"), F.lit(1.5)).alias("n_eff"))
+    sample = sample.groupBy(*keys).agg(F.min("n_eff").alias("n_eff"))
+    held = T.slot_trades(spark, sf).select("event", cell, "pnl")
+    pool = resampling.pools(held, keys, F.col("pnl"), F.col("pnl") + 4096)
+    sums = resampling.replicate_sums(pool, keys, F.col("_row"), {"_s": F.col("_x"), "_w": F.lit(1.0)}, resampling.pool_counts("poisson"), REPS, 31, F.col("_n"))
+    ci = resampling.interval(sums.select(*keys, F.try_divide("_s", "_w").alias("mean")), keys, REPS)
+    s = T.slot_reports(spark, sf)
+    long, short = F.count_if(F.col("sign") == 1), F.count_if(F.col("sign") == -1)
+    ratio = s.groupBy("event", cell).agg(F.coalesce(F.try_divide(long, long + short), F.lit(0.5)).alias("sign_ratio"))
+    return sample.join(ci, keys).join(ratio, keys)
+
+
+@query("J29_cell_verdict", sql(SLOTS, _TL, _SGN, _LONGP, _SPEAR, _POOLED, pool_sql("poisson", REPS, 31, "pooled", "vid"),
+ f"ne AS (SELECT event, {_CELL} AS pool_cell, min(greatest((1 - rho_bar) * n / 1.5, 0)) AS n_eff FROM rb GROUP BY ALL)",
+ "mr AS (SELECT cell_id, rep, sum(w * x) / sum(w) AS mean FROM dr GROUP BY ALL)",
+ f"ci AS (SELECT split_part(cell_id, '|', 1) AS event, split_part(cell_id, '|', 2) AS pool_cell, list_sort(list(mean))[{math.floor(0.025 * REPS) + 1}] AS lo, list_sort(list(mean))[{math.ceil(0.975 * REPS) + 1}] AS hi FROM mr GROUP BY cell_id)",
+ f"sr AS (SELECT event, {_CELL} AS pool_cell, coalesce(count(*) FILTER (sign = 1) / nullif(count(*) FILTER (sign <> 0), 0)::DOUBLE, 0.5) AS sr FROM slots GROUP BY ALL)",
+ body="""SELECT event, pool_cell, round(n_eff, 6) AS n_eff, round(lo, 6) + 0.0 AS ci_low, round(hi, 6) + 0.0 AS ci_high, round(sr, 6) AS sign_ratio, CASE WHEN ok THEN 'PASS' ELSE 'FAIL' END AS verdict,
+ CASE WHEN ok THEN NULL WHEN n_eff < 4 THEN 'sampling_noise' WHEN (lo <= 0 AND hi >= 0) OR sr <= 0 THEN 'structural' ELSE 'bug' END AS failure
+ FROM (SELECT *, n_eff >= 4 AND lo > 0 AND sr > 0 AS ok FROM ne JOIN ci USING (event, pool_cell) JOIN sr USING (event, pool_cell))"""))
+def _(spark, sf):
+    c = pooled_cells(spark, sf)
+    v, kind = verdicts.cell_verdict(F.col("n_eff"), F.col("ci_low"), F.col("ci_high"), F.col("sign_ratio"))
+    return c.select("event", "pool_cell", "n_eff", "ci_low", "ci_high", "sign_ratio", v.alias("verdict"), kind.alias("failure"))
 
 
 @query("J30_pair_gate_summary", sql(TRADES, _CP, body="""SELECT pair, bool_or(ok) AS any_pass, bool_and(ok) AS all_pass, CASE WHEN bool_or(ok) THEN 'ship' ELSE 'hold' END AS verdict, coalesce(string_agg(DISTINCT reason, ',' ORDER BY reason), '') AS reasons FROM (

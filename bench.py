@@ -28,6 +28,8 @@ HEADLINE = (
     "H02_ema_atr",
     "I10_batch_sweep",
     "D54_walk_summary",
+    "I10_rule_scan",
+    "D54_scan_summary",
     "I24_exit_replay",
     "I32_overlay_grid",
     "F03_pareto_front",
