@@ -224,7 +224,8 @@ def train(docs: DataFrame) -> Model:
 
 
 def predicted(docs: DataFrame, model: Model, lang: str = "lang_pred", score: str = "score") -> DataFrame:
-    """All columns of the documents, the predicted language and a score in [0, 1]."""
+    """All columns of the documents, the predicted language and a score in [0, 1]; input columns of those names give way."""
+    docs = docs.drop(lang, score)
     sent = common.sent(docs.sparkSession, model)  # (families + pairs) x BUCKETS floats
     at = docs.columns.index("text")
 

@@ -128,7 +128,18 @@ def sparse(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 def fit(texts: pa.Array, labels: np.ndarray, epochs: int = EPOCHS, rate: float = RATE, seed: int = 5) -> Model:
-    """Stochastic gradient descent over the documents, one at a time.
+    """The learned vectors with the output layer folded in; even scores where only one label occurs."""
+    if len(set(labels.tolist())) < 2:
+        return Model(np.zeros(BUCKETS, np.float32), 0.0)
+    vectors, out, bias = learned(texts, labels, epochs, rate, seed)
+    weight = vectors @ (out[:, 1] - out[:, 0])
+    return Model(weight.astype(np.float32), float(bias[1] - bias[0]))
+
+
+def learned(
+    texts: pa.Array, labels: np.ndarray, epochs: int = EPOCHS, rate: float = RATE, seed: int = 5
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Vectors, output layer and bias by stochastic gradient descent over the documents, one at a time.
 
     A step on one document moves each of its vectors by its share; ``rate`` is
     divided by the sum of squared shares, which makes a step on a long text as
@@ -139,8 +150,6 @@ def fit(texts: pa.Array, labels: np.ndarray, epochs: int = EPOCHS, rate: float =
     vectors = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
     out = rng.uniform(-1, 1, (DIM, 2)).astype(np.float32)
     bias = np.zeros(2, np.float32)
-    if len(set(labels.tolist())) < 2:
-        return Model(np.zeros(BUCKETS, np.float32), 0.0)
     steps, total = 0, epochs * len(docs)
     for _ in range(epochs):
         for i in rng.permutation(len(docs)):
@@ -157,8 +166,7 @@ def fit(texts: pa.Array, labels: np.ndarray, epochs: int = EPOCHS, rate: float =
                 vectors[bucket] -= (step / float(share @ share) * 0.5 * share[:, None]) * back
             out -= (0.1 * step) * np.outer(mean, error)
             bias -= (0.02 * step) * error
-    weight = vectors @ (out[:, 1] - out[:, 0])
-    return Model(weight.astype(np.float32), float(bias[1] - bias[0]))
+    return vectors, out, bias
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
@@ -166,6 +174,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
     The ids of the sample come first (its size is a parameter, so they are
     broadcast); the texts are read by one scan and cross to the driver as text.
+    Texts above ``SAMPLE_CHARS`` characters do not enter the fit; of the texts that
+    share an id the smallest does.
     """
     marks = (
         labels.filter(F.col("quality").isin(0, 1) & ~common.held_out(F.col("doc_id")))
@@ -181,7 +191,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         docs.select("doc_id", "text")
         .filter(F.length("text") <= SAMPLE_CHARS)
         .join(F.broadcast(picked), "doc_id")
-        .dropDuplicates(["doc_id"])
+        .groupBy("doc_id")
+        .agg(F.min("text").alias("text"), F.min("quality").alias("quality"))
         .orderBy("doc_id")
         .toArrow()
     )
@@ -189,7 +200,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
 
 def scored(docs: DataFrame, model: Model, score: str = "score") -> DataFrame:
-    """All columns of the documents, and the probability of label 1."""
+    """All columns of the documents, and the probability of label 1; an input column of that name gives way."""
+    docs = docs.drop(score)
     sent = common.sent(docs.sparkSession, model)
     at = docs.columns.index("text")
 

@@ -131,3 +131,67 @@ def test_rules_keep_labelled_good(spark):
     both = got[~got.base_failed].merge(marks, on="doc_id")
     assert both[both.quality == 1].kept.mean() > 0.999
     assert both[both.quality == 0].kept.mean() < 0.1
+
+
+def test_scores_are_the_softmax_over_averaged_vectors():
+    """Every n-gram's vector summed in plain loops, averaged, and put through the two-way softmax."""
+    rng = np.random.default_rng(2)
+    vocabulary = [f"word{k}" for k in range(60)]
+    rows = [" ".join(rng.choice(vocabulary[: 40 if k % 2 else 60], rng.integers(1, 30))) + (" ###" if k % 2 else "") for k in range(60)]
+    texts, labels = pa.array([*rows, "", None]), np.array([1 - k % 2 for k in range(62)])
+    vectors, out, bias = quality_classifier.learned(texts, labels, epochs=3)
+    got = quality_classifier.fit(texts, labels, epochs=3).scores(texts)
+    for text, score in zip(texts.to_pylist(), got, strict=True):
+        data = np.frombuffer((text or "").encode(), np.uint8)
+        grams = [int(b) for bucket, _ in quality_classifier.features(data, np.array([0, len(data)])) for b in bucket]
+        mean = np.zeros(out.shape[0])
+        for b in grams:
+            mean += vectors[b].astype(float) / len(grams)
+        z = [sum(mean[d] * float(out[d, c]) for d in range(len(mean))) + float(bias[c]) for c in (0, 1)]
+        assert abs(score - np.exp(z[1]) / (np.exp(z[0]) + np.exp(z[1]))) < 1e-4
+
+
+def test_quality_model_is_the_same_on_every_run(spark):
+    rows = [(k % 50, f"text {k} " + ("good words" if k % 2 else "### !!!"), "en", "s", 1) for k in range(200)]
+    marks = spark.createDataFrame([(k, k % 2) for k in range(50)], "doc_id long, quality int")
+    models = [quality_classifier.train(frame(spark, rows).repartition(n), marks) for n in (1, 7)]
+    assert (models[0].weight == models[1].weight).all() and models[0].bias == models[1].bias
+
+
+def test_languages_are_the_votes_of_their_family():
+    """Family first, then the pairs inside it: margins and votes in plain loops."""
+    rng = np.random.default_rng(3)
+    stems = {"de": "der und ist nicht ein", "nl": "de het een niet van", "fr": "les des est pas une", "es": "los las es no una", "xx": "zzq qqz zqz"}
+    said = [(lang, " ".join(rng.choice(words.split(), 12))) for lang, words in stems.items() for _ in range(30)]
+    texts = pa.array([t for _, t in said])
+    model = language.fit(texts, [lang for lang, _ in said])
+    some = [*[t for _, t in said[::7]], "der les los de", "zzq der", "??", "", None]
+    got = model.predict(pa.array(some))
+
+    def winner(ballot, x):
+        margins = {pair: sum(float(a) * float(b) for a, b in zip(x, ballot.weight[:, k], strict=True) if a) + float(ballot.bias[k]) for k, pair in enumerate(ballot.pairs)}
+        votes = [0.0] * len(ballot.names)
+        for (a, b), m in margins.items():
+            votes[a] += (m >= 0) + 1e-3 * np.tanh(m)
+            votes[b] += (m < 0) - 1e-3 * np.tanh(m)
+        best = votes.index(max(votes))
+        support = [1 / (1 + np.exp(-2 * (m if a == best else -m))) for (a, b), m in margins.items() if best in (a, b)]
+        return ballot.names[best], min([1.0, *support])
+
+    for text, lang, score in zip(some, *got, strict=True):
+        if not any(c.isalpha() for c in text or ""):
+            assert (lang, score) == ("und", 0.0)
+            continue
+        data = np.frombuffer(text.encode(), np.uint8)
+        x = language.vectors(data, np.array([0, len(data)]))[0]
+        family, outer = winner(model.families, x)
+        want, inner = winner(model.within[family], x)
+        assert lang == want and abs(score - min(outer, inner)) < 1e-4
+
+
+def test_columns_of_the_results_names_give_way(spark):
+    docs = frame(spark, [(1, "some words", "en", "s", 1)]).withColumnRenamed("source", "score").withColumnRenamed("lang", "lang_pred")
+    marks = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    assert quality_classifier.scored(docs, quality_classifier.train(docs, marks)).columns == ["doc_id", "text", "lang_pred", "n_chars", "score"]
+    model = language.fit(pa.array(["some words", "autre mots"]), ["en", "fr"])
+    assert language.predicted(docs, model).columns == ["doc_id", "text", "n_chars", "lang_pred", "score"]
