@@ -26,8 +26,10 @@ on classes.
    a million).  What is left open falls into regions of classes that share open
    groups; in each, every class outside the largest connected part is a query
    against all blocks, first over the listed shingles alone, where T is
-   ``SHARED``.  Candidates of both steps must pass the parity bits of their sets
-   before any set travels, and are then searched in whole sets.
+   ``SHARED``: in one round for the likeliest partner in each other component, which
+   joins what belongs together, in a second one for all that is left.  Candidates
+   must pass the parity bits of their sets before any set travels, and are then
+   searched in whole sets.
 4. Components over the links, the smallest doc_id of each, back to documents.
 
 No list is held in one task: blocks are cut by the number of shingles, and
@@ -339,11 +341,12 @@ class Block:
         return out
 
 
-def search_blocks(rows: DataFrame, rule: Rule | int, link: Rule | None) -> DataFrame:
+def search_blocks(rows: DataFrame, rule: Rule | int, link: Rule | None, best: bool) -> DataFrame:
     """Links (a, b) of every task's queries and members; rows are (task columns k1, k2, k3, is_query, cls, shingles).
 
-    With ``link``, ``shingles`` are a part of a set of ``size`` and ``parity``, and
-    what is found must be able to link by these.
+    With ``link``, ``shingles`` are a part of a set of ``size`` and ``parity`` in the
+    component ``label``; what is found must be able to link by these and lie in
+    another component.  ``best``: of each other component the likeliest only.
     """
 
     def run(_, table):
@@ -358,6 +361,7 @@ def search_blocks(rows: DataFrame, rule: Rule | int, link: Rule | None) -> DataF
         block = Block([one[k] for k in members])
         if link:
             size = table.column("size").to_numpy()
+            label = table.column("label").to_numpy()
             bits = np.frombuffer(b"".join(table.column("parity").to_pylist()), np.uint8).reshape(len(cls), -1)
         a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for k in np.flatnonzero(query):
@@ -365,7 +369,13 @@ def search_blocks(rows: DataFrame, rule: Rule | int, link: Rule | None) -> DataF
             hit = hit[cls[hit] != cls[k]]
             if link:
                 near = 100 * np.minimum(size[hit], size[k]) >= link.percent * np.maximum(size[hit], size[k])
-                hit = hit[near & (np.bitwise_count(bits[hit] ^ bits[k]).sum(axis=1) <= link.differences(size[hit] + size[k]))]
+                hit = hit[near & (label[hit] != label[k])]
+                flips = np.bitwise_count(bits[hit] ^ bits[k]).sum(axis=1)
+                likely = flips <= link.differences(size[hit] + size[k])
+                hit, flips = hit[likely], flips[likely]
+                if best and len(hit):
+                    hit = hit[np.lexsort((cls[hit], flips))]
+                    hit = hit[np.unique(label[hit], return_index=True)[1]]
             a.append(np.full(len(hit), cls[k]))
             b.append(cls[hit])
         return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
@@ -374,7 +384,7 @@ def search_blocks(rows: DataFrame, rule: Rule | int, link: Rule | None) -> DataF
 
 
 def search_plan(
-    index: DataFrame, queries: DataFrame, shingle_sets: DataFrame, key: list[str], rule: Rule | int, link: Rule | None = None
+    index: DataFrame, queries: DataFrame, shingle_sets: DataFrame, key: list[str], rule: Rule | int, link: Rule | None = None, best: bool = False
 ) -> DataFrame:
     """Search each key's queries against its members, both cut into blocks by their number of shingles.
 
@@ -398,7 +408,7 @@ def search_plan(
         )
 
     rows = dealt(index, "_blocks", "_queries", False).unionByName(dealt(queries, "_queries", "_blocks", True))
-    return search_blocks(rows.join(shingle_sets, "cls"), rule, link)
+    return search_blocks(rows.join(shingle_sets, "cls"), rule, link, best)
 
 
 def parity_of(scanned: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -471,26 +481,36 @@ def link_classes(docs: DataFrame, scanned: DataFrame, rule: Rule) -> DataFrame:
     # Classes that share open groups are searched together once, however many groups they share.
     region = components(state.select(F.col("lo")["cls"].alias("a"), F.col("cls").alias("b")))
     region = region.select(F.col("node").alias("cls"), F.col("label").alias("region"))
-    state = common.settle(state.select("cls", "n", "label").distinct().join(region, "cls"), "regions")
-    parts = state.groupBy("region", "label").agg(F.count("*").alias("c"))
-    main = parts.groupBy("region").agg(F.max(F.struct("c", "label"))["label"].alias("main"))
-    state = state.join(main, "region")
+    state = common.settle(state.select("cls", "n").distinct().join(region, "cls"), "regions")
     # All listed shingles of these classes that any other class lists, of a class as one row.
     lists = common.likely_in(met.select("cls", "token"), "cls", state).join(state.select("cls"), "cls", "left_semi")
     lists = lists.groupBy("cls").agg(F.collect_set("token").alias("shingles"))
-    lists = lists.join(parity_of(scanned, state.select("cls")), "cls").join(state.select("cls", F.col("n").alias("size")), "cls")
+    lists = lists.join(parity_of(scanned, state.select("cls")), "cls").join(state.withColumnRenamed("n", "size"), "cls")
     lists = common.settle(lists, "lists")
-    known = common.settle(state.join(lists.select("cls", F.size("shingles").alias("listed")), "cls"), "regions")
-    index = known.select("region", "cls", F.col("listed").alias("n"), (F.col("label") != F.col("main")).alias("asks"))
-    found = search_plan(index.drop("asks"), index.filter("asks").drop("asks"), lists, ["region"], rule.shared, rule)
-    own = known.select("cls", "n", "label")
-    found = found.join(own.select(F.col("cls").alias("a"), F.col("n").alias("_n"), F.col("label").alias("_label")), "a")
-    found = found.join(own.withColumnRenamed("cls", "b"), "b").filter(F.col("label") != F.col("_label"))
+    # The likeliest link to each other component first, which joins what belongs together; then all that is still possible.
+    for best in (True, False):
+        found = region_pairs(lists, label, rule, best)
+        links = common.settle(links.unionByName(linked_pairs(docs, found, rule)), "links")
+        label = components(links)
+    return label
+
+
+def region_pairs(lists: DataFrame, label: DataFrame, rule: Rule, best: bool) -> DataFrame:
+    """Pairs (leader, _n, cls, n) that may link across components of a region: classes outside its largest part against all."""
+    known = lists.join(label.select(F.col("node").alias("cls"), "label"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    known = common.settle(known, "known")
+    main = known.groupBy("region", "label").agg(F.count("*").alias("c"))
+    main = main.groupBy("region").agg(F.max(F.struct("c", "label"))["label"].alias("main"))
+    index = known.select("region", "cls", F.size("shingles").alias("n"), "label")
+    queries = index.join(main, "region").filter(F.col("label") != F.col("main")).select("region", "cls", "n")
+    sets_ = known.select("cls", "shingles", "parity", "size", "label")
+    found = search_plan(index.drop("label"), queries, sets_, ["region"], rule.shared, rule, best)
+    sizes = known.select("cls", F.col("size").alias("n"))
+    found = found.join(sizes.withColumnRenamed("cls", "a").withColumnRenamed("n", "_n"), "a").join(sizes.withColumnRenamed("cls", "b"), "b")
     # Both ways round it is one pair; the side with the larger hash leads.
     sides = F.sort_array(F.array(F.struct(F.col("a").alias("cls"), F.col("_n").alias("n")), F.struct(F.col("b").alias("cls"), "n")))
     found = found.select(sides.alias("s")).select(F.col("s")[1]["cls"].alias("leader"), F.col("s")[1]["n"].alias("_n"), F.col("s")[0]["cls"].alias("cls"), F.col("s")[0]["n"].alias("n"))
-    rest = linked_pairs(docs, found.distinct(), rule)
-    return components(common.settle(links.unionByName(rest), "links"))
+    return found.distinct()
 
 
 def counted(pairs: DataFrame, rule: Rule) -> DataFrame:
