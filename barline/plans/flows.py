@@ -66,8 +66,7 @@ def _(spark, sf):
 def _(spark, sf):
     path = scratch_path(spark, "ticks-glob")
     tick_text(spark, sf).withColumnsRenamed({"bid_vol": "bidVolume", "ask_vol": "askVolume"}).write.partitionBy("symbol").option("header", True).csv(path)
-    names = sorted(r["symbol"] for r in T.quotes(spark, sf).select("symbol").distinct().collect())
-    return tick_sums(files.read_ticks_csv(spark, f"{path}/symbol={{{','.join(names)}}}/*.csv"))
+    return tick_sums(files.read_ticks_csv(spark, f"{path}/symbol=*/*.{{csv,csv.gz}}"))
 
 
 @query("A05_timestamp_forms", """SELECT (event_id % 5)::INTEGER AS form, count(*) AS n, CASE WHEN event_id % 5 = 4 THEN NULL ELSE sum(epoch(date_trunc('second', ts))::BIGINT)::BIGINT END AS seconds FROM events GROUP BY event_id % 5""")

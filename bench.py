@@ -8,6 +8,7 @@ import time
 
 from barline.operators.history import sweep
 from barline.plans import catalog
+from barline.plans.scans import SCAN, framed
 from barline.plans.shapes import hourly
 from barline.session import local_session
 
@@ -59,6 +60,8 @@ def main() -> None:
     start = time.perf_counter()
     sweep(bars, ["symbol"], grid, 0.0004, 8760.0).write.format("noop").mode("overwrite").save()
     units = 5 * len(grid) / (time.perf_counter() - start)
+    # The general scan: a unit is one series, rule, parameter row, exit and mode; with walks the same units in the summary.
+    series = framed(spark, sf_dir).select("symbol", "tf").distinct().count()
     print(
         json.dumps(
             {
@@ -67,6 +70,8 @@ def main() -> None:
                 "unit": "sec",
                 "queries": seconds,
                 "sweep_units_per_sec": round(units, 2),
+                "scan_units_per_sec": round(series * SCAN.trials / seconds["I10_rule_scan"], 2),
+                "walk_units_per_sec": round(series * SCAN.trials / seconds["D54_scan_summary"], 2),
                 "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"),
             }
         )
