@@ -478,6 +478,8 @@ def link_classes(docs: DataFrame, scanned: DataFrame, rule: Rule) -> DataFrame:
     state = state.withColumn("label", F.coalesce("label", "cls"))
     open_ = state.groupBy("token", "step").agg(F.min("label").alias("_a"), F.max("label").alias("_b")).filter("_a <> _b")
     state = common.settle(state.join(open_.select("token", "step"), ["token", "step"]), "open")
+    if state.isEmpty():
+        return label
     # Classes that share open groups are searched together once, however many groups they share.
     region = components(state.select(F.col("lo")["cls"].alias("a"), F.col("cls").alias("b")))
     region = region.select(F.col("node").alias("cls"), F.col("label").alias("region"))
