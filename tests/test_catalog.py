@@ -40,3 +40,12 @@ def test_every_check_has_a_query():
 def test_entry(spark):
     df = entry.entry(spark)
     assert "profit_factor" in df.columns and df.count() > 0
+
+
+def test_cells_without_a_label_get_the_sentinel(spark, sf_dir):
+    from barline.plans.rows import cells
+
+    got = {r.bucket: r.n for r in PLANS["C10_left_join_sentinel"](spark, sf_dir).collect()}
+    c = cells(spark, sf_dir)
+    assert "VOL_NONE" not in got and got["VOL_NA"] == c.filter("wo % 4 = 3").count() > 0
+    assert sum(got.values()) == c.count()
