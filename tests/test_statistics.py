@@ -223,3 +223,29 @@ def test_front_is_thinned_in_the_tasks_of_the_scan(spark):
     merges = [k for k, line in enumerate(lines) if line.startswith("MapInPandas")]
     assert len(merges) == 4 and all(lines[k + 1].startswith("Repartition") for k in merges[:-1])
     assert lines[merges[-1] + 1].startswith("Repartition 9")  # the table's own parts
+
+
+def test_every_row_has_its_own_draws(spark):
+    # Seven rows of one value: one draw for the pool would not give these counts and signs.
+    x = np.array([2.0] * 7 + [-1.0, 3.0])
+    df = spark.createDataFrame([("a", i, float(v)) for i, v in enumerate(x)], "k STRING, i BIGINT, x DOUBLE")
+    u = draws.uniforms(np.arange(9), 400, 4)
+    w = resampling.poisson_counts(u)
+    s, size, n, t = x @ w, w.sum(0), 9, x.sum()
+    far = (abs(n * s - t * size) >= abs(t) * size)[size > 0]
+    got = resampling.bootstrap_pvalues(df, ["k"], F.col("i"), F.col("x"), 400, 4, pooled=False).first()
+    assert (got.n, got.mean, got.p_raw) == (9, t / 9, far.mean())
+    extreme = int((x @ resampling.sign_flips(u) >= t).sum())
+    got = resampling.sign_flip_pvalues(df, ["k"], F.col("i"), F.col("x"), 400, 4).first()
+    assert (got.n, got.observed_sum, got.extreme, got.p_raw) == (9, t, extreme, (extreme + 1) / 401)
+
+
+def test_poisson_counts_have_no_cap_that_draws_reach():
+    assert resampling.poisson_counts(np.array([[0.0, 0.99999995, (draws.P - 1) / draws.P]])).tolist() == [[0.0, 10.0, 12.0]]
+
+
+def test_fast_draws_at_the_ends():
+    rows = np.array([0, 1, -1, 2**63 - 1, -(2**63), draws.P, (1 << 21) - 1, (1 << 42) - 1], np.int64)
+    got = draws.uniforms(rows, 50, 7, first=990)
+    want = [[draws.mix_value(int(r), rep, 7) / draws.P for rep in range(990, 1040)] for r in rows]
+    assert got.tolist() == want
