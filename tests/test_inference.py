@@ -141,3 +141,29 @@ def test_shards_written_once(spark):
     assert files.write_tick_shards(q.filter("symbol = 'a'"), path) == 2
     assert files.write_tick_shards(q, path) == 1
     assert files.write_tick_shards(q, path) == 0 and spark.read.parquet(path).count() == 3
+
+
+@pytest.mark.parametrize("chunk, asked", [(1 << 20, 1 << 18), (16, 100)])
+def test_block_bootstrap_of_a_series_in_chunks(spark, monkeypatch, chunk, asked):
+    """Against blocks laid row by row; a series longer than a chunk is dealt over tasks, and its blocks are never rows."""
+    monkeypatch.setattr(resampling, "CHUNK", chunk)
+    monkeypatch.setattr(resampling, "ASKED", asked)
+    x = {"a": [float((i * i) % 23 - 9) for i in range(67)], "b": [4.0, -1.0, 2.0], "c": [5.0]}
+    x["a"][0] = x["a"][30] = None
+    df = spark.createDataFrame([(k, i, v) for k, s in x.items() for i, v in enumerate(s)], "k STRING, i INT, x DOUBLE")
+    want = {}
+    for key, s in x.items():
+        n = len(s)
+        p = min(max(1 / math.sqrt(n), 1e-6), 1 - 1e-6)
+        for rep in range(25):
+            taken, k = [], 1
+            while len(taken) < n:
+                u, at = (mix_value(k, rep, 9 + salt) / 2_147_483_647 for salt in (0, 1))
+                length = math.floor(math.log(1 - max(u, 1e-12)) / math.log(1 - p)) + 1
+                taken += [s[(math.floor(at * n) + j) % n] or 0.0 for j in range(min(length, n - len(taken)))]
+                k += 1
+            want[key, rep] = sum(taken) / n
+    means = resampling.block_bootstrap_means(df.repartition(3), ["k"], ["i"], F.col("x"), 25, 9)
+    assert {(r.k, r.rep): r["mean"] for r in means.collect()} == want
+    plan = means._jdf.queryExecution().optimizedPlan().toString()
+    assert "sequence(" not in plan and "FlatMapGroupsInArrow" in plan
