@@ -167,3 +167,11 @@ def test_block_bootstrap_of_a_series_in_chunks(spark, monkeypatch, chunk, asked)
     assert {(r.k, r.rep): r["mean"] for r in means.collect()} == want
     plan = means._jdf.queryExecution().optimizedPlan().toString()
     assert "sequence(" not in plan and "FlatMapGroupsInArrow" in plan
+
+
+def test_gate_inputs_lay_no_blocks_as_rows(spark, sf_dir):
+    from barline.plans.inference import REPS, gate_inputs
+
+    g = gate_inputs(spark, sf_dir)
+    plan = g._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInArrow" in plan and "sequence(" not in plan and f"{REPS - 1})" not in plan
