@@ -56,7 +56,7 @@ from heapq import heapify, heappop, heappush
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barline.llm import common, tokens
@@ -69,6 +69,8 @@ _LOAD_BLOCKS = 256
 FAN_IN = 64
 #: Listed shingles that linked classes have in common at least.
 SHARED = 3
+#: How often classes that cannot link are taken out of the open groups; what is left does not lose a link, whatever the number.
+OPEN_ROUNDS = 2
 #: Bits of the filter that tells a scan which classes are wanted.
 FILTER_BITS = 1 << 22
 #: Parity bits of a set.
@@ -472,23 +474,21 @@ def link_classes(docs: DataFrame, scanned: DataFrame, rule: Rule) -> DataFrame:
     links = common.settle(linked_pairs(docs, may_link(counted(pairs, rule), scanned, rule), rule), "links")
     met = met.filter(F.col("end") == F.col("lo")).drop("end")
 
-    # What is left open: groups of three or more whose classes are in several components.
+    # What is left open; a smaller group may be one of those that two classes share.
     label = components(links)
-    state = met.filter("classes > 2").join(label.select(F.col("node").alias("cls"), "label"), "cls", "left")
+    state = met.select("token", "step", "n", "cls", "classes").join(label.select(F.col("node").alias("cls"), "label"), "cls", "left")
     state = state.withColumn("label", F.coalesce("label", "cls"))
-    open_ = state.groupBy("token", "step").agg(F.min("label").alias("_a"), F.max("label").alias("_b")).filter("_a <> _b")
-    state = common.settle(state.join(open_.select("token", "step"), ["token", "step"]), "open")
+    for _ in range(OPEN_ROUNDS):
+        state = common.settle(still_open(state, rule), "open")
     if state.isEmpty():
         return label
     # Classes that share open groups are searched together once, however many groups they share.
-    region = components(state.select(F.col("lo")["cls"].alias("a"), F.col("cls").alias("b")))
-    region = region.select(F.col("node").alias("cls"), F.col("label").alias("region"))
-    state = common.settle(state.select("cls", "n").distinct().join(region, "cls"), "regions")
-    # All listed shingles of these classes that any other class lists, of a class as one row.
-    lists = common.likely_in(met.select("cls", "token"), "cls", state).join(state.select("cls"), "cls", "left_semi")
-    lists = lists.groupBy("cls").agg(F.collect_set("token").alias("shingles"))
-    lists = lists.join(parity_of(scanned, state.select("cls")), "cls").join(state.withColumnRenamed("n", "size"), "cls")
-    lists = common.settle(lists, "lists")
+    first = state.groupBy("token", "step").agg(F.min("cls").alias("a"))
+    region = components(state.join(first, ["token", "step"]).select("a", F.col("cls").alias("b")).distinct())
+    # Of a class as one row, its shingles in open groups: classes of two components that link share ``rule.shared`` of these.
+    lists = state.groupBy("cls").agg(F.max("n").alias("size"), F.collect_set("token").alias("shingles"))
+    lists = lists.join(region.select(F.col("node").alias("cls"), F.col("label").alias("region")), "cls")
+    lists = common.settle(lists.join(parity_of(scanned, lists.select("cls")), "cls"), "lists")
     # The likeliest link to each other component first, which joins what belongs together; then all that is still possible.
     for best in (True, False):
         found = region_pairs(lists, label, rule, best)
@@ -497,6 +497,21 @@ def link_classes(docs: DataFrame, scanned: DataFrame, rule: Rule) -> DataFrame:
     return label
 
 
+def still_open(state: DataFrame, rule: Rule) -> DataFrame:
+    """Rows (token, step, n, cls, classes, label) of groups with classes of several components, less the classes that cannot link there.
+
+    Every group that linked classes of two components share is open, and they
+    share ``rule.shared`` of one step.  So a class with fewer has no link to find,
+    and neither has one in groups of two alone, whose classes have met.  Without
+    these classes other groups may not be open any more.
+    """
+    sides = state.groupBy("token", "step").agg(F.min("label").alias("_a"), F.max("label").alias("_b")).filter("_a <> _b")
+    state = state.join(sides.select("token", "step"), ["token", "step"])
+    own = Window.partitionBy("cls", "step")
+    state = state.withColumn("_times", F.count("*").over(own)).withColumn("_most", F.max("classes").over(own))
+    return state.filter((F.col("_times") >= rule.shared) & (F.col("_most") > 2)).drop("_times", "_most")
+
+
 def region_pairs(lists: DataFrame, label: DataFrame, rule: Rule, best: bool) -> DataFrame:
     """Pairs (leader, _n, cls, n) that may link across components of a region: classes outside its largest part against all."""
     known = lists.join(label.select(F.col("node").alias("cls"), "label"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))

@@ -132,3 +132,24 @@ def test_document_without_id_does_not_win_its_group(spark):
     text = " ".join(f"w{k}" for k in range(40))
     docs = frame(spark, [(None, text, "en", "s", 1), (7, text, "en", "s", 1), (9, text + " more", "en", "s", 1), (None, "all alone here", "en", "s", 1)])
     assert sorted(map(repr, (r["doc_id"] for r in jaccard_join.keep_one(docs).collect()))) == ["7", "None"]
+
+
+def test_classes_that_cannot_link_leave_the_open_groups(spark):
+    rng = random.Random(12)
+    groups = {(token, rng.randrange(2)): rng.sample(range(40), rng.choice((2, 2, 3, 5))) for token in range(150)}
+    for token in range(150, 154):  # two components that share four groups
+        groups[token, 0] = [40, 41, 42]
+    groups[154, 0] = [43, 44, 45]  # three components that share one
+    label = {cls: cls % 4 if cls < 40 else cls for cls in range(46)}
+    rows = [(t, s, 20, c, len(g), label[c]) for (t, s), g in groups.items() for c in g]
+    state = spark.createDataFrame(rows, "token long, step int, n long, cls long, classes long, label long")
+    got = {tuple(r) for r in jaccard_join.still_open(state, RULE).select("token", "step", "cls").collect()}
+    open_ = {g: m for g, m in groups.items() if len({label[c] for c in m}) > 1}
+    for a in range(46):
+        for b in range(a):
+            for step in (0, 1):
+                both = [g for g, m in open_.items() if g[1] == step and a in m and b in m]
+                if label[a] != label[b] and len(both) >= RULE.shared and any(len(groups[g]) > 2 for g in both):
+                    assert {(*g, c) for g in both for c in (a, b)} <= got
+    assert {(t, 0, c) for t in range(150, 154) for c in (40, 41, 42)} <= got
+    assert not {43, 44, 45} & {c for _, _, c in got}
