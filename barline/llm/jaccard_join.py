@@ -146,37 +146,31 @@ def sets(data: np.ndarray, offsets: np.ndarray, n_words: int) -> tuple[np.ndarra
     return window, at, cls.view(np.int64)
 
 
+def scan_rows(batches: Iterator[pa.RecordBatch], rule: Rule, task: int) -> Iterator[pa.RecordBatch]:
+    """The scan of one task.  Shingles are counted in place, piece by piece: besides its counters it holds what one piece takes."""
+    loads = np.zeros(LOADS, np.uint32)
+    for batch in batches:
+        size, cls, bits = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [pa.array([], pa.binary())]
+        for _, _, data, offsets in tokens.pieces(batch.column(1)):
+            window, at, c = sets(data, offsets, rule.words)
+            size.append(np.diff(at))
+            cls.append(c)
+            bits.append(parities(window, at))
+            np.add.at(loads, (window % np.uint64(LOADS)).astype(np.int64), np.uint32(1))
+        n, c = np.concatenate(size), np.concatenate(cls)
+        yield _scan_rows(batch.column(0), batch.column(2), pa.array(n), pa.array(c, mask=n == 0), pa.concat_arrays(bits), None, None)
+    parts = loads.reshape(_LOAD_BLOCKS, -1)
+    some = np.flatnonzero(parts.any(axis=1))
+    none = pa.nulls(len(some), pa.int64())
+    packed = pa.array([zlib.compress(parts[k].tobytes(), 1) for k in some], pa.binary())
+    yield _scan_rows(none, pa.array(np.full(len(some), task)), none, none, None, pa.array(some.astype(np.int64)), packed)
+
+
 def scan(docs: DataFrame, rule: Rule) -> DataFrame:
     """One row per document (doc_id, key, n, cls, parity), and each task's shingle counters as rows of (block, task, part)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        loads = np.zeros(LOADS, np.uint32)
-        waiting: list[np.ndarray] = []
-
-        def count(least: int) -> None:
-            if sum(map(len, waiting)) > least:
-                at = (np.concatenate(waiting) % np.uint64(LOADS)).astype(np.int64)
-                loads[:] += np.bincount(at, minlength=LOADS).astype(np.uint32)
-                waiting.clear()
-
-        for batch in batches:
-            size, cls, bits = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [pa.array([], pa.binary())]
-            for _, _, data, offsets in tokens.pieces(batch.column(1)):
-                window, at, c = sets(data, offsets, rule.words)
-                size.append(np.diff(at))
-                cls.append(c)
-                bits.append(parities(window, at))
-                waiting.append(window)
-                count(2_000_000)
-            n, c = np.concatenate(size), np.concatenate(cls)
-            yield _scan_rows(batch.column(0), batch.column(2), pa.array(n), pa.array(c, mask=n == 0), pa.concat_arrays(bits), None, None)
-        count(0)
-        parts = loads.reshape(_LOAD_BLOCKS, -1)
-        some = np.flatnonzero(parts.any(axis=1))
-        none = pa.nulls(len(some), pa.int64())
-        packed = pa.array([zlib.compress(parts[k].tobytes(), 1) for k in some], pa.binary())
-        task = pa.array(np.full(len(some), TaskContext.get().partitionId()))
-        yield _scan_rows(none, task, none, none, None, pa.array(some.astype(np.int64)), packed)
+        return scan_rows(batches, rule, TaskContext.get().partitionId())
 
     key = F.xxhash64("doc_id", "text").alias("key")
     return docs.select(F.col("doc_id").cast("long"), "text", key).mapInArrow(
@@ -548,6 +542,7 @@ def linked_pairs(docs: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
 
 def resolved(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
     """(doc_id, key, n, cls of every document) and (cls, label, component_id, members of every class)."""
+    common.bounded_batches(docs.sparkSession)
     scanned = common.settle(scan(docs, rule), "scan")
     own = scanned.filter("block is null").select("doc_id", "key", "n", "cls")
     label = link_classes(docs, scanned, rule).select(F.col("node").alias("cls"), "label")

@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,8 +71,9 @@ def placed(docs: DataFrame, names=SHARDS, slots: int = SLOTS, shard: str = "shar
     """All columns of the documents and the shard of each."""
     at = slot or common.fresh("slot")
     docs = docs.drop(shard, at)
-    rows = list(enumerate(fill(names, slots)))
-    table = docs.sparkSession.createDataFrame(rows, f"{at} int, {shard} string")
+    # As an Arrow table: rows of Python objects would start Python workers of their own on every executor.
+    rows = pa.table({at: pa.array(range(slots), pa.int32()), shard: fill(names, slots)})
+    table = docs.sparkSession.createDataFrame(rows)
     out = docs.withColumn(at, slot_of(F.col("doc_id"), F.col("text"), slots)).join(F.broadcast(table), at)
     own = [c for c in docs.columns if c not in (shard, slot)]
     return out.select(*own, *([at] if slot else []), shard)
