@@ -7,6 +7,8 @@ linked with every token of the other side in it.
 *Encoding.*  A space between a non-blank and another character is where both
 tokenizers start anew, so texts are cut there into units and each distinct unit
 of a block is encoded once (the first ``MEMO`` units of a worker stay known).
+Units and their ids are kept in Arrow and numpy arrays, a few tens of bytes each;
+Python strings and lists exist for ``UNITS`` of them at a time.
 
 *Merging.*  The token ends of a block's documents are two sorted lists.
 Diagonals at equal distances through their merge grid are searched by halving,
@@ -19,7 +21,9 @@ token whose twin ended the piece before to that piece's last group.
 of its documents that hold them, and for each document the places of its pairs
 in that list.  Pairs are counted over the corpus from the blocks' lists, and only
 these lists meet the counts, so a pair that every document has is one row for
-each block.  A block is bounded by ``BLOCK`` bytes of text (or is one document).
+each block.  A block is some ``BLOCK`` bytes of text (or one document); its
+tokens are laid out for ``PART`` bytes of it at a time (or one document).  Rows of
+whole blocks are wide, so they are written in row groups of some ``ROW_GROUP`` bytes.
 
 Defined cases: a text that is null, empty or not given back byte for byte by
 both tokenizers has no tokens and all zeros; every row is a document of its own,
@@ -40,6 +44,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -47,8 +52,12 @@ from barline.llm import common
 
 TOKENIZERS = "/opt/tokenizers"
 FILES = ("byte_bpe_50k.json", "piece_bpe_32k.model")
-#: Bytes of text in a block, ends in a piece of the merge, pairs unfolded at once, units a worker remembers.
-BLOCK, WORK, AT_ONCE, MEMO = 1 << 22, 1 << 16, 1 << 21, 1 << 18
+#: Bytes of text in a block and in a part of it, ends in a piece of the merge, pairs unfolded at once, units a worker remembers.
+BLOCK, PART, WORK, AT_ONCE, MEMO = 1 << 22, 1 << 19, 1 << 16, 1 << 18, 1 << 18
+#: Units that are Python strings at once.
+UNITS = 1 << 13
+#: Bytes of the written blocks that a task holds before it writes them out.
+ROW_GROUP = 1 << 24
 #: Longer units are encoded anew each time.
 UNIT = 64
 ID_BITS = 20
@@ -117,22 +126,37 @@ class Encoder:
                 }
             ),
         )
-        self.memo: dict[str, tuple[list[int], list[int]]] = {}
-
-    def known(self, wanted: list[str]) -> list[tuple[list[int], list[int]]]:
-        """(ids of A, ids of B) of each unit."""
-        out = list(map(self.memo.get, wanted))
-        at = [k for k, have in enumerate(out) if have is None]
-        new = [wanted[k] for k in at]
-        of_a = self.a.encode_batch_fast(new, add_special_tokens=False) if new else []
-        of_b = self.b.encode([u[1:] for u in new], num_threads=1) if new else []
-        room = MEMO - len(self.memo)
-        for k, u, x, y in zip(at, new, of_a, of_b, strict=True):
-            out[k] = x.ids, y or self.space
-            if room > 0 and len(u) <= UNIT:
-                self.memo[u] = out[k]
-                room -= 1
-        return out
+        self.memo = pa.array([], pa.string())
+        #: Of A and B: the ids of all known units end to end, and how many each has.
+        self.kept = [(np.zeros(0, np.int32), np.zeros(0, np.int64))] * 2
+
+    def encoded(self, new: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For A and B: the units' ids end to end, and how many each has."""
+        flat, sizes = ([], []), ([], [])
+        for lo in range(0, len(new), UNITS):
+            some = new[lo : lo + UNITS].to_pylist()
+            of_a = [x.ids for x in self.a.encode_batch_fast(some, add_special_tokens=False)]
+            of_b = [y or self.space for y in self.b.encode([u[1:] for u in some], num_threads=1)]
+            for k, lists in enumerate((of_a, of_b)):
+                sizes[k].append(np.fromiter(map(len, lists), np.int64, len(lists)))
+                flat[k].append(np.fromiter(chain.from_iterable(lists), np.int32, int(sizes[k][-1].sum())))
+        none = np.zeros(0, np.int32), np.zeros(0, np.int64)
+        return [(np.concatenate([none[0], *f]), np.concatenate([none[1], *n])) for f, n in zip(flat, sizes, strict=True)]
+
+    def known(self, wanted: pa.Array) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+        """The row of each unit, all different, among rows of ids; for A and B: the ids end to end, and how many each row has."""
+        place = pc.index_in(wanted, value_set=self.memo)
+        at = np.flatnonzero(place.is_null().to_numpy(zero_copy_only=False))
+        row = place.fill_null(0).to_numpy().astype(np.int64)
+        row[at] = len(self.memo) + np.arange(len(at))
+        new = wanted.take(pa.array(at))
+        rows = [tuple(np.concatenate(x) for x in zip(old, add, strict=True)) for old, add in zip(self.kept, self.encoded(new), strict=True)]
+        short = np.flatnonzero(pc.utf8_length(new).to_numpy(zero_copy_only=False) <= UNIT)[: max(0, MEMO - len(self.memo))]
+        if len(short):
+            stay = np.concatenate([np.arange(len(self.memo)), len(self.memo) + short])
+            self.memo = pa.concat_arrays([self.memo, new.take(pa.array(short))])
+            self.kept = [(gathered(flat, (np.cumsum(n) - n)[stay], n[stay]), n[stay]) for flat, n in rows]
+        return row, rows
 
 
 class Table:
@@ -171,33 +195,66 @@ def given_back(raw: np.ndarray, size: np.ndarray, table: Table, ids: np.ndarray,
     return good
 
 
-def encode(texts: list[str | None], tokenizers: Encoder) -> tuple:
-    """For A and B: ids, byte widths, tokens of each text.  A text without tokens has 0 of both."""
-    lists = [units(t) if t else [] for t in texts]
-    counts = np.fromiter(map(len, lists), np.int64, len(lists))
-    every = list(chain.from_iterable(lists))
-    del lists
-    index = {u: k for k, u in enumerate(dict.fromkeys(every))}
-    parts = tokenizers.known(list(index))
-    at = np.fromiter(map(index.__getitem__, every), np.int64, len(every))
-    del every, index
-    raw = "".join(" " + t for t in texts if t).encode()
+def cut(texts: list[str | None]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct units of the texts, the place among them of every unit, and how many units each text has."""
+    counts, chunks, some = np.zeros(len(texts), np.int64), [], []
+    for k, text in enumerate(texts):
+        own = units(text) if text else []
+        counts[k] = len(own)
+        some += own
+        if len(some) >= UNITS:
+            chunks.append(pa.array(some, pa.string()))
+            some = []
+    chunks.append(pa.array(some, pa.string()))
+    every = pa.concat_arrays(chunks).dictionary_encode()
+    return every.dictionary, every.indices.to_numpy(), counts
+
+
+def laid_out(texts: list[str | None], unit: np.ndarray, counts: np.ndarray, rows: list, tables: tuple[Table, Table]) -> tuple:
+    """What ``encode`` gives; ``unit``: the row of ids of each unit, ``counts``: units of each text."""
+    raw = np.frombuffer("".join(" " + t for t in texts if t).encode(), np.uint8)
     size = np.fromiter((len(t.encode()) + 1 if t else 0 for t in texts), np.int64, len(texts))
     sides, good = [], np.ones(len(texts), bool)
-    for k, table in enumerate(tokenizers.tables):
-        sizes = np.fromiter((len(p[k]) for p in parts), np.int64, len(parts))
-        flat = np.fromiter(chain.from_iterable(p[k] for p in parts), np.int32, int(sizes.sum()))
-        ids = gathered(flat, (np.cumsum(sizes) - sizes)[at], sizes[at])
-        upto = np.concatenate([[0], np.cumsum(sizes[at])])[np.concatenate([[0], np.cumsum(counts)])]
+    for (flat, start, length), table in zip(rows, tables, strict=True):
+        n = length[unit]
+        ids = gathered(flat, start[unit], n)
+        upto = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(counts)])]
         sides.append((ids, np.diff(upto)))
-        good &= given_back(np.frombuffer(raw, np.uint8), size, table, *sides[-1])
+        good &= given_back(raw, size, table, *sides[-1])
     out = []
-    for (ids, tokens), table in zip(sides, tokenizers.tables, strict=True):
+    for (ids, tokens), table in zip(sides, tables, strict=True):
         ids = ids[np.repeat(good, tokens)]
         out += [ids, table.width[ids], np.where(good, tokens, 0)]
     return tuple(out)
 
 
+def parts(texts: list[str | None], limit: int) -> list[tuple[int, int]]:
+    """First and end of consecutive texts of ``limit`` bytes or less together, or of a single longer one."""
+    size = np.cumsum(np.fromiter((len(t.encode()) if t else 0 for t in texts), np.int64, len(texts)))
+    out, lo = [], 0
+    while lo < len(texts):
+        hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + limit, side="right")))
+        out.append((lo, hi))
+        lo = hi
+    return out
+
+
+def encoded_parts(texts: list[str | None], tokenizers: Encoder, limit: int) -> Iterator[tuple]:
+    """Each part's first and end text and what ``encode`` gives for it; units are encoded once for all parts."""
+    distinct, at, counts = cut(texts)
+    row, rows = tokenizers.known(distinct)
+    rows = [(flat, np.cumsum(n) - n, n) for flat, n in rows]
+    upto = np.concatenate([[0], np.cumsum(counts)])
+    for lo, hi in parts(texts, limit):
+        yield lo, hi, laid_out(texts[lo:hi], row[at[upto[lo] : upto[hi]]], counts[lo:hi], rows, tokenizers.tables)
+
+
+def encode(texts: list[str | None], tokenizers: Encoder) -> tuple:
+    """For A and B: ids, byte widths, tokens of each text.  A text without tokens has 0 of both."""
+    ((_, _, out),) = encoded_parts(texts, tokenizers, 1 << 62)
+    return out
+
+
 # --- merging --------------------------------------------------------------------------------------------------------
 
 
@@ -312,16 +369,28 @@ def digests(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, grou
     return out
 
 
-def align(ids: list[int | None], texts: list[str | None], tokenizers: Encoder, work: int = WORK) -> dict[str, list]:
-    """One block: see the module's text."""
-    a, wide_a, tokens_a, b, wide_b, tokens_b = encode(texts, tokenizers)
+def align_part(encoded: tuple, texts: int, work: int) -> tuple:
+    """(document, id, id) keys, how often each is linked, and for each text its tokens of A and B, groups, links and digest."""
+    a, wide_a, tokens_a, b, wide_b, tokens_b = encoded
     of_a, of_b = groups(np.cumsum(wide_a, dtype=np.int64), np.cumsum(wide_b, dtype=np.int64), work)
     n = int(of_a[-1]) + 1 if len(of_a) else 0
     n_a, n_b = np.bincount(of_a, minlength=n), np.bincount(of_b, minlength=n)
-    doc = np.repeat(np.arange(len(texts)), tokens_a)[np.cumsum(n_a) - 1] if n else np.zeros(0, np.int64)
+    doc = np.repeat(np.arange(texts), tokens_a)[np.cumsum(n_a) - 1] if n else np.zeros(0, np.int64)
     key, times = linked(doc, a, b, n_a, n_b)
+    groups_of = np.bincount(doc, minlength=texts)
+    links = np.bincount(doc, n_a * n_b, texts).astype(np.int64) if n else np.zeros(texts, np.int64)
+    return key, times, tokens_a, tokens_b, groups_of, links, digests(a, b, n_a, n_b, groups_of) if n else [""] * texts
+
+
+def align(ids: list[int | None], texts: list[str | None], tokenizers: Encoder, work: int = WORK) -> dict[str, list]:
+    """One block: see the module's text."""
+    made = []
+    for lo, hi, encoded in encoded_parts(texts, tokenizers, PART):
+        key, *rest = align_part(encoded, hi - lo, work)
+        made.append((key + (lo << 2 * ID_BITS), *rest))
+    *columns, digest = zip(*made, strict=True)
+    key, times, tokens_a, tokens_b, groups_of, links = map(np.concatenate, columns)
     pair, at = np.unique(key & ((1 << 2 * ID_BITS) - 1), return_inverse=True)
-    groups_of = np.bincount(doc, minlength=len(texts))
     return {
         "pair": pair,
         "pair_docs": np.bincount(at, minlength=len(pair)),
@@ -329,8 +398,8 @@ def align(ids: list[int | None], texts: list[str | None], tokenizers: Encoder, w
         "n_a": tokens_a,
         "n_b": tokens_b,
         "n_groups": groups_of,
-        "n_links": np.bincount(doc, n_a * n_b, len(texts)).astype(np.int64) if n else np.zeros(len(texts), np.int64),
-        "groups_sha256": digests(a, b, n_a, n_b, groups_of) if n else [""] * len(texts),
+        "n_links": links,
+        "groups_sha256": list(chain.from_iterable(digest)),
         "ends": np.searchsorted(key >> (2 * ID_BITS), np.arange(len(texts)), side="right"),
         "at": at,
         "times": times,
@@ -350,10 +419,12 @@ def blocks(docs: DataFrame, folder: str = TOKENIZERS) -> DataFrame:
         number, tokenizers = TaskContext.get().partitionId() << 32, encoder(folder)
         for batch in batches:
             ids, column = batch.column(0), batch.column(1)
-            size = np.cumsum(np.fromiter((len(x.as_buffer()) if x.is_valid else 0 for x in column), np.int64, len(column)))
+            size = np.cumsum(pc.binary_length(column).fill_null(0).to_numpy(), dtype=np.int64)
+            # Equal shares, so that a batch of little more than a block makes no small one.
+            share = -(-int(size[-1]) // max(1, round(size[-1] / BLOCK))) if len(size) else 0
             lo = 0
             while lo < len(ids):
-                hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + BLOCK, side="right")))
+                hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + share, side="right")))
                 row = align(ids[lo:hi].to_pylist(), column[lo:hi].to_pylist(), tokenizers)
                 arrays = [pa.array([number], pa.int64())]
                 arrays += [
@@ -362,6 +433,8 @@ def blocks(docs: DataFrame, folder: str = TOKENIZERS) -> DataFrame:
                     if f.name != "block"
                 ]
                 yield pa.RecordBatch.from_arrays(arrays, schema=schema)
+                del row, arrays
+                pa.default_memory_pool().release_unused()
                 number, lo = number + 1, hi
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, BLOCKS)
@@ -380,7 +453,8 @@ def counted(made: DataFrame) -> DataFrame:
 
 def aligned(docs: DataFrame, folder: str = TOKENIZERS) -> DataFrame:
     """doc_id and the alignment's measures of every row of ``docs``."""
-    made = common.settle(blocks(docs, folder), "alignment")
+    common.bounded_batches(docs.sparkSession)
+    made = common.settle(blocks(docs, folder), "alignment", row_group=ROW_GROUP)
     each = made.select("block", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "ends", "at", "times")
     schema = arrow(RESULT)
 

@@ -4,9 +4,12 @@ import hashlib
 import json
 import os
 import random
+import tracemalloc
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 import sentencepiece
 from helpers import corpus, frame, prose
@@ -139,3 +142,25 @@ def test_query(spark, sf_dir):
     df = common.PLANS["op11_token_alignment"](spark, sf_dir)
     assert df.columns == [f.split(" ")[0] for f in token_alignment.RESULT.split(", ")]
     assert df.count() == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+
+
+def test_units_are_kept_in_arrays():
+    """What a worker holds at most for a block, and keeps of it: tens of bytes for each unit, not Python objects."""
+    rng = random.Random(5)
+    texts = [prose(rng, 250, 200_000) for _ in range(1000)]
+    encoder = token_alignment.Encoder(token_alignment.TOKENIZERS)
+    token_alignment.align([0], texts[:1], encoder)
+    tracemalloc.start()
+    try:
+        token_alignment.align(list(range(len(texts))), texts, encoder)
+        kept, most = (x / 1e6 for x in tracemalloc.get_traced_memory())
+    finally:
+        tracemalloc.stop()
+    assert sum(len(t) for t in texts) > 1.5e6 and kept < 20 and most < 150, (kept, most)
+
+
+def test_wide_rows_are_written_in_small_row_groups(spark):
+    rows = spark.range(0, 40, 1, 1).selectExpr("id", "transform(sequence(1, 50000), x -> xxhash64(x, id)) a")
+    path = common._PATHS[id(common.settle(rows, "wide", row_group=1 << 21))][1].removeprefix("file:")
+    size = [g.total_byte_size for f in Path(path).glob("*.parquet") for m in [pq.ParquetFile(f).metadata] for g in map(m.row_group, range(m.num_row_groups))]
+    assert sum(size) > 12e6 and max(size) < 4e6
