@@ -270,3 +270,40 @@ def test_projected_sums():
         step = np.flatnonzero(place % unit == 0)
         want = np.add.reduceat(table[buckets].astype(np.float64), step, axis=0)
         assert np.allclose(dec.projected(table, buckets, step, unit), want, atol=1e-4)
+
+
+def test_space_is_fitted_on_all_passages(spark, monkeypatch):
+    """More documents than any sample of them and a long text: their words all enter, and a direction of the long text's alone is in the space."""
+    rng = random.Random(19)
+    rows = [(k, prose(rng, 12)) for k in range(2500)] + [(9000, " ".join(["zeta", "eta", "theta", "iota"] * 2500)), (9001, None), (9002, " ")]
+    items = [(1, prose(rng, 20)), (2, prose(rng, 90))]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string").repartition(4), spark.createDataFrame(items, "item_id long, text string")
+    counted, real = [], dec.gram_times
+
+    def spy(rows, weight, basis):
+        counted.append(rows.rdd.map(lambda r: sum(r["times"]) if "times" in r else len(r["text"].split())).sum())
+        return real(rows, weight, basis)
+
+    monkeypatch.setattr(dec, "gram_times", spy)
+    space = dec.latent_space(docs, bench, spark.sparkContext.broadcast(np.ones(dec.BUCKETS, np.float32)))
+    assert set(counted) == {sum(len(words(t)) for _, t in rows + items)}
+    own = np.zeros(dec.BUCKETS)
+    own[dec.word_buckets(dec._hashes("zeta eta theta iota"))] = 0.5
+    assert np.linalg.norm(own @ space) > 0.95
+    assert np.allclose(space.T @ space, np.eye(dec.RANK), atol=1e-4)
+
+
+def test_gram_times_is_that_of_the_dense_matrix(spark):
+    rng = random.Random(20)
+    rows = [(k, prose(rng, rng.choice([1, 5, 64, 65, 200]), 300)) for k in range(60)]
+    idf = np.random.default_rng(1).uniform(0.5, 9, dec.BUCKETS).astype(np.float32)
+    basis = np.random.default_rng(2).standard_normal((dec.BUCKETS, 5)).astype(np.float32)
+    want = np.zeros((dec.BUCKETS, 5))
+    for _, text in rows:
+        h = dec.word_buckets(dec._hashes(text))
+        for lo in range(0, len(h), 64):
+            a = np.bincount(h[lo : lo + 64], minlength=dec.BUCKETS) * idf.astype(np.float64)
+            a *= 2 / np.linalg.norm(a)
+            want += np.outer(a, a @ basis)
+    made = dec.passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).selectExpr("*", "2d scale")
+    assert np.allclose(dec.gram_times(made, spark.sparkContext.broadcast(idf), basis), want, atol=1e-3)
