@@ -9,7 +9,7 @@ from helpers import SCHEMA, corpus, frame, words
 from test_decontamination import brute
 from test_jaccard_join import near_copies, plain
 
-from barline.llm import common, jaccard_join, mixing, quality_classifier, sharding
+from barline.llm import common, decontamination, jaccard_join, mixing, quality_classifier, sharding
 
 
 @pytest.fixture(scope="module")
@@ -105,3 +105,16 @@ def test_empty_corpus(spark, tmp_path):
 def test_corpus_with_nulls_keeps_its_columns(spark):
     docs = frame(spark, corpus())
     assert mixing.mixed(docs).columns == docs.columns
+
+
+def test_the_decontamination_stage_fits_its_space_on_all_words(spark, folder, monkeypatch):
+    rows = [(k, f"doc{k} some words of its own", "en", "s1", 1) for k in range(2000)] + [(9000, "long text " * 2500, "en", "s1", 1)]
+    seen, real = [], decontamination.gram_times
+
+    def spy(rows, weight, basis):
+        seen.append(rows.filter("scale = 1").rdd.map(lambda r: sum(r["times"]) if "times" in r else len(r["text"].split())).sum())
+        return real(rows, weight, basis)
+
+    monkeypatch.setattr(decontamination, "gram_times", spy)
+    assert dict(corpus_pipeline.STAGES)["benchmark decontamination"](spark, frame(spark, rows), folder).count() == 2001
+    assert set(seen) == {2000 * 6 + 5000}
